@@ -1,5 +1,7 @@
 """Importing this module fills the registry."""
 
 from sparkguard.plans import (  # noqa: F401
+    audit_queries,
     masking_queries,
+    metrics_queries,
 )
