@@ -7,7 +7,6 @@ row per slice (its last row, its sum) or as copies of the few rows near its bord
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, WindowSpec
@@ -24,8 +23,13 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def _whole_steps(us: Column, step: int) -> Column:
+    """Floor of ``us / step`` in whole numbers."""
+    return ((us - F.pmod(us, F.lit(step))) / F.lit(step)).cast("long")
+
+
 def _slice(ts: str, seconds: int) -> Column:
-    return F.floor(micros(F.col(ts)) / F.lit(seconds * 1_000_000)).cast("long")
+    return _whole_steps(micros(F.col(ts)), seconds * 1_000_000)
 
 
 def over_lookback(
@@ -80,12 +84,7 @@ def with_run(df: DataFrame, keys: list[str], order: list[str], state: str, slice
 def slots(seconds: int, period: int, ts: Column) -> Column:
     """Grid times (epoch seconds, multiples of ``seconds``) whose closed look-back of ``period`` holds ``ts``."""
     step = seconds * 1_000_000
-    first = F.ceil(micros(ts) / F.lit(step)).cast("long")
-    last = F.floor((micros(ts) + F.lit(period * 1_000_000)) / F.lit(step)).cast("long")
+    first = _whole_steps(micros(ts) + F.lit(step - 1), step)
+    last = _whole_steps(micros(ts) + F.lit(period * 1_000_000), step)
     span = F.sequence(first, last)
     return F.transform(F.when(first <= last, span).otherwise(F.array().cast("array<bigint>")), lambda i: i * seconds)
-
-
-def slot_copies(seconds: int, period: int) -> int:
-    """How many grid times one point takes part in."""
-    return math.floor(period / seconds) + 1
