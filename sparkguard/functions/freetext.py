@@ -21,13 +21,12 @@ KINDS = [
 ]
 
 
-def count_of(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("long")
+def matches(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def mask_matches(text: Column, pattern: str, mask: masks.Mask, key: str, column: str) -> Column:
+def mask_matches(text: Column, found: Column, mask: masks.Mask, key: str, column: str) -> Column:
     """Every distinct match replaced by its mask, longest first so that no match cuts another."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    ordered = F.array_sort(F.transform(found, lambda m: F.struct((-F.length(m)).alias("n"), m.alias("m"))))
+    ordered = F.array_sort(F.transform(F.array_distinct(found), lambda m: F.struct((-F.length(m)).alias("n"), m.alias("m"))))
     replaced = F.aggregate(ordered, text, lambda acc, s: F.replace(acc, s["m"], mask(s["m"], key, column)))
-    return F.when(text.rlike(pattern), replaced).otherwise(text)
+    return F.when(F.size(found) > 0, replaced).otherwise(text)

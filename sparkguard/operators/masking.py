@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkguard.functions import masks
-from sparkguard.functions.freetext import KINDS, count_of, mask_matches
+from sparkguard.functions.freetext import KINDS, mask_matches, matches
 
 
 @dataclass(frozen=True)
@@ -298,9 +298,10 @@ def mask_free_text(df: DataFrame, text: str, key: str) -> DataFrame:
     """Cards, phones, e-mails and addresses inside ``text`` replaced, with a count per kind."""
     out = df
     for name, pattern, mask in KINDS:
-        out = out.withColumn(f"{name}_count", count_of(F.col(text), pattern))
-        out = out.withColumn(text, mask_matches(F.col(text), pattern, mask, key, text))
-    return out
+        found = F.col("_found")
+        out = out.withColumn("_found", matches(F.col(text), pattern))
+        out = out.withColumns({f"{name}_count": F.size(found).cast("long"), text: mask_matches(F.col(text), found, mask, key, text)})
+    return out.drop("_found")
 
 
 # Name families and keywords that mark a column of a replicated table.

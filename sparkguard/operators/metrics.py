@@ -98,7 +98,7 @@ def series_cap(
 ) -> DataFrame:
     """Retention: points strictly newer than ``hours``, and of those the newest of each series."""
     kept = points.where(F.col("ts") > at(as_of - dt.timedelta(hours=hours)))
-    return ranking.newest(kept, ["series_key"], [F.col("ts").desc(), F.col(id_column).desc()], per_series, F.col(id_column))
+    return ranking.newest(kept, ["series_key"], "ts", id_column, per_series)
 
 
 def service_health(checks: DataFrame, as_of: dt.datetime, seconds: int = LOOKBACK_SECONDS, id_column: str = "event_id") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkguard.operators.joining import null_safe_join
+from sparkguard.operators.timeslices import time_slice
 from sparkguard.session import shared_dir
 
 
@@ -55,10 +56,16 @@ def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, fl
     return placed.groupBy(*keys).agg(*parts)
 
 
-def newest(df: DataFrame, keys: list[str], order: list[Column], n: int, spread: Column, salts: int = 64) -> DataFrame:
-    """The first ``n`` rows per key by ``order``: cut per salt first, so a hot key never meets in one task whole."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-    rough = (
-        salted.withColumn("_rn", F.row_number().over(W.partitionBy(*keys, "_salt").orderBy(*order))).where(F.col("_rn") <= n).drop("_rn", "_salt")
-    )
-    return rough.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
+def newest(df: DataFrame, keys: list[str], ts: str, tie: str, n: int, slice_seconds: int = 60) -> DataFrame:
+    """The ``n`` newest rows per key, ties by the larger ``tie``.
+
+    Rows are counted per key and slice of time first. Only the newest slices that together hold ``n``
+    rows go on to the ranking, so a hot key brings about ``n`` rows there and not its whole history.
+    """
+    sliced = df.withColumn("_slice", time_slice(ts, slice_seconds))
+    sizes = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    newer = W.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(W.unboundedPreceding, -1)
+    needed = sizes.withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0))).where(F.col("_newer") < n)
+    rough = null_safe_join(sliced, needed.select(*keys, "_slice"), [*keys, "_slice"], "inner")
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(ts), F.desc(tie)))
+    return rough.withColumn("_rn", rank).where(F.col("_rn") <= n).select(*df.columns)

@@ -88,7 +88,9 @@ def fix_foreign_key(child: DataFrame, fk: ForeignKey, parents: DataFrame, key: s
     drawn = slot(digest(F.coalesce(value.cast("string"), F.lit("")), key, fk.column), 0)
     # a one-row aggregate: the size of the parent copy
     sized = kept.withColumn("_one", F.lit(1)).join(F.broadcast(count.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    indexed = sized.withColumn("_i", F.when(F.col("_pk").isNull() & (F.col("_n") > 0), drawn % F.col("_n")))
+    # rows that need no spare key get a spread-out index that matches none, instead of meeting as nulls
+    wanted = F.col("_pk").isNull() & (F.col("_n") > 0)
+    indexed = sized.withColumn("_i", F.when(wanted, drawn % F.col("_n")).otherwise(-1 - drawn))
     spare = numbered.select(F.col("_i"), F.col("_pk").alias("_spare"))
     out = indexed.join(small(spare), "_i", "left")
     fixed = F.coalesce("_pk", "_spare").cast(child.schema[fk.column].dataType)

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from sparkguard.operators.joining import null_safe_join
 
-DAY = 86_400
+# Width of a slice. An hour of the busiest series must fit a task; a series has one small row per hour.
+SLICE_SECONDS = 3_600
 
 
 def micros(ts: Column) -> Column:
@@ -28,32 +29,32 @@ def _whole_steps(us: Column, step: int) -> Column:
     return ((us - F.pmod(us, F.lit(step))) / F.lit(step)).cast("long")
 
 
-def _slice(ts: str, seconds: int) -> Column:
+def time_slice(ts: str, seconds: int) -> Column:
     return _whole_steps(micros(F.col(ts)), seconds * 1_000_000)
 
 
 def over_lookback(
-    df: DataFrame, keys: list[str], ts: str, seconds: int, build: Callable[[WindowSpec], dict[str, Column]], slices: int = 4
+    df: DataFrame, keys: list[str], ts: str, seconds: int, build: Callable[[WindowSpec], dict[str, Column]]
 ) -> DataFrame:
     """Columns over the half-open window ``(ts - seconds, ts]`` at every row.
 
-    A slice is ``slices`` times as long as the window, so a row is copied to at most one later slice.
+    A slice is at least as long as the window, so a row is copied to at most one later slice.
     """
-    width = seconds * slices
+    width = max(seconds, min(4 * seconds, SLICE_SECONDS))
     us = micros(F.col(ts))
     copies = F.when(
         us > (F.col("_own") + 1) * width * 1_000_000 - F.lit(seconds * 1_000_000), F.array(F.col("_own"), F.col("_own") + 1)
     ).otherwise(F.array("_own"))
-    spread = df.withColumn("_own", _slice(ts, width)).withColumn("_slice", F.explode(copies)).withColumn("_us", us)
+    spread = df.withColumn("_own", time_slice(ts, width)).withColumn("_slice", F.explode(copies)).withColumn("_us", us)
     window = W.partitionBy(*keys, "_slice").orderBy("_us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
     out = spread.select("*", *[c.alias(n) for n, c in build(window).items()])
     return out.where(F.col("_slice") == F.col("_own")).drop("_own", "_slice", "_us")
 
 
-def with_previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str], slice_seconds: int = DAY) -> DataFrame:
+def with_previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str], slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Adds ``prev_<column>`` from the row before within the key; ``order`` starts with the time."""
     packed = F.struct(*[F.col(c) for c in columns])
-    sliced = df.withColumn("_slice", _slice(order[0], slice_seconds))
+    sliced = df.withColumn("_slice", time_slice(order[0], slice_seconds))
     inside = sliced.withColumn("_prev", F.lag(packed).over(W.partitionBy(*keys, "_slice").orderBy(*order)))
     tails = sliced.groupBy(*keys, "_slice").agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
     carried = tails.select(*keys, "_slice", F.lag("_tail").over(W.partitionBy(*keys).orderBy("_slice")).alias("_carry"))
@@ -62,9 +63,9 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], columns: lis
     return out.select(*df.columns, *[prev[c].alias(f"prev_{c}") for c in columns])
 
 
-def with_running_sum(df: DataFrame, keys: list[str], order: list[str], amount: Column, name: str, slice_seconds: int = DAY) -> DataFrame:
+def with_running_sum(df: DataFrame, keys: list[str], order: list[str], amount: Column, name: str, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Adds the sum of ``amount`` up to and including the row within the key."""
-    sliced = df.withColumn("_slice", _slice(order[0], slice_seconds)).withColumn("_amount", amount)
+    sliced = df.withColumn("_slice", time_slice(order[0], slice_seconds)).withColumn("_amount", amount)
     window = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     inside = sliced.withColumn("_inside", F.sum("_amount").over(window))
     sums = sliced.groupBy(*keys, "_slice").agg(F.sum("_amount").alias("_s"))
@@ -74,7 +75,7 @@ def with_running_sum(df: DataFrame, keys: list[str], order: list[str], amount: C
     return out.select(*df.columns, (F.col("_offset") + F.col("_inside")).alias(name))
 
 
-def with_run(df: DataFrame, keys: list[str], order: list[str], state: str, slice_seconds: int = DAY) -> DataFrame:
+def with_run(df: DataFrame, keys: list[str], order: list[str], state: str, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Numbers the runs of equal ``state`` within a key as ``run`` (1, 2, ...)."""
     marked = with_previous(df, keys, order, [state], slice_seconds)
     new = F.when(F.col(state).eqNullSafe(F.col(f"prev_{state}")), 0).otherwise(1)

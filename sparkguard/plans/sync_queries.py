@@ -11,7 +11,7 @@ from sparkguard.functions.series import series_key
 from sparkguard.operators import sync
 from sparkguard.plans import audit_queries as AQ
 from sparkguard.plans import twin_masks as S
-from sparkguard.plans.metrics_queries import _STATS, ALERTS, STEP, rounded
+from sparkguard.plans.metrics_queries import _EPISODES, _STATS, ALERTS, STEP, _alert_rows, rounded
 from sparkguard.plans.registry import Inputs, query
 from sparkguard.streaming import jobs
 
@@ -148,9 +148,22 @@ def stream_sessions(t: Inputs):
     return _sink(t, jobs.activity_sessions(_events(t).select("ts", "user_id"), ["user_id"]), "sessions")
 
 
-@query("stream_alerts")
+# the grid runs ahead of the points by the longest period, and the watermark follows it ten minutes later still
+_LONGEST = max(a.period_minutes for a in ALERTS if a.enabled) + 10
+
+
+@query(
+    "stream_alerts",
+    f"""with {_alert_rows()}, {_EPISODES}, v as (select alert_id, slot, cv from g),
+    x as (select alert_id, 'firing' as event, triggered_at as sent from ep union all select alert_id, 'resolved', resolved_at from ep where resolved_at is not null)
+    select x.alert_id, event, sent as "at", cv as value from x join v on v.alert_id = x.alert_id and v.slot = epoch(sent)::bigint
+    where epoch(sent) <= (select max(slot) from g) - {_LONGEST * 60}""",
+    fx="metrics",
+)
 def stream_alerts(t: Inputs):
-    return _sink(t, jobs.alert_events(_points(t), ALERTS, STEP), "alerts")
+    events = t.scratch("alert-events")
+    jobs.alerts_to_files(_points(t), ALERTS, t.scratch("alert-states"), events, t.scratch("alert-checkpoint"), STEP)
+    return t.spark.read.schema(jobs.ALERT_EVENTS).parquet(events)
 
 
 _LOG_COLUMNS = ["event_id", "query_type", "safety_level", "decision", "reason"]

@@ -56,7 +56,8 @@ def request_counts(requests: DataFrame, keys: list[str], length: str = "60 secon
 
 
 def activity_sessions(events: DataFrame, keys: list[str], gap: str = SESSION_TIMEOUT) -> DataFrame:
-    """Runs of activity that end after a pause of ``gap``."""
+    """Runs of activity that end after a pause of ``gap``. Rows merge to sessions before they are shuffled."""
+    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     out = with_event_time(events).groupBy(F.session_window("ts", gap).alias("w"), *keys).agg(F.count(F.lit(1)).alias("events"))
     return out.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *keys, "events")
 
@@ -114,11 +115,11 @@ def _transitions(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
     )
 
 
-def alert_events(points: DataFrame, alerts: tuple[A.Alert, ...], step: int = A.EVALUATION_SECONDS, id_column: str = "point_id") -> DataFrame:
-    """Alert evaluations as a windowed aggregation, then one small state per alert.
+def alert_states(points: DataFrame, alerts: tuple[A.Alert, ...], step: int = A.EVALUATION_SECONDS, id_column: str = "point_id") -> DataFrame:
+    """Evaluations of the alerts at the times of the grid, each emitted once it is final.
 
-    Points are reduced to one row per alert and grid time by Spark before they meet the state, so the
-    state function sees evaluations, never points.
+    Spark reduces the points to one row per alert and grid time, so what follows sees evaluations, never
+    points.
     """
     watched = A.alert_points(points, alerts)
     longest = max(a.period_minutes for a in alerts if a.enabled)
@@ -130,7 +131,21 @@ def alert_events(points: DataFrame, alerts: tuple[A.Alert, ...], step: int = A.E
     states = timed.groupBy("evaluated_at", "alert_id", "datapoints").agg(
         F.count_if("breach").alias("breaches"), F.max_by("value", F.struct("ts", id_column)).alias("current_value")
     )
-    shown = states.select("alert_id", "evaluated_at", "current_value", (F.col("breaches") >= F.col("datapoints")).alias("firing"))
-    return shown.groupBy("alert_id").applyInPandasWithState(
+    return states.select("alert_id", "evaluated_at", "current_value", (F.col("breaches") >= F.col("datapoints")).alias("firing"))
+
+
+def alert_events(states: DataFrame) -> DataFrame:
+    """Firing and resolved events from the files of ``alert_states``; the state is one flag per alert."""
+    return states.groupBy("alert_id").applyInPandasWithState(
         _transitions, ALERT_EVENTS, ALERT_STATE, "append", GroupStateTimeout.NoTimeout
     )
+
+
+def alerts_to_files(
+    points: DataFrame, alerts: tuple[A.Alert, ...], states_path: str, events_path: str, checkpoint: str, step: int = A.EVALUATION_SECONDS
+) -> None:
+    """Evaluations into one folder, and from there events into another."""
+    states = alert_states(points, alerts, step)
+    run_to_files(states, states_path, f"{checkpoint}/states").awaitTermination()
+    read_back = points.sparkSession.readStream.schema(states.schema).parquet(states_path)
+    run_to_files(alert_events(read_back), events_path, f"{checkpoint}/events").awaitTermination()
