@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 
 def keyed_text(value: Column, key: str, column: str) -> Column:
-    return F.concat_ws(":", F.lit(key), F.lit(column), value)
+    """Null for a null value, so that every mask built on it keeps nulls by itself."""
+    return F.concat(F.lit(f"{key}:{column}:"), value)
 
 
 def digest(value: Column, key: str, column: str) -> Column:

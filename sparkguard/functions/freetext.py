@@ -13,11 +13,12 @@ PHONE = r"(?:\+\d{1,2} )?\(\d{3}\) ?\d{3}-?\d{4}|\b\d{3}-\d{3}-\d{4}\b"
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 IP = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
 
+# name, a text every match holds, pattern, mask
 KINDS = [
-    ("card", CARD, masks.credit_card),
-    ("phone", PHONE, masks.phone),
-    ("email", EMAIL, masks.email),
-    ("ip", IP, masks.ipv4),
+    ("card", "", CARD, masks.credit_card),
+    ("phone", "", PHONE, masks.phone),
+    ("email", "@", EMAIL, masks.email),
+    ("ip", ".", IP, masks.ipv4),
 ]
 
 

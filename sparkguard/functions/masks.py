@@ -33,29 +33,30 @@ def _digits(n: Column, width: int) -> Column:
     return F.lpad((n % 10**width).cast("string"), width, "0")
 
 
-def _keep_null(value: Column, masked: Column) -> Column:
-    return F.when(value.isNotNull(), masked)
+def _chars(value: Column) -> Column:
+    return F.split(value, "")
 
 
-def _chars(value: Column) -> Column:
-    return F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0))
+def _once(value: Column, build: Callable[[Column], Column]) -> Column:
+    """``build(value)`` with the value computed a single time."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
 
 
 def first_name(value: Column, key: str, column: str) -> Column:
-    return _keep_null(value, _pick(words.FIRST_NAMES, slot(digest(value, key, column), 0)))
+    return _pick(words.FIRST_NAMES, slot(digest(value, key, column), 0))
 
 
 def last_name(value: Column, key: str, column: str) -> Column:
-    return _keep_null(value, _pick(words.LAST_NAMES, slot(digest(value, key, column), 1)))
+    return _pick(words.LAST_NAMES, slot(digest(value, key, column), 1))
 
 
 def full_name(value: Column, key: str, column: str) -> Column:
-    return _keep_null(value, F.concat_ws(" ", first_name(value, key, column), last_name(value, key, column)))
+    return F.concat(first_name(value, key, column), F.lit(" "), last_name(value, key, column))
 
 
 def email(value: Column, key: str, column: str) -> Column:
     h = digest(value, key, column)
-    text = F.concat(
+    return F.concat(
         F.lower(_pick(words.FIRST_NAMES, slot(h, 0))),
         F.lit("."),
         F.lower(_pick(words.LAST_NAMES, slot(h, 1))),
@@ -63,19 +64,12 @@ def email(value: Column, key: str, column: str) -> Column:
         F.lit("@example."),
         _pick(words.TLDS, slot(h, 3)),
     )
-    return _keep_null(value, text)
 
 
 def replace_digits(value: Column, key: str, column: str) -> Column:
     """Every digit replaced, everything else kept."""
-    digits = digit_supply(digest(value, key, column), F.length(value))
-    return F.array_join(
-        F.transform(
-            _chars(value),
-            lambda c, i: F.when(c.rlike("^[0-9]$"), F.substr(digits, i + 1, F.lit(1))).otherwise(c),
-        ),
-        "",
-    )
+    drawn = F.substr(digit_supply(digest(value, key, column), F.length(value)), F.lit(1), F.length(value))
+    return F.array_join(F.zip_with(_chars(value), _chars(drawn), lambda c, d: F.when(c.between("0", "9"), d).otherwise(c)), "")
 
 
 def _digit_count(value: Column) -> Column:
@@ -88,28 +82,26 @@ def phone(value: Column, key: str, column: str) -> Column:
     fresh = F.concat(
         F.lit("("), (F.lit(200) + slot(h, 0) % 800).cast("string"), F.lit(") "), _digits(slot(h, 1), 3), F.lit("-"), _digits(slot(h, 2), 4)
     )
-    return _keep_null(value, F.when(_digit_count(value) >= 10, replace_digits(value, key, column)).otherwise(fresh))
+    return F.when(_digit_count(value) >= 10, replace_digits(value, key, column)).otherwise(fresh)
 
 
 def ssn(value: Column, key: str, column: str) -> Column:
     h = digest(value, key, column)
-    return _keep_null(value, F.concat_ws("-", _digits(slot(h, 0), 3), _digits(slot(h, 1), 2), _digits(slot(h, 2), 4)))
+    return F.concat(_digits(slot(h, 0), 3), F.lit("-"), _digits(slot(h, 1), 2), F.lit("-"), _digits(slot(h, 2), 4))
 
 
 def address(value: Column, key: str, column: str) -> Column:
     h = digest(value, key, column)
-    text = F.concat_ws(
-        " ", (F.lit(1) + slot(h, 0) % 9999).cast("string"), _pick(words.STREETS, slot(h, 1)), _pick(words.STREET_KINDS, slot(h, 2))
-    )
-    return _keep_null(value, text)
+    number = (F.lit(1) + slot(h, 0) % 9999).cast("string")
+    return F.concat(number, F.lit(" "), _pick(words.STREETS, slot(h, 1)), F.lit(" "), _pick(words.STREET_KINDS, slot(h, 2)))
 
 
 def city(value: Column, key: str, column: str) -> Column:
-    return _keep_null(value, _pick(words.CITIES, slot(digest(value, key, column), 0)))
+    return _pick(words.CITIES, slot(digest(value, key, column), 0))
 
 
 def state(value: Column, key: str, column: str) -> Column:
-    return _keep_null(value, _pick(words.STATES, slot(digest(value, key, column), 0)))
+    return _pick(words.STATES, slot(digest(value, key, column), 0))
 
 
 def zipcode(value: Column, key: str, column: str) -> Column:
@@ -117,7 +109,7 @@ def zipcode(value: Column, key: str, column: str) -> Column:
 
 
 def zipcode_number(value: Column, key: str, column: str) -> Column:
-    return _keep_null(value, F.lit(10000) + slot(digest(value.cast("string"), key, column), 0) % 90000)
+    return F.lit(10000) + slot(digest(value.cast("string"), key, column), 0) % 90000
 
 
 def _luhn_digit(payload: Column) -> Column:
@@ -132,13 +124,16 @@ def _luhn_digit(payload: Column) -> Column:
 
 def credit_card(value: Column, key: str, column: str) -> Column:
     """Thirteen digits or more keep their format; the last digit is a Luhn check digit."""
-    replaced = replace_digits(value, key, column)
-    digits = F.regexp_replace(replaced, "[^0-9]", "")
-    check = _luhn_digit(F.substr(digits, F.lit(1), F.length(digits) - 1))
-    kept = F.regexp_replace(replaced, F.lit("[0-9]([^0-9]*)$"), F.concat(check, F.lit("$1")))
+
+    def checked(replaced: Column) -> Column:
+        digits = F.regexp_replace(replaced, "[^0-9]", "")
+        check = _once(digits, lambda d: _luhn_digit(F.substr(d, F.lit(1), F.length(d) - 1)))
+        return F.regexp_replace(replaced, F.lit("[0-9]([^0-9]*)$"), F.concat(check, F.lit("$1")))
+
+    kept = _once(replace_digits(value, key, column), checked)
     payload = F.concat(F.lit("4"), F.substring(digit_supply(digest(value, key, column), F.lit(1)), 1, 14))
-    fresh = F.concat(payload, _luhn_digit(payload))
-    return _keep_null(value, F.when(_digit_count(value) >= 13, kept).otherwise(fresh))
+    fresh = _once(payload, lambda p: F.concat(p, _luhn_digit(p)))
+    return F.when(_digit_count(value) >= 13, kept).otherwise(fresh)
 
 
 def _prefixed(prefix: str, width: int) -> Mask:
@@ -147,7 +142,7 @@ def _prefixed(prefix: str, width: int) -> Mask:
     def mask(value: Column, key: str, column: str) -> Column:
         h = digest(value, key, column)
         wide = slot(h, 0) * 65536 + slot(h, 1) % 65536
-        return _keep_null(value, F.concat(F.lit(prefix), (F.lit(lo) + wide % (9 * lo)).cast("string")))
+        return F.concat(F.lit(prefix), (F.lit(lo) + wide % (9 * lo)).cast("string"))
 
     return mask
 
@@ -180,30 +175,24 @@ def whole_amount(value: Column, key: str, column: str) -> Column:
 
 
 def hashed(value: Column, key: str, column: str) -> Column:
-    return _keep_null(value, strong_digest(value, key, column))
+    return strong_digest(value, key, column)
 
 
 def api_key(value: Column, key: str, column: str) -> Column:
-    h = strong_digest(value, key, column)
-    draw = F.transform(
-        F.sequence(F.lit(0), F.lit(31)),
-        lambda i: F.substr(
-            F.lit(words.ALPHABET),
-            (F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int") % len(words.ALPHABET)) + 1,
-            F.lit(1),
-        ),
-    )
-    return _keep_null(value, F.array_join(draw, ""))
+    pairs = F.regexp_extract_all(strong_digest(value, key, column), F.lit(".."), F.lit(0))
+    letter = F.transform(pairs, lambda p: F.substr(F.lit(words.ALPHABET), (F.conv(p, 16, 10).cast("int") % len(words.ALPHABET)) + 1, F.lit(1)))
+    return F.array_join(letter, "")
 
 
 def ipv4(value: Column, key: str, column: str) -> Column:
     h = digest(value, key, column)
-    return _keep_null(value, F.concat_ws(".", *[(slot(h, i) % 256).cast("string") for i in range(4)]))
+    first, *rest = [(slot(h, i) % 256).cast("string") for i in range(4)]
+    return F.concat(first, *[x for r in rest for x in (F.lit("."), r)])
 
 
 def company(value: Column, key: str, column: str) -> Column:
     h = digest(value, key, column)
-    return _keep_null(value, F.concat_ws(" ", _pick(words.LAST_NAMES, slot(h, 0)), _pick(words.COMPANY_KINDS, slot(h, 1))))
+    return F.concat(_pick(words.LAST_NAMES, slot(h, 0)), F.lit(" "), _pick(words.COMPANY_KINDS, slot(h, 1)))
 
 
 def partial(value: Column, key: str = "", column: str = "", preserve_length: bool = True) -> Column:
@@ -213,28 +202,29 @@ def partial(value: Column, key: str = "", column: str = "", preserve_length: boo
     middle = F.repeat(F.lit("X"), n - 4) if preserve_length else F.lit("XXX")
     ends = F.concat(F.substring(value, 1, 1), F.repeat(F.lit("X"), n - 2), F.substring(value, -1, 1))
     long = F.concat(F.substring(value, 1, 2), middle, F.substring(value, -2, 2))
-    return _keep_null(value, F.when(n <= 2, short).when(n <= 4, ends).otherwise(long))
+    return F.when(n <= 2, short).when(n <= 4, ends).otherwise(long)
 
 
 def shuffle(value: Column, key: str, column: str) -> Column:
     """The same characters in an order drawn from the digest."""
-    h = digest(value, key, column)
-    drawn = supply(h, F.length(value) * 8)
-    tagged = F.transform(_chars(value), lambda c, i: F.struct(F.substr(drawn, i * 8 + 1, F.lit(8)).alias("k"), i.alias("i"), c.alias("c")))
+    drawn = F.substr(supply(digest(value, key, column), F.length(value) * 8), F.lit(1), F.length(value) * 8)
+    tagged = F.zip_with(
+        F.regexp_extract_all(drawn, F.lit(".{8}"), F.lit(0)), _chars(value), lambda k, c: F.struct(k.alias("k"), c.alias("c"))
+    )
     return F.array_join(F.transform(F.array_sort(tagged), lambda s: s["c"]), "")
 
 
 def keyword_text(value: Column, key: str = "", column: str = "") -> Column:
     n = F.length(value)
     ends = F.concat(F.substring(value, 1, 1), F.repeat(F.lit("X"), n - 2), F.substring(value, -1, 1))
-    return _keep_null(value, F.when(n <= 3, F.repeat(F.lit("X"), n)).otherwise(ends))
+    return F.when(n <= 3, F.repeat(F.lit("X"), n)).otherwise(ends)
 
 
 def jitter(value: Column, key: str, column: str) -> Column:
     """A double moved by at most ten per cent, never below zero."""
     h = digest(number_text(value), key, column)
     moved = value + F.abs(value) * 0.1 * (fraction(h) * 2 - 1)
-    return _keep_null(value, F.greatest(F.lit(0.0), moved))
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), moved))
 
 
 def whole_jitter(value: Column, key: str, column: str) -> Column:
@@ -242,7 +232,7 @@ def whole_jitter(value: Column, key: str, column: str) -> Column:
     h = digest(value.cast("string"), key, column)
     span = F.floor(F.abs(value) / 10).cast("long")
     moved = value + slot(h, 0) % (span * 2 + 1) - span
-    return _keep_null(value, F.greatest(F.lit(0).cast("long"), moved.cast("long")))
+    return F.when(value.isNotNull(), F.greatest(F.lit(0).cast("long"), moved.cast("long")))
 
 
 STRATEGIES: dict[str, Mask] = {

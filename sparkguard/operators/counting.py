@@ -37,6 +37,7 @@ def operation_counts(analysed: DataFrame) -> DataFrame:
 
 
 def one_row(parts: list[DataFrame]) -> DataFrame:
-    """Several one-row aggregates side by side."""
-    keyed = [p.select(F.lit(1).alias("_one"), "*") for p in parts]
-    return reduce(lambda a, b: a.join(b, "_one"), keyed).drop("_one")
+    """Several one-row aggregates side by side: stacked, then folded, so nothing is joined."""
+    columns = [c for p in parts for c in p.columns]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.max(c).alias(c) for c in columns])

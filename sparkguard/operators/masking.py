@@ -297,9 +297,10 @@ def dataset_sensitivity(catalog: DataFrame, by: list[str], rules: Iterable[Maski
 def mask_free_text(df: DataFrame, text: str, key: str) -> DataFrame:
     """Cards, phones, e-mails and addresses inside ``text`` replaced, with a count per kind."""
     out = df
-    for name, pattern, mask in KINDS:
+    for name, sign, pattern, mask in KINDS:
         found = F.col("_found")
-        out = out.withColumn("_found", matches(F.col(text), pattern))
+        none = F.array().cast("array<string>")
+        out = out.withColumn("_found", F.when(F.col(text).contains(sign), matches(F.col(text), pattern)).otherwise(none))
         out = out.withColumns({f"{name}_count": F.size(found).cast("long"), text: mask_matches(F.col(text), found, mask, key, text)})
     return out.drop("_found")
 

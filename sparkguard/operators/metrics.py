@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkguard.operators import ranking, timeslices
+from sparkguard.operators.counting import one_row
 from sparkguard.operators.joining import null_safe_join
 
 # Default look-back, points kept per series, hours kept.
@@ -127,8 +128,7 @@ def monitoring_status(points: DataFrame, alerts: DataFrame, episodes: DataFrame)
     p = points.agg(F.countDistinct("series_key").alias("total_series"), F.count(F.lit(1)).alias("total_points"))
     a = alerts.agg(F.count(F.lit(1)).alias("alerts_total"), F.count_if("enabled").alias("alerts_enabled"))
     e = episodes.agg(F.count_if(F.col("state") == "firing").alias("alerts_firing"))
-    one = F.lit(1).alias("_one")
-    return p.select(one, "*").join(a.select(one, "*"), "_one").join(e.select(one, "*"), "_one").drop("_one")
+    return one_row([p, a, e])
 
 
 def timer_durations(marks: DataFrame) -> DataFrame:

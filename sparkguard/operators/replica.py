@@ -79,19 +79,16 @@ def fix_foreign_key(child: DataFrame, fk: ForeignKey, parents: DataFrame, key: s
     look-ups are shuffle joins.
     """
     keys = parents.select(F.col(fk.parent_column).alias("_pk")).where(F.col("_pk").isNotNull()).distinct()
-    numbered = _numbered(keys, rows)
-    count = keys.agg(F.count(F.lit(1)).alias("_n"))
+    spare = _numbered(keys, rows).select(F.col("_i"), F.col("_pk").alias("_spare"))
+    n = keys.agg(F.count(F.lit(1))).scalar()
     small = F.broadcast if rows <= BROADCAST_ROWS else (lambda df: df)
     columns = child.columns
     value = F.col(fk.column)
     kept = child.join(small(keys), value == F.col("_pk"), "left")
     drawn = slot(digest(F.coalesce(value.cast("string"), F.lit("")), key, fk.column), 0)
-    # a one-row aggregate: the size of the parent copy
-    sized = kept.withColumn("_one", F.lit(1)).join(F.broadcast(count.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    # rows that need no spare key get a spread-out index that matches none, instead of meeting as nulls
-    wanted = F.col("_pk").isNull() & (F.col("_n") > 0)
-    indexed = sized.withColumn("_i", F.when(wanted, drawn % F.col("_n")).otherwise(-1 - drawn))
-    spare = numbered.select(F.col("_i"), F.col("_pk").alias("_spare"))
+    # in a shuffle, rows that need no spare key get a spread-out index that matches none, instead of meeting as nulls
+    idle = F.lit(None) if rows <= BROADCAST_ROWS else -1 - F.pmod(F.xxhash64(*columns), F.lit(1_000_000))
+    indexed = kept.withColumn("_i", F.when(F.col("_pk").isNull() & (n > 0), drawn % n).otherwise(idle))
     out = indexed.join(small(spare), "_i", "left")
     fixed = F.coalesce("_pk", "_spare").cast(child.schema[fk.column].dataType)
     return out.select(*[fixed.alias(c) if c == fk.column else F.col(c) for c in columns])

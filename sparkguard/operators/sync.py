@@ -89,11 +89,12 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
 def validate(pairs: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
     """Per named pair: counts and digests of both sides, and whether they agree."""
-    rows = []
-    for name, (a, b) in pairs.items():
-        left = fingerprint(a).select(F.lit(name).alias("pair"), F.col("rows").alias("source_rows"), F.col("digest").alias("source_digest"))
-        right = fingerprint(b).select(F.lit(name).alias("pair"), F.col("rows").alias("target_rows"), F.col("digest").alias("target_digest"))
-        rows.append(left.join(right, "pair"))
-    every = reduce(DataFrame.unionByName, rows)
+    prints = [
+        fingerprint(df).select(F.lit(name).alias("pair"), F.col("rows").alias(f"{side}_rows"), F.col("digest").alias(f"{side}_digest"))
+        for name, both in pairs.items()
+        for side, df in zip(("source", "target"), both, strict=True)
+    ]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), prints)
+    every = stacked.groupBy("pair").agg(*[F.max(c).alias(c) for c in ("source_rows", "source_digest", "target_rows", "target_digest")])
     agree = (F.col("source_rows") == F.col("target_rows")) & (F.col("source_digest") == F.col("target_digest"))
     return every.withColumn("valid", agree)

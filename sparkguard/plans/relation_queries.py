@@ -234,8 +234,7 @@ def resource_breakdown(t: Inputs):
 def sandbox_stats(t: Inputs):
     boxes = t.fx("sandboxes")
     counts = counting.breakdown(boxes, ["state", "sandbox_type"])
-    storage = boxes.agg(F.sum("storage_mb").alias("mb"))
-    out = counting.one_row([counts, storage])
+    out = counts.withColumn("mb", boxes.agg(F.sum("storage_mb")).scalar())
     return out.select(
         "dimension",
         "item",

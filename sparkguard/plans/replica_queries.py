@@ -85,6 +85,14 @@ _WALK = f"""with recursive e(child, parent) as (values {_EDGES}), walk(table_nam
 _ROWCOUNT = " union all ".join(f"select '{i.name}' as table_name, count(*) as row_count from {i.name}" for i in RELATED)
 
 
+def _stored_sample(t: Inputs, info: R.TableInfo, rows: int) -> DataFrame:
+    """A sample written once, as the copies of a replica are, so that its readers do not draw it again."""
+    path = t.scratch(f"sample-{info.name}")
+    out = R.sample(t.table(info.name), info, KEY, rows)
+    out.write.parquet(path)
+    return t.spark.read.schema(out.schema).parquet(path)
+
+
 def _row_counts(t: Inputs) -> DataFrame:
     return R.run_log({i.name: t.table(i.name) for i in RELATED}, "source").select("table_name", F.col("rows_copied").alias("row_count"))
 
@@ -139,7 +147,7 @@ _FK = f"""with r_customer as materialized ({sample_sql(CUSTOMER, ROWS)})"""
 @query("fk_left_join", f"{_FK} select o_orderkey, o_custkey as old_key, {fixed_sql(ORDERS.foreign_keys[0], 'r_customer')} as new_key from orders")
 def fk_left_join(t: Inputs):
     """The whole child table against a sample of its parents."""
-    parents = R.sample(t.table("customer"), CUSTOMER, KEY, ROWS)
+    parents = _stored_sample(t, CUSTOMER, ROWS)
     child = t.table("orders").select("o_orderkey", F.col("o_custkey").alias("old_key"), "o_custkey")
     fixed = R.fix_foreign_key(child, ORDERS.foreign_keys[0], parents, KEY, ROWS)
     return fixed.select("o_orderkey", "old_key", F.col("o_custkey").alias("new_key"))
@@ -164,7 +172,7 @@ def replica_fk_fix(t: Inputs):
     bound = {"orders": ROWS, "part": ROWS, "supplier": 30}
     out = t.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
     for fk in LINEITEM.foreign_keys:
-        out = R.fix_foreign_key(out, fk, R.sample(t.table(fk.parent), BY_NAME[fk.parent], KEY, bound[fk.parent]), KEY, bound[fk.parent])
+        out = R.fix_foreign_key(out, fk, _stored_sample(t, BY_NAME[fk.parent], bound[fk.parent]), KEY, bound[fk.parent])
     return out
 
 

@@ -126,7 +126,7 @@ def text_mask(strategy: str, v: str, col: str) -> str:
     elif strategy == "shuffle_chars":
         e = (
             f"array_to_string(list_transform(list_sort(list_transform(list_zip(str_split({v}, ''), range(0, length({v}))), "
-            f"lambda p: struct_pack(k := substr({supply(x, f'length({v}) * 8')}, p[2] * 8 + 1, 8), i := p[2], c := p[1]))), lambda z: z.c), '')"
+            f"lambda p: struct_pack(k := substr({supply(x, f'length({v}) * 8')}, p[2] * 8 + 1, 8), c := p[1]))), lambda z: z.c), '')"
         )
     elif strategy == "keyword_text":
         e = (
