@@ -37,7 +37,7 @@ def fraction(hex_text: Column, i: int = 0) -> Column:
 def supply(hex_text: Column, length: Column) -> Column:
     """At least ``length`` hex characters, by chaining block numbers onto the digest."""
     blocks = F.sequence(F.lit(0), F.floor(length / 32).cast("int"))
-    chained = F.transform(blocks, lambda b: F.md5(F.concat_ws(":", hex_text, b.cast("string")).cast("binary")))
+    chained = F.transform(blocks, lambda b: F.md5(F.concat(hex_text, F.lit(":"), b.cast("string")).cast("binary")))
     return F.array_join(chained, "")
 
 

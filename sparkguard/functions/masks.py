@@ -26,7 +26,7 @@ Mask = Callable[[Column, str, str], Column]
 
 
 def _pick(items: list[str], n: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in items]), (n % len(items)).cast("int") + 1)
+    return F.get(F.array(*[F.lit(x) for x in items]), (n % len(items)).cast("int"))
 
 
 def _digits(n: Column, width: int) -> Column:
@@ -133,7 +133,8 @@ def credit_card(value: Column, key: str, column: str) -> Column:
     kept = _once(replace_digits(value, key, column), checked)
     payload = F.concat(F.lit("4"), F.substring(digit_supply(digest(value, key, column), F.lit(1)), 1, 14))
     fresh = _once(payload, lambda p: F.concat(p, _luhn_digit(p)))
-    return F.when(_digit_count(value) >= 13, kept).otherwise(fresh)
+    count = _digit_count(value)
+    return F.when(count >= 13, kept).when(count < 13, fresh)
 
 
 def _prefixed(prefix: str, width: int) -> Mask:
