@@ -4,23 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def breakdown(df: DataFrame, columns: list[str], measures: list[Column] | None = None) -> DataFrame:
+def breakdown(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count per value of each column, and the total: grouping sets, so the rows are read once."""
-    view = "_breakdown"
-    df.createOrReplaceTempView(view)
-    sets = ", ".join(f"({c})" for c in columns)
+    sets = [[F.col(c)] for c in columns] + [[]]
+    out = df.groupingSets(sets, *[F.col(c) for c in columns]).agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"))
+    # the bits of the id tell which columns a row was not grouped by
     n = len(columns)
-    dimension = reduce(
-        lambda acc, ic: acc.when(F.col("g") == (2**n - 1 - 2 ** (n - 1 - ic[0])), ic[1]), list(enumerate(columns)), F.when(F.lit(False), "")
-    ).otherwise("total")
-    names = ", ".join(columns)
-    out = df.sparkSession.sql(
-        f"select {names}, grouping_id({names}) as g, count(*) as n from {view} group by grouping sets ({sets}, ())"
-    )
+    names = F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (2**n - 1 - 2 ** (n - 1 - i), c)])
+    dimension = F.coalesce(names[F.col("g").cast("int")], F.lit("total"))
     return out.select(dimension.alias("dimension"), F.coalesce(*columns, F.lit("all")).alias("item"), "n")
 
 

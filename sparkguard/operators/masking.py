@@ -229,22 +229,23 @@ EMAIL_SHAPE = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 PHONE_SHAPE = r"^[0-9]{10,}$"
 
 
-def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def column_profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
     """Totals, nulls, distinct values, e-mail and phone shares and length consistency per column.
 
-    Values are first counted per (column, value), so a value held by a third of the rows reaches the
-    second aggregation as one row per map task.
+    Exact: values are first counted per (column, value), so a value held by a third of the rows reaches
+    the second aggregation as one row per map task. Otherwise distinct values are estimated and only one
+    row per column and task is shuffled.
     """
     columns = columns or df.columns
     long = df.select([F.col(f"`{c}`").cast("string").alias(c) for c in columns]).unpivot([], columns, "column_name", "v")
-    counted = long.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+    counted = long.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n")) if exact else long.withColumn("n", F.lit(1).cast("long"))
     v, n, length = F.col("v"), F.col("n"), F.length("v").cast("double")
     digits = F.regexp_replace(v, r"[\s\-\(\)]", "")
     filled = F.when(v.isNotNull(), n)
     out = counted.groupBy("column_name").agg(
         F.sum(n).alias("total_values"),
         F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).alias("null_count"),
-        F.count(v).alias("unique_count"),
+        (F.count(v) if exact else F.approx_count_distinct(v)).alias("unique_count"),
         F.coalesce(F.sum(F.when(v.rlike(EMAIL_SHAPE), n)), F.lit(0)).alias("email_matches"),
         F.coalesce(F.sum(F.when(digits.rlike(PHONE_SHAPE), n)), F.lit(0)).alias("phone_matches"),
         F.sum(filled).alias("filled"),

@@ -31,25 +31,27 @@ class TableInfo:
     foreign_keys: tuple[ForeignKey, ...] = field(default=())
 
 
+def levels(tables: list[TableInfo]) -> dict[str, int]:
+    """Level per table so that parents come first; only names and key definitions are needed.
+
+    Self references do not count, and a cycle ends after as many rounds as there are tables.
+    """
+    out = {t.name: 0 for t in tables}
+    edges = [(t.name, fk.parent) for t in tables for fk in t.foreign_keys if fk.parent != t.name and fk.parent in out]
+    for _ in tables:
+        for child, parent in edges:
+            out[child] = max(out[child], min(out[parent] + 1, len(tables)))
+    return out
+
+
 def dependency_levels(spark: SparkSession, tables: list[TableInfo]) -> DataFrame:
-    """Level per table so that parents come first. Self references do not count; depth ends cycles."""
-    layout = "child string, parent string"
-    edges = [(t.name, fk.parent) for t in tables for fk in t.foreign_keys if fk.parent != t.name]
-    spark.createDataFrame(edges, layout).createOrReplaceTempView("_edges")
-    spark.createDataFrame([(t.name,) for t in tables], "table_name string").createOrReplaceTempView("_tables")
-    return spark.sql(
-        f"""with recursive walk(table_name, level) as (
-          select table_name, 0 from _tables
-          union all
-          select e.child, w.level + 1 from walk w join _edges e on e.parent = w.table_name where w.level < {len(tables)})
-        select table_name, max(level) as level from walk group by table_name"""
-    )
+    return spark.createDataFrame(list(levels(tables).items()), "table_name string, level int")
 
 
-def processing_order(spark: SparkSession, tables: list[TableInfo]) -> list[TableInfo]:
-    """Tables parents first, by level and name. Only names reach the driver."""
-    levels = {r["table_name"]: r["level"] for r in dependency_levels(spark, tables).collect()}
-    return sorted(tables, key=lambda t: (levels[t.name], t.name))
+def processing_order(tables: list[TableInfo]) -> list[TableInfo]:
+    """Tables parents first, by level and name."""
+    level = levels(tables)
+    return sorted(tables, key=lambda t: (level[t.name], t.name))
 
 
 def sample(df: DataFrame, info: TableInfo, key: str, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -115,7 +117,7 @@ def replicate(
     """
     spark = next(iter(sources.values())).sparkSession
     copies: dict[str, DataFrame] = {}
-    for info in processing_order(spark, tables):
+    for info in processing_order(tables):
         out = mask(sample(sources[info.name], info, key, rows), info, key)
         for fk in info.foreign_keys:
             if fk.parent in copies and fk.parent != info.name:

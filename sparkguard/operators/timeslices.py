@@ -76,10 +76,25 @@ def with_running_sum(df: DataFrame, keys: list[str], order: list[str], amount: C
 
 
 def with_run(df: DataFrame, keys: list[str], order: list[str], state: str, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
-    """Numbers the runs of equal ``state`` within a key as ``run`` (1, 2, ...)."""
-    marked = with_previous(df, keys, order, [state], slice_seconds)
-    new = F.when(F.col(state).eqNullSafe(F.col(f"prev_{state}")), 0).otherwise(1)
-    return with_running_sum(marked, keys, order, new, "run", slice_seconds).drop(f"prev_{state}")
+    """Numbers the runs of equal ``state`` within a key as ``run`` (1, 2, ...).
+
+    Changes are counted inside each slice; a slice hands on its first and last state and its count.
+    """
+    sliced = df.withColumn("_slice", time_slice(order[0], slice_seconds))
+    rows = W.partitionBy(*keys, "_slice").orderBy(*order)
+    changed = F.when((F.row_number().over(rows) == 1) | F.col(state).eqNullSafe(F.lag(state).over(rows)), 0).otherwise(1)
+    inside = sliced.withColumn("_changed", changed).withColumn("_local", F.sum("_changed").over(rows.rowsBetween(W.unboundedPreceding, 0)))
+    by_time = F.struct(*order)
+    ends = inside.groupBy(*keys, "_slice").agg(
+        F.min_by(F.struct(state), by_time).alias("_first"), F.max_by(F.struct(state), by_time).alias("_last"), F.sum("_changed").alias("_n")
+    )
+    slices = W.partitionBy(*keys).orderBy("_slice")
+    joins = ends.withColumn("_new", F.when(F.col("_first").eqNullSafe(F.lag("_last").over(slices)), 0).otherwise(1))
+    upto = F.sum("_new").over(slices.rowsBetween(W.unboundedPreceding, 0))
+    before = F.coalesce(F.sum("_n").over(slices.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = joins.select(*keys, "_slice", (upto + before).alias("_offset"))
+    out = null_safe_join(inside, offsets, [*keys, "_slice"])
+    return out.select(*df.columns, (F.col("_offset") + F.col("_local")).alias("run"))
 
 
 def slots(seconds: int, period: int, ts: Column) -> Column:

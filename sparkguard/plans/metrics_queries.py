@@ -71,7 +71,7 @@ def metric_stats_approx(t: Inputs):
 
 @query(
     "metric_rolling",
-    f"""select point_id, series_key, count(*) over w as count, round(sum(value) over w, 4) as sum, round(avg(value) over w, 6) as avg,
+    f"""select point_id, series_key, count(*) over w as count, round(sum(value) over w, 4) as sum, round(avg(value) over w, 9) as avg,
       min(value) over w as min, max(value) over w as max, round(stddev_pop(value) over w, 3) as stddev from fx_metrics
     window w as (partition by series_key order by ts range between interval '{DAY_MINUTES * 60 - 1} seconds 999999 microseconds' preceding and current row)""",
     fx="metrics",
@@ -80,7 +80,7 @@ def metric_rolling(t: Inputs):
     out = M.metric_rolling(points(t), DAY_MINUTES * 60).select(
         "point_id", "series_key", "count", "sum", "avg", "min", "max", "stddev"
     )
-    return rounded(rounded(rounded(out, "sum"), "avg", places=6), "stddev", places=3)
+    return rounded(rounded(rounded(out, "sum"), "avg", places=9), "stddev", places=3)
 
 
 @query(
@@ -388,7 +388,7 @@ def timer_durations(t: Inputs):
 
 def _labelled(t: Inputs) -> DataFrame:
     """Events as labelled samples of jobs, some of them ours by name."""
-    job = F.concat(F.when(F.col("user_id") % 2 == 0, "sas-").otherwise("other-"), "event_type")
+    job = F.concat(F.when(F.col("user_id") % 2 == 0, "core-").otherwise("other-"), "event_type")
     level = F.when(F.col("event_type") == "error", "error").otherwise("info")
     return t.table("events").select(
         "event_id",
@@ -402,43 +402,43 @@ def _labelled(t: Inputs) -> DataFrame:
     )
 
 
-_LABELLED = """l as (select event_id, ts, case when user_id % 2 = 0 then 'sas-' else 'other-' end || event_type as job, case when event_type = 'error' then 'error' else 'info' end as level,
+_LABELLED = """l as (select event_id, ts, case when user_id % 2 = 0 then 'core-' else 'other-' end || event_type as job, case when event_type = 'error' then 'error' else 'info' end as level,
   'i' || cast(user_id % 7 as varchar) as instance, case when event_id % 9 = 0 then 0 else 1 end as up,
   case when event_id % 3 = 0 then 'container_' else 'node_' end || event_type as metric, value from events)"""
 
 
-@query("label_match", f"with {_LABELLED} select event_id, job, instance, value from l where regexp_full_match(job, 'sas-.*') and instance = 'i3'")
+@query("label_match", f"with {_LABELLED} select event_id, job, instance, value from l where regexp_full_match(job, 'core-.*') and instance = 'i3'")
 def label_match(t: Inputs):
     lab = F.col("labels")
-    hit = S.label_matches(lab, job="sas-.*") & S.label_equals(lab, instance="i3")
+    hit = S.label_matches(lab, job="core-.*") & S.label_equals(lab, instance="i3")
     return _labelled(t).where(hit).select("event_id", lab["job"].alias("job"), lab["instance"].alias("instance"), "value")
 
 
-@query("label_values", f"with {_LABELLED} select distinct instance from l where regexp_full_match(job, 'sas-.*')")
+@query("label_values", f"with {_LABELLED} select distinct instance from l where regexp_full_match(job, 'core-.*')")
 def label_values(t: Inputs):
     lab = F.col("labels")
-    return _labelled(t).where(S.label_matches(lab, job="sas-.*")).select(lab["instance"].alias("instance")).distinct().orderBy("instance")
+    return _labelled(t).where(S.label_matches(lab, job="core-.*")).select(lab["instance"].alias("instance")).distinct().orderBy("instance")
 
 
 @query(
     "uptime_panel",
-    f"""with {_LABELLED}, x as (select job, instance, arg_max(up, (ts, event_id)) as up from l where regexp_full_match(job, 'sas-.*') group by 1, 2)
+    f"""with {_LABELLED}, x as (select job, instance, arg_max(up, (ts, event_id)) as up from l where regexp_full_match(job, 'core-.*') group by 1, 2)
     select job, instance, up, case up when 0 then 'DOWN' else 'UP' end as text from x""",
 )
 def uptime_panel(t: Inputs):
     lab = F.col("labels")
-    up = _labelled(t).where(S.label_matches(lab, job="sas-.*"))
+    up = _labelled(t).where(S.label_matches(lab, job="core-.*"))
     latest = up.groupBy(lab["job"].alias("job"), lab["instance"].alias("instance")).agg(F.max_by("up", F.struct("ts", "event_id")).alias("up"))
     return latest.withColumn("text", S.mapped_value(F.col("up"), {0: "DOWN", 1: "UP"}))
 
 
 @query(
     "error_log_panel",
-    f"with {_LABELLED} select event_id, ts, job, value from l where job = 'sas-error' and level = 'error' order by ts desc, event_id desc",
+    f"with {_LABELLED} select event_id, ts, job, value from l where job = 'core-error' and level = 'error' order by ts desc, event_id desc",
 )
 def error_log_panel(t: Inputs):
     lab = F.col("labels")
-    rows = _labelled(t).where(S.label_equals(lab, job="sas-error", level="error"))
+    rows = _labelled(t).where(S.label_equals(lab, job="core-error", level="error"))
     return rows.select("event_id", "ts", lab["job"].alias("job"), "value").orderBy(F.desc("ts"), F.desc("event_id"))
 
 

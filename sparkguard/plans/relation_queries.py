@@ -611,13 +611,13 @@ def session_expired(t: Inputs):
 
 @query(
     "session_remaining",
-    f"""select session_id, round(greatest(0, epoch(expires_at - {_SN})), 3) as remaining_seconds,
+    f"""select session_id, round(greatest(0, epoch(expires_at - {_SN})), 6) as remaining_seconds,
     case when status = 'active' then {_SN} + interval 1 second * least(session_id % 9000, 7200) end as extended_to from fx_sessions""",
     fx="sessions",
 )
 def session_remaining(t: Inputs):
     out = lifecycle.session_times(t.fx("sessions"), SESSION_NOW, F.col("session_id") % 9000)
-    return rounded(out.select("session_id", "remaining_seconds", "extended_to"), "remaining_seconds", places=3)
+    return rounded(out.select("session_id", "remaining_seconds", "extended_to"), "remaining_seconds", places=6)
 
 
 @query("user_session_limit", "select user_id, count(*) as active_sessions from fx_sessions where status = 'active' group by 1 having count(*) >= 50", fx="sessions")
@@ -627,7 +627,7 @@ def user_session_limit(t: Inputs):
 
 @query(
     "container_usage",
-    """select event_id, case when event_id % 10 = 0 then 0.0 when event_id % 13 = 0 then 0.0 else round(value * 7 / (1000 + event_id % 97) * 100, 2) end as cpu_percent,
+    """select event_id, case when event_id % 10 = 0 then 0.0 when event_id % 13 = 0 then 0.0 else round(value * 7 / (1009 + event_id % 2 * 4) * 100, 2) end as cpu_percent,
     case when event_id % 11 = 0 then 0.0 else round((event_id % 512) / 1024.0::double * 100, 2) end as memory_percent from events""",
 )
 def container_usage(t: Inputs):
@@ -635,10 +635,10 @@ def container_usage(t: Inputs):
     e, v = F.col("event_id"), F.col("value")
     reading = t.table("events").select(
         "event_id",
-        F.struct((v * 7 + 5).alias("total"), (1000 + e % 97 + 50).cast("double").alias("system")).alias("cpu"),
+        F.struct((v * 7 + 5).alias("total"), (1009 + e % 2 * 4 + 50).cast("double").alias("system")).alias("cpu"),
         F.when(
             e % 10 != 0,
-            F.struct(F.lit(5.0).alias("total"), F.when(e % 13 == 0, 1000 + e % 97 + 50).otherwise(50).cast("double").alias("system")),
+            F.struct(F.lit(5.0).alias("total"), F.when(e % 13 == 0, 1009 + e % 2 * 4 + 50).otherwise(50).cast("double").alias("system")),
         ).alias("precpu"),
         F.when(e % 11 != 0, F.struct((e % 512).alias("usage"), F.lit(1024).cast("long").alias("limit"))).alias("memory"),
     )

@@ -119,7 +119,7 @@ _ORPHANS = " union all ".join(
 )
 def replica_order(t: Inputs):
     """Processing order with the foreign keys of each source table that resolve nowhere."""
-    order = R.processing_order(t.spark, RELATED)
+    order = R.processing_order(RELATED)
     out = None
     for n, info in enumerate(order):
         missing = None

@@ -168,15 +168,15 @@ def encrypted_restore(t: Inputs):
 
 @query(
     "artifact_layout",
-    """select user_id, 's' || cast(user_id % 10 as varchar) as session_id, strftime(ts, '%Y%m') as ts_prefix, count(*) as artifacts, round(sum(value), 4) as total
+    """select user_id % 20 as user_id, 's' || cast(user_id % 40 as varchar) as session_id, strftime(ts, '%Y%m') as ts_prefix, count(*) as artifacts, round(sum(value), 4) as total
     from events group by 1, 2, 3""",
 )
 def artifact_layout(t: Inputs):
     e = t.table("events").select(
         "event_id",
         "value",
-        "user_id",
-        F.concat(F.lit("s"), (F.col("user_id") % 10).cast("string")).alias("session_id"),
+        (F.col("user_id") % 20).alias("user_id"),
+        F.concat(F.lit("s"), (F.col("user_id") % 40).cast("string")).alias("session_id"),
         F.date_format("ts", "yyyyMM").alias("ts_prefix"),
     )
     path = t.scratch("artifacts")

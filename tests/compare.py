@@ -91,7 +91,7 @@ def main(argv):
     import __spark_entry__ as entry
     from sparkguard.session import local_session
 
-    sf = "/root/testdata/sf0.01"
+    sf = next((a[5:] for a in argv if a.startswith("--sf=")), "/root/testdata/sf0.01")
     pick = [a for a in argv if not a.startswith("--")]
     spark = local_session("8")
     con = connect(sf)
