@@ -33,14 +33,16 @@ def risks(analysed: DataFrame) -> DataFrame:
     return analysed.withColumn("risk_factors", F.when(doc, Q.mongo_risks(norm)).otherwise(Q.risk_factors(norm, F.col("operations"))))
 
 
-def matched_rules(analysed: DataFrame, rules: Iterable[Q.SafetyRule], strict: bool = False) -> DataFrame:
-    """One row per statement and matching rule."""
+def matched_rules(analysed: DataFrame, rules: Iterable[Q.SafetyRule] | dict[str, Iterable[Q.SafetyRule]], strict: bool = False) -> DataFrame:
+    """One row per statement and matching rule, of one rule set or of several named ones."""
+    sets = rules if isinstance(rules, dict) else {"": rules}
     hits = F.array_compact(
         F.array(
             *[
                 F.when(
                     r.matches(F.col("normalized"), strict),
                     F.struct(
+                        F.lit(name).alias("rule_set"),
                         F.lit(r.name).alias("rule_name"),
                         F.lit(r.level).alias("risk_level"),
                         F.lit(r.production).alias("block_in_production"),
@@ -48,7 +50,8 @@ def matched_rules(analysed: DataFrame, rules: Iterable[Q.SafetyRule], strict: bo
                         F.lit(r.sandbox).alias("block_in_sandbox"),
                     ),
                 )
-                for r in rules
+                for name, listed in sets.items()
+                for r in listed
                 if r.enabled
             ]
         )

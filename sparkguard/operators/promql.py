@@ -45,8 +45,8 @@ def changes(samples: DataFrame, keys: list[str], value: str, id_column: str, sec
     return over_lookback(flagged, keys, "ts", seconds, lambda w: {"changes": F.sum("_changed").over(w)}).drop("_changed")
 
 
-def histogram_quantile(buckets: DataFrame, keys: list[str], q: float) -> DataFrame:
-    """Quantile from cumulative buckets (``le``, ``cum_count``); the last bucket is infinite.
+def histogram_quantile(buckets: DataFrame, keys: list[str], quantiles: list[float]) -> DataFrame:
+    """Quantiles from cumulative buckets (``le``, ``cum_count``); the last bucket is infinite.
 
     A group is the bucket list of one series, a fixed handful of rows.
     """
@@ -58,12 +58,13 @@ def histogram_quantile(buckets: DataFrame, keys: list[str], q: float) -> DataFra
         "cum_count",
         F.coalesce(F.lag("le").over(w), F.lit(0)).cast("double").alias("lower"),
         F.coalesce(F.lag("cum_count").over(w), F.lit(0)).alias("below"),
-        (total * F.lit(q)).alias("rank"),
+        total.alias("total"),
     )
+    ranked = ranked.withColumn("q", F.explode(F.array(*[F.lit(q) for q in quantiles]))).withColumn("rank", F.col("total") * F.col("q"))
     hit = F.min_by(F.struct("le", "cum_count", "lower", "below", "rank"), "le")
-    found = ranked.where(F.col("cum_count") >= F.col("rank")).groupBy(*keys).agg(hit.alias("h"))
+    found = ranked.where(F.col("cum_count") >= F.col("rank")).groupBy(*keys, "q").agg(hit.alias("h"))
     infinite = F.col("h.le") == float("inf")
     inner = F.col("h.lower") + (F.col("h.le") - F.col("h.lower")) * (F.col("h.rank") - F.col("h.below")) / (
         F.col("h.cum_count") - F.col("h.below")
     )
-    return found.select(*keys, F.when(infinite, F.col("h.lower")).otherwise(inner).alias("quantile"))
+    return found.select(*keys, "q", F.when(infinite, F.col("h.lower")).otherwise(inner).alias("quantile"))

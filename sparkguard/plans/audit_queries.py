@@ -142,12 +142,7 @@ def _rule_rows(rules, source: str, strict: bool = False) -> str:
     fx="query_log",
 )
 def sql_rule_match(t: Inputs):
-    a = _analysed(t)
-    tagged = [
-        A.matched_rules(a, rules).select("event_id", F.lit(name).alias("rule_set"), "rule_name", "risk_level")
-        for name, rules in Q.RULE_SETS.items()
-    ]
-    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+    return A.matched_rules(_analysed(t), Q.RULE_SETS).select("event_id", "rule_set", "rule_name", "risk_level")
 
 
 @query(

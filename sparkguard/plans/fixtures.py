@@ -218,7 +218,7 @@ _both(
     "customer",
     """
     select c_custkey, c_name, c_nationkey, case when c_custkey % 9 = 0 then c_acctbal + 1 else c_acctbal end as c_acctbal,
-           case when c_custkey % 13 = 0 then null else c_mktsegment end as c_mktsegment from customer where c_custkey % 17 <> 0
+           case when c_custkey % 13 = 0 then null else c_mktsegment end as c_mktsegment from customer where c_nationkey <> 7
     """,
 )
 

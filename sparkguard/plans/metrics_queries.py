@@ -115,11 +115,11 @@ def service_health(t: Inputs):
 
 @query(
     "last_value_panel",
-    """select series_key, arg_max(value, (ts, point_id)) as last_value from fx_metrics where point_id % 3 <> 0 group by series_key""",
+    """select series_key, arg_max(value, (ts, point_id)) as last_value from fx_metrics where value >= 5 group by series_key""",
     fx="metrics",
 )
 def last_value_panel(t: Inputs):
-    holes = points(t).withColumn("value", F.when(F.col("point_id") % 3 != 0, F.col("value")))
+    holes = points(t).withColumn("value", F.when(F.col("value") >= 5, F.col("value")))
     return M.last_not_null(holes, ["series_key"], "point_id")
 
 
@@ -177,11 +177,7 @@ def prom_ratio(t: Inputs):
 )
 def prom_histogram_quantile(t: Inputs):
     buckets = t.fx("histogram").withColumn("le", F.when(F.col("le") == 500, float("inf")).otherwise(F.col("le").cast("double")))
-    out = None
-    for q in (0.5, 0.95, 0.99):
-        one = P.histogram_quantile(buckets, ["label"], q).withColumn("q", F.lit(q))
-        out = one if out is None else out.unionByName(one)
-    return rounded(out, "quantile")
+    return rounded(P.histogram_quantile(buckets, ["label"], [0.5, 0.95, 0.99]), "quantile")
 
 
 @query(
@@ -371,12 +367,12 @@ def health_points(t: Inputs):
 
 @query(
     "timer_durations",
-    """with m as (select event_id // 2 as timer_id, event_id % 2 = 0 as is_start, ts from events where event_id % 10 <> 1),
+    """with m as (select event_id // 2 as timer_id, event_id % 2 = 0 as is_start, ts from events where event_type <> 'error'),
     d as (select timer_id, min(ts) filter (is_start) as s, max(ts) filter (not is_start) as e from m group by 1)
     select timer_id, 'load.duration' as name, e as ts, round((epoch_us(e) - epoch_us(s)) / 1000.0, 3) as value, 'milliseconds' as unit from d where s is not null and e is not null""",
 )
 def timer_durations(t: Inputs):
-    marks = t.table("events").where(F.col("event_id") % 10 != 1)
+    marks = t.table("events").where("event_type <> 'error'")
     marks = marks.select(
         F.floor(F.col("event_id") / 2).alias("timer_id"),
         F.lit("load").alias("name"),

@@ -47,24 +47,24 @@ def cidr_match(t: Inputs):
 
 @query(
     "cidr_match_table",
-    f"""with r as (select distinct 167772160 + (c_nationkey % 4) * 65536 + (c_custkey % 256) * 256 as lo from customer where c_custkey % 3 = 0)
+    f"""with r as (select distinct 167772160 + (c_nationkey % 4) * 65536 + (c_custkey % 256) * 256 as lo from customer where c_acctbal > 5000)
     select event_id, source_ip, exists (select 1 from r where {_IP} between lo and lo + 255) as allowed from fx_connections""",
     fx="connections",
 )
 def cidr_match_table(t: Inputs):
     """The allow-list as a table of /24 networks of any size."""
     network = F.lit(167772160) + (F.col("c_nationkey") % 4) * 65536 + (F.col("c_custkey") % 256) * 256
-    ranges = t.table("customer").where("c_custkey % 3 = 0").select(F.lit(24).alias("prefix"), network.cast("long").alias("network"))
+    ranges = t.table("customer").where("c_acctbal > 5000").select(F.lit(24).alias("prefix"), network.cast("long").alias("network"))
     return access.match_ranges(t.fx("connections"), "source_ip", ranges, [24]).select("event_id", "source_ip", "allowed")
 
 
 @query(
     "orphan_resources",
-    """select 'c' || cast(event_id as varchar) as container_id, user_id from events where user_id not in (select c_custkey from customer where c_custkey % 4 <> 0)""",
+    """select 'c' || cast(event_id as varchar) as container_id, user_id from events where user_id not in (select c_custkey from customer where c_mktsegment <> 'BUILDING')""",
 )
 def orphan_resources(t: Inputs):
     containers = t.table("events").select(F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("container_id"), "user_id")
-    sessions = t.table("customer").where("c_custkey % 4 <> 0")
+    sessions = t.table("customer").where("c_mktsegment <> 'BUILDING'")
     return access.orphans(containers, sessions, "user_id", "c_custkey")
 
 
@@ -353,8 +353,8 @@ def top_recommendations(t: Inputs):
 
 @query(
     "federated_union",
-    """select 'aws' as provider, c_custkey as id, c_name as name, null::int as nation from customer where c_custkey % 2 = 0
-    union all select 'fabric', s_suppkey, s_name, s_nationkey from supplier""",
+    """select 'aws' as provider, c_custkey as id, c_name as name, null as nation from customer
+    union all select 'fabric', s_suppkey, s_name, cast(s_nationkey as varchar) from supplier""",
 )
 def federated_union(t: Inputs):
     """A store that fails to answer is left out, and missing columns are null."""
@@ -363,8 +363,8 @@ def federated_union(t: Inputs):
         return t.table("no_such_table")
 
     stores = {
-        "aws": lambda: t.table("customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")),
-        "fabric": lambda: t.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")),
+        "aws": lambda: t.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")),
+        "fabric": lambda: t.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("nation")),
         "azure": broken,
     }
     return setops.federated(stores)
@@ -398,11 +398,11 @@ def resource_union(t: Inputs):
     "sync_diff",
     """select coalesce(s.c_custkey, g.c_custkey) as c_custkey, case when g.c_custkey is null then 'new' when s.c_custkey is null then 'gone'
       when s.c_name is distinct from g.c_name or s.c_nationkey is distinct from g.c_nationkey or s.c_acctbal is distinct from g.c_acctbal or s.c_mktsegment is distinct from g.c_mktsegment then 'changed' else 'same' end as change
-    from (select * from customer where c_custkey % 19 <> 0) s full join fx_sync_target g on s.c_custkey = g.c_custkey""",
+    from (select * from customer where c_mktsegment <> 'MACHINERY') s full join fx_sync_target g on s.c_custkey = g.c_custkey""",
     fx="sync_target",
 )
 def sync_diff(t: Inputs):
-    return setops.diff(t.table("customer").where("c_custkey % 19 <> 0"), t.fx("sync_target"), ["c_custkey"])
+    return setops.diff(t.table("customer").where("c_mktsegment <> 'MACHINERY'"), t.fx("sync_target"), ["c_custkey"])
 
 
 # ---- scoring ---------------------------------------------------------------------------------
@@ -592,7 +592,7 @@ _SN = "timestamp '2024-01-15 00:00:00'"
 @query(
     "session_expired",
     f"""with s as (select *, 'c' || cast(session_id as varchar) as cid from fx_sessions where status = 'active'),
-    c as (select 'c' || cast(event_id as varchar) as cid, case when event_id % 6 = 0 then 'exited' else 'running' end as cs from events where event_id % 7 <> 0)
+    c as (select 'c' || cast(event_id as varchar) as cid, case when value > 60 then 'exited' else 'running' end as cs from events where event_type <> 'signup')
     select session_id, case when expires_at < {_SN} then 'expired' else 'container' end as reason from s left join c on s.cid = c.cid where expires_at < {_SN} or coalesce(cs, 'gone') <> 'running'""",
     fx="sessions",
 )
@@ -600,10 +600,10 @@ def session_expired(t: Inputs):
     sessions = t.fx("sessions").withColumn("container_id", F.concat(F.lit("c"), F.col("session_id").cast("string")))
     containers = (
         t.table("events")
-        .where("event_id % 7 <> 0")
+        .where("event_type <> 'signup'")
         .select(
             F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("container_id"),
-            F.when(F.col("event_id") % 6 == 0, "exited").otherwise("running").alias("container_status"),
+            F.when(F.col("value") > 60, "exited").otherwise("running").alias("container_status"),
         )
     )
     return lifecycle.expired_sessions(sessions, containers, SESSION_NOW).select("session_id", "reason")

@@ -13,7 +13,7 @@ from sparkguard.plans.metrics_queries import rounded
 from sparkguard.plans.registry import Inputs, query
 
 KEY = S.KEY
-ROWS = 200
+ROWS = R.SAMPLE_ROWS
 
 REGION = R.TableInfo("region", ("r_regionkey",))
 NATION = R.TableInfo("nation", ("n_nationkey",), (R.ForeignKey("n_regionkey", "region", "r_regionkey"),))
@@ -190,7 +190,7 @@ _CTES = copy_ctes(_ALL, ROWS)
 
 @query(
     "replicate_schema",
-    f"""with {_CTES} select 'orders' as t, o_orderkey as k, o_custkey as fk1, null::bigint as fk2, null::bigint as fk3, round(o_totalprice, 2) as amount from r_orders
+    f"""with {_CTES} select 'orders' as t, o_orderkey as k, o_custkey as fk1, -1 as fk2, -1 as fk3, round(o_totalprice, 2) as amount from r_orders
     union all select 'lineitem', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice, 2) from r_lineitem""",
 )
 def replicate_schema(t: Inputs):
@@ -199,8 +199,8 @@ def replicate_schema(t: Inputs):
         F.lit("orders").alias("t"),
         F.col("o_orderkey").alias("k"),
         F.col("o_custkey").alias("fk1"),
-        F.lit(None).cast("long").alias("fk2"),
-        F.lit(None).cast("long").alias("fk3"),
+        F.lit(-1).cast("long").alias("fk2"),
+        F.lit(-1).cast("long").alias("fk3"),
         F.col("o_totalprice").alias("amount"),
     )
     lines = copies["lineitem"].select(

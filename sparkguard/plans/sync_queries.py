@@ -42,10 +42,10 @@ def sync_incremental(t: Inputs):
 
 
 def _source(t: Inputs) -> DataFrame:
-    return t.table("customer").where("c_custkey % 19 <> 0").withColumn("c_name", F.when(F.col("c_custkey") % 7 != 0, F.col("c_name")))
+    return t.table("customer").where("c_mktsegment <> 'MACHINERY'").withColumn("c_name", F.when(F.col("c_custkey") % 7 != 0, F.col("c_name")))
 
 
-_SRC = "s as (select c_custkey, case when c_custkey % 7 <> 0 then c_name end as c_name, c_nationkey, c_acctbal, c_mktsegment from customer where c_custkey % 19 <> 0)"
+_SRC = "s as (select c_custkey, case when c_custkey % 7 <> 0 then c_name end as c_name, c_nationkey, c_acctbal, c_mktsegment from customer where c_mktsegment <> 'MACHINERY')"
 _COLS = ["c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
 

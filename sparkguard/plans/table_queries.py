@@ -161,8 +161,8 @@ def encrypted_restore(t: Inputs):
     """Half of the rows were never encrypted; both halves come back."""
     customer = t.table("customer")
     path = t.scratch("restore")
-    backups.write_backup(customer.where("c_custkey % 2 = 0"), path, BACKUP_KEY, AS_OF, "customer")
-    backups.write_backup(customer.where("c_custkey % 2 = 1"), path, BACKUP_KEY, AS_OF, "customer", encrypt=False)
+    backups.write_backup(customer.where("c_acctbal >= 0"), path, BACKUP_KEY, AS_OF, "customer")
+    backups.write_backup(customer.where("c_acctbal < 0"), path, BACKUP_KEY, AS_OF, "customer", encrypt=False)
     return backups.read_backup(t.spark, path, customer.schema.simpleString()[7:-1].replace(":", " "), BACKUP_KEY, "customer")
 
 
