@@ -65,21 +65,7 @@ def metric_stats_approx(points: DataFrame, as_of: dt.datetime, seconds: int = LO
 
 def metric_rolling(points: DataFrame, seconds: int = LOOKBACK_SECONDS) -> DataFrame:
     """The look-back statistics at every point of every series."""
-    v = F.col("value")
-    return timeslices.over_lookback(
-        points,
-        ["series_key"],
-        "ts",
-        seconds,
-        lambda w: {
-            "count": F.count(v).over(w),
-            "sum": F.sum(v).over(w),
-            "avg": F.avg(v).over(w),
-            "min": F.min(v).over(w),
-            "max": F.max(v).over(w),
-            "stddev": F.stddev_pop(v).over(w),
-        },
-    )
+    return timeslices.rolling(points, ["series_key"], "ts", "value", seconds)
 
 
 def metric_windows(points: DataFrame, length: str = "5 minutes", slide: str = "1 minute", keys: tuple[str, ...] = ("series_key",)) -> DataFrame:

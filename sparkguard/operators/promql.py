@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkguard.operators.timeslices import over_lookback, with_previous
+from sparkguard.operators.timeslices import rolling, with_previous
 
 
 def increases(samples: DataFrame, keys: list[str], value: str, id_column: str) -> DataFrame:
@@ -25,8 +25,8 @@ def increases(samples: DataFrame, keys: list[str], value: str, id_column: str) -
 def rate(samples: DataFrame, keys: list[str], value: str, id_column: str, seconds: int = 300) -> DataFrame:
     """Per-second increase over the look-back, at every sample."""
     up = increases(samples, keys, value, id_column)
-    out = over_lookback(up, keys, "ts", seconds, lambda w: {"increased": F.sum("increase").over(w)})
-    return out.withColumn("rate", F.col("increased") / F.lit(float(seconds))).drop("increased", "increase")
+    out = rolling(up, keys, "ts", "increase", seconds, ("sum",))
+    return out.withColumn("rate", F.col("sum") / F.lit(float(seconds))).drop("sum", "increase")
 
 
 def ratio(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,7 +42,7 @@ def changes(samples: DataFrame, keys: list[str], value: str, id_column: str, sec
     out = with_previous(samples, keys, ["ts", id_column], [value])
     p = F.col(f"prev_{value}")
     flagged = out.withColumn("_changed", F.when(p.isNotNull() & (F.col(value) != p), 1).otherwise(0)).drop(f"prev_{value}")
-    return over_lookback(flagged, keys, "ts", seconds, lambda w: {"changes": F.sum("_changed").over(w)}).drop("_changed")
+    return rolling(flagged, keys, "ts", "_changed", seconds, ("sum",)).withColumnRenamed("sum", "changes").drop("_changed")
 
 
 def histogram_quantile(buckets: DataFrame, keys: list[str], quantiles: list[float]) -> DataFrame:
@@ -65,6 +65,6 @@ def histogram_quantile(buckets: DataFrame, keys: list[str], quantiles: list[floa
     found = ranked.where(F.col("cum_count") >= F.col("rank")).groupBy(*keys, "q").agg(hit.alias("h"))
     infinite = F.col("h.le") == float("inf")
     inner = F.col("h.lower") + (F.col("h.le") - F.col("h.lower")) * (F.col("h.rank") - F.col("h.below")) / (
-        F.col("h.cum_count") - F.col("h.below")
+        F.nullif(F.col("h.cum_count") - F.col("h.below"), F.lit(0))
     )
     return found.select(*keys, "q", F.when(infinite, F.col("h.lower")).otherwise(inner).alias("quantile"))

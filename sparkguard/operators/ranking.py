@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkguard.operators.joining import null_safe_join
+from sparkguard.operators.joining import broadcast_if_small
 from sparkguard.operators.timeslices import time_slice
 from sparkguard.session import shared_dir
 
@@ -24,17 +24,15 @@ def positions(df: DataFrame, keys: list[str], order: list[str], weight: Column |
     """
     shared_dir(df.sparkSession)
     weighted = df.withColumn("_w", F.lit(1).cast("long") if weight is None else weight)
-    placed = weighted.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
-    sizes = placed.groupBy(*keys, "_part").agg(F.sum("_w").alias("_n"))
-    earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*keys)
-    offsets = sizes.select(
-        *keys, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"), F.sum("_n").over(whole).alias("total")
-    )
-    inside = W.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    placed = weighted.repartitionByRange(*keys, *order).withColumn("_g", F.struct(*keys, F.spark_partition_id().alias("_part"))).checkpoint()
+    sizes = placed.groupBy("_g").agg(F.sum("_w").alias("_n"))
+    whole = W.partitionBy(*[F.col(f"_g.{k}") for k in keys])
+    earlier = whole.orderBy(F.col("_g._part")).rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("_g").alias("_h"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"), F.sum("_n").over(whole).alias("total"))
+    inside = W.partitionBy("_g").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     local = placed.withColumn("_local", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
-    out = null_safe_join(local, offsets, [*keys, "_part"], "inner")
-    return out.withColumn("before", F.col("_offset") + F.col("_local")).drop("_w", "_part", "_local", "_offset")
+    out = local.join(offsets, F.col("_g") == F.col("_h"))
+    return out.select(*df.columns, (F.col("_offset") + F.col("_local")).alias("before"), "total")
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
@@ -59,13 +57,15 @@ def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, fl
 def newest(df: DataFrame, keys: list[str], ts: str, tie: str, n: int, slice_seconds: int = 60) -> DataFrame:
     """The ``n`` newest rows per key, ties by the larger ``tie``.
 
-    Rows are counted per key and slice of time first. Only the newest slices that together hold ``n``
-    rows go on to the ranking, so a hot key brings about ``n`` rows there and not its whole history.
+    Rows are counted per key and slice of time first, which gives the slice per key from which on there
+    are ``n`` rows. Older rows are dropped before anything is ranked, so a hot key brings about ``n`` rows
+    to the ranking and not its whole history.
     """
     sliced = df.withColumn("_slice", time_slice(ts, slice_seconds))
     sizes = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     newer = W.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(W.unboundedPreceding, -1)
     needed = sizes.withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0))).where(F.col("_newer") < n)
-    rough = null_safe_join(sliced, needed.select(*keys, "_slice"), [*keys, "_slice"], "inner")
+    oldest = broadcast_if_small(needed.groupBy(*keys).agg(F.min("_slice").alias("_oldest")))
+    rough = sliced.join(oldest, keys).where(F.col("_slice") >= F.col("_oldest"))
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(ts), F.desc(tie)))
     return rough.withColumn("_rn", rank).where(F.col("_rn") <= n).select(*df.columns)

@@ -154,7 +154,7 @@ def key_posture(keys: DataFrame, as_of: dt.datetime) -> DataFrame:
         F.count_if((F.col("status") == "active") & due).alias("due"),
     )
     rotate = F.concat(F.lit("Rotate "), F.col("due").cast("string"), F.lit(" encryption keys"))
-    stale = F.coalesce((F.col("total") > 0) & (F.col("active") / F.col("total") < 0.8), F.lit(False))
+    stale = F.coalesce((F.col("total") > 0) & (F.col("active") / F.nullif("total", F.lit(0)) < 0.8), F.lit(False))
     return _posture("encryption", row, [(F.col("due") > 0, 15, rotate), (stale, 10, F.lit("Review and clean up deprecated encryption keys"))])
 
 
@@ -166,8 +166,8 @@ def access_posture(grants: DataFrame) -> DataFrame:
         F.count("expires_at").alias("expiry"),
     )
     some = F.col("resources") > 0
-    few_mfa = F.coalesce(some & (F.col("mfa") / F.col("resources") * 100 < 90), F.lit(False))
-    few_expiry = F.coalesce(some & (F.col("expiry") / F.col("resources") * 100 < 50), F.lit(False))
+    few_mfa = F.coalesce(some & (F.col("mfa") / F.nullif("resources", F.lit(0)) * 100 < 90), F.lit(False))
+    few_expiry = F.coalesce(some & (F.col("expiry") / F.nullif("resources", F.lit(0)) * 100 < 50), F.lit(False))
     return _posture(
         "access_control",
         row,
@@ -184,7 +184,7 @@ def incident_posture(incidents: DataFrame) -> DataFrame:
         F.count_if(F.col("remediation_status") == "resolved").alias("resolved"),
         F.count_if(F.col("threat_level") == "critical").alias("critical"),
     )
-    slow = F.coalesce((F.col("total") > 0) & (F.col("resolved") / F.col("total") * 100 < 95), F.lit(False))
+    slow = F.coalesce((F.col("total") > 0) & (F.col("resolved") / F.nullif("total", F.lit(0)) * 100 < 95), F.lit(False))
     review = F.concat(F.lit("Review "), F.col("critical").cast("string"), F.lit(" critical incidents"))
     return _posture("incident_response", row, [(slow, 20, F.lit("Improve incident resolution rate")), (F.col("critical") > 0, 10, review)])
 

@@ -2,19 +2,15 @@
 
 A window over one whole series would put a hot series into one task. Here a series is cut into slices
 of time; each slice is one group, and what a slice needs from earlier ones is handed on as one small
-row per slice (its last row, its sum) or as copies of the few rows near its border.
+row per slice (its last row, its sum, its state), or as copies of the rows that a window looks back on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkguard.operators.joining import null_safe_join
-
 # Width of a slice. An hour of the busiest series must fit a task; a series has one small row per hour.
 SLICE_SECONDS = 3_600
 
@@ -33,45 +29,98 @@ def time_slice(ts: str, seconds: int) -> Column:
     return _whole_steps(micros(F.col(ts)), seconds * 1_000_000)
 
 
-def over_lookback(
-    df: DataFrame, keys: list[str], ts: str, seconds: int, build: Callable[[WindowSpec], dict[str, Column]]
-) -> DataFrame:
-    """Columns over the half-open window ``(ts - seconds, ts]`` at every row.
+def _group(keys: list[str], slice_: Column) -> Column:
+    """Key and slice as one value that is never null, so that windows and joins share one partitioning."""
+    return F.struct(*[F.col(k) for k in keys], slice_.alias("_slice"))
+
+
+ROLLING = ("count", "sum", "avg", "min", "max", "stddev")
+
 
-    A slice is at least as long as the window, so a row is copied to at most one later slice.
+def rolling(df: DataFrame, keys: list[str], ts: str, value: str, seconds: int, wanted: tuple[str, ...] = ROLLING) -> DataFrame:
+    """Statistics of ``value`` over the half-open window ``(ts - seconds, ts]`` at every row.
+
+    Time is cut into blocks as long as the window, so a window is the end of one block and the start of
+    the next. Each row is also shown to the block after its own. There, the start is a running aggregate
+    in time order, and the end a running aggregate in reverse order, read at ``ts - seconds``. Every
+    aggregate grows by one row at a time however many rows a window holds.
     """
-    width = max(seconds, min(4 * seconds, SLICE_SECONDS))
+    length = seconds * 1_000_000
     us = micros(F.col(ts))
-    copies = F.when(
-        us > (F.col("_own") + 1) * width * 1_000_000 - F.lit(seconds * 1_000_000), F.array(F.col("_own"), F.col("_own") + 1)
-    ).otherwise(F.array("_own"))
-    spread = df.withColumn("_own", time_slice(ts, width)).withColumn("_slice", F.explode(copies)).withColumn("_us", us)
-    window = W.partitionBy(*keys, "_slice").orderBy("_us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    out = spread.select("*", *[c.alias(n) for n, c in build(window).items()])
-    return out.where(F.col("_slice") == F.col("_own")).drop("_own", "_slice", "_us")
+    block = _whole_steps(us, length)
+    shown = F.array(
+        F.struct(F.lit(True).alias("own"), block.alias("block")), F.struct(F.lit(False).alias("own"), (block + 1).alias("block"))
+    )
+    spread = df.withColumn("_c", F.explode(shown)).withColumn("_us", us)
+    own = F.col("_c.own")
+    rows = spread.select(
+        *df.columns,
+        own.alias("_own"),
+        _group(keys, F.col("_c.block")).alias("_g"),
+        "_us",
+        F.when(own, F.col("_us") - length).otherwise(F.col("_us")).alias("_back"),
+    )
+    own, v = F.col("_own"), F.col(value)
+    start = W.partitionBy("_g").orderBy("_us").rangeBetween(W.unboundedPreceding, 0)
+    end = W.partitionBy("_g").orderBy(F.desc("_back"), F.desc("_own")).rowsBetween(W.unboundedPreceding, 0)
+    need = {"count", *wanted} | ({"avg"} if "stddev" in wanted else set()) | ({"sum"} if "avg" in wanted else set())
+    functions = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "stddev": F.stddev_pop}
+    used = [n for n in ROLLING if n in need]
+    both = rows.select(
+        "*",
+        *[functions[n](F.when(own, v)).over(start).alias(f"_a_{n}") for n in used],
+        *[functions[n](F.when(~own, v)).over(end).alias(f"_b_{n}") for n in used],
+    ).where("_own")
+
+    def a(n: str) -> Column:
+        return F.col(f"_a_{n}")
+
+    def b(n: str) -> Column:
+        return F.col(f"_b_{n}")
+
+    count = a("count") + b("count")
+    filled = F.nullif(count, F.lit(0))
+    total = F.when(count > 0, F.coalesce(a("sum"), F.lit(0)) + F.coalesce(b("sum"), F.lit(0))) if "sum" in need else None
+    out: dict[str, Column] = {"count": count, "sum": total}
+    if "avg" in wanted:
+        out["avg"] = total / filled
+    if "min" in wanted:
+        out["min"] = F.least(a("min"), b("min"))
+    if "max" in wanted:
+        out["max"] = F.greatest(a("max"), b("max"))
+    if "stddev" in wanted:
+        apart = F.coalesce(a("avg") - b("avg"), F.lit(0.0))
+        squares = F.coalesce(a("count") * a("stddev") * a("stddev"), F.lit(0.0)) + F.coalesce(b("count") * b("stddev") * b("stddev"), F.lit(0.0))
+        out["stddev"] = F.sqrt((squares + apart * apart * a("count") * b("count") / filled) / filled)
+    return both.select(*df.columns, *[out[n].alias(n) for n in wanted])
 
 
 def with_previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str], slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Adds ``prev_<column>`` from the row before within the key; ``order`` starts with the time."""
     packed = F.struct(*[F.col(c) for c in columns])
-    sliced = df.withColumn("_slice", time_slice(order[0], slice_seconds))
-    inside = sliced.withColumn("_prev", F.lag(packed).over(W.partitionBy(*keys, "_slice").orderBy(*order)))
-    tails = sliced.groupBy(*keys, "_slice").agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
-    carried = tails.select(*keys, "_slice", F.lag("_tail").over(W.partitionBy(*keys).orderBy("_slice")).alias("_carry"))
-    out = null_safe_join(inside, carried, [*keys, "_slice"])
+    sliced = df.withColumn("_g", _group(keys, time_slice(order[0], slice_seconds)))
+    inside = sliced.withColumn("_prev", F.lag(packed).over(W.partitionBy("_g").orderBy(*order)))
+    tails = sliced.groupBy("_g").agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
+    carried = tails.select(F.col("_g").alias("_h"), F.lag("_tail").over(_slices(keys)).alias("_carry"))
+    out = inside.join(carried, F.col("_g") == F.col("_h"), "left")
     prev = F.coalesce("_prev", "_carry")
     return out.select(*df.columns, *[prev[c].alias(f"prev_{c}") for c in columns])
 
 
+def _slices(keys: list[str]) -> WindowSpec:
+    """The slices of a key in order: one small row each."""
+    return W.partitionBy(*[F.col(f"_g.{k}") for k in keys]).orderBy(F.col("_g._slice"))
+
+
 def with_running_sum(df: DataFrame, keys: list[str], order: list[str], amount: Column, name: str, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Adds the sum of ``amount`` up to and including the row within the key."""
-    sliced = df.withColumn("_slice", time_slice(order[0], slice_seconds)).withColumn("_amount", amount)
-    window = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    sliced = df.withColumn("_g", _group(keys, time_slice(order[0], slice_seconds))).withColumn("_amount", amount)
+    window = W.partitionBy("_g").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     inside = sliced.withColumn("_inside", F.sum("_amount").over(window))
-    sums = sliced.groupBy(*keys, "_slice").agg(F.sum("_amount").alias("_s"))
-    earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select(*keys, "_slice", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_offset"))
-    out = null_safe_join(inside, offsets, [*keys, "_slice"])
+    sums = sliced.groupBy("_g").agg(F.sum("_amount").alias("_s"))
+    earlier = _slices(keys).rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(F.col("_g").alias("_h"), F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_offset"))
+    out = inside.join(offsets, F.col("_g") == F.col("_h"), "left")
     return out.select(*df.columns, (F.col("_offset") + F.col("_inside")).alias(name))
 
 
@@ -80,20 +129,20 @@ def with_run(df: DataFrame, keys: list[str], order: list[str], state: str, slice
 
     Changes are counted inside each slice; a slice hands on its first and last state and its count.
     """
-    sliced = df.withColumn("_slice", time_slice(order[0], slice_seconds))
-    rows = W.partitionBy(*keys, "_slice").orderBy(*order)
+    sliced = df.withColumn("_g", _group(keys, time_slice(order[0], slice_seconds)))
+    rows = W.partitionBy("_g").orderBy(*order)
     changed = F.when((F.row_number().over(rows) == 1) | F.col(state).eqNullSafe(F.lag(state).over(rows)), 0).otherwise(1)
     inside = sliced.withColumn("_changed", changed).withColumn("_local", F.sum("_changed").over(rows.rowsBetween(W.unboundedPreceding, 0)))
     by_time = F.struct(*order)
-    ends = inside.groupBy(*keys, "_slice").agg(
+    ends = inside.groupBy("_g").agg(
         F.min_by(F.struct(state), by_time).alias("_first"), F.max_by(F.struct(state), by_time).alias("_last"), F.sum("_changed").alias("_n")
     )
-    slices = W.partitionBy(*keys).orderBy("_slice")
+    slices = _slices(keys)
     joins = ends.withColumn("_new", F.when(F.col("_first").eqNullSafe(F.lag("_last").over(slices)), 0).otherwise(1))
     upto = F.sum("_new").over(slices.rowsBetween(W.unboundedPreceding, 0))
     before = F.coalesce(F.sum("_n").over(slices.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = joins.select(*keys, "_slice", (upto + before).alias("_offset"))
-    out = null_safe_join(inside, offsets, [*keys, "_slice"])
+    offsets = joins.select(F.col("_g").alias("_h"), (upto + before).alias("_offset"))
+    out = inside.join(offsets, F.col("_g") == F.col("_h"), "left")
     return out.select(*df.columns, (F.col("_offset") + F.col("_local")).alias("run"))
 
 
