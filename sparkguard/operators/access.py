@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from sparkguard.functions.network import ip_number, network_of, networks
 from sparkguard.operators.joining import null_safe_join
@@ -15,8 +16,8 @@ from sparkguard.operators.metrics import at
 def check_access(requests: DataFrame, grants: DataFrame, as_of: dt.datetime, conditions: list[str]) -> DataFrame:
     """Adds ``allowed``: some grant fits principal, resource, permission, time and conditions.
 
-    ``conditions`` are columns of both sides; a null in the grant asks nothing, a null in the request
-    is compared like any value. Equal requests are decided once: a request shape held by a third of
+    ``conditions`` are columns of both sides. A null in the grant asks nothing, an array asks for one of
+    its values; a null in the request is compared like any value. Equal requests are decided once: a request shape held by a third of
     the rows is one row in the join with the grants, which may be many.
     """
     shape = ["principal", "resource", "permission", *conditions]
@@ -28,7 +29,10 @@ def check_access(requests: DataFrame, grants: DataFrame, as_of: dt.datetime, con
     keys = ["principal", "resource", "permission"]
     fits = [shapes[k] == offered[k] for k in keys]
     for c in conditions:
-        fits.append(F.col(f"want_{c}").isNull() | F.col(f"want_{c}").eqNullSafe(shapes[c]))
+        want = F.col(f"want_{c}")
+        listed = isinstance(grants.schema[c].dataType, ArrayType)
+        met = F.coalesce(F.array_contains(want, shapes[c]), F.lit(False)) if listed else want.eqNullSafe(shapes[c])
+        fits.append(want.isNull() | met)
     granted = shapes.join(offered, fits, "left_semi").withColumn("_granted", F.lit(True))
     out = null_safe_join(requests, granted, shape)
     return out.withColumn("allowed", F.coalesce("_granted", F.lit(False))).drop("_granted")

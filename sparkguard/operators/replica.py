@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,13 +58,21 @@ def processing_order(tables: list[TableInfo]) -> list[TableInfo]:
 def sample(df: DataFrame, info: TableInfo, key: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     """The ``rows`` rows with the smallest keyed digest of their key: repeatable, and all rows of a small table.
 
-    Small samples are a top-k. Large ones are cut by exact position, so no task holds the whole sample.
+    Small samples are a top-k. For large ones the digest's first slice cuts the table to little more than
+    ``rows`` rows, and exact positions cut the rest, so no task holds the whole sample.
     """
     text = F.concat_ws("|", *[F.col(c).cast("string") for c in info.primary_key])
     drawn = df.withColumn("_d", digest(text, key, info.name))
     order = ["_d", *info.primary_key]
     if rows <= BROADCAST_ROWS:
         return drawn.orderBy(*order).limit(rows).drop("_d")
+    total = df.count()
+    if total <= rows:
+        return df
+    share = (rows + 10 * math.sqrt(rows) + 100) / total
+    if share < 1:
+        cut = drawn.where(slot(F.col("_d"), 0) < int(share * 2**32))
+        drawn = cut if cut.count() >= rows else drawn
     return ranking.positions(drawn, [], order).where(F.col("before") < rows).drop("_d", "before", "total")
 
 

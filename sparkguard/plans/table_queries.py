@@ -30,8 +30,7 @@ def scan_tables(t: Inputs):
 )
 def document_find(t: Inputs):
     docs = t.table("documents").select("doc_id", "lang", "source", "n_chars")
-    first = docs.agg(F.min("source").alias("source"))
-    same = docs.join(F.broadcast(first), "source", "left_semi")
+    same = docs.where(F.col("source") == docs.agg(F.min("source")).scalar())
     return S.find(same, {"lang": "en"}, ["doc_id"]).select("doc_id", "source", "n_chars")
 
 

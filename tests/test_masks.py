@@ -167,6 +167,15 @@ def test_free_text_is_whole_and_consistent(spark):
     assert row[1]["t"] is None and row[2]["t"] == "nothing"
 
 
+def test_estimated_profile_agrees(spark):
+    df = spark.range(500).selectExpr("concat('u', id % 50, '@b.co') as e", "cast(id % 7 as string) as n")
+    exact = {r["column_name"]: r.asDict() for r in M.column_profile(df).collect()}
+    rough = {r["column_name"]: r.asDict() for r in M.column_profile(df, exact=False).collect()}
+    for c in exact:
+        assert abs(exact[c].pop("unique_count") - rough[c].pop("unique_count")) <= 5
+        assert exact[c] == pytest.approx(rough[c])
+
+
 def test_profile_of_edge_columns(spark):
     df = spark.createDataFrame([("a@b.co", "555 123 4567", None), ("x", "12", None), ("x", "12", None)], "e string, p string, n string")
     rows = {r["column_name"]: r for r in M.column_profile(df).collect()}

@@ -90,6 +90,17 @@ def test_access(spark):
     assert out.count() == len(asked) and out.where(F.col("allowed") != F.col("want")).count() == 0
 
 
+def test_access_with_listed_values(spark):
+    grants = spark.createDataFrame(
+        [("p", "r", ["read"], None, ["office", "vpn"]), ("q", "r", ["read"], None, None)],
+        "principal string, resource string, permissions array<string>, expires_at timestamp_ntz, place array<string>",
+    )
+    asked = [("p", "vpn", True), ("p", "cafe", False), ("p", None, False), ("q", "cafe", True)]
+    requests = spark.createDataFrame([(p, "r", "read", x, w) for p, x, w in asked], "principal string, resource string, permission string, place string, want boolean")
+    out = access.check_access(requests, grants, NOW, ["place"])
+    assert out.count() == 4 and out.where(F.col("allowed") != F.col("want")).count() == 0
+
+
 def test_allow_lists(spark):
     ips = spark.createDataFrame([("10.0.0.5",), ("10.0.1.5",), ("not an ip",), ("10.0.0.5",)], "ip string")
     flags = [r["allowed"] for r in access.match_allow_list(ips, "ip", ["10.0.0.0/24"]).collect()]
