@@ -31,12 +31,6 @@ POLICIES: dict[str, dict[str, object]] = {
     },
     "network_security_policy": {"deny_public_access": True, "require_vpc": True, "allowed_ports": [443, 22], "require_waf": True},
 }
-POLICY_FRAMEWORKS = {
-    "password_policy": ("soc2", "iso_27001"),
-    "mfa_policy": ("soc2", "pci_dss"),
-    "encryption_policy": ("hipaa", "gdpr"),
-    "network_security_policy": ("pci_dss", "nist"),
-}
 # Risky ports; weights and texts of the posture.
 RISKY_PORTS = (21, 23, 135, 139, 445)
 NETWORK_SCORE = 85.0
@@ -93,6 +87,17 @@ def check_network(configs: DataFrame) -> DataFrame:
     )
 
 
+def compliance_violations(results: DataFrame, rules: tuple[ComplianceRule, ...] = COMPLIANCE_RULES) -> DataFrame:
+    """Failed rules with their number of failures, description and severity; an undescribed rule is medium."""
+    failed = results.where(~F.col("passed")).groupBy("framework", "rule_id").agg(F.count(F.lit(1)).alias("failures"))
+    described = {r.rule_id: r for r in rules}
+
+    def told(field: str, default: str) -> Column:
+        return F.coalesce(*[F.when(F.col("rule_id") == i, getattr(r, field)) for i, r in described.items()], F.lit(default))
+
+    return failed.withColumns({"description": told("description", ""), "severity": told("severity", "medium")})
+
+
 def compliance_scores(results: DataFrame, frameworks: list[str]) -> DataFrame:
     """Score per framework from rule results (``framework``, ``rule_id``, ``passed``), and the overall mean.
 

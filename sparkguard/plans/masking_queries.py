@@ -278,8 +278,8 @@ def keyword_mask(t: Inputs):
 # ---- free text -------------------------------------------------------------------------------
 
 
-def _text_sql(table: str, ids: str) -> str:
-    step, prev = [], f"select {ids}, text from {table}"
+def _text_sql(table: str, ids: str, text: str = "text") -> str:
+    step, prev = [], f"select {ids}, {text} as text from {table}"
     for name, pattern, strategy in (
         ("card", CARD, "fake_credit_card"),
         ("phone", PHONE, "fake_phone"),
@@ -306,3 +306,8 @@ def text_pii_mask(t: Inputs):
 @query("text_pii_mask_conversations", _text_sql("conversations", "conv_id, turn"))
 def text_pii_mask_conversations(t: Inputs):
     return M.mask_free_text(t.table("conversations").select("conv_id", "turn", "text"), "text", KEY)
+
+
+@query("text_pii_mask_pages", _text_sql("pages", "page_id", "html"))
+def text_pii_mask_pages(t: Inputs):
+    return M.mask_free_text(t.table("pages").select("page_id", F.col("html").alias("text")), "text", KEY)

@@ -470,6 +470,16 @@ def compliance_score(t: Inputs):
     return rounded(security.compliance_scores(_rule_results(t), ["soc2", "hipaa", "gdpr", "nist"]), "score")
 
 
+@query(
+    "compliance_violations",
+    f"""with {_COMPLIANCE} select framework, rule_id, count(*) as failures, case rule_id when 'hipaa-access-control' then 'Access must be role-based with audit logging' else '' end as description,
+    case rule_id when 'hipaa-access-control' then 'critical' else 'medium' end as severity from rr where not passed group by 1, 2""",
+    fx="subjects",
+)
+def compliance_violations(t: Inputs):
+    return security.compliance_violations(_rule_results(t))
+
+
 @query(
     "vulnerability_flags",
     """select 'r-' || resource_type || '-' || identifier as resource, 'Unencrypted database connections' as vulnerability, 'high' as severity,
