@@ -28,6 +28,17 @@ def violations(requests: DataFrame, keys: list[str], length: str = "60 seconds",
     return counts.where(F.col("requests") > limit).withColumn("over_limit", F.col("requests") - limit)
 
 
+def peaks(requests: DataFrame, keys: list[str], limits: tuple[tuple[int, int], ...] = (GATEWAY_LIMIT, CONFIG_LIMIT, *PACKET_LIMITS)) -> DataFrame:
+    """Busiest window and number of violations per client under each of several limits, in one pass."""
+    each = F.array(*[F.struct(F.lit(n).alias("max_requests"), F.lit(s).alias("seconds")) for n, s in limits])
+    spread = requests.select("ts", *keys, F.explode(each).alias("l")).select("ts", *keys, "l.*")
+    slot = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / F.col("seconds"))
+    counts = spread.groupBy("max_requests", "seconds", *keys, slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("max_requests", "seconds", *keys).agg(
+        F.max("n").alias("peak"), F.count_if(F.col("n") > F.col("max_requests")).alias("violations")
+    )
+
+
 def error_rates(log: DataFrame, length: str) -> DataFrame:
     """Share of failed statements and mean time per window against the alert thresholds."""
     timed = log.withColumn("ts", F.col("ts").cast("timestamp"))

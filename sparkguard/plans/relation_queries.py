@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from sparkguard.functions.network import networks
 from sparkguard.operators import access, audit, costs, counting, lifecycle, ranking, security, setops, tasks
-from sparkguard.operators.metrics import at
 from sparkguard.plans.audit_queries import _A
 from sparkguard.plans.metrics_queries import rounded
 from sparkguard.plans.registry import Inputs, query
@@ -689,6 +688,20 @@ def rate_limit_violations(t: Inputs):
     return violations(requests, ["client"], "7200 seconds", 12).select("window_start", "client", "requests", "over_limit")
 
 
+_LIMIT_ROWS = "values (100, 60), (1000, 60), (5, 1), (10, 1)"
+
+
+@query(
+    "rate_limit_peaks",
+    f"""with w as (select max_requests, seconds, user_id % 3 as client, epoch_us(ts) // (seconds * 1000000) as slot, count(*) as n from events, ({_LIMIT_ROWS}) l(max_requests, seconds) group by 1, 2, 3, 4)
+    select max_requests, seconds, client, max(n) as peak, count(*) filter (n > max_requests) as violations from w group by 1, 2, 3""",
+)
+def rate_limit_peaks(t: Inputs):
+    from sparkguard.operators.limits import peaks
+
+    return peaks(t.table("events").select("ts", (F.col("user_id") % 3).alias("client")), ["client"])
+
+
 @query(
     "error_rate_alert",
     """with w as (select make_timestamp(epoch_us(ts) // 3600000000 * 3600000000) as window_start, count(*) as requests, count(*) filter (not success) as errors, max(execution_time) as slowest,

@@ -136,6 +136,18 @@ def test_silence_changes_nothing(spark):
     assert sorted(r["handler"] for r in notes) == ["email", "email_resolution"]
 
 
+def test_default_alerts(spark):
+    rows = [(1, "system.cpu.usage", 85.0), (2, "system.cpu.usage", 81.0), (3, "system.cpu.usage", 80.0), (4, "system.disk.free_percent", 9.0)]
+    rows += [(5, "system.disk.free_percent", 8.0), (6, "cloud.daily_cost", 501.0)]
+    p = spark.createDataFrame(
+        [(i, n, {}, n, at(-i), v) for i, n, v in rows],
+        "point_id int, name string, tags map<string,string>, series_key string, ts timestamp_ntz, value double",
+    )
+    states = {r["alert_id"]: r["state"] for r in A.evaluate(p, A.DEFAULT_ALERTS, NOON).collect()}
+    # two of three readings are above 80, three are asked for; equal is not above
+    assert states == {"high_cpu": "ok", "disk_space": "firing", "cost_anomaly": "firing"}
+
+
 def test_tag_match(spark):
     p = spark.createDataFrame(
         [(1, "m", {"u": "1"}, "m:u=1", NOON, 9.0), (2, "m", {"u": "1"}, "m:u=1", NOON, 9.0)],
