@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,8 +46,51 @@ def power_of_two(n: int) -> int:
     return max(0, (max(1, int(n)) - 1).bit_length())
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` is called that."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def one_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key, the least in all its columns; equal rows are merged before they are shuffled."""
-    columns = df.columns
-    row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    return df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.min(row).alias("_row")).select("_row.*").select(*[F.col(f"`{c}`") for c in columns])
+    columns = [f"`{c}`" for c in df.columns]
+    row = F.struct(*[F.col(c) for c in columns]).alias("least")
+    found = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.min(row).alias(fresh(df, "least_row")))
+    return found.select(F.col(found.columns[-1] + ".*")).select(*[F.col(c) for c in columns])
+
+
+def keep_rows(docs: DataFrame, id_col: str, digest: Column, lost: DataFrame, twice: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose (id, digest) is in ``lost``; of those in ``twice`` one row stays each.
+
+    Both lists have two columns, the id and the digest, and are small against the texts.
+    """
+    own, key, value = (fresh(docs, x) for x in ("digest_own", "key_id", "key_digest"))
+    keyed = docs.withColumn(own, digest)
+    lost, twice = lost.toDF(key, value).distinct(), twice.toDF(key, value)
+
+    def match(df: DataFrame) -> Column:
+        return df[f"`{id_col}`"].eqNullSafe(F.col(key)) & (F.col(own) == F.col(value))
+
+    kept = keyed.join(lost, match(keyed), "left_anti")
+    if twice.isEmpty():
+        return kept.drop(own)
+    single = kept.join(twice, match(kept), "left_anti")
+    return single.unionByName(one_of_each(kept.join(twice, match(kept), "left_semi"), [id_col, own])).drop(own)
+
+
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+# Bytes of a text that are split into words at once, so that a very long text needs little memory.
+PIECE = 1 << 20
+
+
+def words_of(data: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, in lists of bounded length."""
+    at = 0
+    while at < len(data):
+        gap = _GAP.search(data, at + PIECE) if len(data) - at > PIECE else None
+        end = gap.start() if gap else len(data)
+        yield data[at:end].split()  # bytes split at the six ASCII blanks only
+        at = end

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkguard.llm import quotient_filter as qf
-from sparkguard.llm.common import SPACE, one_of_each, power_of_two, saved, shuffle_parts, text_of
+from sparkguard.llm.common import SPACE, keep_rows, power_of_two, saved, shuffle_parts, text_of
 
 # Distinct fingerprints that one merged filter is meant to hold.
 SEGMENT_ROWS = 200_000
@@ -83,14 +83,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without exact copies, with all their columns; of repeated rows one stays."""
     groups = saved(exact_groups(docs, id_col, text_col), "exact-groups")
-    dropped = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    again = groups.where(F.col("kept") & (F.col("group_size") > 1)).groupBy("doc_id", "text_sha256").count().where(F.col("count") > 1)
-    twice = saved(again.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), "exact-twice")
-    keyed = docs.withColumn("_sha_own", F.sha2(normalized(f"`{text_col}`"), 256))
-    match = keyed[f"`{id_col}`"].eqNullSafe(F.col("_id")) & (F.col("_sha_own") == F.col("_sha"))
-    kept = keyed.join(dropped.distinct(), match, "left_anti")
-    if twice.isEmpty():
-        return kept.drop("_sha_own")
-    match = kept[f"`{id_col}`"].eqNullSafe(F.col("_id")) & (F.col("_sha_own") == F.col("_sha"))
-    single = kept.join(twice, match, "left_anti")
-    return single.unionByName(one_of_each(kept.join(twice, match, "left_semi"), [id_col, "_sha_own"])).drop("_sha_own")
+    keys = [F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")]
+    lost = groups.where(~F.col("kept")).select(*keys)
+    again = groups.where(F.col("kept") & (F.col("group_size") > 1)).groupBy(*keys).count().where(F.col("count") > 1)
+    return keep_rows(docs, id_col, F.sha2(normalized(f"`{text_col}`"), 256), lost, saved(again.drop("count"), "exact-twice"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkguard.llm import exact_dedup
-from sparkguard.llm.common import table
+from sparkguard.llm import exact_dedup, simhash_dedup, toxicity
+from sparkguard.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,3 +35,20 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 )
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@register("op5_simhash_gray")
+def op5_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# Documents whose id falls into fold TOXIC_FOLD of TOXIC_FOLDS are held out.
+TOXIC_FOLDS, TOXIC_FOLD = 3, 1
+
+
+@register("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold(F.col("doc_id"), TOXIC_FOLDS) == TOXIC_FOLD
+    weights = toxicity.fit(docs, toxicity.learnable(labels, held_out))
+    return toxicity.scores(docs, weights).select("doc_id", held_out.alias("held_out"), "score", "predicted")
