@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkguard.llm import exact_dedup
+from sparkguard.llm import exact_dedup, mixing, packing, simhash_dedup, toxicity
 from sparkguard.llm.common import saved, table
 
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go; the classifier learns from the labels of the documents that are here."""
+    return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each group of equal texts stays."""
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of each component of linked fingerprints stays."""
+    return simhash_dedup.drop_near_copies(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in training order; what the mix leaves out goes, and what it reads twice is there twice."""
+    return mixing.curriculum(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all pieces in sequences."""
+    return packing.packed(docs, public_tokenizers.path(VOCABULARY))
+
+
+STAGES = [("toxicity", toxic), ("exact_dedup", exact), ("simhash_dedup", near), ("mixing", mix), ("packing", pack)]
 
 # The classifier, the fingerprints and the tokenizer are beyond SQL; the tests hold run() against a plain version.
 ORACLE_SQL = None

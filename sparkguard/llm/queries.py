@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkguard.llm import exact_dedup, simhash_dedup, toxicity
+from sparkguard.llm import exact_dedup, mixing, packing, simhash_dedup, toxicity
 from sparkguard.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +53,55 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), TOXIC_FOLDS) == TOXIC_FOLD
     weights = toxicity.fit(docs, toxicity.learnable(labels, held_out))
     return toxicity.scores(docs, weights).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@register(
+    "op8_mixing",
+    """
+    with d as (
+        select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
+            md5(coalesce(doc_id::varchar, '')) as place
+        from documents
+    ),
+    s as (
+        select source, sum(size)::bigint as source_size, ([3, 1, 2])[((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as w,
+            ([-0.5, 0.5, 0.0]::double[])[((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as slope
+        from d group by source
+    ),
+    o as (
+        select *, coalesce(sum(2 * source_size) over (order by source_size / w, source rows between unbounded preceding and 1 preceding), 0) as given,
+            sum(w) over (order by source_size / w, source rows between current row and unbounded following) as open,
+            (select sum(source_size) from s) as total
+        from s
+    ),
+    l as (
+        select (1.5 * total - given)::double / open::double as level from o
+        where (1.5 * total - given)::double / open::double * w <= 2 * source_size order by source_size / w, source limit 1
+    ),
+    t as (select source, source_size, slope, least((2 * source_size)::double, level * w) as target from s, l),
+    r as (
+        select d.*, source_size, slope, target, floor(target + 0.5)::bigint as goal,
+            coalesce(sum(size) over (partition by d.source order by place, size rows between unbounded preceding and 1 preceding), 0)::bigint as b
+        from d join t on d.source is not distinct from t.source
+    ),
+    k as (
+        select *, greatest(0, least(size, goal - b)) as x, greatest(0, least(size, goal - b - source_size)) as y,
+            b / target as u, (b + source_size) / target as v
+        from r
+    )
+    select doc_id, size, source_size, target, (x + y)::bigint as taken,
+        case when x > 0 then case when slope = 0 then u else (sqrt((1 - slope) * (1 - slope) + 4 * slope * u) - (1 - slope)) / (2 * slope) end end as position,
+        case when y > 0 then case when slope = 0 then v else (sqrt((1 - slope) * (1 - slope) + 4 * slope * v) - (1 - slope)) / (2 * slope) end end as again_position
+    from k
+    """,
+)
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+VOCABULARY = "byte_bpe_50k.json"
+
+
+@register("op7_packing")
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))

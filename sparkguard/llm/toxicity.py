@@ -1,5 +1,7 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
+The n-grams are words, the first letters of words (so that inflected forms share a weight) and pairs of neighbours.
+
 The classifier is fitted on a sample of about SAMPLE_ROWS labelled texts, drawn by a hash of their ids; their features are
 computed where the texts are read and go to one task, which learns in a fixed order. Each coordinate has its own rate, and L1
 leaves few weights that differ from zero, at most 2**BITS. They are what every task gets.
@@ -25,43 +27,58 @@ from sparkguard.llm.common import text_of
 SAMPLE_ROWS = 20_000
 BITS = 20
 EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.6, 0.1
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
 THRESHOLD = 0.7
 
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 _MIX, _PAIR, _SKIP = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+# Letters of a word's beginnings: inflected forms share them.
+STEMS = (3, 4, 5, 6)
+# Words whose hashes a task remembers.
+MOST_WORDS = 500_000
 # Bytes of a text that are turned into features at once.
 PIECE = 1 << 20
 
 
-class _Hashes(dict):
-    """Word hashes, computed once per word; emptied before it grows large."""
+class Words(dict):
+    """Places of words in a table of the hashes of a word and of its beginnings; emptied before it grows large."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.hashes = np.zeros((1 << 16, 1 + len(STEMS)), np.uint64)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        place = len(self)
+        if place == len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        chars = word.decode("utf-8", "replace")
+        self.hashes[place] = [xxhash.xxh64_intdigest(word), *[xxhash.xxh64_intdigest(chars[:k], k) for k in STEMS]]
+        self[word] = place
+        return place
+
+    def bounded(self) -> Words:
+        """To be called between texts."""
+        if len(self) > MOST_WORDS:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+        return self
 
 
-def features(data: bytes, known: dict) -> Iterator[np.ndarray]:
-    """Indices of a text's words, neighbouring pairs and pairs that skip a word, in pieces of bounded size."""
-    data, at, carry = data.lower(), 0, np.zeros(0, np.uint64)
+def features(text: str, words: Words) -> Iterator[np.ndarray]:
+    """Indices of a text's words, their beginnings, neighbouring pairs and pairs that skip a word, in pieces of bounded size."""
+    data, at, carry = text.lower().encode(), 0, np.zeros(0, np.uint64)
     shift = np.uint64(64 - BITS)
     while at < len(data):
         end = min(len(data), at + PIECE)
         while end < len(data) and (97 <= data[end] <= 122 or data[end] >= 128):
             end += 1
         found = _WORD.findall(data, at, end)
-        h = np.concatenate([carry, np.fromiter(map(known.__getitem__, found), np.uint64, len(found))])
-        new = len(carry)  # grams that end before here are known already
-        yield np.concatenate(
-            [
-                (h[new:] * _MIX) >> shift,
-                ((h[max(new - 1, 0) : -1] * _PAIR + h[max(new, 1) :]) * _MIX) >> shift,
-                ((h[max(new - 2, 0) : -2] * _SKIP + h[max(new, 2) :]) * _MIX) >> shift,
-            ]
-        ).astype(np.int64)
+        places = np.fromiter(map(words.__getitem__, found), np.int64, len(found))
+        single = words.hashes[np.unique(places)].ravel()
+        h = np.concatenate([carry, words.hashes[places, 0]])
+        new = len(carry)  # pairs that end before here are known already
+        near = h[max(new - 1, 0) : -1] * _PAIR + h[max(new, 1) :]
+        skip = h[max(new - 2, 0) : -2] * _SKIP + h[max(new, 2) :]
+        yield (np.concatenate([single, near, skip]) * _MIX >> shift).astype(np.int64)
         carry, at = h[-2:], end
 
 
@@ -89,12 +106,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     drawn = F.pmod(F.xxhash64("_id", F.lit("toxicity")), F.lit(1 << 30))
     share = min(1.0, SAMPLE_ROWS / max(1, told.count()))
     sample = F.broadcast(told.where(drawn < int(share * (1 << 30))).select("_id", "label", drawn.alias("place")))
-    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), text_of(f"`{text_col}`").cast("binary").alias("text")).join(sample, "_id")
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), text_of(f"`{text_col}`").alias("text")).join(sample, "_id")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
+        known = Words()
         for b in batches:
-            rows = [np.unique(np.concatenate([np.zeros(0, np.int64), *features(x, known)])).astype(np.uint32).tobytes() for x in b.column(2).to_pylist()]
+            rows = [np.unique(np.concatenate([np.zeros(0, np.int64), *features(x, known.bounded())])).astype(np.uint32).tobytes() for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], ["place", "label", "at"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,11 +134,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _scorer(weights: dict[int, float]):
     at, value = np.array(list(weights), np.int64), np.array(list(weights.values()))
 
-    def score(texts: list[bytes | None], dense: np.ndarray, known: dict) -> np.ndarray:
+    def score(texts: list[str | None], dense: np.ndarray, known: Words) -> np.ndarray:
         dense[at] = value
         sums = np.full(len(texts), dense[1 << BITS])
         for i, text in enumerate(texts):
-            hit = [f[dense[f] != 0] for f in features(text or b"", known)]
+            hit = [f[dense[f] != 0] for f in features(text or "", known.bounded())]
             if hit:
                 sums[i] += dense[np.unique(np.concatenate(hit))].sum()
         return 1 / (1 + np.exp(-np.clip(sums, -500, 500)))
@@ -134,12 +151,12 @@ def scores(docs: DataFrame, weights: dict[int, float], id_col: str = "doc_id", t
     score = _scorer(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense, known = np.zeros((1 << BITS) + 1), _Hashes()
+        dense, known = np.zeros((1 << BITS) + 1), Words()
         for b in batches:
             s = score(b.column(1).to_pylist(), dense, known)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    read = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    read = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return read.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double, predicted int")
 
 
@@ -148,9 +165,9 @@ def without_toxic(docs: DataFrame, weights: dict[int, float], text_col: str = "t
     score, place = _scorer(weights), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense, known = np.zeros((1 << BITS) + 1), _Hashes()
+        dense, known = np.zeros((1 << BITS) + 1), Words()
         for b in batches:
-            yield b.filter(pa.array(score(b.column(place).cast(pa.binary()).to_pylist(), dense, known) < THRESHOLD))
+            yield b.filter(pa.array(score(b.column(place).to_pylist(), dense, known) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
 
