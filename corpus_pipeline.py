@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkguard.llm import exact_dedup, mixing, packing, simhash_dedup, toxicity
 from sparkguard.llm.common import saved, table
 
-VOCABULARY = "byte_bpe_50k.json"
+# The same vocabulary for two libraries.
+VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all pieces in sequences."""
-    return packing.packed(docs, public_tokenizers.path(VOCABULARY))
+    return packing.packed(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.path(RANKS))
 
 
 STAGES = [("toxicity", toxic), ("exact_dedup", exact), ("simhash_dedup", near), ("mixing", mix), ("packing", pack)]

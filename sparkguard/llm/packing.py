@@ -12,8 +12,8 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import os
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -31,54 +31,96 @@ from sparkguard.llm.common import saved, text_of
 CAPACITY = 1024
 END = 2
 # Groups of equally many large pieces, and the length up to which a piece is small.
-GROUPS = 128
-SMALL = 128
+GROUPS = 512
+SMALL = 340
 # Sequences and small pieces that a shard of the best fit is meant to hold.
 SHARD_ROWS = 2000
 # Parts of texts whose tokens a task remembers.
-MOST_PARTS = 400_000
+MOST_PARTS = 1_000_000
 
-_MIXED_GAP = re.compile(r" \s|\s ")
+# Fixed value: how a space is written in the names of byte-level tokens.
+_SPACE = "\u0120"
+_LATIN_END = "\u0250"
 
 
 class TokenIds:
     """Token ids of whole texts, as little-endian 32-bit numbers.
 
     A space before another character always starts a new token, so a text's ids are those of its parts at the spaces, and the ids
-    of a part are looked up once. Texts where a space meets other white space are encoded as they are.
+    of a part are looked up once. Texts where a space meets other white space are encoded as they are. ``ranks`` may name the same
+    vocabulary as a rank file; new parts in Latin letters are then encoded by the faster library that reads it.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, ranks: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.known: dict[str, bytes | None] = {}
+        tokens = self.tokenizer.get_vocab()
+        self.after_space = np.zeros(max(tokens.values()) + 1, bool)
+        self.after_space[[i for t, i in tokens.items() if t.startswith(_SPACE)]] = True
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.fast = None
+        if ranks:
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+
+    def encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.encode(text), "<u4").tobytes()
+
+    def _learn(self, parts: set[str]) -> None:
+        """Many parts in one call: they hold no spaces themselves, so every token that starts with one starts a part."""
+        known, quick, slow = self.known, [], []
+        for p in parts:
+            if not p or p[0].isspace() or p[-1].isspace():
+                known[p] = None  # its ids hang on its neighbours
+            elif self.fast and max(p) < _LATIN_END and not any(x in p for x in self.special):
+                quick.append(p)
+            else:
+                slow.append(p)
+        for encode, of in ((self.fast, quick), (self.encode, slow)):
+            for at in range(0, len(of), 5000):
+                some = of[at : at + 5000]
+                ids = np.array(encode(" " + " ".join(some)), "<u4")
+                starts = np.flatnonzero(self.after_space[ids]) * 4
+                data = ids.tobytes()
+                for part, a, b in zip(some, starts.tolist(), [*starts[1:].tolist(), len(data)], strict=True):
+                    known[part] = data[a:b]
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
         known = self.known
         if len(known) > MOST_PARTS:
             known.clear()
-        plain = [None if _MIXED_GAP.search(t) else t.split(" ") for t in texts]
-        missing = {p for parts in plain if parts for p in parts[1:]}
-        missing = [p for p in missing if p not in known]
-        for p, e in zip(missing, self.tokenizer.encode_batch_fast([" " + p for p in missing], add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-        for text, parts in zip(texts, plain, strict=True):
-            yield self._encode(text) if parts is None else self._encode(parts[0]) + b"".join(map(known.__getitem__, parts[1:]))
-
-
-def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        split = [t.split(" ") for t in texts]
+        self._learn(set().union(*split).difference(known))
+        for text, parts in zip(texts, split, strict=True):
+            first, last = parts[0], parts[-1]
+            if len(parts) == 1 or first[-1:].isspace() or not last or last[0].isspace():
+                yield self._whole(text)
+                continue
+            inner = list(map(known.__getitem__, parts[1:-1]))
+            if None in inner:
+                yield self._whole(text)
+            else:
+                yield self._whole(first) + b"".join(inner) + (known[last] or self._whole(" " + last))
+
+
+def pieces(docs: DataFrame, vocabulary: str, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32; ``part`` and ``nth`` number the pieces of a length where they were made."""
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(f"`{text_col}`").alias("text"))
     end = np.array([END], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, made, part = TokenIds(vocabulary), np.zeros(CAPACITY + 1, np.int64), TaskContext.get().partitionId()
+        ids, made, part = TokenIds(vocabulary, ranks), np.zeros(CAPACITY + 1, np.int64), TaskContext.get().partitionId()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
@@ -195,9 +237,9 @@ def numbered(cut: DataFrame) -> DataFrame:
     return cut.join(begun, ["length", "part"]).withColumn("nth", F.col("nth") + F.col("begun")).drop("part", "begun")
 
 
-def packed(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed(docs: DataFrame, vocabulary: str, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = saved(pieces(docs, vocabulary, id_col, text_col), "pack-pieces")
+    cut = saved(pieces(docs, vocabulary, ranks, id_col, text_col), "pack-pieces")
     plan = Plan({r["length"]: r["count"] for r in cut.groupBy("length").count().collect()})
     rows = numbered(cut)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
