@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkguard.llm import exact_dedup, mixing, packing, simhash_dedup, toxicity
+from sparkguard.llm import exact_dedup, mixing, order_minhash, packing, simhash_dedup, toxicity
 from sparkguard.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,3 +106,8 @@ VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 @register("op7_packing")
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.path(RANKS))
+
+
+@register("op1_order_minhash")
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
