@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkguard.llm import exact_dedup, mixing, order_minhash, packing, simhash_dedup, toxicity
+from sparkguard.llm import brown, exact_dedup, mixing, order_minhash, packing, simhash_dedup, toxicity
 from sparkguard.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,3 +111,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_order_minhash")
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
+# Documents whose id falls into fold LM_FOLD of LM_FOLDS are not learned from.
+LM_FOLDS, LM_FOLD = 10, 0
+
+
+@register("op9_brown_lm")
+def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), LM_FOLDS) == LM_FOLD
+    out = brown.scores(table(spark, sf_dir, "documents"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
