@@ -34,6 +34,8 @@ CLASSES, ROUNDS = 64, 2
 PACK_TOKENS = 1_000_000
 # Added to every count of a word, and the weight of the classes' own shares in a step.
 ADDED, PRIOR = 0.1, 1.0
+# Words seen less often stay in the class of their ending, as unseen ones do.
+LEAST_COUNT = 3
 
 # No word holds a line break.
 _END = b"\n"
@@ -177,7 +179,7 @@ def exchange(ranges: DataFrame, steps: np.ndarray, turn: int) -> DataFrame:
         amounts = np.concatenate([_array(x, np.uint32) for x in pdf["amounts"]])
         order = np.argsort(owner, kind="stable")
         owner, codes, amounts = owner[order], codes[order], amounts[order]
-        movable = (counts > 0) & ((words >> np.uint64(7)) & np.uint64(1) == turn % 2) & (words != np.uint64(_END_HASH))
+        movable = (counts >= LEAST_COUNT) & ((words >> np.uint64(7)) & np.uint64(1) == turn % 2) & (words != np.uint64(_END_HASH))
         for a in range(0, len(words), 20_000):
             b = min(a + 20_000, len(words))
             lo, hi = np.searchsorted(owner, [a, b])
