@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkguard.llm import brown, exact_dedup, mixing, order_minhash, packing, simhash_dedup, toxicity
+from sparkguard.llm import brown, chat, exact_dedup, mixing, order_minhash, packing, simhash_dedup, toxicity
 from sparkguard.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,3 +122,33 @@ def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), LM_FOLDS) == LM_FOLD
     out = brown.scores(table(spark, sf_dir, "documents"), ~held_out)
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def _escaped_sql(text: str) -> str:
+    out = f"replace({text}, chr(92), chr(92) || chr(92))"
+    for c in ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"):
+        out = f"replace({out}, '{c}', '{c[0]}' || chr(92) || '{c[1:]}')"
+    return out
+
+
+@register(
+    "op10_chat_format",
+    f"""
+    with c as (
+        select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+        union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+    )
+    select conv_id, count(*) as n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+        coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+        sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+        sum(12 + length(replace({_escaped_sql("role")}, chr(10), chr(92) || chr(10))) + 1 + length({_escaped_sql("text")}) + 11)::bigint as formatted_chars
+    from c group by conv_id
+    """,
+)
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = "</s>[INST] ok [/INST]"
+    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], rows.schema))
+    records = rows.select("conv_id", "turn", F.to_json(F.struct("role", "text")).alias("record"))
+    return chat.read_back(chat.formatted(chat.canonical(records, "conv_id", "turn", "record")))
