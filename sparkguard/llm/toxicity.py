@@ -118,10 +118,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         model, rows = Ftrl(), []
         for b in batches:
             rows += zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
-        rows = [(label, np.r_[np.frombuffer(at, np.uint32).astype(np.int64), 1 << BITS]) for label, at in rows]
         for _ in range(EPOCHS):
             for label, at in rows:
-                model.learn(at, int(label > 0))
+                model.learn(np.r_[np.frombuffer(at, np.uint32).astype(np.int64), 1 << BITS], int(label > 0))
         w = model.weights(np.arange((1 << BITS) + 1))
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["at", "w"])
