@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkguard.llm import brown, chat, exact_dedup, mixing, order_minhash, packing, simhash_dedup, toxicity
+from sparkguard.llm import brown, chat, exact_dedup, langid, mixing, order_minhash, packing, simhash_dedup, toxicity
 from sparkguard.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,3 +152,15 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], rows.schema))
     records = rows.select("conv_id", "turn", F.to_json(F.struct("role", "text")).alias("record"))
     return chat.read_back(chat.formatted(chat.canonical(records, "conv_id", "turn", "record")))
+
+
+# Documents whose id falls into fold LANG_FOLD of LANG_FOLDS are not learned from.
+LANG_FOLDS, LANG_FOLD = 4, 2
+
+
+@register("op4_language_mixture")
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), LANG_FOLDS) == LANG_FOLD
+    langs, likelihoods = langid.train(docs, ~held_out)
+    return langid.predict(docs, langs, likelihoods).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages")
