@@ -102,7 +102,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     """One row per document: doc_id, size, source_size, target, taken and the positions of its readings, sorted by the first."""
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), word_count(text_col).alias("size"))
     out = mixed(saved(slim, "mix-sizes"), "doc_id", "source", size=F.col("size"))
-    return out.select("row.doc_id", "size", "source_size", "target", "taken", "position", "again_position").orderBy(F.asc_nulls_last("position"))
+    return out.select("row.doc_id", "size", "source_size", "target", "taken", "position", "again_position").orderBy(F.asc_nulls_last("position"), "doc_id")
 
 
 def curriculum(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
