@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkguard.llm import brown, chat, exact_dedup, langid, mixing, order_minhash, packing, simhash_dedup, toxicity
+from sparkguard.llm import brown, chat, exact_dedup, langid, line_dedup, mixing, order_minhash, packing, simhash_dedup, toxicity
 from sparkguard.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,50 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@register(
+    "op2_line_dedup",
+    r"""
+    with l as (
+        select doc_id, coalesce(text, '') as text, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+            generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as no
+        from documents
+    ),
+    w as (select *, greatest(1, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) as words from l),
+    s as (select *, coalesce(sum(words) over (partition by doc_id order by no rows between unbounded preceding and 1 preceding), 0)::bigint as s from w),
+    v as (
+        select doc_id, no, list(line) over a as win, sum(words) over a as held, coalesce(list(line) over b, []) as back
+        from s
+        window a as (partition by doc_id order by s range between current row and 49 following),
+            b as (partition by doc_id order by s range between 50 preceding and 1 preceding)
+    ),
+    x as (select *, len(win) as size, coalesce(lead(win) over (partition by doc_id order by no), []) as ahead from v),
+    y as (select *, ahead[size:] as next from x where held >= 50),
+    f as (select win, min({'d': doc_id, 'n': no}) as f from y group by win having count(*) > 1),
+    p as (
+        select y.doc_id, y.no, y.size, y.back as b1, y.next as n1, o.back as b2, o.next as n2
+        from y join f using (win) join y o on o.doc_id = f.f.d and o.no = f.f.n
+        where y.doc_id <> f.f.d or y.no <> f.f.n
+    ),
+    r as (
+        select doc_id,
+            no - coalesce(list_position([coalesce(b1[len(b1) - i] = b2[len(b2) - i], false) for i in range(least(len(b1), len(b2)))], false) - 1,
+                least(len(b1), len(b2))) as a,
+            no + size - 1 + coalesce(list_position([coalesce(n1[i + 1] = n2[i + 1], false) for i in range(least(len(n1), len(n2)))], false) - 1,
+                least(len(n1), len(n2))) as b
+        from p
+    ),
+    g as (select distinct doc_id, unnest(range(a, b + 1)) as no from r),
+    k as (select l.doc_id, l.no, l.line, g.no is null as stays from l left join g on l.doc_id = g.doc_id and l.no = g.no)
+    select doc_id, count(*) as n_lines, count(*) filter (not stays) as dropped_lines,
+        sha256(coalesce(string_agg(line, chr(10) order by no) filter (stays), '')) as kept_sha256
+    from k group by doc_id
+    """,
+)
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "dropped_lines", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @register(
     "op3_exact_dedup",
     """
