@@ -2,8 +2,8 @@
 
 Lines are hashed where texts are read. A window is the fewest consecutive lines that hold MIN_WORDS words, and there is one from every line on; its
 least line hash is its fingerprint. Any run of that many words that two places share holds a whole window, so both have the same fingerprint.
-Places are joined on the fingerprint and its window's hash, each to the first place alone, and the match is extended both ways as far as
-the lines next to it agree. All places but the first lose the run. A window that a third of all documents share is counted
+Places are joined on the fingerprint and its window's hash, each to the first place alone, and the match is extended both ways while
+the lines next to it agree, over MIN_WORDS words at most: whatever agrees beyond holds windows of its own. All places but the first lose the run. A window that a third of all documents share is counted
 before it is shuffled, and its places are a plain join that AQE splits.
 
 Documents come in the order of their ids, then of their texts' digests; a line without words counts as one word. Defined results: a null text is an empty one, which is a single line; null ids come last; repeated rows lose what the
@@ -40,15 +40,15 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 
 def windows(lines: DataFrame) -> DataFrame:
-    """The whole windows: key, least (its fingerprint), size, and the lines before and after as far as a run may grow.
-
-    Lines behind a window are those that the window of the next line has more; a run cannot hold them all, or that window would match as well.
-    """
+    """The whole windows: key, least (its fingerprint), size, and the lines that lie wholly within MIN_WORDS words before and after."""
     text = W.partitionBy("row_id").orderBy("s")
-    ahead = text.rangeBetween(0, MIN_WORDS - 1)
-    wide = lines.withColumns({"window": F.collect_list("h").over(ahead), "held": F.sum("words").over(ahead), "back": F.reverse(F.collect_list("h").over(text.rangeBetween(-MIN_WORDS, -1)))})
-    size, ahead = F.size("window"), F.coalesce(F.lead("window").over(text), F.array().cast("array<bigint>"))
-    out = wide.withColumns({"size": size, "next": F.slice(ahead, size, F.greatest(F.size(ahead) - size + 1, F.lit(0))), "least": F.array_min("window"), "key": F.xxhash64("window")})
+    window = text.rangeBetween(0, MIN_WORDS - 1)
+    around = lines.withColumns({
+        "back": F.reverse(F.collect_list("h").over(text.rangeBetween(-MIN_WORDS, -1))),
+        "after": F.collect_list("h").over(W.partitionBy("row_id").orderBy(F.col("s") + F.col("words")).rangeBetween(1, MIN_WORDS)),
+    })
+    wide = around.withColumns({"window": F.collect_list("h").over(window), "held": F.sum("words").over(window), "next": F.last("after").over(window)})
+    out = wide.withColumns({"size": F.size("window"), "least": F.array_min("window"), "key": F.xxhash64("window")})
     return out.where(F.col("held") >= MIN_WORDS).select("row_id", "doc", "no", "size", "least", "key", "back", "next")
 
 

@@ -37,13 +37,14 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     w as (select *, greatest(1, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) as words from l),
     s as (select *, coalesce(sum(words) over (partition by doc_id order by no rows between unbounded preceding and 1 preceding), 0)::bigint as s from w),
     v as (
-        select doc_id, no, list(line) over a as win, sum(words) over a as held, coalesce(list(line) over b, []) as back
+        select doc_id, no, list(line) over a as win, sum(words) over a as held, coalesce(list(line) over b, []) as back, coalesce(list(line) over c, []) as after
         from s
         window a as (partition by doc_id order by s range between current row and 49 following),
-            b as (partition by doc_id order by s range between 50 preceding and 1 preceding)
+            b as (partition by doc_id order by s range between 50 preceding and 1 preceding),
+            c as (partition by doc_id order by s + words range between 1 following and 50 following)
     ),
-    x as (select *, len(win) as size, coalesce(lead(win) over (partition by doc_id order by no), []) as ahead from v),
-    y as (select *, ahead[size:] as next from x where held >= 50),
+    x as (select *, len(win) as size from v),
+    y as (select x.*, e.after as next from x join v e on e.doc_id = x.doc_id and e.no = x.no + x.size - 1 where x.held >= 50),
     f as (select win, min({'d': doc_id, 'n': no}) as f from y group by win having count(*) > 1),
     p as (
         select y.doc_id, y.no, y.size, y.back as b1, y.next as n1, o.back as b2, o.next as n2
