@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Leading words of a statement, and the words that count as operations inside it.
-LEADING = ("select", "insert", "update", "delete", "create", "drop", "alter", "truncate", "execute", "exec")
+LEADING = ("select", "insert", "update", "delete", "create", "drop", "alter", "truncate", "execute", "exec", "call")
 OPERATIONS = ("select", "insert", "update", "delete", "create", "drop", "alter", "truncate")
 
 # Words and system objects that make a statement risky, matched as substrings.
@@ -65,6 +65,21 @@ PACKET_WORDS = {
     27017: ("insert", "update", "delete", "findAndModify", "remove"),
 }
 
+# What findings say.
+SAYS = {
+    "keyword": "Contains dangerous keyword: ",
+    "system object": "Accesses system object: ",
+    "delete": "DELETE without WHERE clause",
+    "update": "UPDATE without WHERE clause",
+    "select all": "SELECT * may return large dataset",
+    "order by": "ORDER BY without LIMIT may be slow",
+    "many tables": "Query accesses many tables - potential performance impact",
+    "literals": "String literals present - check for SQL injection",
+    "drop collection": "DROP operation can delete entire collection",
+    "delete many": "deleteMany without specific filter",
+    "find": "find() without limit may return large dataset",
+}
+
 
 def _strings(items) -> Column:
     return F.array(*[F.lit(x) for x in items])
@@ -77,7 +92,7 @@ def normalized(text: Column) -> Column:
 
 
 def query_type(norm: Column) -> Column:
-    word = F.regexp_extract(F.lower(norm), "^(" + "|".join(LEADING) + ")", 1)
+    word = F.regexp_extract(F.lower(norm), "^(" + "|".join(LEADING) + r")\b", 1)
     return F.when(word == "", "unknown").when(word == "exec", "execute").otherwise(word)
 
 
@@ -114,11 +129,11 @@ def risk_factors(norm: Column, ops: Column) -> Column:
     low = F.lower(norm)
     no_where = ~low.contains("where")
     return _when_true(
-        [(low.contains(w), f"Contains dangerous keyword: {w}") for w in DANGEROUS_KEYWORDS]
-        + [(low.contains(w), f"Accesses system object: {w}") for w in SYSTEM_OBJECTS]
-        + [(F.array_contains(ops, "delete") & no_where, "DELETE without WHERE clause")]
-        + [(F.array_contains(ops, "update") & no_where, "UPDATE without WHERE clause")]
-        + [(low.rlike(r"select\s+\*\s+from"), "SELECT * may return large dataset")]
+        [(low.contains(w), SAYS["keyword"] + w) for w in DANGEROUS_KEYWORDS]
+        + [(low.contains(w), SAYS["system object"] + w) for w in SYSTEM_OBJECTS]
+        + [(F.array_contains(ops, "delete") & no_where, SAYS["delete"])]
+        + [(F.array_contains(ops, "update") & no_where, SAYS["update"])]
+        + [(low.rlike(r"select\s+\*\s+from"), SAYS["select all"])]
     )
 
 
@@ -126,9 +141,9 @@ def potential_issues(norm: Column) -> Column:
     low = F.lower(norm)
     return _when_true(
         [
-            (low.contains("order by") & ~low.contains("limit"), "ORDER BY without LIMIT may be slow"),
-            (F.size(tables(norm)) > 5, "Query accesses many tables - potential performance impact"),
-            (norm.rlike("'.*'"), "String literals present - check for SQL injection"),
+            (low.contains("order by") & ~low.contains("limit"), SAYS["order by"]),
+            (F.size(tables(norm)) > 5, SAYS["many tables"]),
+            (norm.rlike("'.*'"), SAYS["literals"]),
         ]
     )
 
@@ -153,9 +168,9 @@ def mongo_collections(text: Column) -> Column:
 def mongo_risks(text: Column) -> Column:
     return _when_true(
         [
-            (text.contains(".drop("), "DROP operation can delete entire collection"),
-            (text.contains(".deleteMany(") & ~text.contains("$where"), "deleteMany without specific filter"),
-            (text.contains(".find(") & ~text.contains("limit("), "find() without limit may return large dataset"),
+            (text.contains(".drop("), SAYS["drop collection"]),
+            (text.contains(".deleteMany(") & ~text.contains("$where"), SAYS["delete many"]),
+            (text.contains(".find(") & ~text.contains("limit("), SAYS["find"]),
         ]
     )
 
@@ -193,6 +208,7 @@ class SafetyRule:
     name: str
     pattern: str
     level: str
+    description: str = ""
     production: bool = True
     dev: bool = True
     sandbox: bool = False
@@ -209,40 +225,40 @@ class SafetyRule:
 
 # The built-in rules.
 BUILTIN_RULES = (
-    SafetyRule("drop_or_truncate", r"\b(drop|truncate)\s+(table|database|schema)", "critical", sandbox=True),
-    SafetyRule("command_shell", r"\bxp_cmdshell\b", "critical", sandbox=True),
-    SafetyRule("bulk_access", r"\b(bulk\s+insert|openrowset|opendatasource)\b", "dangerous"),
-    SafetyRule("unsafe_delete", r"\bdelete\s+from\s+\w+", "dangerous", unless=("where",)),
-    SafetyRule("unsafe_update", r"\bupdate\s+\w+\s+set\s+", "dangerous", unless=("where",)),
-    SafetyRule("system_access", r"\b(sys\.|information_schema\.|master\.|msdb\.)", "moderate", dev=False),
+    SafetyRule("drop_or_truncate", r"\b(drop|truncate)\s+(table|database|schema)", "critical", "DROP/TRUNCATE operations are destructive", sandbox=True),
+    SafetyRule("command_shell", r"\bxp_cmdshell\b", "critical", "Command execution via xp_cmdshell", sandbox=True),
+    SafetyRule("bulk_access", r"\b(bulk\s+insert|openrowset|opendatasource)\b", "dangerous", "Bulk data operations can affect performance"),
+    SafetyRule("unsafe_delete", r"\bdelete\s+from\s+\w+", "dangerous", "DELETE without WHERE clause", unless=("where",)),
+    SafetyRule("unsafe_update", r"\bupdate\s+\w+\s+set\s+", "dangerous", "UPDATE without WHERE clause", unless=("where",)),
+    SafetyRule("system_access", r"\b(sys\.|information_schema\.|master\.|msdb\.)", "moderate", "System table/schema access", dev=False),
 )
 # The rules a configuration starts from.
 CONFIG_RULES = (
-    SafetyRule("block_drop_operations", r"\b(drop|truncate)\s+(table|database|schema|collection)", "critical", sandbox=True),
-    SafetyRule("block_system_commands", r"\b(xp_cmdshell|sp_configure|openrowset|opendatasource)\b", "critical", sandbox=True),
-    SafetyRule("unsafe_deletes", r"\bdelete\s+from\s+\w+", "dangerous", unless=("where",)),
-    SafetyRule("unsafe_updates", r"\bupdate\s+\w+\s+set\s+", "dangerous", unless=("where",)),
-    SafetyRule("system_table_access", r"\b(sys\.|information_schema\.|master\.|msdb\.)", "moderate", dev=False),
-    SafetyRule("bulk_operations", r"\b(bulk\s+insert|load\s+data)\b", "moderate"),
+    SafetyRule("block_drop_operations", r"\b(drop|truncate)\s+(table|database|schema|collection)", "critical", "DROP/TRUNCATE operations are destructive", sandbox=True),
+    SafetyRule("block_system_commands", r"\b(xp_cmdshell|sp_configure|openrowset|opendatasource)\b", "critical", "System command execution", sandbox=True),
+    SafetyRule("unsafe_deletes", r"\bdelete\s+from\s+\w+", "dangerous", "DELETE without WHERE clause", unless=("where",)),
+    SafetyRule("unsafe_updates", r"\bupdate\s+\w+\s+set\s+", "dangerous", "UPDATE without WHERE clause", unless=("where",)),
+    SafetyRule("system_table_access", r"\b(sys\.|information_schema\.|master\.|msdb\.)", "moderate", "System table/schema access", dev=False),
+    SafetyRule("bulk_operations", r"\b(bulk\s+insert|load\s+data)\b", "moderate", "Bulk data operations"),
 )
 # The deployed rules.
 DEPLOYED_RULES = (
-    SafetyRule("block_drop_operations", r"\b(drop|truncate)\s+(table|database|schema|collection)\b", "critical", sandbox=True),
+    SafetyRule("block_drop_operations", r"\b(drop|truncate)\s+(table|database|schema|collection)\b", "critical", "DROP/TRUNCATE operations are destructive and irreversible", sandbox=True),
     SafetyRule(
         "block_system_commands",
         r"\b(xp_cmdshell|sp_configure|openrowset|opendatasource|exec\s+xp_|execute\s+xp_)\b",
-        "critical",
+        "critical", "System command execution via stored procedures",
         sandbox=True,
     ),
-    SafetyRule("block_bulk_operations", r"\b(bulk\s+insert|load\s+data|restore\s+database|backup\s+database)\b", "critical", sandbox=True),
-    SafetyRule("unsafe_deletes", r"\bdelete\s+from\s+\w+", "dangerous", unless=("where",)),
-    SafetyRule("unsafe_updates", r"\bupdate\s+\w+\s+set\s+", "dangerous", unless=("where",)),
-    SafetyRule("dynamic_sql_injection", r"\b(exec|execute)\s*\(\s*@|\bexec\s+sp_executesql\b", "dangerous"),
-    SafetyRule("system_table_access", r"\b(sys\.|information_schema\.|master\.|model\.|msdb\.|tempdb\.)\b", "moderate", dev=False),
-    SafetyRule("admin_functions", r"\b(db_owner|db_securityadmin|db_ddladmin|sysadmin)\b", "moderate", dev=False),
-    SafetyRule("large_table_scans", r"\bselect\s+\*\s+from\s+\w+", "moderate", dev=False, unless=("where", "limit", "top")),
-    SafetyRule("mongodb_unsafe_operations", r"\.(drop|dropDatabase|dropIndex)\s*\(", "dangerous"),
-    SafetyRule("mongodb_bulk_write", r"\.(bulkWrite|insertMany|deleteMany)\s*\(", "moderate", dev=False),
+    SafetyRule("block_bulk_operations", r"\b(bulk\s+insert|load\s+data|restore\s+database|backup\s+database)\b", "critical", "Bulk operations can affect system performance", sandbox=True),
+    SafetyRule("unsafe_deletes", r"\bdelete\s+from\s+\w+", "dangerous", "DELETE statements without WHERE clause can remove all data", unless=("where",)),
+    SafetyRule("unsafe_updates", r"\bupdate\s+\w+\s+set\s+", "dangerous", "UPDATE statements without WHERE clause affect all rows", unless=("where",)),
+    SafetyRule("dynamic_sql_injection", r"\b(exec|execute)\s*\(\s*@|\bexec\s+sp_executesql\b", "dangerous", "Dynamic SQL execution can be vulnerable to injection"),
+    SafetyRule("system_table_access", r"\b(sys\.|information_schema\.|master\.|model\.|msdb\.|tempdb\.)\b", "moderate", "Access to system tables and schemas", dev=False),
+    SafetyRule("admin_functions", r"\b(db_owner|db_securityadmin|db_ddladmin|sysadmin)\b", "moderate", "Administrative database functions", dev=False),
+    SafetyRule("large_table_scans", r"\bselect\s+\*\s+from\s+\w+", "moderate", "SELECT * without WHERE/LIMIT can cause performance issues", dev=False, unless=("where", "limit", "top")),
+    SafetyRule("mongodb_unsafe_operations", r"\.(drop|dropDatabase|dropIndex)\s*\(", "dangerous", "MongoDB drop operations"),
+    SafetyRule("mongodb_bulk_write", r"\.(bulkWrite|insertMany|deleteMany)\s*\(", "moderate", "MongoDB bulk operations can affect performance", dev=False),
 )
 RULE_SETS = {"builtin": BUILTIN_RULES, "config": CONFIG_RULES, "deployed": DEPLOYED_RULES}
 

@@ -1,7 +1,7 @@
 """Audit of a query log: one pass of column expressions, on a table or on a stream.
 
-The log needs ``query``, ``database_name`` and ``database_type``. Statements that start with ``db.``
-are read as document-store calls. Rules are literals of the plan, so nothing is joined.
+The log needs ``query``, ``database_name`` and ``database_type``. Statements of a document store
+(type ``mongodb``) are read as its calls, all others as SQL. Rules are literals of the plan, so nothing is joined.
 """
 
 from __future__ import annotations
@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from sparkguard.functions import querytext as Q
 
 
-def is_document_call(query: Column) -> Column:
-    return F.trim(query).startswith("db.")
+def is_document_store(database_type: Column) -> Column:
+    return F.coalesce(F.lower(database_type) == "mongodb", F.lit(False))
 
 
 def analyse(log: DataFrame) -> DataFrame:
     """Adds normalized text, type, operations and safety level."""
-    doc = is_document_call(F.col("query"))
+    doc = is_document_store(F.col("database_type"))
     out = log.withColumn("normalized", F.when(doc, F.trim("query")).otherwise(Q.normalized(F.col("query"))))
     norm = F.col("normalized")
     out = out.withColumn("query_type", F.when(doc, Q.mongo_type(norm)).otherwise(Q.query_type(norm)))
@@ -29,7 +29,7 @@ def analyse(log: DataFrame) -> DataFrame:
 
 
 def risks(analysed: DataFrame) -> DataFrame:
-    doc, norm = is_document_call(F.col("query")), F.col("normalized")
+    doc, norm = is_document_store(F.col("database_type")), F.col("normalized")
     return analysed.withColumn("risk_factors", F.when(doc, Q.mongo_risks(norm)).otherwise(Q.risk_factors(norm, F.col("operations"))))
 
 
@@ -45,6 +45,7 @@ def matched_rules(analysed: DataFrame, rules: Iterable[Q.SafetyRule] | dict[str,
                         F.lit(name).alias("rule_set"),
                         F.lit(r.name).alias("rule_name"),
                         F.lit(r.level).alias("risk_level"),
+                        F.lit(r.description).alias("description"),
                         F.lit(r.production).alias("block_in_production"),
                         F.lit(r.dev).alias("block_in_dev"),
                         F.lit(r.sandbox).alias("block_in_sandbox"),
@@ -107,16 +108,14 @@ def gate(analysed: DataFrame) -> DataFrame:
     )
 
 
-# Fixed value: characters of a statement kept in the audit trail.
-LOGGED_CHARACTERS = 200
+# Fixed value: characters of a statement that a log line shows.
+SHOWN_CHARACTERS = 200
 
 
-def decisions(log: DataFrame) -> DataFrame:
-    """One decision per logged statement."""
+def decisions(log: DataFrame, shown: int = SHOWN_CHARACTERS) -> DataFrame:
+    """One decision per logged statement; ``shown_query`` is its beginning for display, ``query`` stays whole."""
     out = gate(risks(analyse(log)))
-    return out.withColumn("decision", F.when(F.col("allowed"), "ALLOWED").otherwise("BLOCKED")).withColumn(
-        "query", F.substring("query", 1, LOGGED_CHARACTERS)
-    )
+    return out.withColumn("decision", F.when(F.col("allowed"), "ALLOWED").otherwise("BLOCKED")).withColumn("shown_query", F.substring("query", 1, shown))
 
 
 def write_detection(log: DataFrame) -> DataFrame:

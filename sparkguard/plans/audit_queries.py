@@ -13,21 +13,64 @@ def _q(items) -> str:
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
 
 
+# The twins' own words and patterns, written down apart from those of the operators.
+_LEADING = "select|insert|update|delete|create|drop|alter|truncate|execute|exec|call"
+_OPERATIONS = "select|insert|update|delete|create|drop|alter|truncate"
+_KEYWORDS = "drop truncate delete exec execute xp_cmdshell sp_configure openrowset opendatasource bulk backup restore shutdown waitfor".split()
+_OBJECTS = "sys information_schema master model msdb tempdb mysql performance_schema pg_catalog pg_toast".split()
+_REVIEW = "into set values modify cascade constraint index trigger procedure".split()
+_CALLS = [
+    ("find", "select"), ("findOne", "select"), ("aggregate", "select"), ("count", "select"), ("distinct", None), ("insertOne", "insert"),
+    ("insertMany", "insert"), ("updateOne", "update"), ("updateMany", "update"), ("deleteOne", "delete"), ("deleteMany", "delete"),
+    ("replaceOne", "update"), ("createIndex", "create"), ("dropIndex", "drop"), ("drop", "drop"), ("createCollection", "create"),
+]
+_WRITES = [
+    r"(?i)^\s*(insert|update|delete|replace|merge)\s+", r"(?i)^\s*(truncate|drop|create|alter)\s+", r"(?i)^\s*(grant|revoke|deny)\s+",
+    r"(?i)^\s*(backup|restore)\s+", r"(?i)^\s*(exec|execute|call)\s+.*_(insert|update|delete|create|drop)",
+    r"(?i)(insert|update|delete|drop|create|remove)\s*[(]", r"(?i)[$](set|unset|push|pull|inc)", r"(?i)^\s*(shutdown|kill)\s+",
+]
+_BODIES = [
+    r"INSERT\s+INTO", r"(?s)UPDATE\s+.*\s+SET", r"DELETE\s+FROM", r"DROP\s+TABLE", r"CREATE\s+TABLE", r"ALTER\s+TABLE", r"EXEC\s*[(]", r"UNION\s+SELECT",
+]
+# rule set, name, level, pattern, blocked in production, dev and sandbox, words that excuse, description
+_RULES = [
+    ("builtin", "drop_or_truncate", "critical", r"\b(drop|truncate)\s+(table|database|schema)", "ppp", "", "DROP/TRUNCATE operations are destructive"),
+    ("builtin", "command_shell", "critical", r"\bxp_cmdshell\b", "ppp", "", "Command execution via xp_cmdshell"),
+    ("builtin", "bulk_access", "dangerous", r"\b(bulk\s+insert|openrowset|opendatasource)\b", "pp-", "", "Bulk data operations can affect performance"),
+    ("builtin", "unsafe_delete", "dangerous", r"\bdelete\s+from\s+\w+", "pp-", "where", "DELETE without WHERE clause"),
+    ("builtin", "unsafe_update", "dangerous", r"\bupdate\s+\w+\s+set\s+", "pp-", "where", "UPDATE without WHERE clause"),
+    ("builtin", "system_access", "moderate", r"\b(sys|information_schema|master|msdb)[.]", "p--", "", "System table/schema access"),
+    ("config", "block_drop_operations", "critical", r"\b(drop|truncate)\s+(table|database|schema|collection)", "ppp", "", "DROP/TRUNCATE operations are destructive"),
+    ("config", "block_system_commands", "critical", r"\b(xp_cmdshell|sp_configure|openrowset|opendatasource)\b", "ppp", "", "System command execution"),
+    ("config", "unsafe_deletes", "dangerous", r"\bdelete\s+from\s+\w+", "pp-", "where", "DELETE without WHERE clause"),
+    ("config", "unsafe_updates", "dangerous", r"\bupdate\s+\w+\s+set\s+", "pp-", "where", "UPDATE without WHERE clause"),
+    ("config", "system_table_access", "moderate", r"\b(sys|information_schema|master|msdb)[.]", "p--", "", "System table/schema access"),
+    ("config", "bulk_operations", "moderate", r"\b(bulk\s+insert|load\s+data)\b", "pp-", "", "Bulk data operations"),
+    ("deployed", "block_drop_operations", "critical", r"\b(drop|truncate)\s+(table|database|schema|collection)\b", "ppp", "", "DROP/TRUNCATE operations are destructive and irreversible"),
+    ("deployed", "block_system_commands", "critical", r"\b(xp_cmdshell|sp_configure|openrowset|opendatasource|exec\s+xp_|execute\s+xp_)\b", "ppp", "", "System command execution via stored procedures"),
+    ("deployed", "block_bulk_operations", "critical", r"\b(bulk\s+insert|load\s+data|restore\s+database|backup\s+database)\b", "ppp", "", "Bulk operations can affect system performance"),
+    ("deployed", "unsafe_deletes", "dangerous", r"\bdelete\s+from\s+\w+", "pp-", "where", "DELETE statements without WHERE clause can remove all data"),
+    ("deployed", "unsafe_updates", "dangerous", r"\bupdate\s+\w+\s+set\s+", "pp-", "where", "UPDATE statements without WHERE clause affect all rows"),
+    ("deployed", "dynamic_sql_injection", "dangerous", r"\b(exec|execute)\s*[(]\s*@|\bexec\s+sp_executesql\b", "pp-", "", "Dynamic SQL execution can be vulnerable to injection"),
+    ("deployed", "system_table_access", "moderate", r"\b(sys|information_schema|master|model|msdb|tempdb)[.]\b", "p--", "", "Access to system tables and schemas"),
+    ("deployed", "admin_functions", "moderate", r"\b(db_owner|db_securityadmin|db_ddladmin|sysadmin)\b", "p--", "", "Administrative database functions"),
+    ("deployed", "large_table_scans", "moderate", r"\bselect\s+[*]\s+from\s+\w+", "p--", "where limit top", "SELECT * without WHERE/LIMIT can cause performance issues"),
+    ("deployed", "mongodb_unsafe_operations", "dangerous", r"[.](drop|dropDatabase|dropIndex)\s*[(]", "pp-", "", "MongoDB drop operations"),
+    ("deployed", "mongodb_bulk_write", "moderate", r"[.](bulkWrite|insertMany|deleteMany)\s*[(]", "p--", "", "MongoDB bulk operations can affect performance"),
+]
+
 _NORM = (
     "trim(regexp_replace(regexp_replace(regexp_replace(query, '(?m)--.*$', '', 'g'), '(?s)/\\*.*?\\*/', '', 'g'), '\\s+', ' ', 'g'))"
 )
-_TYPE = (
-    "case when regexp_extract(lower(norm), '^(" + "|".join(Q.LEADING) + ")', 1) = '' then 'unknown' "
-    "when regexp_extract(lower(norm), '^(" + "|".join(Q.LEADING) + ")', 1) = 'exec' then 'execute' "
-    "else regexp_extract(lower(norm), '^(" + "|".join(Q.LEADING) + ")', 1) end"
-)
-_FOUND = "regexp_extract_all(lower(norm), '\\b(" + "|".join(Q.OPERATIONS) + ")\\b', 1)"
-_MONGO_HITS = "list_filter(" + _q(Q.MONGO_OPERATIONS) + ", lambda o: contains(norm, '.' || o || '('))"
-_MONGO_MAP = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in Q.MONGO_TYPES.items()) + "}"
+_FIRST = f"regexp_extract(lower(norm), '^({_LEADING})\\b', 1)"
+_TYPE = f"case {_FIRST} when '' then 'unknown' when 'exec' then 'execute' else {_FIRST} end"
+_FOUND = f"regexp_extract_all(lower(norm), '\\b({_OPERATIONS})\\b', 1)"
+_MONGO_HITS = "list_filter(" + _q(c for c, _ in _CALLS) + ", lambda o: contains(norm, '.' || o || '('))"
+_MONGO_MAP = "map {" + ", ".join(f"'{c}': '{k}'" for c, k in _CALLS if k) + "}"
 _MONGO_OPS = f"list_filter(list_transform({_MONGO_HITS}, lambda o: {_MONGO_MAP}[o]), lambda z: z is not null)"
 
 # Statements with their type, operations and level, read by the twins below.
-_A = f"""a0 as (select *, starts_with(trim(query), 'db.') as doc, case when starts_with(trim(query), 'db.') then trim(query) else {_NORM} end as norm from fx_query_log),
+_A = f"""a0 as (select *, lower(database_type) = 'mongodb' as doc, case when lower(database_type) = 'mongodb' then trim(query) else {_NORM} end as norm from fx_query_log),
 a1 as (select *, case when doc then coalesce({_MONGO_OPS}[1], 'unknown') else {_TYPE} end as qtype,
   case when doc then {_MONGO_OPS} when len({_FOUND}) > 0 then {_FOUND} else [{_TYPE}] end as ops from a0),
 a as (select *, case when list_has_any(ops, ['drop', 'truncate']) then 'critical' when list_has_any(ops, ['delete', 'execute']) then 'dangerous'
@@ -64,7 +107,7 @@ def sql_operations(t: Inputs):
     fx="query_log",
 )
 def sql_tables(t: Inputs):
-    a = _analysed(t).where(~A.is_document_call(F.col("query")))
+    a = _analysed(t).where(~A.is_document_store(F.col("database_type")))
     return a.select("event_id", F.array_join(F.array_sort(Q.tables(F.col("normalized"))), ",").alias("tables"))
 
 
@@ -74,7 +117,7 @@ def sql_tables(t: Inputs):
     fx="query_log",
 )
 def sql_functions(t: Inputs):
-    a = _analysed(t).where(~A.is_document_call(F.col("query")))
+    a = _analysed(t).where(~A.is_document_store(F.col("database_type")))
     return a.select("event_id", F.array_join(F.array_sort(Q.called_functions(F.col("normalized"))), ",").alias("functions"))
 
 
@@ -85,8 +128,8 @@ def sql_safety_level(t: Inputs):
 
 _RISKS = (
     "list_sort(list_concat("
-    f"list_transform(list_filter({_q(Q.DANGEROUS_KEYWORDS)}, lambda w: contains(lower(norm), w)), lambda w: 'Contains dangerous keyword: ' || w), "
-    f"list_transform(list_filter({_q(Q.SYSTEM_OBJECTS)}, lambda w: contains(lower(norm), w)), lambda w: 'Accesses system object: ' || w), "
+    f"list_transform(list_filter({_q(_KEYWORDS)}, lambda w: contains(lower(norm), w)), lambda w: 'Contains dangerous keyword: ' || w), "
+    f"list_transform(list_filter({_q(_OBJECTS)}, lambda w: contains(lower(norm), w)), lambda w: 'Accesses system object: ' || w), "
     "case when list_contains(ops, 'delete') and not contains(lower(norm), 'where') then ['DELETE without WHERE clause'] else [] end, "
     "case when list_contains(ops, 'update') and not contains(lower(norm), 'where') then ['UPDATE without WHERE clause'] else [] end, "
     "case when regexp_matches(lower(norm), 'select\\s+\\*\\s+from') then ['SELECT * may return large dataset'] else [] end))"
@@ -105,7 +148,7 @@ _MONGO_RISKS = (
     fx="query_log",
 )
 def sql_risk_factors(t: Inputs):
-    a = A.risks(_analysed(t)).where(~A.is_document_call(F.col("query")))
+    a = A.risks(_analysed(t)).where(~A.is_document_store(F.col("database_type")))
     return a.select("event_id", _joined("risk_factors", "; ").alias("risk_factors"))
 
 
@@ -118,36 +161,35 @@ def sql_risk_factors(t: Inputs):
     fx="query_log",
 )
 def sql_potential_issues(t: Inputs):
-    a = _analysed(t).where(~A.is_document_call(F.col("query")))
+    a = _analysed(t).where(~A.is_document_store(F.col("database_type")))
     return a.select("event_id", F.array_join(Q.potential_issues(F.col("normalized")), "; ").alias("issues"))
 
 
-def _rule_rows(rules, source: str, strict: bool = False) -> str:
+def _rule_rows(wanted: str, strict: bool = False) -> str:
     parts = []
-    for r in rules:
-        cond = f"regexp_matches(norm, '(?i){r.pattern}')"
-        if strict:
-            cond += "".join(f" and not contains(lower(norm), '{w}')" for w in r.unless)
-        parts.append(
-            f"select event_id, '{source}' as rule_set, '{r.name}' as rule_name, '{r.level}' as risk_level, {r.production} as p, {r.dev} as d, {r.sandbox} as s, ops from a where {cond}"
-        )
+    for rules, name, level, pattern, blocked, excuses, says in _RULES:
+        if rules != wanted:
+            continue
+        cond = f"regexp_matches(norm, '(?i){pattern}')" + "".join(f" and not contains(lower(norm), '{w}')" for w in excuses.split() if strict)
+        flags = ", ".join(f"{b == 'p'} as {c}" for b, c in zip(blocked, "pds", strict=True))
+        parts.append(f"select event_id, '{rules}' as rule_set, '{name}' as rule_name, '{level}' as risk_level, '{says}' as description, {flags}, ops from a where {cond}")
     return " union all ".join(parts)
 
 
 @query(
     "sql_rule_match",
-    f"with {_A} select event_id, rule_set, rule_name, risk_level from ("
-    + " union all ".join(_rule_rows(rules, name) for name, rules in Q.RULE_SETS.items())
+    f"with {_A} select event_id, rule_set, rule_name, risk_level, description from ("
+    + " union all ".join(_rule_rows(name) for name in ("builtin", "config", "deployed"))
     + ") z",
     fx="query_log",
 )
 def sql_rule_match(t: Inputs):
-    return A.matched_rules(_analysed(t), Q.RULE_SETS).select("event_id", "rule_set", "rule_name", "risk_level")
+    return A.matched_rules(_analysed(t), Q.RULE_SETS).select("event_id", "rule_set", "rule_name", "risk_level", "description")
 
 
 @query(
     "rule_query_join",
-    f"with {_A} select rule_name, risk_level, count(*) as statements from ({_rule_rows(Q.DEPLOYED_RULES, 'deployed', True)}) z group by 1, 2",
+    f"with {_A} select rule_name, risk_level, count(*) as statements from ({_rule_rows('deployed', True)}) z group by 1, 2",
     fx="query_log",
 )
 def rule_query_join(t: Inputs):
@@ -167,7 +209,7 @@ def sql_env_permission(t: Inputs):
 
 @query(
     "sql_blocked_ops",
-    f"""with {_A}, r as ({_rule_rows(Q.DEPLOYED_RULES, 'deployed')}),
+    f"""with {_A}, r as ({_rule_rows('deployed')}),
     f as (select event_id, bool_or(p) as p, bool_or(d) as d, bool_or(s) as s from r group by 1)
     select a.event_id, case when coalesce(p, false) then array_to_string(list_sort(list_distinct(ops)), ',') else '' end as production,
       case when coalesce(d, false) then array_to_string(list_sort(list_distinct(ops)), ',') else '' end as dev,
@@ -196,7 +238,7 @@ def db_environment(t: Inputs):
 _G = (
     _A
     + f""", g0 as (select *, {_ENV} as env from a),
-g1 as (select *, list_filter(ops, lambda o: not list_contains(case env when 'local_sandbox' then {_q(Q.ALLOWED['local_sandbox'])} else ['select'] end, o))[1] as bad from g0),
+g1 as (select *, list_filter(ops, lambda o: not list_contains(case env when 'local_sandbox' then ['select', 'insert', 'update', 'create', 'alter'] else ['select'] end, o))[1] as bad from g0),
 g as (select *, bad is null and level <> 'dangerous' as allowed,
   case when bad is not null then upper(bad) || ' operation not allowed in ' || env when level = 'dangerous' then 'Query marked as dangerous by analyzer' else 'Operation approved' end as reason,
   case when bad is not null then 'HIGH' when level = 'dangerous' then 'CRITICAL' else 'LOW' end as risk from g1)"""
@@ -218,12 +260,12 @@ def safety_matrix(t: Inputs):
 @query(
     "audit_decision",
     f"""with {_G} select event_id, qtype as query_type, level as safety_level, case when allowed then 'ALLOWED' else 'BLOCKED' end as decision, reason,
-    array_to_string(case when doc then {_MONGO_RISKS} else {_RISKS} end, '; ') as risks, substr(query, 1, 200) as query from g""",
+    array_to_string(case when doc then {_MONGO_RISKS} else {_RISKS} end, '; ') as risks, substr(query, 1, 200) as shown_query, query from g""",
     fx="query_log",
 )
 def audit_decision(t: Inputs):
     d = A.decisions(t.fx("query_log"))
-    return d.select("event_id", "query_type", "safety_level", "decision", "reason", _joined("risk_factors", "; ").alias("risks"), "query")
+    return d.select("event_id", "query_type", "safety_level", "decision", "reason", _joined("risk_factors", "; ").alias("risks"), "shown_query", "query")
 
 
 @query(
@@ -233,7 +275,7 @@ def audit_decision(t: Inputs):
     fx="query_log",
 )
 def mongo_ops(t: Inputs):
-    log = t.fx("query_log").where(A.is_document_call(F.col("query")))
+    log = t.fx("query_log").where(A.is_document_store(F.col("database_type")))
     text = F.trim("query")
     return log.select(
         "event_id",
@@ -249,17 +291,17 @@ def mongo_ops(t: Inputs):
     fx="query_log",
 )
 def mongo_collections(t: Inputs):
-    log = t.fx("query_log").where(A.is_document_call(F.col("query")))
+    log = t.fx("query_log").where(A.is_document_store(F.col("database_type")))
     return log.select("event_id", F.array_join(Q.mongo_collections(F.trim("query")), ",").alias("collections"))
 
 
 @query("mongo_risks", f"with {_A} select event_id, array_to_string({_MONGO_RISKS}, '; ') as risks from a where doc", fx="query_log")
 def mongo_risks(t: Inputs):
-    log = t.fx("query_log").where(A.is_document_call(F.col("query")))
+    log = t.fx("query_log").where(A.is_document_store(F.col("database_type")))
     return log.select("event_id", F.array_join(Q.mongo_risks(F.trim("query")), "; ").alias("risks"))
 
 
-_WRITE = "case " + " ".join(f"when regexp_matches(trim(query), '{p}') then {i + 1}" for i, p in enumerate(Q.WRITE_PATTERNS)) + " end"
+_WRITE = "case " + " ".join(f"when regexp_matches(trim(query), '{p}') then {i + 1}" for i, p in enumerate(_WRITES)) + " end"
 
 
 @query(
@@ -275,7 +317,7 @@ def write_detect(t: Inputs):
 @query(
     "suspicious_detect",
     f"""select event_id, keyword, 'REVIEW' as status, 'Contains dangerous keyword: ' || keyword as message
-    from (select event_id, unnest(list_filter({_q(Q.REVIEW_WORDS)}, lambda w: contains(lower(query), w))) as keyword
+    from (select event_id, unnest(list_filter({_q(_REVIEW)}, lambda w: contains(lower(query), w))) as keyword
       from (select event_id, 'EXPLAIN ' || query as query from fx_query_log) where ({_WRITE}) is null)""",
     fx="query_log",
 )
@@ -285,7 +327,7 @@ def suspicious_detect(t: Inputs):
     return A.suspicious(log).select("event_id", "keyword", "status", "message")
 
 
-_INJECT = "case " + " ".join(f"when regexp_matches(upper(query), '{p}') then {i + 1}" for i, p in enumerate(Q.INJECTION_PATTERNS)) + " end"
+_INJECT = "case " + " ".join(f"when regexp_matches(upper(query), '{p}') then {i + 1}" for i, p in enumerate(_BODIES)) + " end"
 
 
 @query(
@@ -298,13 +340,16 @@ def injection_detect(t: Inputs):
     return out.select("event_id", F.coalesce("injection_pattern", F.lit(0)).alias("injection_pattern"), "blocked")
 
 
+# Ports, and the words looked for in turn; the first port's follow a command byte.
+_PORTS = [
+    (3306, "chr(3) || ", "INSERT UPDATE DELETE REPLACE CREATE DROP ALTER TRUNCATE"),
+    (1433, "", "INSERT UPDATE DELETE CREATE DROP ALTER"),
+    (27017, "", "insert update delete findAndModify remove"),
+]
+
+
 def _packet_sql() -> str:
-    cases = []
-    for port, words in Q.PACKET_WORDS.items():
-        tests = " ".join(
-            "when contains(payload, {}) then '{}'".format(f"chr(3) || '{w[1:]}'" if w[0] == "\x03" else f"'{w}'", w.lstrip("\x03")) for w in words
-        )
-        cases.append(f"when port = {port} then (case {tests} end)")
+    cases = [f"when port = {port} then (case " + " ".join(f"when contains(payload, {byte}'{w}') then '{w}'" for w in words.split()) + " end)" for port, byte, words in _PORTS]
     return "case " + " ".join(cases) + " end"
 
 

@@ -42,28 +42,101 @@ _both(
     """,
 )
 
-_both(
-    "query_log",
-    "events",
-    """
+# Statements of the query log, so that every rule, pattern and word of the audit meets some that match and some that don't.
+SQL_STATEMENTS = (
+    "'SELECT * FROM orders'",
+    "'SELECT o_orderkey FROM orders WHERE o_orderkey = # ORDER BY 1'",  # the event's number
+    "'INSERT INTO users (name) VALUES (''test'')'",
+    "'UPDATE users SET name = ''test'' WHERE id = 1'",
+    "'DELETE FROM users'",
+    "'DELETE FROM users WHERE id = 1'",
+    "'DROP TABLE users'",
+    "'EXEC xp_cmdshell ''dir'''",
+    "'SELECT name FROM sys.objects -- comment'",
+    "'select /* hint */ a.id, count(*) from a join b on a.id = b.id group by a.id limit 5'",
+    "'UPDATE users SET name = 1'",
+    "'BULK INSERT users FROM file1'",
+    "'SELECT a FROM OPENROWSET(1, 2)'",
+    "'SELECT a FROM OPENDATASOURCE(1, 2) WHERE b = 3'",
+    "'LOAD DATA INFILE f INTO TABLE t'",
+    "'RESTORE DATABASE main FROM disk1'",
+    "'BACKUP DATABASE main TO disk1'",
+    "'EXEC (@statement)'",
+    "'EXECUTE(@statement)'",
+    "'EXEC sp_executesql @statement'",
+    "'EXEC sp_configure ''show advanced options'', 1'",
+    "'SELECT IS_MEMBER(''db_owner''), ''db_securityadmin'', ''db_ddladmin'', ''sysadmin'''",
+    "'GRANT SELECT ON orders TO someone'",
+    "'REVOKE SELECT ON orders FROM someone'",
+    "'DENY SELECT ON orders TO someone'",
+    "'CALL orders_insert_row(1)'",
+    "'call report(1)'",
+    "'SELECT remove (a) FROM t'",
+    "'SHUTDOWN WITH NOWAIT'",
+    "'KILL 53'",
+    "'CREATE TABLE t (a int)'",
+    "'CREATE TRIGGER g ON t AFTER INSERT AS SELECT 1'",
+    "'CREATE PROCEDURE p AS SELECT 1'",
+    "'ALTER TABLE t MODIFY a bigint'",
+    "'ALTER TABLE t ADD CONSTRAINT c CHECK (a > 0)'",
+    "'TRUNCATE TABLE t CASCADE'",
+    "'DROP INDEX i ON t'",
+    "'MERGE INTO t USING s ON t.a = s.a WHEN MATCHED THEN UPDATE SET b = s.b'",
+    "'REPLACE INTO t VALUES (1)'",
+    "'SELECT a FROM t UNION SELECT b FROM s'",
+    "'SELECT a FROM information_schema.tables JOIN master.dbo.b ON 1 = 1 JOIN model.dbo.c ON 1 = 1 JOIN msdb.dbo.d ON 1 = 1 JOIN tempdb.dbo.e ON 1 = 1 JOIN f ON 1 = 1'",
+    "'SELECT a FROM mysql.user JOIN performance_schema.b ON 1 = 1 JOIN pg_catalog.c ON 1 = 1 JOIN pg_toast.d ON 1 = 1'",
+    "'WAITFOR DELAY 1'",
+    "'selection(1)'",
+    "'db.users.find({})'",
+    "'SELECT a, ''' || repeat('long text ', 40) || ''' FROM t ORDER BY a LIMIT 3'",
+)
+DOCUMENT_STATEMENTS = (
+    "'db.users.find({}).limit(10)'",
+    "'db.users.deleteMany({})'",
+    "'db.users.find({})'",
+    "'db.users.findOne({})'",
+    "'db.users.aggregate([])'",
+    "'db.users.count({})'",
+    "'db.users.distinct(1)'",
+    "'db.users.insertOne({a: 1})'",
+    "'db.users.insertMany([{a: 1}])'",
+    "'db.users.updateOne({}, {$set: {a: 1}})'",
+    "'db.users.updateMany({}, {$unset: {a: 1}})'",
+    "'db.users.deleteOne({a: 1})'",
+    "'db.users.deleteMany({$where: 1})'",
+    "'db.users.replaceOne({}, {a: 1})'",
+    "'db.users.createIndex({a: 1})'",
+    "'db.users.dropIndex(1)'",
+    "'db.users.drop()'",
+    "'db.dropDatabase()'",
+    "'db.createCollection(1)'",
+    "'db.users.bulkWrite([{a: {$push: {b: 1}}}])'",
+    "'db.users.findAndModify({remove: true}) + db.carts.remove({$pull: 1, $inc: 2})'",
+    "'{''find'': ''users''}'",
+    "'{update: 1, delete: 2, insert: 3}'",
+    "'SELECT * FROM users'",
+)
+_SHAPES = len(SQL_STATEMENTS) + len(DOCUMENT_STATEMENTS)
+_LISTED = ", ".join((*SQL_STATEMENTS, *DOCUMENT_STATEMENTS))
+
+
+def _query_log(statement: str) -> str:
+    return f"""
     select event_id, ts, 's' || cast(user_id as string) as session_id,
            case when user_id % 3 = 0 then 'prod_main' when user_id % 3 = 1 then 'dev_main' else 'sandbox_main' end as database_name,
-           case when user_id % 3 = 2 then 'local_sandbox' else 'mssql' end as database_type,
-           case cast(event_id % 12 as int)
-             when 0 then 'SELECT * FROM orders'
-             when 1 then 'SELECT o_orderkey FROM orders WHERE o_orderkey = ' || cast(event_id as string) || ' ORDER BY 1'
-             when 2 then 'INSERT INTO users (name) VALUES (''test'')'
-             when 3 then 'UPDATE users SET name = ''test'' WHERE id = 1'
-             when 4 then 'DELETE FROM users'
-             when 5 then 'DELETE FROM users WHERE id = 1'
-             when 6 then 'DROP TABLE users'
-             when 7 then 'EXEC xp_cmdshell ''dir'''
-             when 8 then 'SELECT name FROM sys.objects -- comment'
-             when 9 then 'db.users.find({}).limit(10)'
-             when 10 then 'db.users.deleteMany({})'
-             else 'select /* hint */ a.id, count(*) from a join b on a.id = b.id group by a.id limit 5' end as query,
+           case when event_id % {_SHAPES} >= {len(SQL_STATEMENTS)} then case when user_id % 2 = 0 then 'mongodb' else 'MongoDB' end
+                when user_id % 3 = 2 then 'local_sandbox' else 'mssql' end as database_type,
+           replace({statement}, '#', cast(event_id as string)) as query,
            event_type <> 'error' as success, value / 100 as execution_time from events
-    """,
+    """
+
+
+_both(
+    "query_log",
+    "events",
+    _query_log(f"([{_LISTED}])[event_id % {_SHAPES} + 1]"),
+    spark=_query_log(f"element_at(array({_LISTED}), cast(event_id % {_SHAPES} + 1 as int))"),
 )
 
 _both(

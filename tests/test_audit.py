@@ -1,4 +1,4 @@
-"""The twelve statement shapes of the query log, and strict rule matching."""
+"""The statement shapes of the query log, and strict rule matching."""
 
 from __future__ import annotations
 
@@ -10,32 +10,73 @@ from sparkguard.functions import querytext as Q
 from sparkguard.operators import audit as A
 from sparkguard.plans.registry import Inputs
 
-# case: type, level, allowed in production / dev / sandbox
+# statement: type, level, allowed in production / dev / sandbox
 CASES = {
-    **{i: ("select", "safe", (True, True, True)) for i in (0, 1, 8, 9, 11)},
-    **{i: (k, "moderate", (False, True, True)) for i, k in ((2, "insert"), (3, "update"))},
-    **{i: (k, "dangerous", (False, False, True)) for i, k in ((4, "delete"), (5, "delete"), (7, "execute"), (10, "delete"))},
-    6: ("drop", "critical", (False, False, False)),
+    "SELECT * FROM orders": ("select", "safe", (True, True, True)),
+    "SELECT name FROM sys.objects -- comment": ("select", "safe", (True, True, True)),
+    "INSERT INTO users (name) VALUES ('test')": ("insert", "moderate", (False, True, True)),
+    "UPDATE users SET name = 1": ("update", "moderate", (False, True, True)),
+    "DELETE FROM users WHERE id = 1": ("delete", "dangerous", (False, False, True)),
+    "EXEC xp_cmdshell 'dir'": ("execute", "dangerous", (False, False, True)),
+    "EXECUTE(@statement)": ("execute", "dangerous", (False, False, True)),
+    "DROP TABLE users": ("drop", "critical", (False, False, False)),
+    "call report(1)": ("call", "moderate", (False, True, True)),
+    "selection(1)": ("unknown", "moderate", (False, True, True)),
+    "db.users.findOne({})": ("select", "safe", (True, True, True)),
+    "db.users.drop()": ("drop", "critical", (False, False, False)),
+    "{'find': 'users'}": ("unknown", "moderate", (False, True, True)),
 }
 
 
 @pytest.fixture(scope="module")
 def log(spark):
-    return Inputs(spark, SF).fx("query_log").withColumn("case", (F.col("event_id") % 12).cast("int"))
+    return Inputs(spark, SF).fx("query_log")
 
 
 def test_cases(log):
-    rows = A.environment_permission(A.analyse(log)).select("case", "query_type", "safety_level", "production", "dev", "sandbox").distinct().collect()
-    assert len(rows) == 12
-    for r in rows:
-        assert CASES[r["case"]] == (r["query_type"], r["safety_level"], (r["production"], r["dev"], r["sandbox"]))
+    rows = A.environment_permission(A.analyse(log)).where(F.col("query").isin(*CASES)).select("query", "query_type", "safety_level", "production", "dev", "sandbox").distinct().collect()
+    assert {r["query"]: (r["query_type"], r["safety_level"], (r["production"], r["dev"], r["sandbox"])) for r in rows} == CASES
 
 
 def test_matrix_is_stricter_than_the_levels(log):
-    """Inserts and updates pass only in a sandbox, deletes nowhere."""
-    passed = {(r["case"], r["environment"]) for r in A.gate(A.analyse(log)).where("allowed").select("case", "environment").distinct().collect()}
-    reads = {(c, e) for c in (0, 1, 8, 9, 11) for e in ("production", "dev", "local_sandbox")}
-    assert passed == reads | {(2, "local_sandbox"), (3, "local_sandbox")}
+    """Reads pass everywhere, inserts and updates only in a sandbox, deletes nowhere."""
+    wanted = ["SELECT * FROM orders", "UPDATE users SET name = 1", "DELETE FROM users"]
+    passed = A.gate(A.analyse(log)).where(F.col("allowed") & F.col("query").isin(*wanted)).select("query", "environment").distinct().collect()
+    assert {tuple(r) for r in passed} == {(wanted[0], e) for e in ("production", "dev", "local_sandbox")} | {(wanted[1], "local_sandbox")}
+
+
+def test_the_type_of_the_database_decides(spark):
+    rows = [(q, "dev_main", t) for q in ("db.users.find({})", "SELECT 1", '{"find": "users"}') for t in ("mongodb", "MongoDB", "mssql")]
+    out = A.decisions(spark.createDataFrame(rows, "query string, database_name string, database_type string")).collect()
+    got = {(r["query"], r["database_type"]): (r["query_type"], r["decision"]) for r in out}
+    assert got["db.users.find({})", "mongodb"] == got["db.users.find({})", "MongoDB"] == ("select", "ALLOWED")
+    assert got["db.users.find({})", "mssql"] == ("unknown", "BLOCKED") and got["SELECT 1", "mssql"] == ("select", "ALLOWED")
+    assert got['{"find": "users"}', "mongodb"] == got["SELECT 1", "mongodb"] == ("unknown", "ALLOWED")
+
+
+def test_every_rule_pattern_and_word_matches_some_rows_and_misses_some(log):
+    a = A.risks(A.analyse(log))
+    n = a.count()
+    hits = {(r["rule_set"], r["rule_name"]): r["count"] for r in A.matched_rules(a, Q.RULE_SETS).groupBy("rule_set", "rule_name").count().collect()}
+    assert set(hits) == {(k, r.name) for k, rules in Q.RULE_SETS.items() for r in rules} and max(hits.values()) < n
+    assert {r[0] for r in A.write_detection(log).select("write_pattern").distinct().collect()} == {None, *range(1, len(Q.WRITE_PATTERNS) + 1)}
+    assert {r[0] for r in A.injections(log).select("injection_pattern").distinct().collect()} == {None, *range(1, len(Q.INJECTION_PATTERNS) + 1)}
+    found = {r[0] for r in a.select(F.explode("risk_factors")).distinct().collect()} | {r[0] for r in a.select(F.explode(Q.potential_issues(F.col("normalized")))).distinct().collect()}
+    plain = {v for k, v in Q.SAYS.items() if k not in ("keyword", "system object")}
+    assert found == plain | {Q.SAYS["keyword"] + w for w in Q.DANGEROUS_KEYWORDS} | {Q.SAYS["system object"] + w for w in Q.SYSTEM_OBJECTS}
+    calls = a.where(A.is_document_store(F.col("database_type"))).select(F.explode(Q.mongo_operations(F.col("normalized"))))
+    assert {r[0] for r in calls.distinct().collect()} == set(Q.MONGO_OPERATIONS)
+    behind = log.withColumn("query", F.concat(F.lit("EXPLAIN "), "query"))
+    assert {r["keyword"] for r in A.suspicious(behind).select("keyword").distinct().collect()} == set(Q.REVIEW_WORDS)
+
+
+def test_statements_stay_whole(log):
+    row = A.decisions(log, shown=20).where(F.length("query") > 300).first()
+    assert len(row["query"]) > 300 and row["shown_query"] == row["query"][:20]
+
+
+def test_matches_say_why(log):
+    assert A.matched_rules(A.analyse(log), Q.RULE_SETS).where("description = ''").isEmpty()
 
 
 def statements(spark, *texts):
