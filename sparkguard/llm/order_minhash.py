@@ -96,14 +96,14 @@ def _row(text: str, own: np.ndarray, other: str, next_sig: np.ndarray) -> tuple:
     changed = edited(text, other)
     sig = signature(changed)
     return (
-        len(text), hashlib.sha256(changed.encode()).hexdigest(), own.astype(">u4").tobytes().hex(), sig.astype(">u4").tobytes().hex(),
+        len(text), hashlib.sha256(changed.encode()).digest(), own.astype(">u4").tobytes(), sig.astype(">u4").tobytes(),
         float((own == sig).mean()), float((own == next_sig).mean()),
     )
 
 
-_TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+_TYPES = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
 _NAMES = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-_SCHEMA = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_SCHEMA = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _batch(ids: pa.Array, rows: list[tuple], more: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -156,4 +156,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield _batch(b.column(0), [_row(t, signature(t), h, signature(h)) for t, h in pairs], {})
 
     inner = out.where(F.col("part").isNull()).drop("part", "head", "tail")
-    return inner.unionByName(last.mapInArrow(finish, f"doc_id {kind}, {_SCHEMA}"))
+    whole = inner.unionByName(last.mapInArrow(finish, f"doc_id {kind}, {_SCHEMA}"))
+    return whole.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
