@@ -79,18 +79,15 @@ def _contexts(tokens: np.ndarray, classes: np.ndarray, train: np.ndarray, words:
     return counts, sizes, (keys % (2 * CLASSES)).astype(np.uint8), amounts.astype(np.uint32), steps.astype(np.int64)
 
 
-def _for_ranges(pack: int, bits: int, hashes: np.ndarray, classes: np.ndarray, counts, sizes, codes, amounts) -> list[dict]:
-    """A row per range of hashes with what the pack knows about its words."""
-    shift = 64 - bits
-    home = (hashes >> np.uint64(shift)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
-    at = np.flatnonzero(np.r_[True, home[1:] != home[:-1]]) if len(home) else np.zeros(0, np.int64)
-    ends, entry = np.r_[at[1:], len(home)], np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+def _for_ranges(pack: int, buckets: np.ndarray, ends: np.ndarray, classes: np.ndarray, counts, sizes, codes, amounts) -> list[dict]:
+    """A row per range of hashes with what the pack knows about its words, which end at ``ends``."""
+    entry = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
     return [
         {
-            "pack": pack, "bucket": int(home[a]), "hashes": hashes[a:b].tobytes(), "classes": _squeezed(classes[a:b]), "counts": _squeezed(counts[a:b]),
+            "pack": pack, "bucket": bucket, "classes": _squeezed(classes[a:b]), "counts": _squeezed(counts[a:b]),
             "sizes": _squeezed(sizes[a:b]), "codes": _squeezed(codes[entry[a] : entry[b]]), "amounts": _squeezed(amounts[entry[a] : entry[b]]),
         }
-        for a, b in zip(at.tolist(), ends.tolist(), strict=True)
+        for bucket, a, b in zip(buckets.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True)
     ]
 
 
@@ -118,9 +115,13 @@ def packs(docs: DataFrame, train: Column, bits: int, id_col: str, text_col: str)
             flag = np.array(flags, bool)
             pack = (part << 32) | made
             counts, sizes, codes, amounts, steps = _contexts(tokens, classes, np.repeat(flag, lengths), len(words))
-            rows = [{"pack": pack, "ids": pa.concat_arrays(ids).to_pylist(), "train": flag.tobytes(), "lengths": _squeezed(lengths), "tokens": _squeezed(tokens), "hashes": hashes.tobytes(), "steps": _squeezed(steps)}]
-            rows += _for_ranges(pack, bits, hashes, classes, counts, sizes, codes, amounts)
-            return pa.RecordBatch.from_pylist(rows, schema=arrow)
+            buckets, starts = np.unique(hashes >> np.uint64(64 - bits), return_index=True)
+            ends = np.r_[starts[1:], len(hashes)]
+            ranges = _for_ranges(pack, buckets, ends, classes, counts, sizes, codes, amounts)
+            for row, a, b in zip(ranges, starts.tolist(), ends.tolist(), strict=True):
+                row["hashes"] = hashes[a:b].tobytes()
+            whole = {"pack": pack, "ids": pa.concat_arrays(ids).to_pylist(), "train": flag.tobytes(), "lengths": _squeezed(lengths), "tokens": _squeezed(tokens), "steps": _squeezed(steps)}
+            return pa.RecordBatch.from_pylist([whole, *ranges], schema=arrow)
 
         for b in batches:
             if arrow is None:
@@ -164,19 +165,23 @@ def _dense(cells: dict[int, int], size: int) -> np.ndarray:
     return out
 
 
-def exchange(ranges: DataFrame, steps: np.ndarray, turn: int) -> DataFrame:
-    """Moves the words whose turn it is; returns (pack, bucket, classes, counts) and a row per range with its ``stats``."""
+def exchange(ranges: DataFrame, steps: np.ndarray, turn: int, last: bool) -> DataFrame:
+    """Moves the words whose turn it is; returns (pack, bucket, classes, counts in the last round) and once per range its ``stats``.
+
+    A pack's hashes and what it knows about the words may come in one row or in two.
+    """
     logs, shares = np.log(steps + 0.5), np.log(steps.sum(axis=0) + 0.5)
     gain = np.concatenate([logs, logs.T]).astype(np.float32)  # from the left neighbours' classes, to the right ones'
 
     def decide(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]]
+        told = pdf[pdf["codes"].notna()].sort_values("pack")
+        hashes = [np.frombuffer(x, np.uint64) for x in pdf[pdf["hashes"].notna()].sort_values("pack")["hashes"]]
         words, first, at = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-        classes = np.concatenate([_array(x, np.uint8) for x in pdf["classes"]])[first].copy()
-        counts = np.bincount(at, np.concatenate([_array(x, np.uint32) for x in pdf["counts"]]), len(words)).astype(np.int64)
-        owner = np.repeat(at, np.concatenate([_array(x, np.uint32) for x in pdf["sizes"]]))
-        codes = np.concatenate([_array(x, np.uint8) for x in pdf["codes"]])
-        amounts = np.concatenate([_array(x, np.uint32) for x in pdf["amounts"]])
+        classes = np.concatenate([_array(x, np.uint8) for x in told["classes"]])[first].copy()
+        counts = np.bincount(at, np.concatenate([_array(x, np.uint32) for x in told["counts"]]), len(words)).astype(np.int64)
+        owner = np.repeat(at, np.concatenate([_array(x, np.uint32) for x in told["sizes"]]))
+        codes = np.concatenate([_array(x, np.uint8) for x in told["codes"]])
+        amounts = np.concatenate([_array(x, np.uint32) for x in told["amounts"]])
         order = np.argsort(owner, kind="stable")
         owner, codes, amounts = owner[order], codes[order], amounts[order]
         movable = (counts >= LEAST_COUNT) & ((words >> np.uint64(7)) & np.uint64(1) == turn % 2) & (words != np.uint64(_END_HASH))
@@ -191,7 +196,8 @@ def exchange(ranges: DataFrame, steps: np.ndarray, turn: int) -> DataFrame:
         stats = np.r_[np.bincount(classes, counts, CLASSES), np.bincount(classes[seen], minlength=CLASSES)].astype(np.int64)
         ends = np.cumsum([len(x) for x in hashes])
         parts = [(at[e - len(x) : e]) for e, x in zip(ends, hashes, strict=True)]
-        out = pd.DataFrame({"pack": pdf["pack"], "bucket": pdf["bucket"], "classes": [_squeezed(classes[p]) for p in parts], "counts": [_squeezed(counts[p]) for p in parts]})
+        out = pd.DataFrame({"pack": told["pack"], "bucket": told["bucket"], "classes": [_squeezed(classes[p]) for p in parts]})
+        out["counts"] = [_squeezed(counts[p]) for p in parts] if last else None
         out["stats"] = [_squeezed(stats), *[None] * (len(out) - 1)]
         return out
 
@@ -203,21 +209,22 @@ def _told(back: pd.DataFrame, column: str, kind) -> np.ndarray:
     return np.concatenate([_array(x, kind) for x in back.sort_values("bucket")[column]])
 
 
-def relabelled(pack_rows: DataFrame, back: DataFrame, bits: int, schema: str) -> DataFrame:
+def relabelled(pack_rows: DataFrame, back: DataFrame, schema: str) -> DataFrame:
     """New rows for the ranges, and the steps of each pack, by the classes of the last round."""
 
     def relabel(key: tuple, packed: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        row = packed.iloc[0]
-        tokens, hashes = _array(row["tokens"], np.uint32), np.frombuffer(row["hashes"], np.uint64)
+        row, told = packed.iloc[0], told.sort_values("bucket")
+        tokens, parts = _array(row["tokens"], np.uint32), [_array(x, np.uint8) for x in told["classes"]]
         train = np.repeat(np.frombuffer(row["train"], bool), _array(row["lengths"], np.uint32))
-        classes = _told(told, "classes", np.uint8)
-        counts, sizes, codes, amounts, steps = _contexts(tokens, classes, train, len(hashes))
-        rows = [{"pack": key[0], "steps": _squeezed(steps)}, *_for_ranges(int(key[0]), bits, hashes, classes, counts, sizes, codes, amounts)]
+        classes, ends = np.concatenate(parts), np.cumsum([len(x) for x in parts])
+        counts, sizes, codes, amounts, steps = _contexts(tokens, classes, train, len(classes))
+        rows = [{"pack": key[0], "steps": _squeezed(steps)}, *_for_ranges(int(key[0]), told["bucket"].to_numpy(), ends, classes, counts, sizes, codes, amounts)]
         out = pd.DataFrame(rows, columns=_FIELDS)
         out["bucket"] = out["bucket"].astype("Int32")
         return out.astype(object).where(out.notna(), None)
 
-    return pack_rows.groupBy("pack").cogroup(back.groupBy("pack")).applyInPandas(relabel, schema)
+    slim = pack_rows.select("pack", "train", "lengths", "tokens")
+    return slim.groupBy("pack").cogroup(back.select("pack", "bucket", "classes").groupBy("pack")).applyInPandas(relabel, schema)
 
 
 def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,13 +234,16 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType.simpleString()
     schema = _PACK.format(kind=kind)
     now = saved(packs(docs, train, bits, id_col, text_col), "brown-packs")
-    pack_rows = now.where(F.col("bucket").isNull()).select("pack", "ids", "train", "lengths", "tokens", "hashes")
+    pack_rows = now.where(F.col("bucket").isNull()).select("pack", "ids", "train", "lengths", "tokens")
+    words = now.where(F.col("bucket").isNotNull()).select("pack", "bucket", "hashes")
     for turn in range(ROUNDS):
         steps = _dense(_cells(now, "steps"), CLASSES * CLASSES).reshape(CLASSES, CLASSES)
         ranges = now.where(F.col("bucket").isNotNull()).select("pack", "bucket", "hashes", "classes", "counts", "sizes", "codes", "amounts")
-        back = saved(exchange(ranges, steps, turn), "brown-classes")
+        if turn:
+            ranges = ranges.drop("hashes").unionByName(words, allowMissingColumns=True)
+        back = saved(exchange(ranges, steps, turn, turn + 1 == ROUNDS), "brown-classes")
         if turn + 1 < ROUNDS:
-            now = saved(relabelled(pack_rows, back.select("pack", "bucket", "classes"), bits, schema), "brown-ranges")
+            now = saved(relabelled(pack_rows, back, schema), "brown-ranges")
     stats = _dense(_cells(back, "stats"), 2 * CLASSES)
     sizes, distinct = stats[:CLASSES], stats[CLASSES:]
     total, vocabulary = int(sizes.sum()), int(distinct.sum())
