@@ -22,12 +22,28 @@ KINDS = [
 ]
 
 
-def matches(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _cut(text: Column, kind: int, sign: str, pattern: str, mask: masks.Mask, key: str, column: str) -> Column:
+    """A piece of text as pieces between its matches (kind 0) and masked matches, in order."""
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
+    def side_by_side(piece: Column, match: Column) -> Column:
+        return F.array(_piece(0, piece), _piece(kind, mask(match, key, column)))
 
-def mask_matches(text: Column, found: Column, mask: masks.Mask, key: str, column: str) -> Column:
-    """Every distinct match replaced by its mask, longest first so that no match cuts another."""
-    ordered = F.array_sort(F.transform(F.array_distinct(found), lambda m: F.struct((-F.length(m)).alias("n"), m.alias("m"))))
-    replaced = F.aggregate(ordered, text, lambda acc, s: F.replace(acc, s["m"], mask(s["m"], key, column)))
-    return F.when(F.size(found) > 0, replaced).otherwise(text)
+    pieces = F.filter(F.flatten(F.zip_with(between, found, side_by_side)), lambda x: x["s"].isNotNull())
+    return F.when(text.contains(sign) & text.rlike(pattern), pieces).otherwise(F.array(_piece(0, text)))
+
+
+def _piece(kind: int, text: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), text.alias("s"))
+
+
+def masked_pieces(text: Column, key: str, column: str) -> Column:
+    """The text cut at the borders of its matches, which are masked; kinds in turn, and none looks into another's mask."""
+
+    def cut(kind: int, sign: str, pattern: str, mask: masks.Mask):
+        return lambda x: F.when(x["kind"] == 0, _cut(x["s"], kind, sign, pattern, mask, key, column)).otherwise(F.array(x))
+
+    out = F.when(text.isNotNull(), F.array(_piece(0, text)))
+    for kind, (_, sign, pattern, mask) in enumerate(KINDS, 1):
+        out = F.flatten(F.transform(out, cut(kind, sign, pattern, mask)))
+    return out

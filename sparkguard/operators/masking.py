@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkguard.functions import masks
-from sparkguard.functions.freetext import KINDS, mask_matches, matches
+from sparkguard.functions.freetext import KINDS, masked_pieces
 
 
 @dataclass(frozen=True)
@@ -296,14 +296,14 @@ def dataset_sensitivity(catalog: DataFrame, by: list[str], rules: Iterable[Maski
 
 
 def mask_free_text(df: DataFrame, text: str, key: str) -> DataFrame:
-    """Cards, phones, e-mails and addresses inside ``text`` replaced, with a count per kind."""
-    out = df
-    for name, sign, pattern, mask in KINDS:
-        found = F.col("_found")
-        none = F.array().cast("array<string>")
-        out = out.withColumn("_found", F.when(F.col(text).contains(sign), matches(F.col(text), pattern)).otherwise(none))
-        out = out.withColumns({f"{name}_count": F.size(found).cast("long"), text: mask_matches(F.col(text), found, mask, key, text)})
-    return out.drop("_found")
+    """Cards, phones, e-mails and addresses inside ``text`` replaced, with a count per kind; all other text stays as it is."""
+    out = df.withColumn("_pieces", masked_pieces(F.col(text), key, text))
+
+    def count(kind: int):
+        return F.size(F.filter("_pieces", lambda x: x["kind"] == kind)).cast("long")
+
+    counts = {f"{name}_count": count(kind) for kind, (name, *_) in enumerate(KINDS, 1)}
+    return out.withColumns({**counts, text: F.array_join(F.transform("_pieces", lambda x: x["s"]), "")}).drop("_pieces")
 
 
 # Name families and keywords that mark a column of a replicated table.

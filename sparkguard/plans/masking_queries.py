@@ -278,24 +278,24 @@ def keyword_mask(t: Inputs):
 # ---- free text -------------------------------------------------------------------------------
 
 
+# One character of Unicode's private use stands for each masked kind until the text is put together again.
+_MARKS = "\ue001\ue002\ue003\ue004"
+
+
 def _text_sql(table: str, ids: str, text: str = "text") -> str:
-    step, prev = [], f"select {ids}, {text} as text from {table}"
-    for name, pattern, strategy in (
-        ("card", CARD, "fake_credit_card"),
-        ("phone", PHONE, "fake_phone"),
-        ("email", EMAIL, "fake_email"),
-        ("ip", IP, "fake_ipv4"),
-    ):
-        found = f"list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(text, '{pattern}')), lambda m: struct_pack(n := -length(m), m := m))), lambda z: z.m)"
+    """Matches become marks, kind by kind; at the end the marked text is cut at the marks and the masks are set between."""
+    inner = f"select {ids}, {text} as text from {table}"
+    kinds = (("card", CARD, "fake_credit_card"), ("phone", PHONE, "fake_phone"), ("email", EMAIL, "fake_email"), ("ip", IP, "fake_ipv4"))
+    for mark, (name, pattern, _) in zip(_MARKS, kinds, strict=True):
+        inner = f"select * exclude (text), regexp_extract_all(text, '{pattern}') as {name}_found, regexp_replace(text, '{pattern}', '{mark}', 'g') as text from ({inner})"
+    for mark, (name, _, strategy) in zip(_MARKS, kinds, strict=True):
         masked = re.sub(r"\s+", " ", S.text_mask(strategy, "m", "text"))
-        step.append(f"select * exclude (text), len(regexp_extract_all(text, '{pattern}')) as {name}_count, text, {found} as ms from")
-        prev = (
-            f"select * exclude (text, ms, rs), list_reduce(list_concat([struct_pack(m := '', r := text)], list_zip_pairs), lambda a, b: "
-            f"struct_pack(m := '', r := replace(a.r, b.m, b.r))).r as text from (select *, list_transform(ms, lambda m: struct_pack(m := m, r := {masked})) as list_zip_pairs, 0 as rs "
-            f"from ({step[-1]} ({prev})))"
+        inner = (
+            f"select * exclude (text, {name}_found), len({name}_found)::bigint as {name}_count, "
+            f"case when len({name}_found) = 0 then text else array_to_string(list_transform(list_zip(string_split(text, '{mark}'), list_transform({name}_found, lambda m: {masked})), "
+            f"lambda z: z[1] || coalesce(z[2], '')), '') end as text from ({inner})"
         )
-        prev = f"select * exclude (list_zip_pairs) from ({prev})"
-    return prev
+    return inner
 
 
 @query("text_pii_mask", _text_sql("documents", "doc_id"))

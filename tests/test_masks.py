@@ -156,6 +156,26 @@ def test_keyword_columns():
     assert all(M.is_keyword_sensitive(c) for c in sensitive) and not any(M.is_keyword_sensitive(c) for c in plain)
 
 
+def test_free_text_around_matches_stays(spark):
+    text = "call 555-123-4567 ref 9555-123-45678 v10.1.1.1 and 555-123-4567, 10.1.1.1 x@y.org"
+    row = M.mask_free_text(spark.createDataFrame([(text,)], "t string"), "t", KEY).first()
+    assert (row["card_count"], row["phone_count"], row["email_count"], row["ip_count"]) == (0, 2, 1, 1)
+    shape = re.fullmatch(r"call (\S+) ref 9555-123-45678 v10\.1\.1\.1 and (\S+), (\S+) (\S+@\S+)", row["t"])
+    assert shape and shape[1] == shape[2] != "555-123-4567" and shape[3] != "10.1.1.1" and shape[4] != "x@y.org"
+
+
+def test_free_text_takes_time_in_proportion(spark):
+    def seconds(n):
+        text = " ".join(f"user{i}@mail{i}.org 10.{i % 250}.{i % 199}.{i % 77}" for i in range(n))
+        df = spark.createDataFrame([(text,)], "t string")
+        start = time.perf_counter()
+        assert M.mask_free_text(df, "t", KEY).first()["email_count"] == n
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(32_000) < 16 * max(0.5, seconds(4_000))  # the longer text has more than a megabyte
+
+
 def test_free_text_is_whole_and_consistent(spark):
     text = "mail a@b.com, xa@b.com, a@b.com; card 4532-1234-5678-9012; call (555) 123-4567 or (555) 1234567; host 10.0.0.1. " * 400
     row = M.mask_free_text(spark.createDataFrame([(text,), (None,), ("nothing",)], "t string"), "t", KEY).collect()
