@@ -7,13 +7,20 @@ published (hash and key masks) SHA-256 is used.
 
 from __future__ import annotations
 
+import hmac
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def column_key(key: str, column: str) -> str:
+    """The key of one column, derived on the driver, so that no plan holds the secret itself."""
+    return hmac.new(key.encode(), column.encode(), "sha256").hexdigest()[:32]
+
+
 def keyed_text(value: Column, key: str, column: str) -> Column:
     """Null for a null value, so that every mask built on it keeps nulls by itself."""
-    return F.concat(F.lit(f"{key}:{column}:"), value)
+    return F.concat(F.lit(f"{column_key(key, column)}:"), value)
 
 
 def digest(value: Column, key: str, column: str) -> Column:

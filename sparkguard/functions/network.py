@@ -15,10 +15,10 @@ def ip_number(ip: Column) -> Column:
     return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), number)
 
 
-def network_of(number: Column, prefix: int) -> Column:
+def network_of(number: Column, prefix: int | Column) -> Column:
     """Network number of an address for a prefix length."""
-    size = 2 ** (32 - prefix)
-    return number - number % F.lit(size)
+    size = F.pow(F.lit(2), 32 - prefix).cast("long") if isinstance(prefix, Column) else F.lit(2 ** (32 - prefix))
+    return number - number % size
 
 
 def networks(entries: list[str]) -> list[tuple[int, int]]:

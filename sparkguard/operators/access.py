@@ -13,11 +13,12 @@ from sparkguard.operators.joining import null_safe_join
 from sparkguard.operators.metrics import at
 
 
-def check_access(requests: DataFrame, grants: DataFrame, as_of: dt.datetime, conditions: list[str]) -> DataFrame:
+def check_access(requests: DataFrame, grants: DataFrame, as_of: dt.datetime, conditions: list[str], without_context: bool = False) -> DataFrame:
     """Adds ``allowed``: some grant fits principal, resource, permission, time and conditions.
 
     ``conditions`` are columns of both sides. A null in the grant asks nothing, an array asks for one of
-    its values; a null in the request is compared like any value. Equal requests are decided once: a request shape held by a third of
+    its values; a null in the request is compared like any value. With ``without_context`` a request whose conditions are all null has
+    no context, and no condition is asked of it. Equal requests are decided once: a request shape held by a third of
     the rows is one row in the join with the grants, which may be many.
     """
     shape = ["principal", "resource", "permission", *conditions]
@@ -28,11 +29,14 @@ def check_access(requests: DataFrame, grants: DataFrame, as_of: dt.datetime, con
     shapes = requests.select(*shape).distinct()
     keys = ["principal", "resource", "permission"]
     fits = [shapes[k] == offered[k] for k in keys]
+    bare = F.lit(without_context and bool(conditions))
+    for c in conditions:
+        bare = bare & shapes[c].isNull()
     for c in conditions:
         want = F.col(f"want_{c}")
         listed = isinstance(grants.schema[c].dataType, ArrayType)
         met = F.coalesce(F.array_contains(want, shapes[c]), F.lit(False)) if listed else want.eqNullSafe(shapes[c])
-        fits.append(want.isNull() | met)
+        fits.append(want.isNull() | met | bare)
     granted = shapes.join(offered, fits, "left_semi").withColumn("_granted", F.lit(True))
     out = null_safe_join(requests, granted, shape)
     return out.withColumn("allowed", F.coalesce("_granted", F.lit(False))).drop("_granted")
@@ -52,22 +56,21 @@ def match_allow_list(connections: DataFrame, column: str, allowed: list[str]) ->
     return connections.withColumn("allowed", F.coalesce(hit, F.lit(False)))
 
 
-def match_ranges(connections: DataFrame, column: str, ranges: DataFrame, prefixes: list[int] | None = None) -> DataFrame:
+def match_ranges(connections: DataFrame, column: str, ranges: DataFrame) -> DataFrame:
     """Adds ``allowed`` for a table of ranges (``prefix``, ``network``) of any size.
 
-    Distinct addresses are matched once, by equality on (prefix length, network), so neither side is
-    broadcast and no range comparison is joined. An empty table allows all.
+    Distinct addresses are matched once, by equality on (prefix length, network), for the lengths that the table has, 33 at
+    most; so neither side is broadcast and no range comparison is joined. An empty table allows all.
     """
-    prefixes = prefixes or list(range(33))
     number = ip_number(F.col(column))
-    addresses = connections.select(column).distinct()
-    candidates = F.array(*[F.struct(F.lit(p).alias("prefix"), network_of(number, p).alias("network")) for p in prefixes])
-    spread = addresses.select(column, F.explode(candidates).alias("c")).select(column, "c.*")
-    inside = spread.join(ranges.select("prefix", "network").distinct(), ["prefix", "network"], "left_semi").select(column).distinct()
+    lengths = ranges.where(F.col("prefix").isNotNull()).agg(F.collect_set(F.col("prefix").cast("int"))).scalar()
+    listed = ranges.agg(F.count(F.lit(1))).scalar()
+    addresses = connections.select(column).distinct().withColumn("_n", number).withColumn("_p", F.explode(lengths))
+    spread = addresses.select(column, F.col("_p").alias("prefix"), network_of(F.col("_n"), F.col("_p")).alias("network"))
+    known = ranges.select(F.col("prefix").cast("int").alias("prefix"), F.col("network").cast("long").alias("network")).distinct()
+    inside = spread.join(known, ["prefix", "network"], "left_semi").select(column).distinct()
     out = null_safe_join(connections, inside.withColumn("_hit", F.lit(True)), [column])
-    if ranges.limit(1).count() == 0:
-        return out.withColumn("allowed", F.lit(True)).drop("_hit")
-    return out.withColumn("allowed", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    return out.withColumn("allowed", F.coalesce("_hit", F.lit(False)) | (listed == 0)).drop("_hit")
 
 
 def orphans(resources: DataFrame, sessions: DataFrame, resource_key: str, session_key: str) -> DataFrame:

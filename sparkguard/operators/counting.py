@@ -19,10 +19,14 @@ def breakdown(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.select(dimension.alias("dimension"), F.coalesce(*columns, F.lit("all")).alias("item"), "n")
 
 
-def recent_success(log: DataFrame, last: int = 100) -> DataFrame:
+def latest(rows: DataFrame, n: int, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """The ``n`` newest rows, newest first, ties by the larger ``tie``."""
+    return rows.orderBy(F.desc(ts), F.desc(tie)).limit(n)
+
+
+def recent_success(log: DataFrame, last: int) -> DataFrame:
     """Success among the latest entries."""
-    latest = log.orderBy(F.desc("ts"), F.desc("event_id")).limit(last)
-    return latest.agg(
+    return latest(log, last).agg(
         F.count(F.lit(1)).alias("total_queries"), F.count_if("success").alias("successful_queries"), F.count_if(~F.col("success")).alias("failed_queries")
     )
 

@@ -7,10 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows a side may have before it is no longer broadcast. The check counts at most this many rows.
-BROADCAST_ROWS = 50_000
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Equi-join on equally named keys that may be null; the keys of the left side stay."""
     if not keys:
@@ -19,12 +15,3 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     renamed = right.select(*[F.col(f"`{k}`").alias(f"__{k}") for k in keys], *[F.col(f"`{c}`") for c in right_columns])
     condition = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__{k}"]) for k in keys])
     return left.join(renamed, condition, how).drop(*[f"__{k}" for k in keys])
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a counted bound; larger sides are left to a shuffle join.
-
-    The hint is given to exactly the counted rows: the limit stays in the plan.
-    """
-    bounded = df.limit(rows + 1)
-    return F.broadcast(bounded) if bounded.count() <= rows else df

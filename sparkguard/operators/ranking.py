@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkguard.operators.joining import broadcast_if_small
 from sparkguard.operators.timeslices import time_slice
 from sparkguard.session import shared_dir
 
@@ -65,7 +64,7 @@ def newest(df: DataFrame, keys: list[str], ts: str, tie: str, n: int, slice_seco
     sizes = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     newer = W.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(W.unboundedPreceding, -1)
     needed = sizes.withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0))).where(F.col("_newer") < n)
-    oldest = broadcast_if_small(needed.groupBy(*keys).agg(F.min("_slice").alias("_oldest")))
+    oldest = needed.groupBy(*keys).agg(F.min("_slice").alias("_oldest"))
     rough = sliced.join(oldest, keys).where(F.col("_slice") >= F.col("_oldest"))
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(ts), F.desc(tie)))
     return rough.withColumn("_rn", rank).where(F.col("_rn") <= n).select(*df.columns)

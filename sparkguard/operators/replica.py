@@ -10,8 +10,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkguard.functions.digest import digest, slot
-from sparkguard.operators import ranking
-from sparkguard.operators.joining import BROADCAST_ROWS
 from sparkguard.operators.masking import keyword_mask
 
 # Fixed value: rows of a table kept in a copy.
@@ -58,57 +56,40 @@ def processing_order(tables: list[TableInfo]) -> list[TableInfo]:
 def sample(df: DataFrame, info: TableInfo, key: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     """The ``rows`` rows with the smallest keyed digest of their key: repeatable, and all rows of a small table.
 
-    Small samples are a top-k. For large ones the digest's first slice cuts the table to little more than
-    ``rows`` rows, and exact positions cut the rest, so no task holds the whole sample.
+    The table's row count gives the share of digests to look at, with ten standard deviations to spare; it is part of the plan,
+    so little more than ``rows`` rows of the table go on to the exact cut, however large the table is.
     """
     text = F.concat_ws("|", *[F.col(c).cast("string") for c in info.primary_key])
+    total = df.agg(F.count(F.lit(1))).scalar()
+    share = (rows + 10 * math.sqrt(rows) + 100) * float(2**32) / total
     drawn = df.withColumn("_d", digest(text, key, info.name))
-    order = ["_d", *info.primary_key]
-    if rows <= BROADCAST_ROWS:
-        return drawn.orderBy(*order).limit(rows).drop("_d")
-    total = df.count()
-    if total <= rows:
-        return df
-    share = (rows + 10 * math.sqrt(rows) + 100) / total
-    if share < 1:
-        cut = drawn.where(slot(F.col("_d"), 0) < int(share * 2**32))
-        drawn = cut if cut.count() >= rows else drawn
-    return ranking.positions(drawn, [], order).where(F.col("before") < rows).drop("_d", "before", "total")
-
-
-def _numbered(keys: DataFrame, rows: int) -> DataFrame:
-    """Parent keys with an index from zero, and their count."""
-    if rows <= BROADCAST_ROWS:
-        return keys.select("_pk", (F.row_number().over(W.orderBy("_pk")) - 1).cast("long").alias("_i"))
-    return ranking.positions(keys, [], ["_pk"]).select("_pk", F.col("before").alias("_i"))
-
-
-def fix_foreign_key(child: DataFrame, fk: ForeignKey, parents: DataFrame, key: str, rows: int) -> DataFrame:
+    near = drawn.where((slot(F.col("_d"), 0) < share) | (total <= rows))
+    return near.orderBy("_d", *info.primary_key).limit(rows).drop("_d")
+
+
+def fix_foreign_key(child: DataFrame, fk: ForeignKey, parents: DataFrame, key: str) -> DataFrame:
     """Keys that the parent copy holds stay; others become one it does hold, drawn from the value's digest; none gives null.
 
-    ``rows`` is the limit the parent copy was sampled with. Up to the broadcast bound it is sent to every task, beyond it both
-    look-ups are shuffle joins.
+    Both look-ups are plain joins: the size of the written copy decides how they run. Rows that need no spare key get a spread-out index
+    that matches none, instead of meeting as nulls.
     """
     keys = parents.select(F.col(fk.parent_column).alias("_pk")).where(F.col("_pk").isNotNull()).distinct()
-    spare = _numbered(keys, rows).select(F.col("_i"), F.col("_pk").alias("_spare"))
+    spare = keys.select((F.row_number().over(W.orderBy("_pk")) - 1).cast("long").alias("_i"), F.col("_pk").alias("_spare"))  # a sample
     n = keys.agg(F.count(F.lit(1))).scalar()
-    small = F.broadcast if rows <= BROADCAST_ROWS else (lambda df: df)
     columns = child.columns
     value = F.col(fk.column)
-    kept = child.join(small(keys), value == F.col("_pk"), "left")
+    kept = child.join(keys, value == F.col("_pk"), "left")
     drawn = slot(digest(F.coalesce(value.cast("string"), F.lit("")), key, fk.column), 0)
-    # in a shuffle, rows that need no spare key get a spread-out index that matches none, instead of meeting as nulls
-    idle = F.lit(None) if rows <= BROADCAST_ROWS else -1 - F.pmod(F.xxhash64(*columns), F.lit(1_000_000))
+    idle = -1 - F.pmod(F.xxhash64(*columns), F.lit(1_000_000))
     indexed = kept.withColumn("_i", F.when(F.col("_pk").isNull() & (n > 0), drawn % n).otherwise(idle))
-    out = indexed.join(small(spare), "_i", "left")
+    out = indexed.join(spare, "_i", "left")
     fixed = F.coalesce("_pk", "_spare").cast(child.schema[fk.column].dataType)
     return out.select(*[fixed.alias(c) if c == fk.column else F.col(c) for c in columns])
 
 
-def keep_with_parents(child: DataFrame, fk: ForeignKey, parents: DataFrame, rows: int) -> DataFrame:
-    """Strict integrity: only child rows whose parent is in the copy; ``rows`` is the limit of the copy."""
+def keep_with_parents(child: DataFrame, fk: ForeignKey, parents: DataFrame) -> DataFrame:
+    """Strict integrity: only child rows whose parent is in the copy."""
     keys = parents.select(F.col(fk.parent_column).alias("_pk")).distinct()
-    keys = F.broadcast(keys) if rows <= BROADCAST_ROWS else keys
     return child.join(keys, child[fk.column] == F.col("_pk"), "left_semi")
 
 
@@ -130,7 +111,7 @@ def replicate(
         out = mask(sample(sources[info.name], info, key, rows), info, key)
         for fk in info.foreign_keys:
             if fk.parent in copies and fk.parent != info.name:
-                out = fix_foreign_key(out, fk, copies[fk.parent], key, rows)
+                out = fix_foreign_key(out, fk, copies[fk.parent], key)
         out.write.mode("overwrite").parquet(f"{path}/{info.name}")
         copies[info.name] = spark.read.schema(out.schema).parquet(f"{path}/{info.name}")
     return copies

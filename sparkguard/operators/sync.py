@@ -33,13 +33,16 @@ def changed_since(source: DataFrame, modified: str, mark: dt.datetime | None, fi
 
 
 def read_mark(spark: SparkSession, path: str) -> dt.datetime | None:
-    """Stored high-water mark, or none before the first run."""
+    """Stored high-water mark, or none before the first run, when there is no such path; any other error is raised."""
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.parquet(path).agg(F.max("mark")).head()[0]
-    except AnalysisException:
-        return None
+        marks = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return marks.agg(F.max("mark")).head()[0]
 
 
 def incremental(

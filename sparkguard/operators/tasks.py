@@ -28,6 +28,8 @@ LIMITS = {
     "test_runner": Limits(2.0, 4.0, 20.0),
 }
 FINISHED = ("completed", "failed", "timeout")
+# Fixed value: agents that may run at once.
+MOST_AGENTS = 10
 
 
 def ready(tasks: DataFrame) -> DataFrame:
@@ -57,7 +59,18 @@ def due_for_cleanup(tasks: DataFrame, as_of: dt.datetime, hours: int = 24) -> Da
     return tasks.where(F.col("status").isin(*FINISHED) & (F.col("completed_at") < at(as_of - dt.timedelta(hours=hours))))
 
 
-def type_usage(tasks: DataFrame, active: str = "pending") -> DataFrame:
+def agent_report(tasks: DataFrame, most: int = MOST_AGENTS) -> DataFrame:
+    """One row: agents at work, how many may be, tasks that wait and tasks that are done."""
+    status = F.col("status")
+    return tasks.agg(
+        F.count_if(status == "running").alias("active_agents"),
+        F.lit(most).cast("long").alias("max_agents"),
+        F.count_if(status == "pending").alias("queued_tasks"),
+        F.count_if(status == "completed").alias("completed_tasks"),
+    )
+
+
+def type_usage(tasks: DataFrame, active: str = "running") -> DataFrame:
     """Active tasks per agent type with the limits of one and of all of them."""
     counts = tasks.where(F.col("status") == active).groupBy("agent_type").agg(F.count(F.lit(1)).alias("active"))
 

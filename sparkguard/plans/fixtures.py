@@ -281,7 +281,7 @@ _both(
     """
     select o_orderkey as task_id, case when o_orderkey < 2 then null else floor(o_orderkey / 2) end as dependency,
            case o_orderkey % 3 when 0 then 'data_analyst' when 1 then 'code_generator' else 'test_runner' end as agent_type,
-           case o_orderstatus when 'F' then 'completed' when 'O' then 'pending' else 'failed' end as status,
+           case when o_orderstatus = 'F' then 'completed' when o_orderstatus <> 'O' then 'failed' when o_orderkey % 5 = 0 then 'running' else 'pending' end as status,
            o_orderdate as started_at, case when o_orderstatus = 'O' then null else o_orderdate + interval 1 minute * (o_orderkey % 500) end as completed_at from orders
     """,
 )

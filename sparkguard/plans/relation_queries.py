@@ -46,15 +46,19 @@ def cidr_match(t: Inputs):
 
 @query(
     "cidr_match_table",
-    f"""with r as (select distinct 167772160 + (c_nationkey % 4) * 65536 + (c_custkey % 256) * 256 as lo from customer where c_acctbal > 5000)
-    select event_id, source_ip, exists (select 1 from r where {_IP} between lo and lo + 255) as allowed from fx_connections""",
+    f"""with r as (select distinct 167772160 + (c_nationkey % 4) * 65536 + (c_custkey % 256) * 256 as lo, 255 as n from customer where c_acctbal > 5000
+      union select 167772160 + (c_custkey % 4) * 65536 + (c_custkey % 16) * 4096, 4095 from customer where c_acctbal < -900)
+    select event_id, source_ip, exists (select 1 from r where {_IP} between lo and lo + n) as allowed from fx_connections""",
     fx="connections",
 )
 def cidr_match_table(t: Inputs):
-    """The allow-list as a table of /24 networks of any size."""
+    """The allow-list as a table of /24 and /20 networks."""
     network = F.lit(167772160) + (F.col("c_nationkey") % 4) * 65536 + (F.col("c_custkey") % 256) * 256
-    ranges = t.table("customer").where("c_acctbal > 5000").select(F.lit(24).alias("prefix"), network.cast("long").alias("network"))
-    return access.match_ranges(t.fx("connections"), "source_ip", ranges, [24]).select("event_id", "source_ip", "allowed")
+    wide = F.lit(167772160) + (F.col("c_custkey") % 4) * 65536 + (F.col("c_custkey") % 16) * 4096
+    customers = t.table("customer")
+    ranges = customers.where("c_acctbal > 5000").select(F.lit(24).alias("prefix"), network.cast("long").alias("network"))
+    ranges = ranges.unionByName(customers.where("c_acctbal < -900").select(F.lit(20).alias("prefix"), wide.cast("long").alias("network")))
+    return access.match_ranges(t.fx("connections"), "source_ip", ranges).select("event_id", "source_ip", "allowed")
 
 
 @query(
@@ -257,7 +261,7 @@ def operation_breakdown(t: Inputs):
     fx="query_log",
 )
 def audit_success_stats(t: Inputs):
-    return counting.recent_success(t.fx("query_log"))
+    return counting.recent_success(t.fx("query_log"), 100)
 
 
 @query("health_summary", "select count(*) filter (status = 'healthy') as healthy, count(*) filter (status <> 'healthy') as not_healthy from fx_resources", fx="resources")
@@ -270,13 +274,23 @@ def health_summary(t: Inputs):
     "agent_type_usage",
     """select agent_type, count(*) as active, max(case agent_type when 'code_generator' then 1.5 else 2.0 end)::double as cpu_cores, max(case agent_type when 'code_generator' then 3.0 else 4.0 end)::double as memory_gb,
     max(case agent_type when 'code_generator' then 15.0 else 20.0 end)::double as disk_gb, sum(case agent_type when 'code_generator' then 1.5 else 2.0 end)::double as total_cpu_cores,
-    sum(case agent_type when 'code_generator' then 3.0 else 4.0 end)::double as total_memory_gb from fx_tasks where status = 'pending' group by 1""",
+    sum(case agent_type when 'code_generator' then 3.0 else 4.0 end)::double as total_memory_gb from fx_tasks where status = 'running' group by 1""",
     fx="tasks",
 )
 def agent_type_usage(t: Inputs):
     return tasks.type_usage(t.fx("tasks"))
 
 
+@query(
+    "agent_report",
+    """select count(*) filter (status = 'running') as active_agents, 10::bigint as max_agents, count(*) filter (status = 'pending') as queued_tasks,
+    count(*) filter (status = 'completed') as completed_tasks from fx_tasks""",
+    fx="tasks",
+)
+def agent_report(t: Inputs):
+    return tasks.agent_report(t.fx("tasks"))
+
+
 @query(
     "security_status",
     """select 4 as policies, (select count(*) from fx_incidents where remediation_status <> 'resolved') as active_incidents, (select count(*) from fx_keys) as keys_total,
@@ -312,14 +326,15 @@ def audit_connection_sessions(t: Inputs):
     return rounded(lifecycle.connection_sessions(t.fx("audit")), "duration_seconds", places=3)
 
 
-@query("recent_queries", "select event_id, ts, substr(query, 1, 50) as query from fx_query_log order by ts desc, event_id desc limit 5", fx="query_log")
+@query("recent_queries", "select event_id, ts, substr(query, 1, 50) as shown_query, query from fx_query_log order by ts desc, event_id desc limit 5", fx="query_log")
 def recent_queries(t: Inputs):
-    return t.fx("query_log").orderBy(F.desc("ts"), F.desc("event_id")).limit(5).select("event_id", "ts", F.substring("query", 1, 50).alias("query"))
+    latest = counting.latest(t.fx("query_log"), 5)
+    return latest.select("event_id", "ts", F.substring("query", 1, 50).alias("shown_query"), "query")
 
 
 @query("audit_tail", "select event_id, ts, session_id, type, status from fx_audit order by ts desc, event_id desc limit 100", fx="audit")
 def audit_tail(t: Inputs):
-    return t.fx("audit").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "ts", "session_id", "type", "status")
+    return counting.latest(t.fx("audit"), 100).select("event_id", "ts", "session_id", "type", "status")
 
 
 @query(

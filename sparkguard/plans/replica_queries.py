@@ -38,12 +38,12 @@ BY_NAME = {i.name: i for i in RELATED}
 def sample_sql(info: R.TableInfo, rows: int, key: str = KEY, columns: str = "*") -> str:
     text = " || '|' || ".join(f"cast({c} as varchar)" for c in info.primary_key)
     order = ", ".join(info.primary_key)
-    return f"select {columns} from {info.name} order by md5('{key}:{info.name}:' || {text}), {order} limit {rows}"
+    return f"select {columns} from {info.name} order by md5('{S.own_key(info.name, key)}:' || {text}), {order} limit {rows}"
 
 
 def fixed_sql(fk: R.ForeignKey, parent_cte: str, key: str = KEY) -> str:
     n = f"(select count(distinct {fk.parent_column}) from {parent_cte})"
-    idx = f"{S.slot(f"md5('{key}:{fk.column}:' || cast({fk.column} as varchar))", 0)} % {n}"
+    idx = f"{S.slot(f"md5('{S.own_key(fk.column, key)}:' || cast({fk.column} as varchar))", 0)} % {n}"
     return (
         f"case when {fk.column} in (select {fk.parent_column} from {parent_cte}) then {fk.column} else "
         f"(select list(distinct {fk.parent_column} order by {fk.parent_column}) from {parent_cte})[cast(1 + {idx} as bigint)] end"
@@ -59,7 +59,7 @@ def copy_ctes(tables: list[str], rows: int, key: str = KEY) -> str:
         repl = []
         if name in names:
             c = names[name]
-            repl.append(S.text_mask("fake_name", c, c).replace(f"'{KEY}:", f"'{key}:") + f" as {c}")
+            repl.append(S.text_mask("fake_name", c, c).replace(S.own_key(c), S.own_key(c, key)) + f" as {c}")
         for fk in info.foreign_keys:
             if fk.parent in tables:
                 repl.append(fixed_sql(fk, f"r_{fk.parent}", key) + f" as {fk.column}")
@@ -147,14 +147,14 @@ def fk_left_join(t: Inputs):
     """The whole child table against a sample of its parents."""
     parents = _stored_sample(t, CUSTOMER, ROWS)
     child = t.table("orders").select("o_orderkey", F.col("o_custkey").alias("old_key"), "o_custkey")
-    fixed = R.fix_foreign_key(child, ORDERS.foreign_keys[0], parents, KEY, ROWS)
+    fixed = R.fix_foreign_key(child, ORDERS.foreign_keys[0], parents, KEY)
     return fixed.select("o_orderkey", "old_key", F.col("o_custkey").alias("new_key"))
 
 
 @query("fk_semi_sample", f"{_FK} select o_orderkey, o_custkey from orders where o_custkey in (select c_custkey from r_customer)")
 def fk_semi_sample(t: Inputs):
     parents = R.sample(t.table("customer"), CUSTOMER, KEY, ROWS)
-    return R.keep_with_parents(t.table("orders"), ORDERS.foreign_keys[0], parents, ROWS).select("o_orderkey", "o_custkey")
+    return R.keep_with_parents(t.table("orders"), ORDERS.foreign_keys[0], parents).select("o_orderkey", "o_custkey")
 
 
 _LINEITEM_FIXED = ", ".join(f"{fixed_sql(fk, f'r_{fk.parent}')} as {fk.column}" for fk in LINEITEM.foreign_keys)
@@ -162,15 +162,14 @@ _LINEITEM_FIXED = ", ".join(f"{fixed_sql(fk, f'r_{fk.parent}')} as {fk.column}"
 
 @query(
     "replica_fk_fix",
-    f"""with r_orders as materialized ({sample_sql(ORDERS, ROWS)}), r_part as materialized ({sample_sql(PART, ROWS)}), r_supplier as materialized ({sample_sql(SUPPLIER, 30)})
+    f"""with r_orders as materialized ({sample_sql(ORDERS, ROWS)}), r_part as materialized ({sample_sql(PART, ROWS)}), r_supplier as materialized ({sample_sql(SUPPLIER, ROWS)})
     select l_linenumber, l_extendedprice, {_LINEITEM_FIXED} from lineitem""",
 )
 def replica_fk_fix(t: Inputs):
     """Three foreign keys of the whole line items against samples of their parents."""
-    bound = {"orders": ROWS, "part": ROWS, "supplier": 30}
     out = t.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
     for fk in LINEITEM.foreign_keys:
-        out = R.fix_foreign_key(out, fk, _stored_sample(t, BY_NAME[fk.parent], bound[fk.parent]), KEY, bound[fk.parent])
+        out = R.fix_foreign_key(out, fk, _stored_sample(t, BY_NAME[fk.parent], ROWS), KEY)
     return out
 
 

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from sparkguard.operators import counting
 from sparkguard.operators import transforms as X
 from sparkguard.plans.metrics_queries import rounded
 from sparkguard.plans.registry import TABLES, Inputs, query
@@ -31,7 +32,7 @@ def scan_tables(t: Inputs):
 def document_find(t: Inputs):
     docs = t.table("documents").select("doc_id", "lang", "source", "n_chars")
     same = docs.where(F.col("source") == docs.agg(F.min("source")).scalar())
-    return S.find(same, {"lang": "en"}, ["doc_id"]).select("doc_id", "source", "n_chars")
+    return S.find(same, {"lang": "en"}, ["doc_id"], S.FIND_LIMIT).select("doc_id", "source", "n_chars")
 
 
 @query(
@@ -186,7 +187,7 @@ def artifact_layout(t: Inputs):
 
 @query("table_export_limit", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10")
 def table_export_limit(t: Inputs):
-    return S.with_default_limit(t.table("orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    return S.first_rows(t.table("orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey"), S.ADHOC_LIMIT)
 
 
 @query(
@@ -289,6 +290,10 @@ def transform_aggregate(t: Inputs):
     return rounded(out, "o_totalprice", places=2)
 
 
+@query(
+    "transform_pipeline",
+    """select status, round(sum(price), 2) as price, count(id) as id from (select o_orderkey as id, o_orderstatus as status, o_totalprice * 1.1::double as price from orders where o_totalprice > 100000) group by 1""",
+)
 @query(
     "transform_chain",
     """select status, round(sum(price), 2) as price, count(id) as id from (select o_orderkey as id, o_orderstatus as status, o_totalprice * 1.1::double as price from orders where o_totalprice > 100000) group by 1""",
@@ -312,7 +317,7 @@ def transform_chain(t: Inputs):
 )
 def audit_grep_recent(t: Inputs):
     hit = F.concat_ws(" ", "type", "status").rlike("BLOCKED|DENIED|FAILED")
-    return t.fx("audit").where(hit).orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id", "ts", "type", "status")
+    return counting.latest(t.fx("audit").where(hit), 20).select("event_id", "ts", "type", "status")
 
 
 @query("open_incidents", "select incident_id, threat_level, remediation_status from fx_incidents where remediation_status <> 'resolved'", fx="incidents")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from sparkguard.functions import words
 
 KEY = "demo-key"
@@ -11,12 +13,17 @@ def lst(items) -> str:
     return "[" + ", ".join(f"'{x}'" for x in items) + "]"
 
 
+def own_key(col: str, key: str = KEY) -> str:
+    inner, outer = (bytes(b ^ x for b in key.encode().ljust(64, b"\0")) for x in (0x36, 0x5C))
+    return hashlib.sha256(outer + hashlib.sha256(inner + col.encode()).digest()).hexdigest()[:32]
+
+
 def h(v: str, col: str) -> str:
-    return f"md5('{KEY}:{col}:' || {v})"
+    return f"md5('{own_key(col)}:' || {v})"
 
 
 def strong(v: str, col: str) -> str:
-    return f"sha256('{KEY}:{col}:' || {v})"
+    return f"sha256('{own_key(col)}:' || {v})"
 
 
 def slot(x: str, i: int) -> str:

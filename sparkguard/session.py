@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -33,7 +34,8 @@ def use_utc(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder takes its place.
+    Only where the session names none and everything runs on one machine (tests), a temporary folder takes its place; on a cluster
+    that is an error, as executors would not see the driver's folder.
     The same folder is used for reliable checkpoints and for tables written between two steps.
     """
     sc = spark.sparkContext
@@ -43,5 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkguard-"))
     return sc.getCheckpointDir().rstrip("/")

@@ -3,17 +3,27 @@
 from __future__ import annotations
 
 import datetime as dt
+import hmac
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Fixed value: what the backup key is derived for.
+PURPOSE = b"row backup"
+
+
+def backup_key(key: str) -> Column:
+    """The encryption key, derived on the driver: plans hold it, but not the secret. See ``spark.redaction.string.regex``."""
+    return F.lit(hmac.new(key.encode(), PURPOSE, "sha256").digest())
+
+
 PREFIX_COLUMNS = ["user_id", "session_id", "ts_prefix"]
 
 
 def encrypted_rows(df: DataFrame, key: str, as_of: dt.datetime, encrypt: bool = True) -> DataFrame:
     """Each row as JSON, AES-GCM encrypted, with the backup's time and source columns."""
     text = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-    payload = F.base64(F.aes_encrypt(text, F.lit(key), F.lit("GCM"))) if encrypt else text
+    payload = F.base64(F.aes_encrypt(text, backup_key(key), F.lit("GCM"))) if encrypt else text
     return df.select(
         payload.alias("payload"),
         F.lit(encrypt).alias("encrypted"),
@@ -28,7 +38,7 @@ def write_backup(df: DataFrame, path: str, key: str, as_of: dt.datetime, source:
 
 def restored(rows: DataFrame, schema: str, key: str) -> DataFrame:
     """Rows back from their JSON; text that was not encrypted passes through."""
-    opened = F.aes_decrypt(F.unbase64("payload"), F.lit(key), F.lit("GCM")).cast("string")
+    opened = F.aes_decrypt(F.unbase64("payload"), backup_key(key), F.lit("GCM")).cast("string")
     text: Column = F.when(F.col("encrypted"), opened).otherwise(F.col("payload"))
     return rows.select(F.from_json(text, schema).alias("r")).select("r.*")
 

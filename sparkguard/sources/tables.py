@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of a document lookup, of an ad-hoc query without a limit, and of a chunk.
+# Usual rows of a document lookup and of an ad-hoc query, and rows of a chunk.
 FIND_LIMIT = 1000
 ADHOC_LIMIT = 10
 CHUNK_ROWS = 10_000
@@ -49,14 +49,15 @@ def all_equal(wanted: dict[str, Any]) -> Column:
     return hit
 
 
-def find(df: DataFrame, wanted: dict[str, Any], order: list[str], limit: int = FIND_LIMIT) -> DataFrame:
-    """First documents in ``order`` that equal the filter."""
-    return df.where(all_equal(wanted)).orderBy(*order).limit(limit)
+def find(df: DataFrame, wanted: dict[str, Any], order: list[str], limit: int | None = None) -> DataFrame:
+    """Documents in ``order`` that equal the filter; the first ``limit`` if one is given."""
+    out = df.where(all_equal(wanted)).orderBy(*order)
+    return out if limit is None else out.limit(limit)
 
 
-def with_default_limit(df: DataFrame, limit: int | None = None, order: list[str] | None = None) -> DataFrame:
-    """Ad-hoc results are cut to ten rows unless the caller names a limit."""
-    return (df.orderBy(*order) if order else df).limit(ADHOC_LIMIT if limit is None else limit)
+def first_rows(df: DataFrame, limit: int, order: list[str] | None = None) -> DataFrame:
+    """The first rows of an ad-hoc result; the caller names how many."""
+    return (df.orderBy(*order) if order else df).limit(limit)
 
 
 def external_table(spark: SparkSession, name: str, columns: dict[str, str], location: str, fmt: str = "parquet") -> DataFrame:

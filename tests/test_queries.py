@@ -7,9 +7,10 @@ from compare import compare, connect
 from conftest import SF
 
 import __spark_entry__ as entry
+from sparkguard.plans.registry import builders, twins
 
-QUERIES = entry.queries()
-TWINS = entry.oracle_sql()
+QUERIES = builders()
+TWINS = twins()
 
 
 @pytest.fixture(scope="module")
@@ -29,4 +30,4 @@ def test_entry(spark):
 
 
 def test_twins_belong_to_queries():
-    assert set(TWINS) <= set(QUERIES)
+    assert set(TWINS) <= set(QUERIES) <= set(entry.queries())

@@ -44,24 +44,40 @@ def test_samples_repeat_and_depend_on_the_key(tables):
     assert a == b != c
 
 
-def test_large_path_gives_the_same_rows(spark, tables, monkeypatch):
-    """Beyond the broadcast bound, samples are cut by position and look-ups are shuffle joins."""
+def test_samples_of_every_size_are_the_least_digests(tables):
+    orders = tables["orders"]
+    order = ["_d", "o_orderkey"]
+    drawn = orders.withColumn("_d", R.digest(F.col("o_orderkey").cast("string"), KEY, "orders"))
+    listed = [r["o_orderkey"] for r in drawn.orderBy(*order).collect()]
+    for rows in (1, 10, 700, len(listed), len(listed) + 5):
+        assert [r["o_orderkey"] for r in R.sample(orders, ORDERS, KEY, rows).collect()] == listed[:rows]
+
+
+def test_a_sample_looks_at_few_rows(tables):
+    plan = R.sample(tables["orders"], ORDERS, KEY, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan.split("Sort")[1] and "scalar-subquery" in plan
+
+
+def test_shuffle_joins_give_the_same_rows(spark, tables):
     fk = ORDERS.foreign_keys[0]
 
     def run():
         parents = R.sample(tables["customer"], CUSTOMER, KEY, 60)
-        fixed = R.fix_foreign_key(tables["orders"], fk, parents, KEY, 60)
-        return sorted(map(tuple, fixed.collect())), sorted(map(tuple, R.keep_with_parents(tables["orders"], fk, parents, 60).collect()))
+        fixed = R.fix_foreign_key(tables["orders"], fk, parents, KEY)
+        return sorted(map(tuple, fixed.collect())), sorted(map(tuple, R.keep_with_parents(tables["orders"], fk, parents).collect()))
 
     small = run()
-    monkeypatch.setattr(R, "BROADCAST_ROWS", 5)
-    assert run() == small
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert run() == small
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_no_parents_gives_null_and_a_missing_parent_changes_nothing(spark, tables, tmp_path):
     fk = ORDERS.foreign_keys[0]
     empty = tables["customer"].limit(0)
-    assert R.fix_foreign_key(tables["orders"], fk, empty, KEY, 10).where(F.col("o_custkey").isNotNull()).count() == 0
+    assert R.fix_foreign_key(tables["orders"], fk, empty, KEY).where(F.col("o_custkey").isNotNull()).count() == 0
     copies = R.replicate({"orders": tables["orders"]}, [BY_NAME["orders"]], str(tmp_path), KEY, 25)
     assert copies["orders"].join(tables["orders"], ["o_orderkey", "o_custkey"], "left_anti").count() == 0
 
@@ -70,7 +86,7 @@ def test_null_keys_are_replaced(spark, tables):
     fk = R.ForeignKey("p", "parent", "id")
     child = spark.createDataFrame([(1, 7), (2, None), (3, 9)], "c int, p bigint")
     parents = spark.createDataFrame([(7,)], "id bigint")
-    assert {r["p"] for r in R.fix_foreign_key(child, fk, parents, KEY, 5).collect()} == {7}
+    assert {r["p"] for r in R.fix_foreign_key(child, fk, parents, KEY).collect()} == {7}
 
 
 def test_order_with_self_reference_and_cycle():

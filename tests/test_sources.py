@@ -39,9 +39,9 @@ def test_backup_needs_its_key(spark, inputs, folder):
 
 def test_default_limit(inputs):
     orders = inputs.table("orders")
-    assert tables.with_default_limit(orders).count() == 10
-    assert tables.with_default_limit(orders, 25).count() == 25
-    assert tables.find(orders, {}, ["o_orderkey"]).count() == 1000
+    assert tables.first_rows(orders, 25).count() == 25
+    assert tables.find(orders, {}, ["o_orderkey"], 1000).count() == 1000
+    assert tables.find(orders, {}, ["o_orderkey"]).count() == orders.count()
 
 
 def test_artifact_folders(spark, folder):
@@ -136,3 +136,29 @@ def test_savings_defaults(spark):
     df = spark.createDataFrame(rows, "identifier string, resource_type string, cost_per_hour double, cpu_utilization int, last_access_days int")
     got = {r["identifier"]: r["monthly_savings"] for r in costs.savings(df).collect()}
     assert got == {"a": 0.0, "b": 360.0, "c": pytest.approx(504.0)}
+
+
+def test_ranges_of_all_lengths_count(spark):
+    ips = spark.createDataFrame([("10.1.2.3",), ("10.2.2.3",), ("10.3.0.9",), (None,), ("no address",)], "ip string")
+    ranges = spark.createDataFrame([(16, 0x0A010000), (24, 0x0A020200), (None, 5)], "prefix int, network long")
+    assert {r["ip"]: r["allowed"] for r in access.match_ranges(ips, "ip", ranges).collect()} == {
+        "10.1.2.3": True, "10.2.2.3": True, "10.3.0.9": False, None: False, "no address": False,
+    }
+    every = spark.createDataFrame([(0, 0)], "prefix int, network long")
+    assert [r["allowed"] for r in access.match_ranges(ips.limit(3), "ip", every).collect()] == [True] * 3
+
+
+def test_requests_without_context(spark):
+    grants = spark.createDataFrame([("p", "r", ["read"], None, "true")], "principal string, resource string, permissions array<string>, expires_at timestamp, mfa string")
+    requests = spark.createDataFrame([(1, "p", "r", "read", None), (2, "p", "r", "read", "false"), (3, "p", "r", "write", None)], "id int, principal string, resource string, permission string, mfa string")
+    allowed = lambda **k: {r["id"]: r["allowed"] for r in access.check_access(requests, grants, NOW, ["mfa"], **k).collect()}
+    assert allowed() == {1: False, 2: False, 3: False}
+    assert allowed(without_context=True) == {1: True, 2: False, 3: False}
+
+
+def test_only_a_missing_mark_starts_over(spark, folder):
+    path = folder("not-a-mark")
+    spark.range(1).write.parquet(path)  # no column called mark
+    with pytest.raises(Exception, match="mark"):
+        sync.read_mark(spark, path)
+    assert sync.read_mark(spark, folder("nothing")) is None
