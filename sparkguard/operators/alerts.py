@@ -10,6 +10,7 @@ import datetime as dt
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkguard.functions.series import key_of
@@ -135,39 +136,61 @@ def evaluate(
     return out.withColumn("state", _state(F.col("breaches"), F.col("datapoints"))).withColumn("message", _message())
 
 
-def grid_states(
+def grid_spans(
     points: DataFrame,
     alerts: tuple[Alert, ...],
     step: int = EVALUATION_SECONDS,
     id_column: str = "point_id",
     tag_match: str = "exact",
 ) -> DataFrame:
-    """State of each alert at every grid time with points in its period. Grid times without points are absent."""
+    """State of each alert over spans of grid times that see the same points. Grid times without points in the period are in no span.
+
+    A point enters an alert's look-back at one grid time and leaves it at another. Both changes are summed up per alert and grid time
+    before anything is put in order, so a point is two changes however long the period is. Running sums over the changes give the
+    state, which lasts until the next change; the latest point so far is the latest in the period, if any is.
+    """
     watched = alert_points(points, alerts, tag_match)
-    placed = None
-    for a in alerts:
-        if not a.enabled:
-            continue
-        times = timeslices.slots(step, a.period_minutes * 60, F.col("ts"))
-        here = F.col("alert_id") == a.alert_id
-        placed = F.when(here, times) if placed is None else placed.when(here, times)
-    spread = watched.withColumn("slot", F.explode(placed))
-    out = spread.groupBy(*_ALERT, "slot").agg(
-        F.count_if("breach").alias("breaches"), F.max_by("value", F.struct("ts", id_column)).alias("current_value")
-    )
-    return out.withColumn("state", _state(F.col("breaches"), F.col("datapoints"))).withColumn(
-        "evaluated_at", F.timestamp_seconds("slot").cast("timestamp_ntz")
-    )
+    first, last = timeslices.first_and_last_slot(step, F.col("period"), F.col("ts"))
+    breach = F.col("breach").cast("long")
+    latest = F.struct("ts", F.col(id_column).alias("id"), "value")
+    enters = F.struct(first.alias("slot"), F.lit(1).alias("n"), breach.alias("b"), latest.alias("latest"))
+    leaves = F.struct((last + 1).alias("slot"), F.lit(-1).alias("n"), (-breach).alias("b"), F.nullif(latest, latest).alias("latest"))
+    changes = watched.where(first <= last).select(*_ALERT, F.explode(F.array(enters, leaves)).alias("c")).select(*_ALERT, "c.*")
+    per_slot = changes.groupBy(*_ALERT, "slot").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.max("latest").alias("latest"))
+    by_alert = W.partitionBy("alert_id").orderBy("slot")  # a row per grid time at most
+    so_far = by_alert.rowsBetween(W.unboundedPreceding, 0)
+    running = per_slot.select(
+        *_ALERT, "slot", F.sum("n").over(so_far).alias("points"), F.sum("b").over(so_far).alias("breaches"),
+        F.max("latest").over(so_far).alias("latest"), F.lead("slot").over(by_alert).alias("until"),
+    )
+    spans = running.where(F.col("points") > 0)
+    return spans.select(
+        *_ALERT, "slot", "breaches", F.col("latest.value").alias("current_value"), _state(F.col("breaches"), F.col("datapoints")).alias("state"),
+        _grid_time(F.col("slot"), step).alias("evaluated_at"), _grid_time(F.col("until") - 1, step).alias("last_at"), (F.col("until") - F.col("slot")).alias("evaluations"),
+    )
+
+
+def _grid_time(slot: Column, step: int) -> Column:
+    return F.timestamp_seconds(slot * step).cast("timestamp_ntz")
+
+
+def grid_states(
+    points: DataFrame, alerts: tuple[Alert, ...], step: int = EVALUATION_SECONDS, id_column: str = "point_id", tag_match: str = "exact"
+) -> DataFrame:
+    """State of each alert at every grid time with points in its period: a row per evaluation."""
+    spans = grid_spans(points, alerts, step, id_column, tag_match)
+    every = spans.withColumn("slot", F.explode(F.sequence("slot", F.col("slot") + F.col("evaluations") - 1)))
+    return every.drop("last_at", "evaluations").withColumns({"evaluated_at": _grid_time(F.col("slot"), step), "slot": F.col("slot") * step})
 
 
-def episodes(states: DataFrame) -> DataFrame:
-    """Runs of firing evaluations: the first one fires, the next evaluation that does not resolves."""
-    runs = timeslices.with_run(states, ["alert_id"], ["evaluated_at"], "state")
+def episodes(spans: DataFrame) -> DataFrame:
+    """Runs of firing evaluations, from spans of them: the first one fires, the next evaluation that does not resolves."""
+    runs = timeslices.with_run(spans, ["alert_id"], ["evaluated_at"], "state")
     keys = [*_ALERT, "run", "state"]
     spans = runs.groupBy(*keys).agg(
         F.min("evaluated_at").alias("triggered_at"),
-        F.max("evaluated_at").alias("last_seen"),
-        F.count(F.lit(1)).alias("evaluations"),
+        F.max("last_at").alias("last_seen"),
+        F.sum("evaluations").alias("evaluations"),
         F.max_by("current_value", "evaluated_at").alias("current_value"),
         F.min_by("current_value", "evaluated_at").alias("first_value"),
     )

@@ -229,29 +229,37 @@ EMAIL_SHAPE = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 PHONE_SHAPE = r"^[0-9]{10,}$"
 
 
-def column_profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
+def column_profile(df: DataFrame, columns: list[str] | None = None, exact: bool = False) -> DataFrame:
     """Totals, nulls, distinct values, e-mail and phone shares and length consistency per column.
 
-    Exact: values are first counted per (column, value), so a value held by a third of the rows reaches
-    the second aggregation as one row per map task. Otherwise distinct values are estimated and only one
-    row per column and task is shuffled.
+    One aggregate over the rows as they are gives all figures, a row per task. Only where ``exact`` asks for true distinct counts
+    are the values shuffled, once per (column, value) and task; otherwise they are estimated.
     """
     columns = columns or df.columns
-    long = df.select([F.col(f"`{c}`").cast("string").alias(c) for c in columns]).unpivot([], columns, "column_name", "v")
-    counted = long.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n")) if exact else long.withColumn("n", F.lit(1).cast("long"))
-    v, n, length = F.col("v"), F.col("n"), F.length("v").cast("double")
-    digits = F.regexp_replace(v, r"[\s\-\(\)]", "")
-    filled = F.when(v.isNotNull(), n)
-    out = counted.groupBy("column_name").agg(
-        F.sum(n).alias("total_values"),
-        F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).alias("null_count"),
-        (F.count(v) if exact else F.approx_count_distinct(v)).alias("unique_count"),
-        F.coalesce(F.sum(F.when(v.rlike(EMAIL_SHAPE), n)), F.lit(0)).alias("email_matches"),
-        F.coalesce(F.sum(F.when(digits.rlike(PHONE_SHAPE), n)), F.lit(0)).alias("phone_matches"),
-        F.sum(filled).alias("filled"),
-        F.sum(n * length).alias("s1"),
-        F.sum(n * length * length).alias("s2"),
-    )
+    texts = {c: F.col(f"`{c}`").cast("string") for c in columns}
+
+    def figures(c: str) -> Column:
+        v = texts[c]
+        length = F.length(v).cast("double")
+        return F.struct(
+            F.lit(c).alias("column_name"),
+            F.count(F.lit(1)).alias("total_values"),
+            F.count_if(v.isNull()).alias("null_count"),
+            (F.lit(None).cast("long") if exact else F.approx_count_distinct(v)).alias("about"),
+            F.count_if(F.coalesce(v.rlike(EMAIL_SHAPE), F.lit(False))).alias("email_matches"),
+            F.count_if(F.coalesce(F.regexp_replace(v, r"[\s\-\(\)]", "").rlike(PHONE_SHAPE), F.lit(False))).alias("phone_matches"),
+            F.nullif(F.count(v), F.lit(0)).alias("filled"),
+            F.sum(length).alias("s1"),
+            F.sum(length * length).alias("s2"),
+        )
+
+    one = df.agg(F.array(*[figures(c) for c in columns]).alias("all")).select(F.explode("all").alias("c")).select("c.*").where("total_values > 0")
+    if exact:
+        long = df.select([t.alias(c) for c, t in texts.items()]).unpivot([], columns, "column_name", "v")
+        distinct = long.where(F.col("v").isNotNull()).distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct"))
+        out = one.join(distinct, "column_name", "left").withColumn("unique_count", F.coalesce("distinct", F.lit(0)).cast("long"))
+    else:
+        out = one.withColumnRenamed("about", "unique_count")
     mean = F.col("s1") / F.col("filled")
     deviation = F.sqrt(F.greatest(F.lit(0.0), F.col("filled") * F.col("s2") - F.col("s1") * F.col("s1"))) / F.col("filled")
     steady = F.when(F.col("filled") > 1, F.when(mean > 0, 1 - deviation / mean).otherwise(0.0)).otherwise(0.0)

@@ -146,10 +146,15 @@ def with_run(df: DataFrame, keys: list[str], order: list[str], state: str, slice
     return out.select(*df.columns, (F.col("_offset") + F.col("_local")).alias("run"))
 
 
-def slots(seconds: int, period: int, ts: Column) -> Column:
-    """Grid times (epoch seconds, multiples of ``seconds``) whose closed look-back of ``period`` holds ``ts``."""
+def first_and_last_slot(seconds: int, period: int | Column, ts: Column) -> tuple[Column, Column]:
+    """Numbers of the first and last grid time (multiples of ``seconds``) whose closed look-back of ``period`` seconds holds ``ts``."""
     step = seconds * 1_000_000
-    first = _whole_steps(micros(ts) + F.lit(step - 1), step)
-    last = _whole_steps(micros(ts) + F.lit(period * 1_000_000), step)
+    span = (period if isinstance(period, Column) else F.lit(period)).cast("long") * 1_000_000
+    return _whole_steps(micros(ts) + F.lit(step - 1), step), _whole_steps(micros(ts) + span, step)
+
+
+def slots(seconds: int, period: int, ts: Column) -> Column:
+    """Grid times (epoch seconds) whose closed look-back of ``period`` holds ``ts``."""
+    first, last = first_and_last_slot(seconds, period, ts)
     span = F.sequence(first, last)
     return F.transform(F.when(first <= last, span).otherwise(F.array().cast("array<bigint>")), lambda i: i * seconds)

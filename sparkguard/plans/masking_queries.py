@@ -150,7 +150,7 @@ def _profile_sql(c: str) -> str:
 
 @query("column_profile", " union all ".join(_profile_sql(c) for c in _PROFILED), fx="people")
 def column_profile(t: Inputs):
-    out = M.column_profile(t.fx("people"), _PROFILED)
+    out = M.column_profile(t.fx("people"), _PROFILED, exact=True)
     for c in ("email_share", "phone_share", "format_consistency"):
         out = out.withColumn(c, F.round(c, 4))
     return out

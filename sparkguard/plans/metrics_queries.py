@@ -203,7 +203,7 @@ ALERTS = (
     A.Alert("switched_off", "Switched Off", "app.view", 0, "low", 1440, 1, "GreaterThanThreshold", ("email",), {"user": "4"}, False),
     A.Alert("untagged", "Untagged", "app.view", 0, "low", 1440, 1, "GreaterThanThreshold", ("email",)),
 )
-STEP = 3600
+STEP = A.EVALUATION_SECONDS
 
 
 def _alert_rows() -> str:
@@ -255,8 +255,10 @@ def alert_eval(t: Inputs):
     return A.evaluate(points(t), ALERTS, AS_OF).select("alert_id", "severity", "points", "breaches", "current_value", "state", "message")
 
 
-_EPISODES = f"""w as (select al.*, m.ts, m.point_id, m.value, {_BREACH} as breach,
-    unnest(range(cast(ceil(epoch_us(ts) / {STEP}e6) as bigint), cast(floor((epoch_us(ts) + period::bigint * 60000000) / {STEP}e6) as bigint) + 1)) * {STEP} as slot
+def episodes_sql(step: int) -> str:
+    """Every point at every grid time that sees it, counted."""
+    return f"""w as (select al.*, m.ts, m.point_id, m.value, {_BREACH} as breach,
+    unnest(range(cast(ceil(epoch_us(ts) / {step}e6) as bigint), cast(floor((epoch_us(ts) + period::bigint * 60000000) / {step}e6) as bigint) + 1)) * {step} as slot
   from fx_metrics m join al on m.series_key = al.series_key),
 g as (select alert_id, severity, slot, datapoints, count(*) filter (breach) as breaches, arg_max(value, (ts, point_id)) as cv from w group by 1, 2, 3, 4),
 s as (select *, case when breaches >= datapoints then 'firing' else 'ok' end as state from g),
@@ -268,8 +270,11 @@ ep as (select a.alert_id, a.severity, a.run, make_timestamp(a.first_slot * 10000
   from z a left join z b on a.alert_id = b.alert_id and b.run = a.run + 1 and b.state = 'ok' where a.state = 'firing')"""
 
 
-def _episodes(t: Inputs) -> DataFrame:
-    return A.episodes(A.grid_states(points(t), ALERTS, STEP))
+_EPISODES = episodes_sql(STEP)
+
+
+def _episodes(t: Inputs, step: int = STEP) -> DataFrame:
+    return A.episodes(A.grid_spans(points(t), ALERTS, step))
 
 
 @query(
@@ -283,11 +288,11 @@ def alert_episodes(t: Inputs):
 
 @query(
     "firing_alerts",
-    f"with {_alert_rows()}, {_EPISODES} select alert_id, severity, triggered_at, current_value from ep where state = 'firing'",
+    f"with {_alert_rows()}, {episodes_sql(3600)} select alert_id, severity, triggered_at, current_value from ep where state = 'firing'",
     fx="metrics",
 )
 def firing_alerts(t: Inputs):
-    return _episodes(t).where(F.col("state") == "firing").select("alert_id", "severity", "triggered_at", "current_value")
+    return _episodes(t, 3600).where(F.col("state") == "firing").select("alert_id", "severity", "triggered_at", "current_value")
 
 
 @query(

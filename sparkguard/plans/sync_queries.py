@@ -11,10 +11,12 @@ from sparkguard.functions.series import series_key
 from sparkguard.operators import sync
 from sparkguard.plans import audit_queries as AQ
 from sparkguard.plans import twin_masks as S
-from sparkguard.plans.metrics_queries import _EPISODES, _STATS, ALERTS, STEP, _alert_rows, rounded
+from sparkguard.plans.metrics_queries import _STATS, ALERTS, _alert_rows, episodes_sql, rounded
 from sparkguard.plans.registry import Inputs, query
 from sparkguard.streaming import jobs
 
+# Seconds between the evaluations of the stream.
+STEP = 3600
 MARK = dt.datetime(2000, 6, 1)
 
 
@@ -154,7 +156,7 @@ _LONGEST = max(a.period_minutes for a in ALERTS if a.enabled) + 10
 
 @query(
     "stream_alerts",
-    f"""with {_alert_rows()}, {_EPISODES}, v as (select alert_id, slot, cv from g),
+    f"""with {_alert_rows()}, {episodes_sql(STEP)}, v as (select alert_id, slot, cv from g),
     x as (select alert_id, 'firing' as event, triggered_at as sent from ep union all select alert_id, 'resolved', resolved_at from ep where resolved_at is not null)
     select x.alert_id, event, sent as "at", cv as value from x join v on v.alert_id = x.alert_id and v.slot = epoch(sent)::bigint
     where epoch(sent) <= (select max(slot) from g) - {_LONGEST * 60}""",

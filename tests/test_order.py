@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -129,13 +130,33 @@ def test_alert_states(spark):
 def test_silence_changes_nothing(spark):
     """Two bursts of breaches with hours of silence between them are one episode."""
     bursts = [(at(0), 9.0), (at(0), 9.0), (at(300), 9.0), (at(300), 9.0), (at(400), 1.0)]
-    found = A.episodes(A.grid_states(points(spark, bursts), (ALERT,), 60))
+    found = A.episodes(A.grid_spans(points(spark, bursts), (ALERT,), 60))
     (row,) = found.collect()
     assert (row["triggered_at"], row["resolved_at"], row["state"]) == (NOON, at(400), "resolved")
     notes = A.notifications(found, (ALERT,)).collect()
     assert sorted(r["handler"] for r in notes) == ["email", "email_resolution"]
 
 
+def test_spans_against_every_evaluation(spark):
+    """At half a minute and a day's look-back a point is two changes, not 2,881 copies."""
+    rng = random.Random(4)
+    rows = [(at(rng.randint(0, 4000)) + dt.timedelta(seconds=rng.choice([0, 30, 7])), rng.choice([1.0, 9.0])) for _ in range(120)]
+    day = A.Alert("d", "D", "m", 5, "high", 1440, 3)
+    spans = A.grid_spans(points(spark, rows), (ALERT, day), 30)
+    assert spans.count() <= 4 * len(rows)
+    got = {(r["alert_id"], r["evaluated_at"]): (r["breaches"], r["state"]) for r in A.grid_states(points(spark, rows), (ALERT, day), 30).collect()}
+    want = {}
+    for alert in (ALERT, day):
+        length = dt.timedelta(minutes=alert.period_minutes)
+        for k in range(-200, 12_000):
+            now = NOON + dt.timedelta(seconds=30 * k)
+            seen = [v for t, v in rows if now - length <= t <= now]
+            if seen:
+                n = sum(v > 5 for v in seen)
+                want[alert.alert_id, now] = (n, "firing" if n >= alert.datapoints else "ok")
+    assert got == want
+
+
 def test_default_alerts(spark):
     rows = [(1, "system.cpu.usage", 85.0), (2, "system.cpu.usage", 81.0), (3, "system.cpu.usage", 80.0), (4, "system.disk.free_percent", 9.0)]
     rows += [(5, "system.disk.free_percent", 8.0), (6, "cloud.daily_cost", 501.0)]

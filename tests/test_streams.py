@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from sparkguard.operators import alerts as A
 from sparkguard.operators import metrics
-from sparkguard.plans.metrics_queries import ALERTS, STEP, points
+from sparkguard.plans.metrics_queries import ALERTS, points
+from sparkguard.plans.sync_queries import STEP
 from sparkguard.plans.registry import Inputs
 from sparkguard.streaming import jobs
 
@@ -33,7 +34,7 @@ def test_alert_events_over_micro_batches(spark, inputs, folder):
         jobs.alerts_to_files(stream, ALERTS, folder("states"), folder("events"), folder("checkpoint"), STEP)
         assert i < 3
     got = {(r["alert_id"], r["event"], r["at"]) for r in spark.read.schema(jobs.ALERT_EVENTS).parquet(folder("events")).collect()}
-    episodes = A.episodes(A.grid_states(p, ALERTS, STEP)).collect()
+    episodes = A.episodes(A.grid_spans(p, ALERTS, STEP)).collect()
     want = {(r["alert_id"], "firing", r["triggered_at"]) for r in episodes}
     want |= {(r["alert_id"], "resolved", r["resolved_at"]) for r in episodes if r["resolved_at"]}
     final = spark.read.parquet(folder("states")).agg(F.max("evaluated_at")).head()[0]
