@@ -100,7 +100,10 @@ def sync_validate(t: Inputs):
 
 
 def _events(t: Inputs) -> DataFrame:
-    return jobs.files(t.spark, t.sf_dir, "events.parquet", t.table("events").schema)
+    """All events as a bounded stream."""
+    events = t.table("events")
+    series = [F.col("event_type"), F.col("user_id") % 10]
+    return jobs.files(t.spark, t.sf_dir, "events.parquet", events.schema).unionByName(jobs.ending(events, series, t.scratch("ending")))
 
 
 def _points(t: Inputs) -> DataFrame:
@@ -116,14 +119,10 @@ def _sink(t: Inputs, stream: DataFrame, label: str) -> DataFrame:
     return t.spark.read.schema(stream.schema).parquet(path)
 
 
-# a window is final once the watermark, ten minutes behind the newest event, has passed its end
-_CLOSED = "(select date_trunc('millisecond', max(ts)) - interval 10 minute from events)"
-
-
 @query(
     "stream_metric_windows",
     f"""with w as (select series_key, value, unnest(range(date_trunc('minute', ts) - interval 4 minute, date_trunc('minute', ts) + interval 1 minute, interval 1 minute)) as window_start from fx_metrics)
-    select * from (select window_start, window_start + interval 5 minute as window_end, series_key, {_STATS} from w group by window_start, series_key) where window_end <= {_CLOSED}""",
+    select window_start, window_start + interval 5 minute as window_end, series_key, {_STATS} from w group by window_start, series_key""",
     fx="metrics",
 )
 def stream_metric_windows(t: Inputs):
@@ -132,8 +131,8 @@ def stream_metric_windows(t: Inputs):
 
 @query(
     "stream_tumbling_rate",
-    f"""select * from (select make_timestamp(epoch_us(ts) // 7200000000 * 7200000000) as window_start, user_id % 3 as client, count(*) as requests, count(*) - 12 as over_limit
-      from events group by 1, 2 having count(*) > 12) where window_start + interval 7200 second <= {_CLOSED}""",
+    """select make_timestamp(epoch_us(ts) // 7200000000 * 7200000000) as window_start, user_id % 3 as client, count(*) as requests, count(*) - 12 as over_limit
+      from events group by 1, 2 having count(*) > 12""",
 )
 def stream_tumbling_rate(t: Inputs):
     requests = _events(t).select("ts", (F.col("user_id") % 3).alias("client"))
@@ -142,24 +141,19 @@ def stream_tumbling_rate(t: Inputs):
 
 @query(
     "stream_sessions",
-    f"""with g as (select user_id, ts, case when ts >= lag(ts) over (partition by user_id order by ts) + interval 3600 second or lag(ts) over (partition by user_id order by ts) is null then 1 else 0 end as fresh from events),
+    """with g as (select user_id, ts, case when ts >= lag(ts) over (partition by user_id order by ts) + interval 3600 second or lag(ts) over (partition by user_id order by ts) is null then 1 else 0 end as fresh from events),
     r as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as run from g)
-    select * from (select min(ts) as session_start, max(ts) + interval 3600 second as session_end, user_id, count(*) as events from r group by user_id, run) where session_end <= {_CLOSED}""",
+    select min(ts) as session_start, max(ts) + interval 3600 second as session_end, user_id, count(*) as events from r group by user_id, run""",
 )
 def stream_sessions(t: Inputs):
     return _sink(t, jobs.activity_sessions(_events(t).select("ts", "user_id"), ["user_id"]), "sessions")
 
 
-# the grid runs ahead of the points by the longest period, and the watermark follows it ten minutes later still
-_LONGEST = max(a.period_minutes for a in ALERTS if a.enabled) + 10
-
-
 @query(
     "stream_alerts",
     f"""with {_alert_rows()}, {episodes_sql(STEP)}, v as (select alert_id, slot, cv from g),
     x as (select alert_id, 'firing' as event, triggered_at as sent from ep union all select alert_id, 'resolved', resolved_at from ep where resolved_at is not null)
-    select x.alert_id, event, sent as "at", cv as value from x join v on v.alert_id = x.alert_id and v.slot = epoch(sent)::bigint
-    where epoch(sent) <= (select max(slot) from g) - {_LONGEST * 60}""",
+    select x.alert_id, event, sent as "at", cv as value from x join v on v.alert_id = x.alert_id and v.slot = epoch(sent)::bigint""",
     fx="metrics",
 )
 def stream_alerts(t: Inputs):

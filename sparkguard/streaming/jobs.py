@@ -1,6 +1,7 @@
 """Streams of the batch operators. Each has a batch twin that gives the same rows.
 
-Late rows: ten minutes of watermark, later ones are dropped and counted by Spark.
+Late rows: ten minutes of watermark, later ones are dropped and counted by Spark. A bounded input, such as a backfill, is closed by
+``ending``: in one run over all its files nothing is late, and nothing stays open.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -34,6 +35,19 @@ def with_event_time(stream: DataFrame, ts: str = "ts", delay: str = WATERMARK) -
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
+def ending(rows: DataFrame, keys: list[Column], folder: str, ts: str = "ts", days: int = 3650) -> DataFrame:
+    """A stream of the newest row per key, moved ``days`` beyond the last one, to be joined to a bounded input by union.
+
+    Its watermark closes every window, session and evaluation that the input leaves open. What the moved rows open stays open, so
+    nothing of them is emitted.
+    """
+    spark = rows.sparkSession
+    newest = rows.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max_by(F.struct(*rows.columns), F.col(ts)).alias("_r")).select("_r.*")
+    far = rows.agg(F.max(ts)).scalar() + F.expr(f"interval {days} days")
+    newest.withColumn(ts, far).select(*rows.columns).coalesce(1).write.parquet(folder)
+    return spark.readStream.schema(rows.schema).parquet(folder)
+
+
 def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Everything available into parquet files, exactly once."""
     return (
@@ -56,8 +70,10 @@ def request_counts(requests: DataFrame, keys: list[str], length: str = "60 secon
 
 
 def activity_sessions(events: DataFrame, keys: list[str], gap: str = SESSION_TIMEOUT) -> DataFrame:
-    """Runs of activity that end after a pause of ``gap``. Rows merge to sessions before they are shuffled."""
-    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    """Runs of activity that end after a pause of ``gap``.
+
+    With ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` rows merge to sessions before they are shuffled.
+    """
     out = with_event_time(events).groupBy(F.session_window("ts", gap).alias("w"), *keys).agg(F.count(F.lit(1)).alias("events"))
     return out.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *keys, "events")
 
