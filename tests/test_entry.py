@@ -18,7 +18,7 @@ class Gone:
 sys.meta_path.insert(0, Gone())
 sys.path.insert(0, {repo!r})
 import __spark_entry__ as entry
-print(len([k for k in entry.queries() if k.startswith("op") or k == "pipeline"]), len(entry.queries()) > 190, set(entry.oracle_sql()) <= set(entry.queries()))
+print(len([k for k in entry.queries() if k == "pipeline" or k[:2] == "op" and k[2].isdigit()]), len(entry.queries()) > 190, set(entry.oracle_sql()) <= set(entry.queries()))
 """
 
 
