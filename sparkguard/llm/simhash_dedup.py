@@ -2,7 +2,7 @@
 
 Texts are reduced to 64-bit fingerprints where they are read; equal fingerprints are one code from then on. Two codes
 that differ in at most two bits agree on at least one of three blocks of bits. For each block the codes are rotated so that it
-leads, sorted by Gray rank and cut into ranges of bounded size. A range is one task: it builds the index of its codes and links
+leads, sorted by Gray rank and cut into ranges of about equal size. A range is one task: it builds the index of its codes and links
 them. Codes that share the leading block with later ranges (a hot block) also visit those, unless the bits that all codes of
 the range share already differ too much. A task returns a spanning forest of its links, never its pairs; the forests meet in
 connected components.
@@ -34,6 +34,8 @@ SEED = 42
 BLOCKS = (22, 21, 21)
 # Codes that a range is meant to hold.
 RANGE_CODES = 32_768
+# Codes per range that set the borders; the only codes that reach the driver.
+PICKS = 8
 
 
 def simhash(data: bytes) -> int:
@@ -77,29 +79,21 @@ def row_key(text_col: str = "text") -> Column:
     return F.xxhash64(text_of(f"`{text_col}`"))
 
 
-def _rank_key(shift: int) -> Column:
-    """Gray rank of the rotated code, shifted so that signed order is its order."""
-    rank = F.shiftleft("fp", shift).bitwiseOR(F.shiftrightunsigned("fp", 64 - shift)) if shift else F.col("fp")
-    for k in (1, 2, 4, 8, 16, 32):
-        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, k))
-    return rank.bitwiseXOR(F.lit(-(2**63)))
-
-
 def _shifts() -> list[int]:
     return [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
 
 
 def _borders(codes: DataFrame) -> list[np.ndarray]:
-    """First ranks of the ranges after the first, per rotation: one number for about RANGE_CODES codes."""
+    """First ranks of the ranges after the first, per rotation, from PICKS codes per range, which a hash draws."""
     n = codes.count()
     ranges = max(-(-n // RANGE_CODES), shuffle_parts(codes.sparkSession))
-    if n <= ranges:
-        return [np.zeros(0, np.uint64) for _ in BLOCKS]
-    at = F.array(*[F.lit(i / ranges) for i in range(1, ranges)]) if ranges > 1 else None
-    if at is None:
-        return [np.zeros(0, np.uint64) for _ in BLOCKS]
-    found = codes.agg(*[F.percentile_approx(_rank_key(s), at, 20 * ranges) for s in _shifts()]).first()
-    return [np.unique(np.array(x, np.int64).view(np.uint64) ^ np.uint64(1 << 63)) for x in found]
+    picks = codes.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, n))) < PICKS * ranges).select("fp").toArrow()
+    found = picks.column(0).to_numpy().view(np.uint64)
+    out = []
+    for shift in _shifts():
+        ranks = np.sort(gray_index.gray_rank(gray_index.rotate(found, shift)))
+        out.append(np.unique(ranks[np.arange(1, ranges) * len(ranks) // ranges]) if len(ranks) else ranks)
+    return out
 
 
 def _place(codes: np.ndarray, which: int, borders: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
