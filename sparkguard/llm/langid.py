@@ -165,7 +165,7 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, id_col: str =
                 for i, text in enumerate(b.column(1).to_pylist() if langs else []):
                     parts = [np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)) for w in words_in(text or "")]
                     n = sum(map(len, parts))
-                    if n:
+                    if n and any(c.isalpha() for c in text):  # words may be numbers of other scripts
                         tokens, sizes, used = tokens + parts, [*sizes, n], [*used, i]
                 names, score, size = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows), np.zeros(b.num_rows, np.int32)
                 if used:
