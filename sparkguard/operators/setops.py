@@ -14,14 +14,21 @@ from pyspark.sql import functions as F
 log = logging.getLogger(__name__)
 
 
-def federated(stores: dict[str, Callable[[], DataFrame]]) -> DataFrame:
-    """The same question to several stores; a store that cannot be read is skipped."""
+def federated(stores: dict[str, Callable[[], DataFrame]], absent: dict[str, str] | None = None) -> DataFrame:
+    """The same question to several stores. A store that cannot be asked is left out and named in ``absent`` with its error.
+
+    Asking plans the question; a store that fails later, while rows are read, fails the union.
+    """
     answers = []
     for provider, ask in stores.items():
         try:
             answers.append(ask().select(F.lit(provider).alias("provider"), "*"))
         except PySparkException as e:
             log.warning("store %s skipped: %s", provider, type(e).__name__)
+            if absent is not None:
+                absent[provider] = e.getCondition() or type(e).__name__
+    if not answers:
+        raise ValueError(f"no store answers: {', '.join(stores)}")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), answers)
 
 

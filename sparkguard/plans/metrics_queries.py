@@ -372,16 +372,17 @@ def health_points(t: Inputs):
 
 @query(
     "timer_durations",
-    """with m as (select event_id // 2 as timer_id, event_id % 2 = 0 as is_start, ts from events where event_type <> 'error'),
-    d as (select timer_id, min(ts) filter (is_start) as s, max(ts) filter (not is_start) as e from m group by 1)
+    """with m as (select event_id // 2 as timer_id, event_id % 2 = 0 as is_start, event_type = 'error' as lost, ts from events),
+    d as (select timer_id, min(ts) filter (is_start and not lost) as s, max(ts) filter (not is_start and not lost) as e from m group by 1)
     select timer_id, 'load.duration' as name, e as ts, round((epoch_us(e) - epoch_us(s)) / 1000.0, 3) as value, 'milliseconds' as unit from d where s is not null and e is not null""",
 )
 def timer_durations(t: Inputs):
-    marks = t.table("events").where("event_type <> 'error'")
-    marks = marks.select(
+    """Marks that got lost (errors) leave their timers without a start or a stop."""
+    mark = F.when(F.col("event_type") == "error", "lost").when(F.col("event_id") % 2 == 0, "start").otherwise("stop")
+    marks = t.table("events").select(
         F.floor(F.col("event_id") / 2).alias("timer_id"),
         F.lit("load").alias("name"),
-        F.when(F.col("event_id") % 2 == 0, "start").otherwise("stop").alias("mark"),
+        mark.alias("mark"),
         "ts",
     )
     return rounded(M.timer_durations(marks), "value", places=3)

@@ -110,6 +110,11 @@ def current(changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return changes.groupBy(*keys).agg(newest.alias("_v")).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
 
 
+def compact(spark: SparkSession, path: str, keys: list[str], order: list[str], into: str) -> None:
+    """The state of a change table as the first part of a new one, which later batches may continue."""
+    current(spark.read.parquet(path).drop("batch"), keys, order).write.parquet(f"{into}/batch=-1")
+
+
 ALERT_EVENTS = "alert_id string, event string, at timestamp, value double"
 ALERT_STATE = "firing boolean"
 

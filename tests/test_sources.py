@@ -162,3 +162,11 @@ def test_only_a_missing_mark_starts_over(spark, folder):
     with pytest.raises(Exception, match="mark"):
         sync.read_mark(spark, path)
     assert sync.read_mark(spark, folder("nothing")) is None
+
+
+def test_absent_stores_are_named(spark):
+    absent: dict[str, str] = {}
+    stores = {"a": lambda: spark.range(2), "b": lambda: spark.table("no_such_table"), "c": lambda: spark.range(1).withColumn("x", F.lit(1))}
+    assert setops.federated(stores, absent).count() == 3 and absent == {"b": "TABLE_OR_VIEW_NOT_FOUND"}
+    with pytest.raises(ValueError, match="no store"):
+        setops.federated({"b": stores["b"]})

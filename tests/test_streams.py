@@ -65,3 +65,7 @@ def test_a_repeated_batch_arrives_once(spark, inputs, folder):
     newer = rows.withColumn("c_name", F.lit("new")).withColumn("version", F.lit(2)).limit(10)
     state = jobs.current(changes.unionByName(newer), ["c_custkey"], ["version"])
     assert state.count() == rows.count() and state.where("c_name = 'new'").count() == 10
+    jobs.compact(spark, folder("changes"), ["c_custkey"], ["version"], folder("compacted"))
+    newer.write.parquet(folder("compacted") + "/batch=0")
+    compacted = jobs.current(spark.read.parquet(folder("compacted")).drop("batch"), ["c_custkey"], ["version"])
+    assert sorted(map(tuple, compacted.collect())) == sorted(map(tuple, state.select(*compacted.columns).collect()))
