@@ -8,8 +8,8 @@ read twice at most; the document on the border of the target is cut there.
 A source's order is a hash of the ids, so running sums need no sampled borders: rows are summed by source and hash range first,
 and only the short list of ranges is accumulated. A source with a third of all rows is as many ranges as it needs.
 
-Defined results: a null text has size zero, and such rows are never taken; a null source is a source of its own, the last; a null id is
-an id like any other; repeated rows are read one by one; an empty table gives an empty result. Other columns are kept as they are.
+Defined results: a null text has size zero, and such rows are never taken; a null source is a source of its own, the last; rows without an id
+are placed by their size; repeated rows are read one by one; an empty table gives an empty result. Other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -75,8 +75,8 @@ def _position(start: Column) -> Column:
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size: Column | None = None) -> DataFrame:
     """Per row: ``row`` (a struct of all its columns), size, source_size, target, taken, and the positions of its two readings."""
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    place = F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
-    rows = docs.select(own, F.col(f"`{source_col}`").alias("source"), (word_count(text_col) if size is None else size).alias("size"), place.alias("place"))
+    rows = docs.select(own, F.col(f"`{source_col}`").alias("source"), (word_count(text_col) if size is None else size).alias("size"))
+    rows = rows.withColumn("place", F.md5(F.coalesce(F.col(f"row.`{id_col}`").cast("string"), F.concat(F.lit("size "), F.col("size").cast("string")))))
     bits = min(24, max(6, power_of_two(docs.count() // RANGE_ROWS)))
     rows = rows.withColumn("range", F.shiftright(F.conv(F.substring("place", 1, 6), 16, 10).cast("int"), 24 - bits))
     ranges = saved(rows.groupBy("source", "range").agg(F.sum("size").alias("words")), "mix-ranges")

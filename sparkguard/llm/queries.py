@@ -104,9 +104,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op8_mixing",
     """
     with d as (
-        select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
-            md5(coalesce(doc_id::varchar, '')) as place
-        from documents
+        select *, md5(coalesce(doc_id::varchar, 'size ' || size::varchar)) as place
+        from (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size from documents)
     ),
     s as (
         select source, sum(size)::bigint as source_size, ([3, 1, 2])[((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as w,
