@@ -29,30 +29,26 @@ class MaskingRule:
     preserve_length: bool = field(default=True)
 
 
-def _rule(name: str, category: str, patterns: str, data_types: str, strategy: str) -> MaskingRule:
-    return MaskingRule(name, category, tuple(patterns.split()), tuple(data_types.split()), strategy)
-
-
 # The default rules (name, category, column-name patterns, type names, strategy).
 DEFAULT_RULES: tuple[MaskingRule, ...] = (
-    _rule("email_addresses", "pii", "email e_?mail mail_?address contact_?email", "string varchar text", "fake_email"),
-    _rule("full_names", "pii", "^name$ full_?name display_?name user_?name", "string varchar text", "fake_name"),
-    _rule("first_names", "pii", "first_?name given_?name fname", "string varchar text", "fake_first_name"),
-    _rule("last_names", "pii", "last_?name family_?name surname lname", "string varchar text", "fake_last_name"),
-    _rule("phone_numbers", "pii", "phone telephone mobile cell contact_?number", "string varchar", "fake_phone"),
-    _rule("ssn", "pii", "ssn social_?security tax_?id", "string varchar", "fake_ssn"),
-    _rule("addresses", "pii", "address street location", "string varchar text", "fake_address"),
-    _rule("cities", "location", "city town municipality", "string varchar", "fake_city"),
-    _rule("states", "location", "state province region", "string varchar", "fake_state"),
-    _rule("zip_codes", "location", "zip postal postcode", "string varchar int", "fake_zipcode"),
-    _rule("credit_cards", "financial", "credit_?card cc_?number card_?number payment_?card", "string varchar", "fake_credit_card"),
-    _rule("bank_accounts", "financial", "account_?number bank_?account routing iban", "string varchar", "fake_account_number"),
-    _rule("salaries", "financial", "salary wage income compensation pay", "decimal float money numeric", "randomize_amount"),
-    _rule("passwords", "authentication", "password pwd pass secret", "string varchar text", "fake_hash"),
-    _rule("tokens", "authentication", "token key secret hash", "string varchar text", "fake_api_key"),
-    _rule("medical_ids", "health", "patient_?id medical_?record mrn health_?id", "string varchar", "fake_medical_id"),
-    _rule("ip_addresses", "technical", "ip_?address remote_?addr client_?ip", "string varchar", "fake_ipv4"),
-    _rule("company_names", "business", "company business organization employer", "string varchar text", "fake_company"),
+    MaskingRule("email_addresses", "pii", ("email", "e_?mail", "mail_?address", "contact_?email"), ("string", "varchar", "text"), "fake_email"),
+    MaskingRule("full_names", "pii", ("^name$", "full_?name", "display_?name", "user_?name"), ("string", "varchar", "text"), "fake_name"),
+    MaskingRule("first_names", "pii", ("first_?name", "given_?name", "fname"), ("string", "varchar", "text"), "fake_first_name"),
+    MaskingRule("last_names", "pii", ("last_?name", "family_?name", "surname", "lname"), ("string", "varchar", "text"), "fake_last_name"),
+    MaskingRule("phone_numbers", "pii", ("phone", "telephone", "mobile", "cell", "contact_?number"), ("string", "varchar"), "fake_phone"),
+    MaskingRule("ssn", "pii", ("ssn", "social_?security", "tax_?id"), ("string", "varchar"), "fake_ssn"),
+    MaskingRule("addresses", "pii", ("address", "street", "location"), ("string", "varchar", "text"), "fake_address"),
+    MaskingRule("cities", "location", ("city", "town", "municipality"), ("string", "varchar"), "fake_city"),
+    MaskingRule("states", "location", ("state", "province", "region"), ("string", "varchar"), "fake_state"),
+    MaskingRule("zip_codes", "location", ("zip", "postal", "postcode"), ("string", "varchar", "int"), "fake_zipcode"),
+    MaskingRule("credit_cards", "financial", ("credit_?card", "cc_?number", "card_?number", "payment_?card"), ("string", "varchar"), "fake_credit_card"),
+    MaskingRule("bank_accounts", "financial", ("account_?number", "bank_?account", "routing", "iban"), ("string", "varchar"), "fake_account_number"),
+    MaskingRule("salaries", "financial", ("salary", "wage", "income", "compensation", "pay"), ("decimal", "float", "money", "numeric"), "randomize_amount"),
+    MaskingRule("passwords", "authentication", ("password", "pwd", "pass", "secret"), ("string", "varchar", "text"), "fake_hash"),
+    MaskingRule("tokens", "authentication", ("token", "key", "secret", "hash"), ("string", "varchar", "text"), "fake_api_key"),
+    MaskingRule("medical_ids", "health", ("patient_?id", "medical_?record", "mrn", "health_?id"), ("string", "varchar"), "fake_medical_id"),
+    MaskingRule("ip_addresses", "technical", ("ip_?address", "remote_?addr", "client_?ip"), ("string", "varchar"), "fake_ipv4"),
+    MaskingRule("company_names", "business", ("company", "business", "organization", "employer"), ("string", "varchar", "text"), "fake_company"),
 )
 
 # Weight of the matched share of patterns and of a listed type.

@@ -37,6 +37,21 @@ NETWORK_SCORE = 85.0
 ADVICE_BELOW = 80
 
 
+# What findings and advice say.
+SAYS = {
+    "mfa": "Multi-factor authentication is required",
+    "rest": "Data must be encrypted at rest",
+    "public": "Resources should not be publicly accessible",
+    "transit": "Network traffic must be encrypted",
+    "unencrypted": "Unencrypted database connections",
+    "tls": "Enable SSL/TLS for all database connections",
+    "stale keys": "Review and clean up deprecated encryption keys",
+    "critical mfa": "Enable MFA for all critical resources",
+    "grant expiry": "Set expiration dates for temporary access grants",
+    "slow": "Improve incident resolution rate",
+}
+
+
 @dataclass(frozen=True)
 class ComplianceRule:
     rule_id: str
@@ -62,9 +77,9 @@ def evaluate_policies(subjects: DataFrame, policies: dict[str, dict[str, object]
             n = rules["min_length"]
             tests.append(F.when(F.coalesce("password_length", F.lit(0)) < n, f"Password must be at least {n} characters"))
         if rules.get("require_mfa"):
-            tests.append(F.when(~F.coalesce("mfa_enabled", F.lit(False)), "Multi-factor authentication is required"))
+            tests.append(F.when(~F.coalesce("mfa_enabled", F.lit(False)), SAYS["mfa"]))
         if rules.get("encryption_at_rest"):
-            tests.append(F.when(~F.coalesce("encrypted_at_rest", F.lit(False)), "Data must be encrypted at rest"))
+            tests.append(F.when(~F.coalesce("encrypted_at_rest", F.lit(False)), SAYS["rest"]))
         return F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
 
     each = F.array(*[F.struct(F.lit(p).alias("policy"), broken(r).alias("violations")) for p, r in policies.items()])
@@ -78,8 +93,8 @@ def check_network(configs: DataFrame) -> DataFrame:
     named = F.transform(risky, lambda p: F.concat(F.lit("Port "), p.cast("string"), F.lit(" is considered risky and should not be exposed")))
     general = F.array_compact(
         F.array(
-            F.when(F.coalesce("public_access", F.lit(False)), "Resources should not be publicly accessible"),
-            F.when(~F.coalesce("encryption_in_transit", F.lit(False)), "Network traffic must be encrypted"),
+            F.when(F.coalesce("public_access", F.lit(False)), SAYS["public"]),
+            F.when(~F.coalesce("encryption_in_transit", F.lit(False)), SAYS["transit"]),
         )
     )
     return configs.withColumn("issues", F.concat(general, F.coalesce(named, F.array().cast("array<string>")))).withColumn(
@@ -132,9 +147,9 @@ def vulnerabilities(resources: DataFrame, name: str) -> DataFrame:
     """Resources with "database" in their name."""
     return resources.where(F.lower(name).contains("database")).select(
         F.col(name).alias("resource"),
-        F.lit("Unencrypted database connections").alias("vulnerability"),
+        F.lit(SAYS["unencrypted"]).alias("vulnerability"),
         F.lit("high").alias("severity"),
-        F.lit("Enable SSL/TLS for all database connections").alias("remediation"),
+        F.lit(SAYS["tls"]).alias("remediation"),
     )
 
 
@@ -160,7 +175,7 @@ def key_posture(keys: DataFrame, as_of: dt.datetime) -> DataFrame:
     )
     rotate = F.concat(F.lit("Rotate "), F.col("due").cast("string"), F.lit(" encryption keys"))
     stale = F.coalesce((F.col("total") > 0) & (F.col("active") / F.nullif("total", F.lit(0)) < 0.8), F.lit(False))
-    return _posture("encryption", row, [(F.col("due") > 0, 15, rotate), (stale, 10, F.lit("Review and clean up deprecated encryption keys"))])
+    return _posture("encryption", row, [(F.col("due") > 0, 15, rotate), (stale, 10, F.lit(SAYS["stale keys"]))])
 
 
 def access_posture(grants: DataFrame) -> DataFrame:
@@ -177,8 +192,8 @@ def access_posture(grants: DataFrame) -> DataFrame:
         "access_control",
         row,
         [
-            (few_mfa, 20, F.lit("Enable MFA for all critical resources")),
-            (few_expiry, 10, F.lit("Set expiration dates for temporary access grants")),
+            (few_mfa, 20, F.lit(SAYS["critical mfa"])),
+            (few_expiry, 10, F.lit(SAYS["grant expiry"])),
         ],
     )
 
@@ -191,7 +206,7 @@ def incident_posture(incidents: DataFrame) -> DataFrame:
     )
     slow = F.coalesce((F.col("total") > 0) & (F.col("resolved") / F.nullif("total", F.lit(0)) * 100 < 95), F.lit(False))
     review = F.concat(F.lit("Review "), F.col("critical").cast("string"), F.lit(" critical incidents"))
-    return _posture("incident_response", row, [(slow, 20, F.lit("Improve incident resolution rate")), (F.col("critical") > 0, 10, review)])
+    return _posture("incident_response", row, [(slow, 20, F.lit(SAYS["slow"])), (F.col("critical") > 0, 10, review)])
 
 
 def compliance_posture(scores: DataFrame) -> DataFrame:
