@@ -6,6 +6,9 @@ Places are joined on the fingerprint and its window's hash, each to the first pl
 the lines next to it agree, over MIN_WORDS words at most: whatever agrees beyond holds windows of its own. All places but the first lose the run. A window that a third of all documents share is counted
 before it is shuffled, and its places are a plain join that AQE splits.
 
+With ``every_place`` a line goes if any run of MIN_WORDS words around it has any earlier place. The shortest such runs around a line are the fewest
+lines from a line on and the fewest lines up to a line, so both are keyed and nothing is extended: each place of a key but its first loses its lines.
+
 Documents come in the order of their ids, then of their texts' digests; a line without words counts as one word. Defined results: a null text is an empty one, which is a single line; null ids come last; repeated rows lose what the
 first of them has; a run never reaches over the end of a text; an empty table gives an empty result.
 """
@@ -52,8 +55,32 @@ def windows(lines: DataFrame) -> DataFrame:
     return out.where(F.col("held") >= MIN_WORDS).select("row_id", "doc", "no", "size", "least", "key", "back", "next")
 
 
+def whole_windows(lines: DataFrame) -> DataFrame:
+    """The fewest lines that hold MIN_WORDS words from each line on, and those up to each line that are no window of the first kind: no, size, least, key."""
+    text = W.partitionBy("row_id")
+    ahead, behind = text.orderBy("s").rangeBetween(0, MIN_WORDS - 1), text.orderBy(F.col("s") + F.col("words")).rangeBetween(1 - MIN_WORDS, 0)
+    wide = lines.withColumns({
+        "on": F.collect_list("h").over(ahead), "held": F.sum("words").over(ahead),
+        "upto": F.collect_list("h").over(behind), "reached": F.sum("words").over(behind) - F.col("words"),
+    })
+    from_here = F.when(F.col("held") >= MIN_WORDS, F.struct("no", F.col("on").alias("run")))
+    to_here = F.when(F.col("reached") >= MIN_WORDS, F.struct((F.col("no") - F.size("upto") + 1).alias("no"), F.col("upto").alias("run")))
+    out = wide.select("row_id", "doc", F.explode(F.array_compact(F.array(from_here, to_here))).alias("w"))
+    return out.select("row_id", "doc", "w.no", F.size("w.run").alias("size"), F.array_min("w.run").alias("least"), F.xxhash64("w.run").alias("key"))
+
+
+def repeated_anywhere(docs: DataFrame) -> DataFrame:
+    """(row_id, a, b) as of ``repeated_runs``, with regard to all earlier places."""
+    marked = saved(whole_windows(line_rows(docs)), "line-windows")
+    window = ["least", "key", "size"]
+    first = marked.groupBy(*window).agg(F.min(F.struct("doc", "no")).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = saved(first.where(F.col("n") > 1).select(*window, "first"), "line-firsts")
+    later = marked.join(first, window).where((F.col("row_id") != F.col("first.doc.row_id")) | (F.col("no") != F.col("first.no")))
+    return later.select("row_id", F.col("no").alias("a"), (F.col("no") + F.col("size") - 1).alias("b"))
+
+
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(row_id, a, b): numbers of the first and the last line of the runs to delete."""
+    """(row_id, a, b): numbers of the first and the last line of the runs to delete, found at the first place of their windows."""
     marked = saved(windows(line_rows(docs)), "line-windows")
     window = ["least", "key", "size"]
     first = marked.groupBy(*window).agg(F.min(F.struct("doc", "no", "back", "next")).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -63,20 +90,21 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     return later.select("row_id", (F.col("no") - left).alias("a"), (F.col("no") + F.col("size") - 1 + right).alias("b"))
 
 
-def dropped_ranges(docs: DataFrame) -> DataFrame:
+def dropped_ranges(docs: DataFrame, every_place: bool = False) -> DataFrame:
     """(row_id, ranges): disjoint ranges of line numbers, as many as a text has lines at most."""
     text = W.partitionBy("row_id").orderBy("a", "b")
     reach = F.max("b").over(text.rowsBetween(W.unboundedPreceding, -1))
-    runs = repeated_runs(docs).distinct().withColumn("new", F.when(F.col("a") <= reach + 1, 0).otherwise(1)).withColumn("island", F.sum("new").over(text))
+    found = repeated_anywhere(docs) if every_place else repeated_runs(docs)
+    runs = found.distinct().withColumn("new", F.when(F.col("a") <= reach + 1, 0).otherwise(1)).withColumn("island", F.sum("new").over(text))
     whole = runs.groupBy("row_id", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     return whole.groupBy("row_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every_place: bool = False) -> DataFrame:
     """doc_id, text without the repeated runs, n_lines and dropped_lines; one row per document."""
     read = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(f"`{text_col}`").alias("text"))
     texts = saved(read.withColumn("row_id", F.monotonically_increasing_id()), "line-texts")
-    rows = texts.join(dropped_ranges(texts), "row_id", "left").withColumn("lines", F.split("text", "\n"))
+    rows = texts.join(dropped_ranges(texts, every_place), "row_id", "left").withColumn("lines", F.split("text", "\n"))
     gone = F.flatten(F.transform("ranges", lambda r: F.sequence(r["a"], r["b"])))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), gone)
     rows = rows.withColumn("kept", F.when(F.col("ranges").isNotNull(), kept))

@@ -67,7 +67,8 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """,
 )
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    """Against every earlier place; the twin compares with the first one and may keep more."""
+    out = line_dedup.without_repeats(table(spark, sf_dir, "documents"), every_place=True)
     return out.select("doc_id", "n_lines", "dropped_lines", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from llm.samples import TEXTS, documents, empty, words
 
-from sparkguard.llm import line_dedup
+from sparkguard.llm import line_dedup, queries
 
 
 def brute(rows, least=50):
@@ -78,3 +78,37 @@ def test_awkward_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = line_dedup.without_repeats(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Cartesian", "NestedLoop"))
+
+
+def brute_everywhere(rows, least=50):
+    """Remaining text per row: every line goes that lies in a run which any earlier place has."""
+    lines = [(t or "").split("\n") for _, t, _ in rows]
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+    places = [(k, i) for k in order for i in range(len(lines[k]))]
+    gone = {k: set() for k in order}
+    for at, (k, a) in enumerate(places):
+        for j, c in places[:at]:
+            n = 0
+            while a + n < len(lines[k]) and c + n < len(lines[j]) and lines[k][a + n] == lines[j][c + n]:
+                n += 1
+            if sum(max(1, len(x.split())) for x in lines[k][a : a + n]) >= least:
+                gone[k].update(range(a, a + n))
+    return {rows[k][0]: "\n".join(x for i, x in enumerate(lines[k]) if i not in gone[k]) for k in order}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_every_place_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pool = [words(rng.choice([0, 1, 5, 20, 30, 60]), k) for k in range(12)]
+    rows = [(i, "\n".join([rng.choice(pool) for _ in range(rng.randint(0, 9))] + [words(9, 1000 + i)]), "a") for i in range(30)]
+    assert result(line_dedup.without_repeats(documents(spark, rows), every_place=True)) == brute_everywhere(rows)
+
+
+def test_the_tail_of_a_hot_head(spark, tmp_path):
+    """A later document's tail goes too, although the first place of its head continues differently."""
+    head, tail = words(60, 1), words(30, 2)
+    rows = [(1, f"{head}\n{words(5, 3)}", "a"), (2, f"{head}\n{tail}\n{words(7, 4)}", "a"), (3, f"{head}\n{tail}\n{words(8, 5)}", "a")]
+    want = {1: rows[0][1], 2: f"{tail}\n{words(7, 4)}", 3: words(8, 5)}
+    assert result(line_dedup.without_repeats(documents(spark, rows), every_place=True)) == want
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.dropped_lines for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 2}
