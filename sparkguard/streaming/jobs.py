@@ -116,48 +116,56 @@ def compact(spark: SparkSession, path: str, keys: list[str], order: list[str], i
 
 
 ALERT_EVENTS = "alert_id string, event string, at timestamp, value double"
-ALERT_STATE = "firing boolean"
+ALERT_STATE = "firing boolean, points long, breaches long, value double, leaving array<bigint>, left_points array<bigint>, left_breaches array<bigint>"
 
 
 def _transitions(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Firing and resolved events of one alert from its evaluations in time order."""
-    rows = pd.concat(list(batches)).sort_values("evaluated_at")
-    firing = state.get[0] if state.exists else False
-    before = rows["firing"].shift(1, fill_value=firing).astype(bool)
-    turned = rows[rows["firing"].astype(bool) != before]
-    state.update((bool(rows["firing"].iloc[-1]),))
-    yield pd.DataFrame(
-        {
-            "alert_id": turned["alert_id"],
-            "event": turned["firing"].map({True: "firing", False: "resolved"}).astype(str),
-            "at": turned["evaluated_at"],
-            "value": turned["current_value"],
-        }
-    )
-
-
-def alert_states(points: DataFrame, alerts: tuple[A.Alert, ...], step: int = A.EVALUATION_SECONDS, id_column: str = "point_id") -> DataFrame:
-    """Evaluations of the alerts at the times of the grid, each emitted once it is final.
-
-    Spark reduces the points to one row per alert and grid time, so what follows sees evaluations, never
-    points.
+    """Firing and resolved events of one alert from its changes in time order. The state holds the points in the look-back, counted by the grid time they leave at."""
+    rows = pd.concat(list(batches)).sort_values(["slot", "until"])
+    firing, points, breaches, value, *lists = state.get if state.exists else (False, 0, 0, None, [], [], [])
+    leaving = {slot: (n, b) for slot, n, b in zip(*lists, strict=True)}
+    events = []
+    for (slot, at), changes in rows.groupby(["slot", "evaluated_at"], sort=True):
+        n, b = leaving.pop(slot, (0, 0))
+        points, breaches = points - n, breaches - b
+        for c in changes[changes["until"] > slot].itertuples():
+            n, b = leaving.get(c.until, (0, 0))
+            leaving[c.until] = n + c.points, b + c.breaches
+            points, breaches, value = points + c.points, breaches + c.breaches, c.current_value
+        now = breaches >= changes["datapoints"].iloc[0]
+        if points > 0 and now != firing:
+            firing = bool(now)
+            events.append((key[0], "firing" if firing else "resolved", at, value))
+    left = sorted(leaving)
+    held = [[int(x) for x in xs] for xs in (left, [leaving[x][0] for x in left], [leaving[x][1] for x in left])]
+    state.update((firing, int(points), int(breaches), None if pd.isna(value) else float(value), *held))
+    if events:
+        yield pd.DataFrame(events, columns=["alert_id", "event", "at", "value"])
+
+
+def alert_changes(points: DataFrame, alerts: tuple[A.Alert, ...], step: int = A.EVALUATION_SECONDS, id_column: str = "point_id") -> DataFrame:
+    """What enters or leaves the alerts' look-backs at times of the grid, each emitted once it is final.
+
+    A point is two changes, however long the period is and short the step. Spark counts them per alert, grid time and, where points enter,
+    the grid time ``until`` which they are seen. Where points leave, ``until`` is the time itself and the row only says that the time has come: a late point,
+    whose entering is dropped, does not leave either.
     """
     watched = A.alert_points(points, alerts)
     longest = max(a.period_minutes for a in alerts if a.enabled)
-    grid = F.coalesce(
-        *[F.when(F.col("alert_id") == a.alert_id, timeslices.slots(step, a.period_minutes * 60, F.col("ts"))) for a in alerts if a.enabled]
-    )
-    spread = watched.withColumn("slot", F.explode(grid)).withColumn("evaluated_at", F.timestamp_seconds("slot"))
-    timed = spread.withWatermark("evaluated_at", f"{longest + 10} minutes")
-    states = timed.groupBy("evaluated_at", "alert_id", "datapoints").agg(
-        F.count_if("breach").alias("breaches"), F.max_by("value", F.struct("ts", id_column)).alias("current_value")
+    first, last = timeslices.first_and_last_slot(step, F.col("period"), F.col("ts"))
+    enters = F.struct(first.alias("slot"), (last + 1).alias("until"), F.lit(1).alias("n"), F.col("breach").cast("long").alias("b"))
+    leaves = F.struct((last + 1).alias("slot"), (last + 1).alias("until"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("b"))
+    spread = watched.where(first <= last).withColumn("c", F.explode(F.array(enters, leaves)))
+    timed = spread.withColumn("evaluated_at", F.timestamp_seconds(F.col("c.slot") * step)).withWatermark("evaluated_at", f"{longest * 60 + 600 + step} seconds")
+    counted = timed.groupBy("evaluated_at", "alert_id", "datapoints", F.col("c.slot").alias("slot"), F.col("c.until").alias("until")).agg(
+        F.sum("c.n").alias("points"), F.sum("c.b").alias("breaches"), F.max_by("value", F.struct("ts", id_column)).alias("current_value")
     )
-    return states.select("alert_id", "evaluated_at", "current_value", (F.col("breaches") >= F.col("datapoints")).alias("firing"))
+    return counted.select("alert_id", "evaluated_at", "slot", "until", "datapoints", "points", "breaches", "current_value")
 
 
-def alert_events(states: DataFrame) -> DataFrame:
-    """Firing and resolved events from the files of ``alert_states``; the state is one flag per alert."""
-    return states.groupBy("alert_id").applyInPandasWithState(
+def alert_events(changes: DataFrame) -> DataFrame:
+    """Firing and resolved events from the files of ``alert_changes``; an alert's state has a few numbers per grid time of its period at most."""
+    return changes.groupBy("alert_id").applyInPandasWithState(
         _transitions, ALERT_EVENTS, ALERT_STATE, "append", GroupStateTimeout.NoTimeout
     )
 
@@ -165,8 +173,8 @@ def alert_events(states: DataFrame) -> DataFrame:
 def alerts_to_files(
     points: DataFrame, alerts: tuple[A.Alert, ...], states_path: str, events_path: str, checkpoint: str, step: int = A.EVALUATION_SECONDS
 ) -> None:
-    """Evaluations into one folder, and from there events into another."""
-    states = alert_states(points, alerts, step)
+    """Changes of what the alerts see into one folder, and from there events into another."""
+    states = alert_changes(points, alerts, step)
     run_to_files(states, states_path, f"{checkpoint}/states").awaitTermination()
     read_back = points.sparkSession.readStream.schema(states.schema).parquet(states_path)
     run_to_files(alert_events(read_back), events_path, f"{checkpoint}/events").awaitTermination()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -41,6 +43,38 @@ def test_alert_events_over_micro_batches(spark, inputs, folder):
     assert got and got == {w for w in want if w[2] <= final}
 
 
+def test_alert_events_at_thirty_seconds(spark, inputs, folder):
+    """Two changes per point and alert at most, and the events of the batch episodes at the same step."""
+    p = points(inputs)
+    far = p.groupBy("series_key").agg(F.max_by(F.struct(*p.columns), "ts").alias("r")).select("r.*").withColumn("ts", p.agg(F.max("ts")).scalar() + F.expr("interval 3650 days"))
+    cut = p.agg(F.median(F.unix_micros(F.col("ts").cast("timestamp")))).head()[0]
+    early = F.unix_micros(F.col("ts").cast("timestamp")) < cut
+    for part in (p.where(early), p.where(~early), far):
+        part.coalesce(1).write.mode("append").parquet(folder("points"))
+        stream = spark.readStream.schema(p.schema).parquet(folder("points"))
+        jobs.alerts_to_files(stream, ALERTS, folder("states"), folder("events"), folder("checkpoint"))
+    got = sorted(map(tuple, spark.read.schema(jobs.ALERT_EVENTS).parquet(folder("events")).collect()))
+    evaluated = {(r["alert_id"], r["evaluated_at"]): r["current_value"] for r in A.grid_spans(p, ALERTS).collect()}
+    episodes = A.episodes(A.grid_spans(p, ALERTS)).collect()
+    at = [(r["alert_id"], "firing", r["triggered_at"]) for r in episodes] + [(r["alert_id"], "resolved", r["resolved_at"]) for r in episodes if r["resolved_at"]]
+    assert got and got == sorted((*x, evaluated[x[0], x[2]]) for x in at)
+    assert spark.read.parquet(folder("states")).count() <= 2 * A.alert_points(p, ALERTS).count()
+
+
+def test_a_late_point_neither_enters_nor_leaves(spark, folder):
+    """Behind the watermark a point counts for nothing, also at the time it would have left."""
+    alert = (A.Alert("a", "A", "m", 5, "high", 5, 1),)
+    start = dt.datetime(2024, 1, 1)
+    schema = "point_id long, name string, tags map<string,string>, series_key string, ts timestamp_ntz, value double"
+    for i, parts in enumerate(([(0, 9.0)], [(7200, 1.0)], [(60, 9.0), (7230, 9.0)], [(90000, 1.0)], [(180000, 1.0)])):
+        rows = [(10 * i + k, "m", {}, "m", start + dt.timedelta(seconds=s), v) for k, (s, v) in enumerate(parts)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder("points"))
+        stream = spark.readStream.schema(schema).parquet(folder("points"))
+        jobs.alerts_to_files(stream, alert, folder("states"), folder("events"), folder("checkpoint"))
+    got = sorted((r["at"] - start).total_seconds() for r in spark.read.schema("at timestamp_ntz").parquet(folder("events")).collect())
+    assert got == [0.0, 7200.0, 7230.0, 90000.0]
+
+
 def test_windows_over_micro_batches(spark, inputs, folder):
     p = points(inputs)
     in_parts(p, folder("points"), 6)
