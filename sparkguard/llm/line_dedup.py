@@ -1,8 +1,8 @@
-"""Repeated runs of lines by winnowing, with DataFrame functions alone.
+"""Repeated runs of lines by the hashes of all their windows, with DataFrame functions alone.
 
-Lines are hashed where texts are read. A window is the fewest consecutive lines that hold MIN_WORDS words, and there is one from every line on; its
-least line hash is its fingerprint. Any run of that many words that two places share holds a whole window, so both have the same fingerprint.
-Places are joined on the fingerprint and its window's hash, each to the first place alone, and the match is extended both ways while
+Lines are hashed where texts are read. A window is the fewest consecutive lines that hold MIN_WORDS words, and there is one from every line on; the
+hash of its lines is its key. No windows are selected, as winnowing would; the least line hash only stands beside the key against collisions. Any run of that many words that two places share holds a whole window, so both have the same key.
+Places are joined on the key, each to the first place alone, and the match is extended both ways while
 the lines next to it agree, over MIN_WORDS words at most: whatever agrees beyond holds windows of its own. All places but the first lose the run. A window that a third of all documents share is counted
 before it is shuffled, and its places are a plain join that AQE splits.
 
@@ -43,7 +43,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 
 def windows(lines: DataFrame) -> DataFrame:
-    """The whole windows: key, least (its fingerprint), size, and the lines that lie wholly within MIN_WORDS words before and after."""
+    """The whole windows: key, least (against collisions), size, and the lines that lie wholly within MIN_WORDS words before and after."""
     text = W.partitionBy("row_id").orderBy("s")
     window = text.rangeBetween(0, MIN_WORDS - 1)
     around = lines.withColumns({
