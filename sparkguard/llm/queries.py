@@ -196,7 +196,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     says = "</s>[INST] ok [/INST]"
     rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], rows.schema))
     records = rows.select("conv_id", "turn", F.to_json(F.struct("role", "text")).alias("record"))
-    return chat.read_back(chat.formatted(chat.canonical(records, "conv_id", "turn", "record")))
+    return chat.read_back(chat.formatted(chat.canonical(records, "conv_id", "turn", "record"))).drop("unmapped")
 
 
 # Documents whose id falls into fold LANG_FOLD of LANG_FOLDS are not learned from.

@@ -48,6 +48,38 @@ def test_layouts(record, turns):
     assert chat.turns_of(json.dumps(record)) == turns
 
 
+MESSAGES = [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]
+MORE_RECORDS = [
+    ({"messages": MESSAGES, "system": "be"}, [("system", "be"), ("user", "q"), ("assistant", "a")]),
+    ({"system": "be", "conversations": [{"from": "human", "value": "q"}]}, [("system", "be"), ("user", "q")]),
+    ({"instruction": "do", "response": "done"}, [("user", "do"), ("assistant", "done")]),
+    ({"prompt": "q", "output": "a"}, [("user", "q"), ("assistant", "a")]),
+    (MESSAGES, [("user", "q"), ("assistant", "a")]),
+    ([{"from": "gpt", "value": "a"}], [("assistant", "a")]),
+    ([{"role": "user", "text": "q"}], [("user", "q")]),
+    ({"messages": []}, []),
+    ({"messages": [], "prompt": "q"}, [("user", "q")]),
+    ([], []),
+    ({"messages": MESSAGES, "text": "q a"}, [("user", "q"), ("assistant", "a")]),
+    ({"instruction": "do", "output": "done", "text": "do done"}, [("user", "do"), ("assistant", "done")]),
+    ({"messages": ["plain"]}, None),
+    (["plain"], None),
+]
+
+
+@pytest.mark.parametrize("record,turns", MORE_RECORDS)
+def test_more_layouts(record, turns):
+    assert chat.turns_of(json.dumps(record)) == turns
+
+
+def test_conversations_without_turns(spark):
+    rows = [(1, 0, {"something": "else"}), (1, 1, {"other": 1}), (2, 0, {"messages": []}), (3, 0, {"something": "else"}), (3, 1, {"prompt": "q"})]
+    records = spark.createDataFrame([(c, t, json.dumps(r)) for c, t, r in rows], "conv_id long, turn int, record string")
+    got = {r.conv_id: r for r in chat.read_back(chat.formatted(chat.canonical(records, "conv_id", "turn", "record"))).collect()}
+    assert {k: (r.n_turns, r.unmapped) for k, r in got.items()} == {1: (0, 2), 2: (0, 0), 3: (1, 1)}
+    assert (got[1].turns_sha256, got[1].loss_chars, got[1].formatted_chars) == (hashlib.sha256(b"").hexdigest(), 0, 0)
+
+
 def test_broken_records():
     assert chat.turns_of("{") is None and chat.turns_of(None) == [("", "")] and chat.turns_of("{}") == [("", "")]
 
