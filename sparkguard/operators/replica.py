@@ -6,11 +6,11 @@ import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkguard.functions.digest import digest, slot
 from sparkguard.operators.masking import keyword_mask
+from sparkguard.operators.ranking import positions
 
 # Fixed value: rows of a table kept in a copy.
 SAMPLE_ROWS = 1000
@@ -74,7 +74,7 @@ def fix_foreign_key(child: DataFrame, fk: ForeignKey, parents: DataFrame, key: s
     that matches none, instead of meeting as nulls.
     """
     keys = parents.select(F.col(fk.parent_column).alias("_pk")).where(F.col("_pk").isNotNull()).distinct()
-    spare = keys.select((F.row_number().over(W.orderBy("_pk")) - 1).cast("long").alias("_i"), F.col("_pk").alias("_spare"))  # a sample
+    spare = positions(keys, [], ["_pk"]).select(F.col("before").alias("_i"), F.col("_pk").alias("_spare"))
     n = keys.agg(F.count(F.lit(1))).scalar()
     columns = child.columns
     value = F.col(fk.column)

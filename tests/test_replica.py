@@ -74,6 +74,18 @@ def test_shuffle_joins_give_the_same_rows(spark, tables):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_parent_keys_are_numbered_in_ranges(spark):
+    """No window over all keys, and the same spare keys as by their order."""
+    fk = R.ForeignKey("p", "parent", "id")
+    keys = [7 * i for i in range(500)]
+    parents = spark.createDataFrame([(k,) for k in [*keys, *keys[:50], None]], "id bigint").repartition(8)
+    child = spark.createDataFrame([(i, 7 * i + 1) for i in range(300)], "c int, p bigint")
+    fixed = R.fix_foreign_key(child, fk, parents, KEY)
+    assert "row_number" not in fixed._jdf.queryExecution().optimizedPlan().toString()
+    drawn = child.select("c", (R.slot(R.digest(F.col("p").cast("string"), KEY, "p"), 0) % len(keys)).alias("i")).collect()
+    assert {r["c"]: r["p"] for r in fixed.collect()} == {r["c"]: keys[r["i"]] for r in drawn}
+
+
 def test_no_parents_gives_null_and_a_missing_parent_changes_nothing(spark, tables, tmp_path):
     fk = ORDERS.foreign_keys[0]
     empty = tables["customer"].limit(0)
