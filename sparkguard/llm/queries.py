@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkguard.llm import brown, chat, exact_dedup, langid, line_dedup, mixing, order_minhash, packing, simhash_dedup, toxicity
+from sparkguard.llm import brown, chat, exact_dedup, langid, line_dedup, mixing, order_minhash, packing, simhash_dedup, toxicity, whitening
 from sparkguard.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,3 +209,9 @@ def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), LANG_FOLDS) == LANG_FOLD
     langs, likelihoods = langid.train(docs, ~held_out)
     return langid.predict(docs, langs, likelihoods).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages")
+
+
+@register("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whole_rows(table(spark, sf_dir, "embeddings"))
+    return whitening.whitened(rows, whitening.fit(rows))

@@ -22,12 +22,12 @@ def test_against_sql(spark, con, key):
     assert ok, text
 
 
-@pytest.mark.parametrize("key", sorted(set(QUERIES) - set(SQL)))
+@pytest.mark.parametrize("key", sorted(set(QUERIES) - set(SQL) - {"op11_whitening"}))
 def test_a_row_per_document(spark, key):
     ids = [r.doc_id for r in QUERIES[key](spark, SF).select("doc_id").distinct().collect()]
     assert len(ids) == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
 def test_all_are_registered():
-    assert {k.split("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {k.split("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
