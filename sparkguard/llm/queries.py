@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkguard.llm import brown, chat, exact_dedup, langid, line_dedup, mixing, order_minhash, packing, simhash_dedup, toxicity, whitening
+from sparkguard.llm import brown, chat, exact_dedup, langid, lexical_search, line_dedup, mixing, order_minhash, packing, pii, simhash_dedup, toxicity, whitening
 from sparkguard.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,3 +215,40 @@ def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = whitening.whole_rows(table(spark, sf_dir, "embeddings"))
     return whitening.whitened(rows, whitening.fit(rows))
+
+
+@register(
+    "op12_lexical_search",
+    r"""
+    with i as (
+        select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+        from benchmark
+    ),
+    t as (
+        select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+        from documents
+    ),
+    f as (select doc_id, term, count(*) as tf from t group by doc_id, term),
+    d as (select doc_id, sum(tf)::bigint as n from f group by doc_id),
+    c as (select count(*) as docs, sum(n)::bigint as terms from d),
+    w as (
+        select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+        from f, c where term in (select term from i) group by term, docs
+    ),
+    s as (
+        select item_id, f.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // terms))))::bigint as score
+        from i join w using (term) join f using (term) join d on d.doc_id = f.doc_id, c group by item_id, f.doc_id
+    ),
+    r as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from s where score > 0)
+    select item_id, rank, doc_id, score from r where rank <= 50
+    """,
+)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op13_pii")
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
