@@ -124,15 +124,17 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         match = F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0))
         read = read.withColumn(f"match{k}", F.when(F.contains("text", F.lit(rule.hint)), match).otherwise(some) if rule.hint else match)
 
-    def near(gap: Column) -> Column:
-        return F.struct(F.length(gap).alias("n"), F.substring(gap, -BEFORE, BEFORE).alias("tail"), F.substring(gap, 1, AFTER).alias("head"))
-
     def of(k: int, rule: Rule) -> Column:
-        gaps = F.transform(F.split("text", rule.pattern, -1), near)
-        return F.when(F.size(f"match{k}") > 0, F.struct(F.lit(k).alias("rule"), F.col(f"match{k}").alias("match"), gaps.alias("gaps")))
+        match, gaps = F.col(f"match{k}"), F.split("text", rule.pattern, -1)
+        before = F.transform(gaps, lambda g: F.struct(F.length(g).alias("n"), F.substring(g, -BEFORE, BEFORE).alias("tail"), F.substring(g, 1, AFTER).alias("head")))
+        return F.when(F.size(match) > 0, F.struct(F.lit(k).alias("rule"), match.alias("value"), before.alias("gap")))
 
     found = F.array_compact(F.array(*[of(k, rule) for k, rule in enumerate(RULES)]))
-    return saved(read.select("row_id", "doc_id", found.alias("found")), "pii-candidates")
+    # A match stands beside the text before it and the text after it.
+    beside = F.transform(
+        found, lambda r: F.struct(r["rule"].alias("rule"), F.arrays_zip(r["value"].alias("value"), r["gap"].alias("gap"), F.slice(r["gap"], 2, F.size(r["value"])).alias("after")).alias("matches"))
+    )
+    return saved(read.select("row_id", "doc_id", beside.alias("found")), "pii-candidates")
 
 
 def _word(text: Column, words: str) -> Column:
@@ -141,10 +143,10 @@ def _word(text: Column, words: str) -> Column:
 
 def voted(found: DataFrame) -> DataFrame:
     """A row per candidate: row_id, doc_id, kind (its number), base, passes, start, end, value, and the labelers' votes (1, 0, -1)."""
-    rules = found.select("row_id", "doc_id", F.explode("found").alias("r")).select("row_id", "doc_id", "r.rule", "r.match", "r.gaps")
-    each = rules.select("row_id", "doc_id", "rule", "gaps", F.posexplode("match").alias("no", "value"))
-    gap, after = F.col("gaps")[F.col("no")], F.col("gaps")[F.col("no") + 1]
-    each = each.select("row_id", "doc_id", "rule", "no", "value", gap["n"].alias("gap"), gap["tail"].alias("tail"), after["head"].alias("head"))
+    rules = found.select("row_id", "doc_id", F.explode("found").alias("r")).select("row_id", "doc_id", "r.rule", F.posexplode("r.matches").alias("no", "m"))
+    each = rules.where(F.col("m.value").isNotNull()).select(
+        "row_id", "doc_id", "rule", "no", "m.value", F.col("m.gap.n").alias("gap"), F.col("m.gap.tail").alias("tail"), F.col("m.after.head").alias("head")
+    )
     reach = F.sum(F.col("gap") + F.length("value")).over(W.partitionBy("row_id", "rule").orderBy("no"))
     names = F.array(*[F.lit(r.kind) for r in RULES])
     numbers, base = F.array(*[F.lit(KINDS.index(r.kind)) for r in RULES]), F.array(*[F.lit(r.base) for r in RULES])
@@ -254,8 +256,8 @@ def _probability(weights: dict[str, float]) -> Column:
 def spans(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
     """row_id, doc_id, kind, base, start, end, value, probability: base spans, and the candidates that the classifier adds."""
     scored = rows.where("passes").withColumn("probability", _probability(weights)).where(F.col("base") | (F.col("probability") >= LEAST))
-    text = W.partitionBy("row_id").orderBy("start", "end", "kind", "base")
-    earlier, later = text.rowsBetween(W.unboundedPreceding, -1), text.rowsBetween(1, W.unboundedFollowing)
+    order = ["start", "end", "kind", "base"]
+    earlier, later = (W.partitionBy("row_id").orderBy(*by).rowsBetween(W.unboundedPreceding, -1) for by in (order, [F.desc(c) for c in order]))
     base = F.col("base")
     reach = F.max("end").over(earlier)  # of base spans and of what may be added
     free = (F.coalesce(reach, F.lit(0)) <= F.col("start")) & (F.coalesce(F.min(F.when(base, F.col("start"))).over(later), F.col("end")) >= F.col("end"))
