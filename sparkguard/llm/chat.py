@@ -28,7 +28,7 @@ from sparkguard.llm.common import text_of
 # The markers of a turn, and the strings that mean something to common chat templates.
 START, END = "<|im_start|>", "<|im_end|>\n"
 CONTROL = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
-# Names of roles in other layouts.
+# Names of roles in layouts that say from and value; others keep their roles as they are.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -113,7 +113,8 @@ def turns_of(record: str | None) -> list[tuple[str, str]] | None:
     if layout.items:
         at, role, text = layout.items
         members = value if at == "[]" else value[at] if at else [value]
-        turns += [(ROLES.get(r := _plain(x.get(role)), r), _plain(x.get(text))) for x in members if isinstance(x, dict)]
+        renamed = ROLES if role == "from" else {}
+        turns += [(renamed.get(r := _plain(x.get(role)), r), _plain(x.get(text))) for x in members if isinstance(x, dict)]
     return turns
 
 
