@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,11 @@ from sparkguard.functions.digest import digest, slot
 from sparkguard.operators.masking import keyword_mask
 from sparkguard.operators.ranking import positions
 
-# Fixed value: rows of a table kept in a copy.
+# Rows of a table kept in a copy, and tables of a level that are copied at once.
 SAMPLE_ROWS = 1000
+CONCURRENT_TABLES = 4
+# Keys of a parent copy that are held as one array in the plan (a few megabytes at most).
+ARRAY_KEYS = 100_000
 
 
 @dataclass(frozen=True)
@@ -61,28 +65,34 @@ def sample(df: DataFrame, info: TableInfo, key: str, rows: int = SAMPLE_ROWS) ->
     """
     text = F.concat_ws("|", *[F.col(c).cast("string") for c in info.primary_key])
     total = df.agg(F.count(F.lit(1))).scalar()
-    share = (rows + 10 * math.sqrt(rows) + 100) * float(2**32) / total
+    share = (rows + 10 * math.sqrt(rows) + 100) * float(2**32) / F.nullif(total, F.lit(0))
     drawn = df.withColumn("_d", digest(text, key, info.name))
     near = drawn.where((slot(F.col("_d"), 0) < share) | (total <= rows))
     return near.orderBy("_d", *info.primary_key).limit(rows).drop("_d")
 
 
-def fix_foreign_key(child: DataFrame, fk: ForeignKey, parents: DataFrame, key: str) -> DataFrame:
+def fix_foreign_key(child: DataFrame, fk: ForeignKey, parents: DataFrame, key: str, most: int = SAMPLE_ROWS) -> DataFrame:
     """Keys that the parent copy holds stay; others become one it does hold, drawn from the value's digest; none gives null.
 
-    Both look-ups are plain joins: the size of the written copy decides how they run. Rows that need no spare key get a spread-out index
-    that matches none, instead of meeting as nulls.
+    ``most`` is how many keys the copy may have. Up to ARRAY_KEYS of them are one sorted array in the plan, read by position; the query fails
+    if there turn out to be more than promised. Larger copies are numbered in ranges and joined. Either way the same key is drawn.
     """
     keys = parents.select(F.col(fk.parent_column).alias("_pk")).where(F.col("_pk").isNotNull()).distinct()
-    spare = positions(keys, [], ["_pk"]).select(F.col("before").alias("_i"), F.col("_pk").alias("_spare"))
-    n = keys.agg(F.count(F.lit(1))).scalar()
-    columns = child.columns
-    value = F.col(fk.column)
+    columns, value = child.columns, F.col(fk.column)
     kept = child.join(keys, value == F.col("_pk"), "left")
-    drawn = slot(digest(F.coalesce(value.cast("string"), F.lit("")), key, fk.column), 0)
-    idle = -1 - F.pmod(F.xxhash64(*columns), F.lit(1_000_000))
-    indexed = kept.withColumn("_i", F.when(F.col("_pk").isNull() & (n > 0), drawn % n).otherwise(idle))
-    out = indexed.join(spare, "_i", "left")
+    draw = slot(digest(F.coalesce(value.cast("string"), F.lit("")), key, fk.column), 0)
+    if most <= ARRAY_KEYS:
+        found = keys.limit(most + 1).agg(F.array_sort(F.collect_list("_pk")).alias("k"))
+        message = F.lit(f"{fk.parent}: more keys than the {most} that were promised")
+        spares = found.select(F.when(F.size("k") > most, F.raise_error(message)).otherwise(F.col("k"))).scalar()
+        spare = F.when(F.col("_pk").isNull() & (F.size(spares) > 0), F.element_at(spares, (draw % F.size(spares) + 1).cast("int")))
+        out = kept.withColumn("_spare", spare)
+    else:
+        numbered = positions(keys, [], ["_pk"]).select(F.col("before").alias("_i"), F.col("_pk").alias("_spare"))
+        n = keys.agg(F.count(F.lit(1))).scalar()
+        # Rows that need no spare key get a spread-out index that matches none, instead of meeting as nulls.
+        idle = -1 - F.pmod(F.xxhash64(*columns), F.lit(1_000_000))
+        out = kept.withColumn("_i", F.when(F.col("_pk").isNull() & (n > 0), draw % n).otherwise(idle)).join(numbered, "_i", "left")
     fixed = F.coalesce("_pk", "_spare").cast(child.schema[fk.column].dataType)
     return out.select(*[fixed.alias(c) if c == fk.column else F.col(c) for c in columns])
 
@@ -99,21 +109,34 @@ def mask(df: DataFrame, info: TableInfo, key: str) -> DataFrame:
 
 
 def replicate(
-    sources: dict[str, DataFrame], tables: list[TableInfo], path: str, key: str, rows: int = SAMPLE_ROWS
+    sources: dict[str, DataFrame],
+    tables: list[TableInfo],
+    path: str,
+    key: str,
+    rows: int = SAMPLE_ROWS,
+    concurrent: int = CONCURRENT_TABLES,
 ) -> dict[str, DataFrame]:
     """Each table sampled, masked, repaired and written once, parents first; the written copies come back.
 
-    A parent that is not part of the copy leaves its keys unchanged.
+    Tables of one level do not depend on each other: up to ``concurrent`` of them are copied side by side. A parent that is not part of the copy
+    leaves its keys unchanged.
     """
     spark = next(iter(sources.values())).sparkSession
+    level = levels(tables)
     copies: dict[str, DataFrame] = {}
-    for info in processing_order(tables):
+
+    def copy(info: TableInfo) -> DataFrame:
         out = mask(sample(sources[info.name], info, key, rows), info, key)
         for fk in info.foreign_keys:
-            if fk.parent in copies and fk.parent != info.name:
-                out = fix_foreign_key(out, fk, copies[fk.parent], key)
+            if fk.parent in copies and level[fk.parent] < level[info.name]:
+                out = fix_foreign_key(out, fk, copies[fk.parent], key, rows)
         out.write.mode("overwrite").parquet(f"{path}/{info.name}")
-        copies[info.name] = spark.read.schema(out.schema).parquet(f"{path}/{info.name}")
+        return spark.read.schema(out.schema).parquet(f"{path}/{info.name}")
+
+    with ThreadPoolExecutor(concurrent) as pool:
+        for n in sorted(set(level.values())):
+            now = sorted((t for t in tables if level[t.name] == n), key=lambda t: t.name)
+            copies |= dict(zip([t.name for t in now], pool.map(copy, now), strict=True))
     return copies
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,8 +170,10 @@ _LINEITEM_FIXED = ", ".join(f"{fixed_sql(fk, f'r_{fk.parent}')} as {fk.column}"
 def replica_fk_fix(t: Inputs):
     """Three foreign keys of the whole line items against samples of their parents."""
     out = t.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
-    for fk in LINEITEM.foreign_keys:
-        out = R.fix_foreign_key(out, fk, _stored_sample(t, BY_NAME[fk.parent], ROWS), KEY)
+    with ThreadPoolExecutor(R.CONCURRENT_TABLES) as pool:
+        parents = list(pool.map(lambda fk: _stored_sample(t, BY_NAME[fk.parent], ROWS), LINEITEM.foreign_keys))
+    for fk, parent in zip(LINEITEM.foreign_keys, parents, strict=True):
+        out = R.fix_foreign_key(out, fk, parent, KEY)
     return out
 
 

@@ -74,18 +74,50 @@ def test_shuffle_joins_give_the_same_rows(spark, tables):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_parent_keys_are_numbered_in_ranges(spark):
-    """No window over all keys, and the same spare keys as by their order."""
+@pytest.mark.parametrize("most", [500, R.ARRAY_KEYS + 1])
+def test_the_same_key_is_drawn_from_an_array_and_by_ranges(spark, most):
+    """Few keys are an array in the plan: one join, no window, no checkpoint. Many are numbered in ranges."""
     fk = R.ForeignKey("p", "parent", "id")
     keys = [7 * i for i in range(500)]
     parents = spark.createDataFrame([(k,) for k in [*keys, *keys[:50], None]], "id bigint").repartition(8)
     child = spark.createDataFrame([(i, 7 * i + 1) for i in range(300)], "c int, p bigint")
-    fixed = R.fix_foreign_key(child, fk, parents, KEY)
-    assert "row_number" not in fixed._jdf.queryExecution().optimizedPlan().toString()
+    fixed = R.fix_foreign_key(child, fk, parents, KEY, most)
+    plan = fixed._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
+    if most <= R.ARRAY_KEYS:
+        assert plan.count("Join") == 1 and "Window" not in plan and "RDD scan" not in plan.replace("LogicalRDD", "") and "_part" not in plan
     drawn = child.select("c", (R.slot(R.digest(F.col("p").cast("string"), KEY, "p"), 0) % len(keys)).alias("i")).collect()
     assert {r["c"]: r["p"] for r in fixed.collect()} == {r["c"]: keys[r["i"]] for r in drawn}
 
 
+def test_more_keys_than_promised_is_an_error(spark):
+    fk = R.ForeignKey("p", "parent", "id")
+    parents = spark.range(11).toDF("id")
+    child = spark.createDataFrame([(1, 77)], "c int, p bigint")
+    assert R.fix_foreign_key(child, fk, parents, KEY, 11).head()["p"] < 11
+    with pytest.raises(Exception, match="more keys than the 10"):
+        R.fix_foreign_key(child, fk, parents, KEY, 10).collect()
+
+
+def test_an_empty_table_has_an_empty_sample(tables):
+    assert R.sample(tables["orders"].limit(0), ORDERS, KEY, 10).count() == 0
+
+
+def test_tables_of_a_level_are_copied_side_by_side(spark, tables, tmp_path, monkeypatch):
+    """Never a table before its parents, and an error in one ends the run."""
+    begun, done = [], []
+    plain = R.sample
+    monkeypatch.setattr(R, "sample", lambda df, info, *rest: (begun.append((info.name, tuple(done))), plain(df, info, *rest))[1])
+    write = R.mask
+    monkeypatch.setattr(R, "mask", lambda df, info, key: (done.append(info.name), write(df, info, key))[1])
+    R.replicate(tables, RELATED, str(tmp_path / "a"), KEY, 20)
+    level = R.levels(RELATED)
+    for name, before in begun:
+        assert {n for n in level if level[n] < level[name]} <= set(before)
+    with pytest.raises(Exception, match="missing"):
+        R.replicate(tables, [R.TableInfo("region", ("missing",)), BY_NAME["part"]], str(tmp_path / "b"), KEY, 20)
+
+
 def test_no_parents_gives_null_and_a_missing_parent_changes_nothing(spark, tables, tmp_path):
     fk = ORDERS.foreign_keys[0]
     empty = tables["customer"].limit(0)
