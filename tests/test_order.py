@@ -39,6 +39,44 @@ def test_percentiles_of_one_value_and_nulls(spark):
     assert got == {"a": 5.0, "c": 1.5}
 
 
+@pytest.mark.parametrize("accuracy", [4, 100, 10_000])
+def test_percentiles_do_not_depend_on_the_sketch(spark, accuracy):
+    """Coarse borders only leave more values between them; outliers, repeats, infinities and null keys are ranked like any other."""
+    rng = random.Random(accuracy)
+    values = {
+        "even": [float(k) for k in range(2000)], "repeats": [rng.choice([1.0, 2.0, 3.0]) for _ in range(2001)], "outliers": [rng.random() for _ in range(500)] + [1e300, -1e300],
+        "tiny": [5.0, 7.0], "one": [3.25], "zeros": [0.0, -0.0] * 50 + [1.0], "ends": [float("-inf"), *[float(k) for k in range(400)], float("inf")], None: [rng.gauss(0, 5) for _ in range(777)],
+    }
+    rows = [(k, v) for k, some in values.items() for v in rng.sample(some, len(some))] + [("even", None), ("none", None)]
+    df = spark.createDataFrame(rows, "key string, value double").repartition(5)
+    wanted = {"p0": 0.0, "p1": 0.01, "p50": 0.5, "p95": 0.95, "p999": 0.999, "p100": 1.0}
+    got = {r["key"]: r for r in ranking.percentiles(df, ["key"], "value", wanted, accuracy).collect()}
+    assert set(got) == set(values)
+    for key, some in values.items():
+        for name, q in wanted.items():
+            at = (len(some) - 1) * q
+            low, share = sorted(some)[int(at)], at - int(at)
+            want = low * (1 - share) + sorted(some)[int(at) + 1] * share if share else low
+            assert got[key][name] == pytest.approx(want, rel=1e-12), (key, name)
+
+
+def test_percentiles_run_no_job_and_sort_nothing_whole(spark, series):
+    """No checkpoint and no range partitioning in the plan; a query that is only built reads nothing."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan-only", "percentiles")
+    plan = ranking.percentiles(series, ["key"], "value", metrics.PERCENTILES)._jdf.queryExecution().optimizedPlan().toString()
+    assert not tracker.getJobIdsForGroup("plan-only")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert "RepartitionByExpression" not in plan and "LogicalRDD" not in plan.replace("InMemoryRelation", "")
+
+
+def test_percentiles_of_a_hot_series(spark):
+    """Ten million points of one series: the last step sees a small share of them."""
+    df = spark.range(10_000_000).select(F.lit("hot").alias("key"), ((F.col("id") * 7_919) % 10_000_000).cast("double").alias("value"))
+    out = ranking.percentiles(df, ["key"], "value", {"p50": 0.5, "p99": 0.99})
+    assert [tuple(r) for r in out.collect()] == [("hot", 4_999_999.5, 9_899_999.01)]
+
+
 def test_positions_are_row_numbers(spark, series):
     got = ranking.positions(series.select("id", "key", "value"), ["key"], ["value", "id"])
     want = series.select("id", (F.row_number().over(W.partitionBy("key").orderBy("value", "id")) - 1).alias("rn"))
