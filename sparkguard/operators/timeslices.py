@@ -3,16 +3,28 @@
 A window over one whole series would put a hot series into one task. Here a series is cut into slices
 of time; each slice is one group, and what a slice needs from earlier ones is handed on as one small
 row per slice (its last row, its sum, its state), or as copies of the rows that a window looks back on.
+
+A slice that holds too many rows is cut further, by counts: rows are counted in CELLS cells of the slice's time, and every so many rows a new
+piece begins. So however rows are spread over time, a group has about PIECE_ROWS rows, or one in MOST_PIECES of all rows where that is more. Only rows
+of one cell (a millionth of a slice) stay together. Which slices are hot is found by one count of rows per slice; there are MOST_PIECES of them at
+most, and as many pieces, so their borders are broadcast.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Width of a slice. An hour of the busiest series must fit a task; a series has one small row per hour.
+from sparkguard.operators.joining import null_safe_join
+
+# Width of a slice: a series has one small row per hour, and more where an hour is cut.
 SLICE_SECONDS = 3_600
+# Rows of a piece, cells of a slice's time, and pieces of hot slices at most.
+PIECE_ROWS, CELLS, MOST_PIECES = 1_000_000, 1 << 20, 5_000
 
 
 def micros(ts: Column) -> Column:
@@ -29,21 +41,71 @@ def time_slice(ts: str, seconds: int) -> Column:
     return _whole_steps(micros(F.col(ts)), seconds * 1_000_000)
 
 
-def _group(keys: list[str], slice_: Column) -> Column:
-    """Key and slice as one value that is never null, so that windows and joins share one partitioning."""
-    return F.struct(*[F.col(k) for k in keys], slice_.alias("_slice"))
+def cut(rows: DataFrame, keys: list[str], slice_: Column, us: Column, length: int, most: int = PIECE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Adds ``_g``, the group of a row: its key, slice and piece, as one value that is never null. Also the rows of cut slices alone.
+
+    ``length`` is a slice's width in microseconds; a row's place in its slice is the rest of ``us`` divided by it.
+    """
+    cell = F.floor(F.pmod(us, F.lit(length)) * F.lit(CELLS / length)).cast("int")
+    placed = rows.withColumns({"_slice": slice_, "_cell": cell})
+    slices = [*keys, "_slice"]
+    counts = placed.groupBy(*slices).agg(F.count(F.lit(1)).alias("_n"))
+    bound = F.greatest(F.lit(most), F.floor(F.coalesce(counts.agg(F.sum("_n")).scalar(), F.lit(0)) / MOST_PIECES))
+    hot = counts.where(F.col("_n") > bound).select(*slices)
+    cells = null_safe_join(placed.select(*slices, "_cell"), F.broadcast(hot), slices, "inner").groupBy(*slices, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*slices).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1))
+    begun = cells.withColumn("_piece", F.floor(F.coalesce(before, F.lit(0)) / bound)).groupBy(*slices, "_piece").agg(F.min("_cell").alias("_from"))
+    borders = begun.groupBy(*slices).agg(F.array_sort(F.collect_list("_from")).alias("_borders"))
+    # With a null list of borders, size() is -1 or null: no piece but the first.
+    piece = F.greatest(F.size(F.filter("_borders", lambda b: b <= F.col("_cell"))), F.lit(0))
+    group = F.struct(*[F.col(k) for k in keys], "_slice", piece.alias("_piece"))
+    every, some = (null_safe_join(placed, F.broadcast(borders), slices, how).select(*rows.columns, group.alias("_g")) for how in ("left", "inner"))
+    return every, some
+
+
+def _sliced(df: DataFrame, keys: list[str], ts: str, seconds: int, most: int) -> DataFrame:
+    return cut(df, keys, time_slice(ts, seconds), micros(F.col(ts)), seconds * 1_000_000, most)[0]
 
 
 ROLLING = ("count", "sum", "avg", "min", "max", "stddev")
 
 
-def rolling(df: DataFrame, keys: list[str], ts: str, value: str, seconds: int, wanted: tuple[str, ...] = ROLLING) -> DataFrame:
+def _merged(parts: list[dict[str, Column]], wanted: tuple[str, ...]) -> dict[str, Column]:
+    """Statistics of the rows of all parts together; a part without rows counts as nothing."""
+
+    def added(name: str) -> Column:
+        return reduce(lambda a, b: a + b, [F.coalesce(p[name], F.lit(0)) for p in parts])
+
+    count = added("count")
+    filled = F.nullif(count, F.lit(0))
+    out = {"count": count}
+    if {"sum", "avg", "stddev"} & set(wanted):
+        out["sum"] = F.when(count > 0, added("sum"))
+        mean = out["sum"] / filled
+        out["avg"] = mean
+    if "min" in wanted:
+        out["min"] = F.least(*[p["min"] for p in parts])
+    if "max" in wanted:
+        out["max"] = F.greatest(*[p["max"] for p in parts])
+    if "stddev" in wanted:
+        squares = [F.when(p["count"] > 0, p["squares"] + p["count"] * (p["sum"] / p["count"] - mean) ** 2).otherwise(0.0) for p in parts]
+        squares = [F.coalesce(x, F.lit(0.0)) for x in squares]
+        out["stddev"] = F.sqrt(reduce(lambda a, b: a + b, squares) / filled)
+    return out
+
+
+def rolling(
+    df: DataFrame, keys: list[str], ts: str, value: str, seconds: int, wanted: tuple[str, ...] = ROLLING, most: int = PIECE_ROWS
+) -> DataFrame:
     """Statistics of ``value`` over the half-open window ``(ts - seconds, ts]`` at every row.
 
     Time is cut into blocks as long as the window, so a window is the end of one block and the start of
     the next. Each row is also shown to the block after its own. There, the start is a running aggregate
     in time order, and the end a running aggregate in reverse order, read at ``ts - seconds``. Every
     aggregate grows by one row at a time however many rows a window holds.
+
+    Both aggregates are mergeable. Where a block is cut into pieces, each piece runs its own, and gets what the pieces before it (of the start) and
+    after it (of the end) come to as one row. Shown rows and a window's lower end have the same place in their block, so one cut serves both.
     """
     length = seconds * 1_000_000
     us = micros(F.col(ts))
@@ -51,54 +113,56 @@ def rolling(df: DataFrame, keys: list[str], ts: str, value: str, seconds: int, w
     shown = F.array(
         F.struct(F.lit(True).alias("own"), block.alias("block")), F.struct(F.lit(False).alias("own"), (block + 1).alias("block"))
     )
-    spread = df.withColumn("_c", F.explode(shown)).withColumn("_us", us)
-    own = F.col("_c.own")
-    rows = spread.select(
-        *df.columns,
-        own.alias("_own"),
-        _group(keys, F.col("_c.block")).alias("_g"),
-        "_us",
-        F.when(own, F.col("_us") - length).otherwise(F.col("_us")).alias("_back"),
-    )
+    spread = df.withColumn("_us", us).withColumn("_c", F.explode(shown)).withColumns({"_own": F.col("_c.own"), "_block": F.col("_c.block")}).drop("_c")
+    rows, of_cut = cut(spread, keys, F.col("_block"), F.col("_us"), length, most)
+    rows = rows.withColumn("_back", F.when(F.col("_own"), F.col("_us") - length).otherwise(F.col("_us")))
     own, v = F.col("_own"), F.col(value)
+    need = ["count"] + ["sum"] * bool({"sum", "avg", "stddev"} & set(wanted)) + [n for n in ("min", "max") if n in wanted] + ["squares"] * ("stddev" in wanted)
+    functions = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
+
+    def statistic(name: str, c: Column, over: Callable[[Column], Column] = lambda x: x) -> Column:
+        return over(F.var_pop(c)) * over(F.count(c)) if name == "squares" else over(functions[name](c))
+
+    sides = {"a": F.when(own, v), "b": F.when(~own, v)}
+    # What the pieces of a block come to, and what those before (of its start) and after (of its end) come to.
+    pieces = of_cut.groupBy("_g").agg(*[statistic(n, c).alias(f"_{s}_{n}") for s, c in sides.items() for n in need])
+    carried = _carried(pieces, keys, need)
     start = W.partitionBy("_g").orderBy("_us").rangeBetween(W.unboundedPreceding, 0)
     end = W.partitionBy("_g").orderBy(F.desc("_back"), F.desc("_own")).rowsBetween(W.unboundedPreceding, 0)
-    need = {"count", *wanted} | ({"avg"} if "stddev" in wanted else set()) | ({"sum"} if "avg" in wanted else set())
-    functions = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "stddev": F.stddev_pop}
-    used = [n for n in ROLLING if n in need]
-    both = rows.select(
-        "*",
-        *[functions[n](F.when(own, v)).over(start).alias(f"_a_{n}") for n in used],
-        *[functions[n](F.when(~own, v)).over(end).alias(f"_b_{n}") for n in used],
-    ).where("_own")
-
-    def a(n: str) -> Column:
-        return F.col(f"_a_{n}")
-
-    def b(n: str) -> Column:
-        return F.col(f"_b_{n}")
-
-    count = a("count") + b("count")
-    filled = F.nullif(count, F.lit(0))
-    total = F.when(count > 0, F.coalesce(a("sum"), F.lit(0)) + F.coalesce(b("sum"), F.lit(0))) if "sum" in need else None
-    out: dict[str, Column] = {"count": count, "sum": total}
-    if "avg" in wanted:
-        out["avg"] = total / filled
-    if "min" in wanted:
-        out["min"] = F.least(a("min"), b("min"))
-    if "max" in wanted:
-        out["max"] = F.greatest(a("max"), b("max"))
-    if "stddev" in wanted:
-        apart = F.coalesce(a("avg") - b("avg"), F.lit(0.0))
-        squares = F.coalesce(a("count") * a("stddev") * a("stddev"), F.lit(0.0)) + F.coalesce(b("count") * b("stddev") * b("stddev"), F.lit(0.0))
-        out["stddev"] = F.sqrt((squares + apart * apart * a("count") * b("count") / filled) / filled)
-    return both.select(*df.columns, *[out[n].alias(n) for n in wanted])
+    spans = {"a": lambda x: x.over(start), "b": lambda x: x.over(end)}
+    local = [statistic(n, c, spans[s]).alias(f"_{s}_{n}") for s, c in sides.items() for n in need]
+    both = rows.select("*", *local).where("_own")
+    joined = both.join(F.broadcast(carried), F.col("_g") == F.col("_h"), "left")
+    out = _merged([{n: F.col(f"{p}_{s}_{n}") for n in need} for p in ("", "_of") for s in sides], wanted)
+    return joined.select(*df.columns, *[out[n].alias(n) for n in wanted])
 
 
-def with_previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str], slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def _carried(pieces: DataFrame, keys: list[str], need: list[str]) -> DataFrame:
+    """Per piece (``_h``) what the pieces before it have of ``a`` and those after it of ``b``.
+
+    Squares are taken about the mean of the whole block, so that little cancels when they are put together.
+    """
+    block = W.partitionBy(*[F.col(f"_g.{k}") for k in keys], F.col("_g._slice"))
+    plain = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+    columns = [F.col("_g").alias("_h")]
+    for s, order in (("a", F.col("_g._piece")), ("b", F.desc("_g._piece"))):
+        others = block.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        columns += [plain[n](f"_{s}_{n}").over(others).alias(f"_of_{s}_{n}") for n in need if n in plain]
+        if "squares" in need:
+            n, total = F.col(f"_{s}_count"), F.col(f"_{s}_sum")
+            centre = F.sum(total).over(block) / F.nullif(F.sum(n).over(block), F.lit(0))
+            pieces = pieces.withColumn(f"_{s}_centre", centre)
+            about = F.when(n > 0, F.col(f"_{s}_squares") + n * (total / n - F.col(f"_{s}_centre")) ** 2)
+            pieces = pieces.withColumn(f"_{s}_about", about)
+            apart = F.sum(total).over(others) / F.nullif(F.sum(n).over(others), F.lit(0)) - F.col(f"_{s}_centre")
+            columns.append(F.greatest(F.lit(0.0), F.sum(f"_{s}_about").over(others) - F.sum(n).over(others) * apart * apart).alias(f"_of_{s}_squares"))
+    return pieces.select(*columns)
+
+
+def with_previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str], slice_seconds: int = SLICE_SECONDS, most: int = PIECE_ROWS) -> DataFrame:
     """Adds ``prev_<column>`` from the row before within the key; ``order`` starts with the time."""
     packed = F.struct(*[F.col(c) for c in columns])
-    sliced = df.withColumn("_g", _group(keys, time_slice(order[0], slice_seconds)))
+    sliced = _sliced(df, keys, order[0], slice_seconds, most)
     inside = sliced.withColumn("_prev", F.lag(packed).over(W.partitionBy("_g").orderBy(*order)))
     tails = sliced.groupBy("_g").agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
     carried = tails.select(F.col("_g").alias("_h"), F.lag("_tail").over(_slices(keys)).alias("_carry"))
@@ -108,13 +172,13 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], columns: lis
 
 
 def _slices(keys: list[str]) -> WindowSpec:
-    """The slices of a key in order: one small row each."""
-    return W.partitionBy(*[F.col(f"_g.{k}") for k in keys]).orderBy(F.col("_g._slice"))
+    """The pieces of a key in order: one small row each."""
+    return W.partitionBy(*[F.col(f"_g.{k}") for k in keys]).orderBy(F.col("_g._slice"), F.col("_g._piece"))
 
 
-def with_running_sum(df: DataFrame, keys: list[str], order: list[str], amount: Column, name: str, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def with_running_sum(df: DataFrame, keys: list[str], order: list[str], amount: Column, name: str, slice_seconds: int = SLICE_SECONDS, most: int = PIECE_ROWS) -> DataFrame:
     """Adds the sum of ``amount`` up to and including the row within the key."""
-    sliced = df.withColumn("_g", _group(keys, time_slice(order[0], slice_seconds))).withColumn("_amount", amount)
+    sliced = _sliced(df, keys, order[0], slice_seconds, most).withColumn("_amount", amount)
     window = W.partitionBy("_g").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     inside = sliced.withColumn("_inside", F.sum("_amount").over(window))
     sums = sliced.groupBy("_g").agg(F.sum("_amount").alias("_s"))
@@ -124,12 +188,12 @@ def with_running_sum(df: DataFrame, keys: list[str], order: list[str], amount: C
     return out.select(*df.columns, (F.col("_offset") + F.col("_inside")).alias(name))
 
 
-def with_run(df: DataFrame, keys: list[str], order: list[str], state: str, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def with_run(df: DataFrame, keys: list[str], order: list[str], state: str, slice_seconds: int = SLICE_SECONDS, most: int = PIECE_ROWS) -> DataFrame:
     """Numbers the runs of equal ``state`` within a key as ``run`` (1, 2, ...).
 
     Changes are counted inside each slice; a slice hands on its first and last state and its count.
     """
-    sliced = df.withColumn("_g", _group(keys, time_slice(order[0], slice_seconds)))
+    sliced = _sliced(df, keys, order[0], slice_seconds, most)
     rows = W.partitionBy("_g").orderBy(*order)
     changed = F.when((F.row_number().over(rows) == 1) | F.col(state).eqNullSafe(F.lag(state).over(rows)), 0).otherwise(1)
     inside = sliced.withColumn("_changed", changed).withColumn("_local", F.sum("_changed").over(rows.rowsBetween(W.unboundedPreceding, 0)))

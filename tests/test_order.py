@@ -101,6 +101,61 @@ def test_lookback_matches_a_plain_window(spark, series, seconds):
         assert joined.where(~F.coalesce(same, F.lit(False))).count() == 0, n
 
 
+@pytest.fixture(scope="module")
+def burst(spark):
+    """All rows of a hot series within one minute, few before and after it, and another series."""
+    rng, t0, rows = random.Random(8), dt.datetime(2024, 1, 2, 7, 30), []
+    for i in range(6000):
+        spread = rng.random() * 60 if i % 20 else rng.random() * 300_000 - 100_000
+        rows.append((i, "hot" if i % 9 else "other", t0 + dt.timedelta(seconds=spread), 1e6 + rng.random() if i % 13 else None, int(rng.random() < 0.3)))
+    rows += [(6000 + i, None, t0 + dt.timedelta(seconds=i % 7), 1.0 * i, i % 2) for i in range(300)]
+    return spark.createDataFrame(rows, "id bigint, key string, ts timestamp_ntz, value double, state int").cache()
+
+
+@pytest.mark.parametrize("seconds", [30, 3600, 86_400])
+def test_lookback_over_a_burst(spark, burst, seconds):
+    """A day's window over a minute that holds nearly all rows: the statistics of a plain window, from pieces of about 100 rows."""
+    got = timeslices.rolling(burst, ["key"], "ts", "value", seconds, most=100)
+    us = timeslices.micros(F.col("ts"))
+    w = W.partitionBy("key").orderBy(us).rangeBetween(-(seconds * 1_000_000 - 1), 0)
+    v = F.col("value")
+    plain = {"count": F.count(v), "sum": F.sum(v), "avg": F.avg(v), "min": F.min(v), "max": F.max(v), "stddev": F.stddev_pop(v)}
+    want = burst.select("id", *[c.over(w).alias(f"w_{n}") for n, c in plain.items()])
+    joined = got.join(want, "id").cache()
+    assert got.count() == joined.count() == burst.count()
+    for n in plain:
+        same = F.col(n).eqNullSafe(F.col(f"w_{n}")) | (F.abs(F.col(n) - F.col(f"w_{n}")) <= 1e-6 * F.greatest(F.lit(1.0), F.abs(f"w_{n}") / 1e4))
+        assert joined.where(~F.coalesce(same, F.lit(False))).count() == 0, n
+
+
+def test_pieces_are_bounded_however_rows_lie_in_time(burst):
+    for seconds in (60, 3600, 86_400):
+        us = timeslices.micros(F.col("ts"))
+        every, some = timeslices.cut(burst, ["key"], timeslices.time_slice("ts", seconds), us, seconds * 1_000_000, 200)
+        assert every.count() == burst.count() and every.groupBy("_g").count().agg(F.max("count")).head()[0] <= 400
+        assert 0 < some.count() <= every.count()
+        order = every.select("_g", us.alias("us")).groupBy("_g").agg(F.min("us").alias("a"), F.max("us").alias("z"))
+        apart = order.withColumn("next", F.lead("a").over(W.partitionBy("_g.key").orderBy("_g._slice", "_g._piece")))
+        assert apart.where(F.col("next") <= F.col("z")).count() == 0
+    every, some = timeslices.cut(burst, ["key"], timeslices.time_slice("ts", 60), us, 60_000_000)
+    assert some.count() == 0 and every.where("_g._piece > 0").count() == 0
+
+
+def test_previous_sums_and_runs_over_a_burst(spark, burst):
+    """One hour of one series is many groups, and runs reach over them."""
+    order, w = ["ts", "id"], W.partitionBy("key").orderBy("ts", "id")
+    prev = timeslices.with_previous(burst, ["key"], order, ["value"], most=100)
+    want = burst.select("id", F.lag("value").over(w).alias("want"))
+    assert prev.join(want, "id").where(~F.col("prev_value").eqNullSafe(F.col("want"))).count() == 0 and prev.count() == burst.count()
+    total = timeslices.with_running_sum(burst, ["key"], order, F.col("state"), "total", most=100)
+    want = burst.select("id", F.sum("state").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("want"))
+    assert total.join(want, "id").where(F.col("total") != F.col("want")).count() == 0
+    runs = timeslices.with_run(burst, ["key"], order, "state", most=100)
+    flagged = burst.select("id", "key", *order[:1], F.when(F.col("state").eqNullSafe(F.lag("state").over(w)), 0).otherwise(1).alias("f"))
+    want = flagged.select("id", F.sum("f").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("want"))
+    assert runs.join(want, "id").where(F.col("run") != F.col("want")).count() == 0 and runs.count() == burst.count()
+
+
 def test_previous_running_sum_and_runs_match_plain_windows(spark, series):
     order = ["ts", "id"]
     w = W.partitionBy("key").orderBy(*order)
