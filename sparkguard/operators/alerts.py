@@ -200,6 +200,11 @@ def episodes(spans: DataFrame) -> DataFrame:
     return out.withColumn("state", F.when(F.col("resolved_at").isNull(), "firing").otherwise("resolved"))
 
 
+def firing(spans: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """The episodes that have begun by ``as_of`` and are not resolved by then, from spans of evaluations; later evaluations are not looked at."""
+    return episodes(spans.where(F.col("evaluated_at") <= metrics.at(as_of))).where(F.col("state") == "firing")
+
+
 def notifications(instances: DataFrame, alerts: tuple[Alert, ...]) -> DataFrame:
     """One row per action when an instance fires, and one with ``_resolution`` when it resolves."""
     actions = None

@@ -261,12 +261,12 @@ def alert_eval(t: Inputs):
     return A.evaluate(points(t), ALERTS, AS_OF).select("alert_id", "severity", "points", "breaches", "current_value", "state", "message")
 
 
-def episodes_sql(step: int) -> str:
-    """Every point at every grid time that sees it, counted."""
+def episodes_sql(step: int, evaluated: str = "true") -> str:
+    """Every point at every grid time that sees it, counted; ``evaluated`` limits the grid times."""
     return f"""w as (select al.*, m.ts, m.point_id, m.value, {_BREACH} as breach,
     unnest(range(cast(ceil(epoch_us(ts) / {step}e6) as bigint), cast(floor((epoch_us(ts) + period::bigint * 60000000) / {step}e6) as bigint) + 1)) * {step} as slot
   from fx_metrics m join al on m.series_key = al.series_key),
-g as (select alert_id, severity, slot, datapoints, count(*) filter (breach) as breaches, arg_max(value, (ts, point_id)) as cv from w group by 1, 2, 3, 4),
+g as (select alert_id, severity, slot, datapoints, count(*) filter (breach) as breaches, arg_max(value, (ts, point_id)) as cv from w where {evaluated} group by 1, 2, 3, 4),
 s as (select *, case when breaches >= datapoints then 'firing' else 'ok' end as state from g),
 f as (select *, case when state = lag(state) over (partition by alert_id order by slot) then 0 else 1 end as fresh from s),
 r as (select *, sum(fresh) over (partition by alert_id order by slot rows unbounded preceding) as run from f),
@@ -294,11 +294,12 @@ def alert_episodes(t: Inputs):
 
 @query(
     "firing_alerts",
-    f"with {_alert_rows()}, {episodes_sql(3600)} select alert_id, severity, triggered_at, current_value from ep where state = 'firing'",
+    f"with {_alert_rows()}, {episodes_sql(STEP, f'slot <= epoch({NOW})')} select alert_id, severity, triggered_at, current_value from ep where state = 'firing'",
     fx="metrics",
 )
 def firing_alerts(t: Inputs):
-    return _episodes(t, 3600).where(F.col("state") == "firing").select("alert_id", "severity", "triggered_at", "current_value")
+    """What fires now."""
+    return A.firing(A.grid_spans(points(t), ALERTS, STEP), AS_OF).select("alert_id", "severity", "triggered_at", "current_value")
 
 
 @query(

@@ -11,12 +11,10 @@ from sparkguard.functions.series import series_key
 from sparkguard.operators import sync
 from sparkguard.plans import audit_queries as AQ
 from sparkguard.plans import twin_masks as S
-from sparkguard.plans.metrics_queries import _STATS, ALERTS, _alert_rows, episodes_sql, rounded
+from sparkguard.plans.metrics_queries import _STATS, ALERTS, STEP, _alert_rows, episodes_sql, rounded
 from sparkguard.plans.registry import Inputs, query
 from sparkguard.streaming import jobs
 
-# Seconds between the evaluations of the stream.
-STEP = 3600
 MARK = dt.datetime(2000, 6, 1)
 
 
@@ -158,7 +156,7 @@ def stream_sessions(t: Inputs):
 )
 def stream_alerts(t: Inputs):
     events = t.scratch("alert-events")
-    jobs.alerts_to_files(_points(t), ALERTS, t.scratch("alert-states"), events, t.scratch("alert-checkpoint"), STEP)
+    jobs.alerts_to_files(_points(t), ALERTS, events, t.scratch("alert-checkpoint"), STEP).awaitTermination()
     return t.spark.read.schema(jobs.ALERT_EVENTS).parquet(events)
 
 

@@ -7,13 +7,14 @@ Late rows: ten minutes of watermark, later ones are dropped and counted by Spark
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from sparkguard.operators import alerts as A
 from sparkguard.operators import audit, limits, masking, metrics, timeslices
@@ -119,62 +120,97 @@ ALERT_EVENTS = "alert_id string, event string, at timestamp, value double"
 ALERT_STATE = "firing boolean, points long, breaches long, value double, leaving array<bigint>, left_points array<bigint>, left_breaches array<bigint>"
 
 
-def _transitions(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Firing and resolved events of one alert from its changes in time order. The state holds the points in the look-back, counted by the grid time they leave at."""
-    rows = pd.concat(list(batches)).sort_values(["slot", "until"])
-    firing, points, breaches, value, *lists = state.get if state.exists else (False, 0, 0, None, [], [], [])
-    leaving = {slot: (n, b) for slot, n, b in zip(*lists, strict=True)}
-    events = []
-    for (slot, at), changes in rows.groupby(["slot", "evaluated_at"], sort=True):
-        n, b = leaving.pop(slot, (0, 0))
-        points, breaches = points - n, breaches - b
-        for c in changes[changes["until"] > slot].itertuples():
-            n, b = leaving.get(c.until, (0, 0))
-            leaving[c.until] = n + c.points, b + c.breaches
-            points, breaches, value = points + c.points, breaches + c.breaches, c.current_value
-        now = breaches >= changes["datapoints"].iloc[0]
-        if points > 0 and now != firing:
-            firing = bool(now)
-            events.append((key[0], "firing" if firing else "resolved", at, value))
-    left = sorted(leaving)
-    held = [[int(x) for x in xs] for xs in (left, [leaving[x][0] for x in left], [leaving[x][1] for x in left])]
-    state.update((firing, int(points), int(breaches), None if pd.isna(value) else float(value), *held))
-    if events:
-        yield pd.DataFrame(events, columns=["alert_id", "event", "at", "value"])
+class Transitions(StatefulProcessor):
+    """Firing and resolved events of one alert, from the points that enter its look-back.
+
+    The state holds how many points are in the look-back, and by the grid time ``until`` which they are seen how many of them leave then: a few numbers per
+    grid time of the period at most, however many points there are. What enters comes in the order of the grid, as the counts of a grid time are
+    final when they come. What leaves between two of them is taken out on the way, and what leaves after the last one when an event-time timer for
+    the next such grid time expires.
+    """
+
+    def __init__(self, alerts: tuple[A.Alert, ...], step: int) -> None:
+        self.step, self.datapoints = step, {a.alert_id: a.datapoints for a in alerts}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("alert", ALERT_STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        entering = pd.concat(list(rows)).sort_values(["slot", "until"])
+        by_slot = {int(slot): some for slot, some in entering.groupby("slot")}
+        yield from self._evaluated(key, by_slot, max(by_slot))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self._evaluated(key, {}, max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) // (1000 * self.step))
+
+    def close(self) -> None:
+        pass
+
+    def _evaluated(self, key: tuple, by_slot: dict[int, pd.DataFrame], last: int) -> Iterator[pd.DataFrame]:
+        """Goes through the grid times up to ``last`` at which points enter or leave."""
+        firing, points, breaches, value, *lists = self.held.get() if self.held.exists() else (False, 0, 0, None, [], [], [])
+        leaving = {int(slot): (int(n), int(b)) for slot, n, b in zip(*lists, strict=True)}
+        soon, events = list({*leaving, *by_slot}), []
+        heapify(soon)
+        while soon and soon[0] <= last:
+            slot = heappop(soon)
+            n, b = leaving.pop(slot, (0, 0))
+            points, breaches = points - n, breaches - b
+            for c in by_slot[slot].itertuples() if slot in by_slot else ():
+                if c.until not in leaving and c.until not in by_slot:
+                    heappush(soon, int(c.until))
+                n, b = leaving.get(c.until, (0, 0))
+                leaving[int(c.until)] = n + int(c.points), b + int(c.breaches)
+                points, breaches, value = points + int(c.points), breaches + int(c.breaches), c.current_value
+            now = breaches >= self.datapoints[key[0]]
+            if points > 0 and now != firing:
+                firing = now
+                events.append((key[0], "firing" if firing else "resolved", pd.Timestamp(slot * self.step, unit="s"), value))
+        left = sorted(leaving)
+        lists = [left, [leaving[x][0] for x in left], [leaving[x][1] for x in left]]
+        self.held.update((bool(firing), points, breaches, None if pd.isna(value) else float(value), *lists))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if left:
+            self.handle.registerTimer(left[0] * self.step * 1000)
+        if events:
+            yield pd.DataFrame(events, columns=["alert_id", "event", "at", "value"])
 
 
 def alert_changes(points: DataFrame, alerts: tuple[A.Alert, ...], step: int = A.EVALUATION_SECONDS, id_column: str = "point_id") -> DataFrame:
-    """What enters or leaves the alerts' look-backs at times of the grid, each emitted once it is final.
+    """What enters the alerts' look-backs at times of the grid, each emitted once it is final.
 
-    A point is two changes, however long the period is and short the step. Spark counts them per alert, grid time and, where points enter,
-    the grid time ``until`` which they are seen. Where points leave, ``until`` is the time itself and the row only says that the time has come: a late point,
-    whose entering is dropped, does not leave either.
+    Spark counts the points per alert, grid time and the grid time ``until`` which they are seen, before anything meets in an alert: a point is
+    counted once, however long the period is and short the step. A late point is dropped, so it neither enters nor leaves.
     """
     watched = A.alert_points(points, alerts)
     longest = max(a.period_minutes for a in alerts if a.enabled)
     first, last = timeslices.first_and_last_slot(step, F.col("period"), F.col("ts"))
-    enters = F.struct(first.alias("slot"), (last + 1).alias("until"), F.lit(1).alias("n"), F.col("breach").cast("long").alias("b"))
-    leaves = F.struct((last + 1).alias("slot"), (last + 1).alias("until"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("b"))
-    spread = watched.where(first <= last).withColumn("c", F.explode(F.array(enters, leaves)))
-    timed = spread.withColumn("evaluated_at", F.timestamp_seconds(F.col("c.slot") * step)).withWatermark("evaluated_at", f"{longest * 60 + 600 + step} seconds")
-    counted = timed.groupBy("evaluated_at", "alert_id", "datapoints", F.col("c.slot").alias("slot"), F.col("c.until").alias("until")).agg(
-        F.sum("c.n").alias("points"), F.sum("c.b").alias("breaches"), F.max_by("value", F.struct("ts", id_column)).alias("current_value")
+    spread = watched.where(first <= last).withColumns({"slot": first, "until": last + 1, "b": F.col("breach").cast("long")})
+    timed = spread.withColumn("evaluated_at", F.timestamp_seconds(F.col("slot") * step)).withWatermark("evaluated_at", WATERMARK)
+    counted = timed.groupBy("evaluated_at", "alert_id", "datapoints", "slot", "until").agg(
+        F.count(F.lit(1)).alias("points"), F.sum("b").alias("breaches"), F.max_by("value", F.struct("ts", id_column)).alias("current_value")
     )
     return counted.select("alert_id", "evaluated_at", "slot", "until", "datapoints", "points", "breaches", "current_value")
 
 
-def alert_events(changes: DataFrame) -> DataFrame:
-    """Firing and resolved events from the files of ``alert_changes``; an alert's state has a few numbers per grid time of its period at most."""
-    return changes.groupBy("alert_id").applyInPandasWithState(
-        _transitions, ALERT_EVENTS, ALERT_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+def alert_events(points: DataFrame, alerts: tuple[A.Alert, ...], step: int = A.EVALUATION_SECONDS) -> DataFrame:
+    """Firing and resolved events of a stream of points: two stateful steps of one query, which needs the RocksDB state store."""
+    changes = alert_changes(points, alerts, step)
+    return changes.groupBy("alert_id").transformWithStateInPandas(Transitions(alerts, step), ALERT_EVENTS, "append", "EventTime")
 
 
 def alerts_to_files(
-    points: DataFrame, alerts: tuple[A.Alert, ...], states_path: str, events_path: str, checkpoint: str, step: int = A.EVALUATION_SECONDS
-) -> None:
-    """Changes of what the alerts see into one folder, and from there events into another."""
-    states = alert_changes(points, alerts, step)
-    run_to_files(states, states_path, f"{checkpoint}/states").awaitTermination()
-    read_back = points.sparkSession.readStream.schema(states.schema).parquet(states_path)
-    run_to_files(alert_events(read_back), events_path, f"{checkpoint}/events").awaitTermination()
+    points: DataFrame, alerts: tuple[A.Alert, ...], path: str, checkpoint: str, step: int = A.EVALUATION_SECONDS
+) -> StreamingQuery:
+    """Events of everything available into parquet files, exactly once. The state store is set for this query alone."""
+    conf, name = points.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = run_to_files(alert_events(points, alerts, step), path, checkpoint)
+        query.processAllAvailable()
+        return query
+    finally:
+        conf.set(name, before)
