@@ -37,28 +37,17 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     w as (select *, greatest(1, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) as words from l),
     s as (select *, coalesce(sum(words) over (partition by doc_id order by no rows between unbounded preceding and 1 preceding), 0)::bigint as s from w),
     v as (
-        select doc_id, no, list(line) over a as win, sum(words) over a as held, coalesce(list(line) over b, []) as back, coalesce(list(line) over c, []) as after
+        select doc_id, no, list(line) over a as win, sum(words) over a as held, list(line) over b as upto, sum(words) over b as reached
         from s
         window a as (partition by doc_id order by s range between current row and 49 following),
-            b as (partition by doc_id order by s range between 50 preceding and 1 preceding),
-            c as (partition by doc_id order by s + words range between 1 following and 50 following)
+            b as (partition by doc_id order by s + words range between 49 preceding and current row)
     ),
-    x as (select *, len(win) as size from v),
-    y as (select x.*, e.after as next from x join v e on e.doc_id = x.doc_id and e.no = x.no + x.size - 1 where x.held >= 50),
-    f as (select win, min({'d': doc_id, 'n': no}) as f from y group by win having count(*) > 1),
-    p as (
-        select y.doc_id, y.no, y.size, y.back as b1, y.next as n1, o.back as b2, o.next as n2
-        from y join f using (win) join y o on o.doc_id = f.f.d and o.no = f.f.n
-        where y.doc_id <> f.f.d or y.no <> f.f.n
-    ),
-    r as (
-        select doc_id,
-            no - coalesce(list_position([coalesce(b1[len(b1) - i] = b2[len(b2) - i], false) for i in range(least(len(b1), len(b2)))], false) - 1,
-                least(len(b1), len(b2))) as a,
-            no + size - 1 + coalesce(list_position([coalesce(n1[i + 1] = n2[i + 1], false) for i in range(least(len(n1), len(n2)))], false) - 1,
-                least(len(n1), len(n2))) as b
-        from p
+    x as (
+        select doc_id, no, win from v where held >= 50
+        union select doc_id, no - len(upto) + 1, upto from v where reached >= 50
     ),
+    f as (select win, min({'d': doc_id, 'n': no}) as f from x group by win having count(*) > 1),
+    r as (select doc_id, no as a, no + len(win) - 1 as b from x join f using (win) where doc_id <> f.f.d or no <> f.f.n),
     g as (select distinct doc_id, unnest(range(a, b + 1)) as no from r),
     k as (select l.doc_id, l.no, l.line, g.no is null as stays from l left join g on l.doc_id = g.doc_id and l.no = g.no)
     select doc_id, count(*) as n_lines, count(*) filter (not stays) as dropped_lines,
@@ -67,8 +56,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """,
 )
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Against every earlier place; the twin compares with the first one and may keep more."""
-    out = line_dedup.without_repeats(table(spark, sf_dir, "documents"), every_place=True)
+    out = line_dedup.without_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "dropped_lines", F.sha2("text", 256).alias("kept_sha256"))
 
 

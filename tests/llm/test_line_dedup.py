@@ -4,36 +4,24 @@ import random
 
 import pytest
 from llm.samples import TEXTS, documents, empty, words
+from pyspark.sql import functions as F
 
 from sparkguard.llm import line_dedup, queries
 
 
 def brute(rows, least=50):
-    """Remaining text per row: every window of lines that an earlier place has loses its run."""
+    """Remaining text per row: every line goes that lies in a run which any earlier place has."""
     lines = [(t or "").split("\n") for _, t, _ in rows]
-    weigh = lambda x: max(1, len(x.split()))
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
-    ends, first = {}, {}
-    for k in order:
-        for a in range(len(lines[k])):
-            total, b = 0, a
-            while b < len(lines[k]) and total < least:
-                total, b = total + weigh(lines[k][b]), b + 1
-            if total >= least:
-                ends[k, a] = b
-                first.setdefault(tuple(lines[k][a:b]), (k, a))
+    places = [(k, i) for k in order for i in range(len(lines[k]))]
     gone = {k: set() for k in order}
-    for (k, a), b in ends.items():
-        j, c = first[tuple(lines[k][a:b])]
-        if (j, c) == (k, a):
-            continue
-        d = c + b - a
-        lo, hi, left, right = 0, 0, least, least
-        while a - lo > 0 and c - lo > 0 and lines[k][a - lo - 1] == lines[j][c - lo - 1] and (left := left - weigh(lines[k][a - lo - 1])) >= 0:
-            lo += 1
-        while b + hi < len(lines[k]) and d + hi < len(lines[j]) and lines[k][b + hi] == lines[j][d + hi] and (right := right - weigh(lines[k][b + hi])) >= 0:
-            hi += 1
-        gone[k].update(range(a - lo, b + hi))
+    for at, (k, a) in enumerate(places):
+        for j, c in places[:at]:
+            n = 0
+            while a + n < len(lines[k]) and c + n < len(lines[j]) and lines[k][a + n] == lines[j][c + n]:
+                n += 1
+            if sum(max(1, len(x.split())) for x in lines[k][a : a + n]) >= least:
+                gone[k].update(range(a, a + n))
     return {rows[k][0]: "\n".join(x for i, x in enumerate(lines[k]) if i not in gone[k]) for k in order}
 
 
@@ -80,28 +68,12 @@ def test_no_python_in_the_plan(spark):
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Cartesian", "NestedLoop"))
 
 
-def brute_everywhere(rows, least=50):
-    """Remaining text per row: every line goes that lies in a run which any earlier place has."""
-    lines = [(t or "").split("\n") for _, t, _ in rows]
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
-    places = [(k, i) for k in order for i in range(len(lines[k]))]
-    gone = {k: set() for k in order}
-    for at, (k, a) in enumerate(places):
-        for j, c in places[:at]:
-            n = 0
-            while a + n < len(lines[k]) and c + n < len(lines[j]) and lines[k][a + n] == lines[j][c + n]:
-                n += 1
-            if sum(max(1, len(x.split())) for x in lines[k][a : a + n]) >= least:
-                gone[k].update(range(a, a + n))
-    return {rows[k][0]: "\n".join(x for i, x in enumerate(lines[k]) if i not in gone[k]) for k in order}
-
-
 @pytest.mark.parametrize("seed", range(3))
 def test_every_place_against_brute_force(spark, seed):
     rng = random.Random(seed)
     pool = [words(rng.choice([0, 1, 5, 20, 30, 60]), k) for k in range(12)]
     rows = [(i, "\n".join([rng.choice(pool) for _ in range(rng.randint(0, 9))] + [words(9, 1000 + i)]), "a") for i in range(30)]
-    assert result(line_dedup.without_repeats(documents(spark, rows), every_place=True)) == brute_everywhere(rows)
+    assert result(line_dedup.without_repeats(documents(spark, rows))) == brute(rows)
 
 
 def test_the_tail_of_a_hot_head(spark, tmp_path):
@@ -109,6 +81,23 @@ def test_the_tail_of_a_hot_head(spark, tmp_path):
     head, tail = words(60, 1), words(30, 2)
     rows = [(1, f"{head}\n{words(5, 3)}", "a"), (2, f"{head}\n{tail}\n{words(7, 4)}", "a"), (3, f"{head}\n{tail}\n{words(8, 5)}", "a")]
     want = {1: rows[0][1], 2: f"{tail}\n{words(7, 4)}", 3: words(8, 5)}
-    assert result(line_dedup.without_repeats(documents(spark, rows), every_place=True)) == want
+    assert result(line_dedup.without_repeats(documents(spark, rows))) == want
     documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.dropped_lines for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 2}
+
+
+def test_picks_are_few_and_shared(spark):
+    """Windows that two places share have the same pick, and only windows with a repeated pick go on."""
+    rng = random.Random(5)
+    passage = [words(12, 900 + k) for k in range(9)]
+    own = lambda k: [words(rng.randint(5, 15), 10_000 + 50 * k + j) for j in range(40)]
+    rows = [(i, "\n".join(own(i)[:20] + (passage if i % 2 else []) + own(1000 + i)[:20]), "a") for i in range(12)]
+    texts = documents(spark, rows).select("doc_id", "text").withColumn("row_id", F.col("doc_id"))
+    marked = line_dedup.windows(line_dedup.line_rows(texts)).cache()
+    picks = marked.select("row_id", "pick_no").distinct().count()
+    assert picks < 0.6 * sum(t.count("\n") + 1 for _, t, _ in rows)
+    near = marked.join(line_dedup.repeated_picks(marked), "least")
+    assert 0 < near.count() < 0.4 * marked.count()
+    assert result(line_dedup.without_repeats(documents(spark, rows))) == brute(rows)
+    by_key = marked.groupBy("key").agg(F.count_distinct("least").alias("n"), F.count_distinct(F.col("pick_no") - F.col("no")).alias("m"))
+    assert by_key.where("n > 1 or m > 1").count() == 0
