@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkguard.llm.common import saved, text_of
+from sparkguard.llm.common import saved, text_of, text_slices, tidy
 
 CAPACITY = 1024
 END = 2
@@ -35,12 +36,15 @@ GROUPS = 512
 SMALL = 340
 # Sequences and small pieces that a shard of the best fit is meant to hold.
 SHARD_ROWS = 2000
-# Parts of texts whose tokens a task remembers.
-MOST_PARTS = 1_000_000
+# Bytes of parts of texts, with their tokens, that a worker remembers, and what a part takes besides.
+MOST_BYTES, PART_BYTES = 96 << 20, 200
+# Letters of a text that are split into parts at once.
+CHUNK = 1 << 20
 
 # Fixed value: how a space is written in the names of byte-level tokens.
 _SPACE = "\u0120"
 _LATIN_END = "\u0250"
+_BETWEEN = re.compile(r"\S (?=\S)")
 
 
 class TokenIds:
@@ -57,6 +61,7 @@ class TokenIds:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.known: dict[str, bytes | None] = {}
+        self.held = 0
         tokens = self.tokenizer.get_vocab()
         self.after_space = np.zeros(max(tokens.values()) + 1, bool)
         self.after_space[[i for t, i in tokens.items() if t.startswith(_SPACE)]] = True
@@ -79,6 +84,7 @@ class TokenIds:
     def _learn(self, parts: set[str]) -> None:
         """Many parts in one call: they hold no spaces themselves, so every token that starts with one starts a part."""
         known, quick, slow = self.known, [], []
+        self.held += sum(map(len, parts)) * 3 + len(parts) * PART_BYTES
         for p in parts:
             if not p or p[0].isspace() or p[-1].isspace():
                 known[p] = None  # its ids hang on its neighbours
@@ -95,22 +101,64 @@ class TokenIds:
                 for part, a, b in zip(some, starts.tolist(), [*starts[1:].tolist(), len(data)], strict=True):
                     known[part] = data[a:b]
 
-    def of(self, texts: list[str]) -> Iterator[bytes]:
-        known = self.known
-        if len(known) > MOST_PARTS:
-            known.clear()
-        split = [t.split(" ") for t in texts]
-        self._learn(set().union(*split).difference(known))
-        for text, parts in zip(texts, split, strict=True):
-            first, last = parts[0], parts[-1]
-            if len(parts) == 1 or first[-1:].isspace() or not last or last[0].isspace():
-                yield self._whole(text)
-                continue
-            inner = list(map(known.__getitem__, parts[1:-1]))
-            if None in inner:
-                yield self._whole(text)
-            else:
-                yield self._whole(first) + b"".join(inner) + (known[last] or self._whole(" " + last))
+    def _bounded(self) -> None:
+        if self.held > MOST_BYTES:
+            self.known.clear()
+            self.held = 0
+
+    def of(self, text: str) -> bytes:
+        """The ids of a text, chunk by chunk."""
+        if len(text) <= CHUNK:
+            return self._of_chunk(text)
+        found = []
+        for chunk in chunks(text):
+            self._bounded()
+            found.append(self._of_chunk(chunk))
+        return b"".join(found)
+
+    def of_many(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of texts; the parts of the short ones are learned together."""
+        self._bounded()
+        self._learn(set().union(*(t.split(" ") for t in texts if len(t) <= CHUNK)).difference(self.known))
+        yield from map(self.of, texts)
+
+    def _of_chunk(self, text: str) -> bytes:
+        known, parts = self.known, text.split(" ")
+        first, last = parts[0], parts[-1]
+        if len(parts) == 1 or first[-1:].isspace() or not last or last[0].isspace():
+            return self._whole(text)
+        try:
+            inner = list(map(known.__getitem__, parts[1:]))
+        except KeyError:
+            self._learn(set(parts).difference(known))
+            inner = list(map(known.__getitem__, parts[1:]))
+        tail = inner.pop()
+        if None in inner:
+            return self._whole(text)
+        return self._whole(first) + b"".join(inner) + (tail or self._whole(" " + last))
+
+
+def chunks(text: str) -> Iterator[str]:
+    """A text in chunks of about CHUNK letters, cut before a single space between other letters, where a token always starts."""
+    at = 0
+    while len(text) - at > CHUNK:
+        cut = _BETWEEN.search(text, at + CHUNK)
+        if not cut:
+            break
+        yield text[at : cut.start() + 1]
+        at = cut.start() + 1
+    yield text[at:]
+
+
+_TOKENIZERS: dict[tuple[str, str | None], TokenIds] = {}
+
+
+def tokenizer(vocabulary: str, ranks: str | None) -> TokenIds:
+    """One per worker."""
+    key = (vocabulary, ranks)
+    if key not in _TOKENIZERS:
+        _TOKENIZERS[key] = TokenIds(vocabulary, ranks)
+    return _TOKENIZERS[key]
 
 
 def pieces(docs: DataFrame, vocabulary: str, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,12 +168,11 @@ def pieces(docs: DataFrame, vocabulary: str, ranks: str | None = None, id_col: s
     end = np.array([END], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, made, part = TokenIds(vocabulary, ranks), np.zeros(CAPACITY + 1, np.int64), TaskContext.get().partitionId()
+        ids, made, part = tokenizer(vocabulary, ranks), np.zeros(CAPACITY + 1, np.int64), TaskContext.get().partitionId()
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
+            for b in text_slices(whole, 1):
                 rows: list[tuple] = []
-                for i, found in enumerate(ids.of(b.column(1).to_pylist())):
+                for i, found in enumerate(ids.of_many(b.column(1).to_pylist())):
                     data = found + end
                     n, start = len(data) // 4, 0
                     length = n % CAPACITY or CAPACITY
@@ -138,7 +185,7 @@ def pieces(docs: DataFrame, vocabulary: str, ranks: str | None = None, id_col: s
                 columns += [pa.array(crc, pa.int64()), pa.array(np.full(len(rows), part, np.int32)), pa.array(nth, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
-    return read.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length int, ids_crc32 long, part int, nth long")
+    return read.mapInArrow(tidy(cut), f"doc_id {kind}, piece int, start long, length int, ids_crc32 long, part int, nth long")
 
 
 def fullest(sizes: list[int], counts: list[int], room: int) -> dict[int, int]:

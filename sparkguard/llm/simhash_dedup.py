@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkguard.llm import gray_index
-from sparkguard.llm.common import keep_rows, saved, shuffle_parts, text_of, words_of
+from sparkguard.llm.common import keep_rows, saved, shuffle_parts, text_of, text_slices, tidy, words_of
 from sparkguard.llm.components import components
 
 SHINGLE = 3
@@ -68,11 +68,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     read = docs.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(text_col).alias("row_key"), text_of(f"`{text_col}`").cast("binary").alias("text"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in text_slices(whole, 2)):
             fps = np.fromiter((simhash(x) for x in b.column(2).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "row_key", "fp"])
 
-    return read.mapInArrow(mark, f"doc_id {kind}, row_key long, fp long")
+    return read.mapInArrow(tidy(mark), f"doc_id {kind}, row_key long, fp long")
 
 
 def row_key(text_col: str = "text") -> Column:

@@ -3,11 +3,11 @@
 The n-grams are words, the first letters of words (so that inflected forms share a weight) and pairs of neighbours.
 
 The classifier is fitted on a sample of about SAMPLE_ROWS labelled texts, drawn by a hash of their ids; their features are
-computed where the texts are read and go to one task, which learns in a fixed order. Each coordinate has its own rate, and L1
+computed where the texts are read and go, compressed, to one task, which learns in a fixed order and holds SAMPLE_BYTES of them at most. Each coordinate has its own rate, and L1
 leaves few weights that differ from zero, at most 2**BITS. They are what every task gets.
 
 Defined results: a null text is an empty one; an empty text scores the bias alone; null labels and labels without a document
-teach nothing; a document labelled twice has the larger label; without any label every score is 0.5; other columns are ignored.
+teach nothing; labels may be numbers or booleans; a document labelled twice has the larger label; without any label every score is 0.5; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,13 +18,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkguard.llm.common import text_of
+from sparkguard.llm.common import text_of, text_slices, tidy
 
-# Labelled texts to learn from.
-SAMPLE_ROWS = 20_000
+# Labelled texts to learn from, and the bytes of their features, compressed, that the learner holds: beyond them no further texts are taken.
+SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 160 << 20
 BITS = 20
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
@@ -35,7 +36,7 @@ _MIX, _PAIR, _SKIP = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4E
 # Letters of a word's beginnings: inflected forms share them.
 STEMS = (3, 4, 5, 6)
 # Words whose hashes a task remembers.
-MOST_WORDS = 500_000
+MOST_WORDS = 120_000
 # Bytes of a text that are turned into features at once.
 PIECE = 1 << 20
 
@@ -82,6 +83,16 @@ def features(text: str, words: Words) -> Iterator[np.ndarray]:
         carry, at = h[-2:], end
 
 
+def packed(at: np.ndarray) -> bytes:
+    """Sorted places as compressed differences."""
+    return zstandard.compress(np.diff(at, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(raw.T).view("<u4").ravel(), dtype=np.int64)
+
+
 class Ftrl:
     """Weights and per-coordinate rates; the last place is the bias."""
 
@@ -102,7 +113,7 @@ class Ftrl:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict[int, float]:
     """Weights that are not zero, by feature; the bias is at 2**BITS. ``labels`` holds the rows to learn from."""
-    told = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("label"))
+    told = labels.where(F.col(f"`{label_col}`").cast("int").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(f"`{label_col}`").cast("int")).alias("label"))
     drawn = F.pmod(F.xxhash64("_id", F.lit("toxicity")), F.lit(1 << 30))
     share = min(1.0, SAMPLE_ROWS / max(1, told.count()))
     sample = F.broadcast(told.where(drawn < int(share * (1 << 30))).select("_id", "label", drawn.alias("place")))
@@ -110,23 +121,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
-        for b in batches:
-            rows = [np.unique(np.concatenate([np.zeros(0, np.int64), *features(x, known.bounded())])).astype(np.uint32).tobytes() for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], ["place", "label", "at"])
+        for whole in batches:
+            for b in text_slices(whole, 2):
+                rows = [packed(np.unique(np.concatenate([np.zeros(0, np.int64), *features(x, known.bounded())]))) for x in b.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], ["place", "label", "at"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, rows = Ftrl(), []
+        model, rows, held = Ftrl(), [], 0
         for b in batches:
-            rows += zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
+            for label, at in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                held += len(data := at.as_py())
+                if held <= SAMPLE_BYTES or not rows:
+                    rows.append((label, data))
         for _ in range(EPOCHS):
-            for label, at in rows:
-                model.learn(np.r_[np.frombuffer(at, np.uint32).astype(np.int64), 1 << BITS], int(label > 0))
+            for label, data in rows:
+                model.learn(np.r_[unpacked(data), 1 << BITS], int(label > 0))
         w = model.weights(np.arange((1 << BITS) + 1))
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["at", "w"])
 
-    rows = texts.select("place", "label", "text").mapInArrow(extract, "place long, label int, at binary")
-    model = rows.repartition(1).sortWithinPartitions("place", "label", "at").mapInArrow(learn, "at long, w double")
+    rows = texts.select("place", "label", "text").mapInArrow(tidy(extract), "place long, label int, at binary")
+    model = rows.repartition(1).sortWithinPartitions("place", "label", "at").mapInArrow(tidy(learn), "at long, w double")
     return {r["at"]: r["w"] for r in model.collect()}
 
 
@@ -151,12 +166,12 @@ def scores(docs: DataFrame, weights: dict[int, float], id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense, known = np.zeros((1 << BITS) + 1), Words()
-        for b in batches:
+        for b in (x for whole in batches for x in text_slices(whole, 1)):
             s = score(b.column(1).to_pylist(), dense, known)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     read = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return read.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double, predicted int")
+    return read.mapInArrow(tidy(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, weights: dict[int, float], text_col: str = "text") -> DataFrame:
@@ -165,10 +180,10 @@ def without_toxic(docs: DataFrame, weights: dict[int, float], text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense, known = np.zeros((1 << BITS) + 1), Words()
-        for b in batches:
+        for b in (x for whole in batches for x in text_slices(whole, place)):
             yield b.filter(pa.array(score(b.column(place).to_pylist(), dense, known) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def learnable(labels: DataFrame, outside: Column) -> DataFrame:

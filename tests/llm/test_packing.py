@@ -3,7 +3,10 @@ from __future__ import annotations
 import collections
 import math
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -15,6 +18,7 @@ from tokenizers import Tokenizer
 
 from sparkguard.llm import packing
 
+ROOT = Path(__file__).resolve().parents[2]
 PATHS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 PLAIN = Tokenizer.from_file(PATHS[0])
 FAST, SLOW = packing.TokenIds(*PATHS), packing.TokenIds(PATHS[0])
@@ -25,7 +29,36 @@ FAST, SLOW = packing.TokenIds(*PATHS), packing.TokenIds(PATHS[0])
 @example(["a  b", "a \n b", " a", "a ", "", " ", "a\n", "x\n \ny", "it's <|endoftext|> x<|endoftext|>y", "a  b", "a \x85b"])
 def test_ids_are_those_of_the_whole_text(texts):
     want = [np.array(PLAIN.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert list(FAST.of(texts)) == want and list(SLOW.of(texts)) == want
+    assert list(FAST.of_many(texts)) == want and list(SLOW.of_many(texts)) == want
+
+
+def test_chunks_of_a_long_text(monkeypatch):
+    """A long text is encoded piece by piece, and the ids are those of the whole."""
+    rng = random.Random(1)
+    monkeypatch.setattr(packing, "CHUNK", 50)
+    for _ in range(60):
+        text = "".join(rng.choices(["ab", "é", " ", " ", "  ", "\n", "x.", "12", "\u672b", "it's"], k=300))
+        assert len(list(packing.chunks(text))) > 3 and "".join(packing.chunks(text)) == text
+        assert FAST.of(text) == np.array(PLAIN.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_memory_of_many_long_texts():
+    """500 texts of 20,000 words at once take no more than a few texts do."""
+    code = f"""
+import random, resource
+import pyarrow as pa
+from sparkguard.llm import packing
+from sparkguard.llm.common import text_slices
+ids = packing.TokenIds({PATHS[0]!r}, {PATHS[1]!r})
+rng = random.Random(1)
+words = [''.join(rng.choices('abcdefghij', k=rng.randint(2, 9))) for _ in range(300_000)]
+batch = pa.RecordBatch.from_arrays([pa.array([' '.join(rng.choices(words, k=20_000)) for _ in range(500)])], ['text'])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = sum(len(x) for b in text_slices(batch, 0) for x in ids.of_many(b.column(0).to_pylist()))
+print(n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    n, more = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT).stdout.split())
+    assert n > 10_000_000 and more < 200_000
 
 
 def check(rows, texts):

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from llm.samples import TEXTS, documents, empty
 from pyspark.sql import functions as F
 
@@ -69,3 +70,21 @@ def test_learner_against_a_plain_one():
             n[i] = n.get(i, 0) + g * g
     at = np.array(sorted(z))
     assert np.allclose(model.weights(at), [weight(i) for i in at.tolist()])
+
+
+@pytest.mark.parametrize("kind", ["tinyint", "bigint", "boolean", "double"])
+def test_types_of_labels(spark, kind):
+    """Labels of any number type, nulls among them, teach the same."""
+    rows = [(4, 1), (5, 0), (6, 0), (8, None), (12, 1), (13, 1)]
+    want = toxicity.fit(documents(spark), labels(spark, [(i, 1, v) for i, v in rows]))
+    told = labels(spark, [(i, 1, v) for i, v in rows]).withColumn("toxic", F.col("toxic").cast(kind))
+    assert toxicity.fit(documents(spark), told) == want
+
+
+def test_the_learner_holds_bounded_features(spark, monkeypatch):
+    at = np.unique(np.random.default_rng(1).integers(0, 1 << toxicity.BITS, 3000))
+    assert (toxicity.unpacked(toxicity.packed(at)) == at).all() and len(toxicity.packed(at)) < 2.5 * len(at)
+    assert len(toxicity.unpacked(toxicity.packed(at[:0]))) == 0
+    told = labels(spark, [(i, 1, i % 2) for i in (4, 5, 6, 8, 12, 13)])
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1)
+    assert len(toxicity.fit(documents(spark), told)) > 0
