@@ -34,11 +34,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sparkguard.llm.common import saved, text_of
+from sparkguard.llm.common import saved, text_of, text_slices, tidy
 
 BEST = 50
-# Documents of a shard, documents that a block is meant to have, and blocks of a list at most (a list is no longer than a shard).
-SHARD, BLOCK, MOST_BLOCKS = 4096, 32, 32
+# Documents and counted terms of a shard at most (a document with more is a shard of its own), and shards that a task makes.
+SHARD, SHARD_TERMS, TASK_SHARDS = 2048, 400_000, 4
+# Documents that a block is meant to have, and blocks of a list at most (a list is no longer than a shard).
+BLOCK, MOST_BLOCKS = 32, 32
 # Terms that have an entry of their own in the summaries of a list.
 COLUMNS = 512
 # Numbers that stand for a document when lists are clustered.
@@ -96,8 +98,8 @@ class Items:
 
 
 def counted(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFrame:
-    """A row per document that has a term of the items: doc_id, n (all its terms), terms, counts. Each task adds a row (``of_task``) with n, documents, and
-    document frequencies of its texts."""
+    """A row per document that has a term of the items: doc_id, n (all its terms), terms, counts. Each task adds a row, the only one
+    with ``docs``: the terms and documents that it has read, and the document frequencies of the items' terms in them."""
     kind = docs.schema[id_col].dataType
     known, arrow = items.terms, to_arrow_type(kind)
     names = ["doc_id", "n", "docs", "terms", "counts"]
@@ -109,8 +111,7 @@ def counted(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFr
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, all_terms, all_docs = np.zeros(len(known), np.int64), 0, 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
+            for b in text_slices(whole, 1):
                 kept, ns, terms, counts = [], [], [], []
                 for i, text in enumerate(b.column(1)):
                     n, found = 0, Counter()
@@ -131,7 +132,7 @@ def counted(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFr
         yield rows(pa.nulls(1, arrow), [all_terms], [all_docs], [seen.astype(np.int32)], [df[seen]])
 
     read = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(f"`{text_col}`").alias("text"))
-    out = read.mapInArrow(count, f"doc_id {kind.simpleString()}, n long, docs long, terms array<int>, counts array<long>")
+    out = read.mapInArrow(tidy(count), f"doc_id {kind.simpleString()}, n long, docs long, terms array<int>, counts array<long>")
     return saved(out, "search-counts")
 
 
@@ -288,7 +289,7 @@ class Shard:
 
 
 def index(counts: DataFrame, corpus: Corpus, items: Items) -> DataFrame:
-    """A row per shard: its documents' ids, and what ``Shard`` stores. Shards are cut from what a task reads."""
+    """A row per shard: its documents' ids, and what ``Shard`` stores. Counts are dealt out to tasks of a few shards each."""
     kind = counts.schema["doc_id"].dataType
     beside = items.beside
 
@@ -303,19 +304,27 @@ def index(counts: DataFrame, corpus: Corpus, items: Items) -> DataFrame:
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        docs = terms = 0
         for b in batches:
-            for at in range(0, b.num_rows, SHARD):
-                held.append(b.slice(at, SHARD))
-                while sum(x.num_rows for x in held) >= SHARD:
-                    whole = pa.concat_batches(held)
-                    yield whole.slice(0, SHARD)
-                    held = [whole.slice(SHARD)]
-        if sum(x.num_rows for x in held):
+            ends = np.cumsum(b.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            at = before = 0
+            while at < b.num_rows:
+                end = min(at + SHARD - docs, int(np.searchsorted(ends, before + SHARD_TERMS - terms, "right")))
+                if end <= at and docs:  # full
+                    yield pa.concat_batches(held)
+                    held, docs, terms = [], 0, 0
+                    continue
+                end = max(end, at + 1)
+                held.append(b.slice(at, end - at))
+                docs, terms = docs + end - at, terms + int(ends[end - 1]) - before
+                at, before = end, int(ends[end - 1])
+        if held:
             yield pa.concat_batches(held)
 
     read = counts.where(F.col("docs").isNull()).select("doc_id", "n", "terms", "counts")
     schema = f"doc_ids array<{kind.simpleString()}>, " + ", ".join(f"{k} binary" for k in Shard.KINDS)
-    return saved(read.mapInArrow(build, schema), "search-index")
+    spread = read.repartition(1 + corpus.docs // (SHARD * TASK_SHARDS))  # the counts are small, the work on them is not
+    return saved(spread.mapInArrow(tidy(build), schema), "search-index")
 
 
 def _candidates(shards: DataFrame, items: Items, item_type, least: np.ndarray, best: int) -> DataFrame:
@@ -344,7 +353,7 @@ def _candidates(shards: DataFrame, items: Items, item_type, least: np.ndarray, b
                 yield pa.RecordBatch.from_arrays(columns, ["item", "item_id", "doc_id", "score"])
 
     schema = f"item int, item_id {item_type.simpleString()}, doc_id {doc_type.simpleString()}, score long"
-    found = shards.mapInArrow(search, schema)
+    found = shards.mapInArrow(tidy(search), schema)
     rank = F.row_number().over(W.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last()))
     return found.withColumn("rank", rank).where(F.col("rank") <= best)
 

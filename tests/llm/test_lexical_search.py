@@ -53,9 +53,10 @@ def corpus(seed, n):
     return [(i, copy if i % 3 == 0 else " ".join(rng.choices(pool, shares, k=rng.randint(0, 120)))) for i in range(n)], pool, shares, rng
 
 
-@pytest.mark.parametrize("shard", [64, 4096])
-def test_against_brute_force(spark, monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "terms"), [(64, 400_000), (64, 30), (4096, 400_000)])
+def test_against_brute_force(spark, monkeypatch, shard, terms):
     monkeypatch.setattr(lexical_search, "SHARD", shard)
+    monkeypatch.setattr(lexical_search, "SHARD_TERMS", terms)
     docs, pool, shares, rng = corpus(shard, 700)
     items = [(k, " ".join(rng.choices(pool, shares, k=rng.randint(1, 60)))) for k in range(25)]
     got = result(lexical_search.search(documents(spark, [(i, t, "a") for i, t in docs]).repartition(3), asked(spark, items)))
