@@ -38,6 +38,62 @@ def test_counts_and_base_score(spark, monkeypatch, size):
     assert all(r.score < 0 for r in got)
 
 
+def plain_scores(texts, train, rounds):
+    """A class model kept in dictionaries: all words look for a better class in each round, then steps and words are scored."""
+    k, texts = brown.CLASSES, [tokens(t) for t in texts]
+    classes = {w: brown.first_class(w) for t in texts for w in t}
+    learned = [t for t, yes in zip(texts, train, strict=True) if yes]
+    counts = collections.Counter(w for t in learned for w in t)
+
+    def steps():
+        out = np.zeros((k, k))
+        for t in learned:
+            for a, b in zip([b"\n", *t], t, strict=False):
+                out[classes[a], classes[b]] += 1
+        return out
+
+    for _ in range(rounds):
+        at = steps()
+        logs, shares = np.log(at + 0.5), np.log(at.sum(axis=0) + 0.5)
+        value = {w: -n * shares for w, n in counts.items()}  # the words' own steps are not taken out first
+        for t in learned:
+            for a, b in zip([b"\n", *t], t, strict=False):
+                value[b] = value[b] + logs[classes[a]]
+            for a, b in zip(t, t[1:], strict=False):
+                value[a] = value[a] + logs[:, classes[b]] - shares
+        moved = {}
+        for w, v in value.items():
+            v -= brown.TIE * np.arange(k)
+            v[classes[w]] += brown.STAY
+            moved[w] = classes[w] if w == b"\n" else 1 + int(v[1:].argmax())
+        classes |= moved
+    at = steps()
+    sizes, distinct = np.zeros(k), np.zeros(k)
+    for w, n in counts.items():
+        sizes[classes[w]] += n
+        distinct[classes[w]] += 1
+    room = sizes + brown.ADDED * (distinct + 1)
+    step = np.log10((at + brown.PRIOR * room / room.sum()) / (at.sum(axis=1, keepdims=True) + brown.PRIOR))
+    word = lambda w: math.log10(counts[w] + brown.ADDED) - math.log10(room[classes[w]])
+    return [sum(step[classes[a], classes[b]] + word(b) for a, b in zip([b"\n", *t], t, strict=False)) for t in texts]
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_against_a_plain_class_model(spark, monkeypatch, rounds):
+    """Words that occur once are exchanged like any other."""
+    monkeypatch.setattr(brown, "PACK_TOKENS", 400)
+    monkeypatch.setattr(brown, "ROUNDS", rounds)
+    monkeypatch.setattr(brown, "STAY", 0.37)
+    rng = np.random.default_rng(rounds)
+    pool = [f"{rng.integers(10**6)}{e}" for e in ("an", "en", "on", "st", "ly", "ed") for _ in range(30)]
+    texts = [" ".join(pool[int(x) % 180] for x in np.cumsum(rng.choice([31, 29, 60, 7], rng.integers(0, 40)))) + f" once{i}" for i in range(120)]
+    rows = [(i, t, "a") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.score for r in brown.scores(documents(spark, rows).repartition(3), F.col("doc_id") % 5 != 0).collect()}
+    want = plain_scores(texts, [i % 5 != 0 for i in range(120)], rounds)
+    off = [i for i in range(120) if abs(got[i] - want[i]) > 1e-5 * abs(want[i])]
+    assert not off, [(i, got[i], want[i]) for i in off[:5]] + [len(off)]
+
+
 def test_packs_do_not_change_the_scores(spark, monkeypatch):
     docs = documents(spark)
     a = sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in brown.scores(docs, F.lit(True)).collect())
