@@ -25,7 +25,7 @@ def increases(samples: DataFrame, keys: list[str], value: str, id_column: str) -
 def rate(samples: DataFrame, keys: list[str], value: str, id_column: str, seconds: int = 300) -> DataFrame:
     """Per-second increase over the look-back, at every sample."""
     up = increases(samples, keys, value, id_column)
-    out = rolling(up, keys, "ts", "increase", seconds, ("sum",))
+    out = rolling(up, keys, "ts", "increase", seconds, ("sum",), counted=samples)
     return out.withColumn("rate", F.col("sum") / F.lit(float(seconds))).drop("sum", "increase")
 
 
@@ -42,7 +42,7 @@ def changes(samples: DataFrame, keys: list[str], value: str, id_column: str, sec
     out = with_previous(samples, keys, ["ts", id_column], [value])
     p = F.col(f"prev_{value}")
     flagged = out.withColumn("_changed", F.when(p.isNotNull() & (F.col(value) != p), 1).otherwise(0)).drop(f"prev_{value}")
-    return rolling(flagged, keys, "ts", "_changed", seconds, ("sum",)).withColumnRenamed("sum", "changes").drop("_changed")
+    return rolling(flagged, keys, "ts", "_changed", seconds, ("sum",), counted=samples).withColumnRenamed("sum", "changes").drop("_changed")
 
 
 def histogram_quantile(buckets: DataFrame, keys: list[str], quantiles: list[float]) -> DataFrame:

@@ -5,9 +5,9 @@ of time; each slice is one group, and what a slice needs from earlier ones is ha
 row per slice (its last row, its sum, its state), or as copies of the rows that a window looks back on.
 
 A slice that holds too many rows is cut further, by counts: rows are counted in CELLS cells of the slice's time, and every so many rows a new
-piece begins. So however rows are spread over time, a group has about PIECE_ROWS rows, or one in MOST_PIECES of all rows where that is more. Only rows
-of one cell (a millionth of a slice) stay together. Which slices are hot is found by one count of rows per slice; there are MOST_PIECES of them at
-most, and as many pieces, so their borders are broadcast.
+piece begins. So however rows are spread over time, a group has about PIECE_ROWS rows, or one in MOST_PIECES of what hot slices hold where that is
+more. Only rows of one cell (a millionth of a slice) stay together. One small job counts rows per slice when the operator is called; where no slice
+is hot, the plan has nothing of all this. Results are the same in either case.
 """
 
 from __future__ import annotations
@@ -41,30 +41,48 @@ def time_slice(ts: str, seconds: int) -> Column:
     return _whole_steps(micros(F.col(ts)), seconds * 1_000_000)
 
 
-def cut(rows: DataFrame, keys: list[str], slice_: Column, us: Column, length: int, most: int = PIECE_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Adds ``_g``, the group of a row: its key, slice and piece, as one value that is never null. Also the rows of cut slices alone.
+def borders_of(groups: DataFrame, keys: list[str], most: int) -> DataFrame | None:
+    """Where pieces begin (``_borders``, cells) in the slices that have more than ``most`` rows, or None if none has.
 
-    ``length`` is a slice's width in microseconds; a row's place in its slice is the rest of ``us`` divided by it.
+    ``groups`` has a row's key, ``_slice`` and ``_cell``. The result is a local table of MOST_PIECES rows at most; beyond as many slices, the smaller ones
+    are left whole.
     """
-    cell = F.floor(F.pmod(us, F.lit(length)) * F.lit(CELLS / length)).cast("int")
-    placed = rows.withColumns({"_slice": slice_, "_cell": cell})
-    slices = [*keys, "_slice"]
-    counts = placed.groupBy(*slices).agg(F.count(F.lit(1)).alias("_n"))
-    bound = F.greatest(F.lit(most), F.floor(F.coalesce(counts.agg(F.sum("_n")).scalar(), F.lit(0)) / MOST_PIECES))
-    hot = counts.where(F.col("_n") > bound).select(*slices)
-    cells = null_safe_join(placed.select(*slices, "_cell"), F.broadcast(hot), slices, "inner").groupBy(*slices, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    spark, slices = groups.sparkSession, [*keys, "_slice"]
+    sizes = groups.groupBy(*slices).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    hot = sizes.orderBy(F.desc("_n")).limit(MOST_PIECES).collect()
+    if not hot:
+        return None
+    bound = max(most, sum(r["_n"] for r in hot) // MOST_PIECES)
+    names = spark.createDataFrame([tuple(r)[:-1] for r in hot], sizes.select(*slices).schema)
+    cells = null_safe_join(groups, F.broadcast(names), slices, "inner").groupBy(*slices, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(W.partitionBy(*slices).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1))
     begun = cells.withColumn("_piece", F.floor(F.coalesce(before, F.lit(0)) / bound)).groupBy(*slices, "_piece").agg(F.min("_cell").alias("_from"))
-    borders = begun.groupBy(*slices).agg(F.array_sort(F.collect_list("_from")).alias("_borders"))
-    # With a null list of borders, size() is -1 or null: no piece but the first.
-    piece = F.greatest(F.size(F.filter("_borders", lambda b: b <= F.col("_cell"))), F.lit(0))
-    group = F.struct(*[F.col(k) for k in keys], "_slice", piece.alias("_piece"))
-    every, some = (null_safe_join(placed, F.broadcast(borders), slices, how).select(*rows.columns, group.alias("_g")) for how in ("left", "inner"))
-    return every, some
+    found = begun.groupBy(*slices).agg(F.array_sort(F.collect_list("_from")).alias("_borders"))
+    return spark.createDataFrame([tuple(r) for r in found.collect()], found.schema)
+
+
+def cell(us: Column, length: int) -> Column:
+    """A time's cell in its slice, which is ``length`` microseconds wide."""
+    return F.floor(F.pmod(us, F.lit(length)) * F.lit(CELLS / length)).cast("int")
+
+
+def cut(placed: DataFrame, keys: list[str], borders: DataFrame | None, how: str = "left") -> DataFrame:
+    """Replaces ``_slice`` and ``_cell`` by ``_g``, the group of a row: its key, slice and piece, as one value that is never null.
+
+    With ``how`` "inner" only the rows of slices that are cut.
+    """
+    columns = [c for c in placed.columns if c not in ("_slice", "_cell")]
+    piece = F.lit(0)
+    if borders is not None:
+        placed = null_safe_join(placed, F.broadcast(borders), [*keys, "_slice"], how)
+        # With a null list of borders, size() is -1 or null: no piece but the first.
+        piece = F.greatest(F.size(F.filter("_borders", lambda b: b <= F.col("_cell"))), F.lit(0))
+    return placed.select(*columns, F.struct(*[F.col(k) for k in keys], "_slice", piece.alias("_piece")).alias("_g"))
 
 
 def _sliced(df: DataFrame, keys: list[str], ts: str, seconds: int, most: int) -> DataFrame:
-    return cut(df, keys, time_slice(ts, seconds), micros(F.col(ts)), seconds * 1_000_000, most)[0]
+    placed = df.withColumns({"_slice": time_slice(ts, seconds), "_cell": cell(micros(F.col(ts)), seconds * 1_000_000)})
+    return cut(placed, keys, borders_of(placed.select(*keys, "_slice", "_cell"), keys, most))
 
 
 ROLLING = ("count", "sum", "avg", "min", "max", "stddev")
@@ -95,7 +113,7 @@ def _merged(parts: list[dict[str, Column]], wanted: tuple[str, ...]) -> dict[str
 
 
 def rolling(
-    df: DataFrame, keys: list[str], ts: str, value: str, seconds: int, wanted: tuple[str, ...] = ROLLING, most: int = PIECE_ROWS
+    df: DataFrame, keys: list[str], ts: str, value: str, seconds: int, wanted: tuple[str, ...] = ROLLING, most: int = PIECE_ROWS, counted: DataFrame | None = None
 ) -> DataFrame:
     """Statistics of ``value`` over the half-open window ``(ts - seconds, ts]`` at every row.
 
@@ -106,6 +124,7 @@ def rolling(
 
     Both aggregates are mergeable. Where a block is cut into pieces, each piece runs its own, and gets what the pieces before it (of the start) and
     after it (of the end) come to as one row. Shown rows and a window's lower end have the same place in their block, so one cut serves both.
+    ``counted`` may name a cheaper table with the same keys and times, in which rows are counted for the cut.
     """
     length = seconds * 1_000_000
     us = micros(F.col(ts))
@@ -113,8 +132,13 @@ def rolling(
     shown = F.array(
         F.struct(F.lit(True).alias("own"), block.alias("block")), F.struct(F.lit(False).alias("own"), (block + 1).alias("block"))
     )
-    spread = df.withColumn("_us", us).withColumn("_c", F.explode(shown)).withColumns({"_own": F.col("_c.own"), "_block": F.col("_c.block")}).drop("_c")
-    rows, of_cut = cut(spread, keys, F.col("_block"), F.col("_us"), length, most)
+    def spread(rows: DataFrame) -> DataFrame:
+        timed = rows.withColumn("_us", us).withColumn("_c", F.explode(shown))
+        return timed.withColumns({"_own": F.col("_c.own"), "_slice": F.col("_c.block"), "_cell": cell(F.col("_us"), length)}).drop("_c")
+
+    placed = spread(df)
+    borders = borders_of(spread((df if counted is None else counted).select(*keys, ts)).select(*keys, "_slice", "_cell"), keys, most)
+    rows = cut(placed, keys, borders)
     rows = rows.withColumn("_back", F.when(F.col("_own"), F.col("_us") - length).otherwise(F.col("_us")))
     own, v = F.col("_own"), F.col(value)
     need = ["count"] + ["sum"] * bool({"sum", "avg", "stddev"} & set(wanted)) + [n for n in ("min", "max") if n in wanted] + ["squares"] * ("stddev" in wanted)
@@ -124,17 +148,17 @@ def rolling(
         return over(F.var_pop(c)) * over(F.count(c)) if name == "squares" else over(functions[name](c))
 
     sides = {"a": F.when(own, v), "b": F.when(~own, v)}
-    # What the pieces of a block come to, and what those before (of its start) and after (of its end) come to.
-    pieces = of_cut.groupBy("_g").agg(*[statistic(n, c).alias(f"_{s}_{n}") for s, c in sides.items() for n in need])
-    carried = _carried(pieces, keys, need)
     start = W.partitionBy("_g").orderBy("_us").rangeBetween(W.unboundedPreceding, 0)
     end = W.partitionBy("_g").orderBy(F.desc("_back"), F.desc("_own")).rowsBetween(W.unboundedPreceding, 0)
     spans = {"a": lambda x: x.over(start), "b": lambda x: x.over(end)}
     local = [statistic(n, c, spans[s]).alias(f"_{s}_{n}") for s, c in sides.items() for n in need]
     both = rows.select("*", *local).where("_own")
-    joined = both.join(F.broadcast(carried), F.col("_g") == F.col("_h"), "left")
-    out = _merged([{n: F.col(f"{p}_{s}_{n}") for n in need} for p in ("", "_of") for s in sides], wanted)
-    return joined.select(*df.columns, *[out[n].alias(n) for n in wanted])
+    if borders is not None:
+        # What the pieces of a block come to, and what those before (of its start) and after (of its end) come to.
+        pieces = cut(placed, keys, borders, "inner").groupBy("_g").agg(*[statistic(n, c).alias(f"_{s}_{n}") for s, c in sides.items() for n in need])
+        both = both.join(F.broadcast(_carried(pieces, keys, need)), F.col("_g") == F.col("_h"), "left")
+    out = _merged([{n: F.col(f"{p}_{s}_{n}") for n in need} for p in ("", "_of")[: 1 + (borders is not None)] for s in sides], wanted)
+    return both.select(*df.columns, *[out[n].alias(n) for n in wanted])
 
 
 def _carried(pieces: DataFrame, keys: list[str], need: list[str]) -> DataFrame:

@@ -129,16 +129,28 @@ def test_lookback_over_a_burst(spark, burst, seconds):
 
 
 def test_pieces_are_bounded_however_rows_lie_in_time(burst):
+    us = timeslices.micros(F.col("ts"))
     for seconds in (60, 3600, 86_400):
-        us = timeslices.micros(F.col("ts"))
-        every, some = timeslices.cut(burst, ["key"], timeslices.time_slice("ts", seconds), us, seconds * 1_000_000, 200)
+        placed = burst.withColumns({"_slice": timeslices.time_slice("ts", seconds), "_cell": timeslices.cell(us, seconds * 1_000_000)})
+        borders = timeslices.borders_of(placed, ["key"], 200)
+        every, some = timeslices.cut(placed, ["key"], borders), timeslices.cut(placed, ["key"], borders, "inner")
         assert every.count() == burst.count() and every.groupBy("_g").count().agg(F.max("count")).head()[0] <= 400
         assert 0 < some.count() <= every.count()
         order = every.select("_g", us.alias("us")).groupBy("_g").agg(F.min("us").alias("a"), F.max("us").alias("z"))
         apart = order.withColumn("next", F.lead("a").over(W.partitionBy("_g.key").orderBy("_g._slice", "_g._piece")))
         assert apart.where(F.col("next") <= F.col("z")).count() == 0
-    every, some = timeslices.cut(burst, ["key"], timeslices.time_slice("ts", 60), us, 60_000_000)
-    assert some.count() == 0 and every.where("_g._piece > 0").count() == 0
+    assert timeslices.borders_of(placed, ["key"], timeslices.PIECE_ROWS) is None
+
+
+def test_few_hot_slices_are_cut_first(burst, monkeypatch):
+    """The cut is bounded: beyond as many slices or pieces, slices stay whole and pieces grow, and results stay right."""
+    monkeypatch.setattr(timeslices, "MOST_PIECES", 3)
+    placed = burst.withColumns({"_slice": timeslices.time_slice("ts", 3600), "_cell": timeslices.cell(timeslices.micros(F.col("ts")), 3_600_000_000)})
+    found = timeslices.borders_of(placed, ["key"], 100)
+    assert found.count() <= 3 and found.agg(F.sum(F.size("_borders"))).head()[0] <= 9
+    total = timeslices.with_running_sum(burst, ["key"], ["ts", "id"], F.col("state"), "total", most=100)
+    want = burst.select("id", F.sum("state").over(W.partitionBy("key").orderBy("ts", "id").rowsBetween(W.unboundedPreceding, 0)).alias("want"))
+    assert total.join(want, "id").where(F.col("total") != F.col("want")).count() == 0
 
 
 def test_previous_sums_and_runs_over_a_burst(spark, burst):
