@@ -55,32 +55,34 @@ def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, fl
     upto = [F.count_if(F.col("_v") <= F.col("_b")[i]) for i in range(n)]
     counts = null_safe_join(rows, borders, keys).groupBy(*keys).agg(F.any_value("_b").alias("_b"), F.count(F.lit(1)).alias("_total"), F.array(*upto).alias("_upto"))
 
-    def bin_of(rank: Column, weight: Column, name: str) -> Column:
-        """The bin that holds a rank: above border ``bin - 1`` and up to border ``bin``, where these exist."""
+    def placed_rank(rank: Column, weight: Column, name: str) -> Column:
+        """A rank with the bin that holds it: above border ``bin - 1`` and up to border ``bin``, where these exist. Ranks count from the bin's start."""
         at = F.size(F.filter("_upto", lambda c: c <= rank))
-        before = F.when(at > 0, F.get("_upto", at - 1)).otherwise(0)
-        return F.struct(
-            F.lit(name).alias("name"), weight.alias("weight"), (rank - before).alias("rank"), at.alias("bin"),
-            F.when(at > 0, F.get("_b", at - 1)).alias("low"), F.when(at < n, F.get("_b", at)).alias("high"),
-        )
+        return F.struct(F.lit(name).alias("name"), weight.alias("weight"), (rank - F.when(at > 0, F.get("_upto", at - 1)).otherwise(0)).alias("rank"), at.alias("bin"))
 
     ranks = []
     for name, q in wanted.items():
         at = (F.col("_total") - 1) * F.lit(q)
         low = F.floor(at)
         share = at - low
-        ranks.append(bin_of(low, 1 - share, name))
-        ranks.append(F.when(share > 0, bin_of(low + 1, share, name)))
-    asked = counts.select(*keys, F.explode(F.array_compact(F.array(*ranks))).alias("_r"))
-    bins = asked.select(*keys, F.col("_r.bin").alias("_bin"), F.col("_r.low").alias("_low"), F.col("_r.high").alias("_high")).distinct()
+        ranks.append(placed_rank(low, 1 - share, name))
+        ranks.append(F.when(share > 0, placed_rank(low + 1, share, name)))
+    asked = counts.withColumn("_ranks", F.array_compact(F.array(*ranks)))
+    bins = asked.select("*", F.explode(F.array_distinct(F.transform("_ranks", lambda r: r["bin"]))).alias("_bin")).select(
+        *keys, "_bin", F.filter("_ranks", lambda r: r["bin"] == F.col("_bin")).alias("_asked"),
+        F.when(F.col("_bin") > 0, F.get("_b", F.col("_bin") - 1)).alias("_low"), F.when(F.col("_bin") < n, F.get("_b", F.col("_bin"))).alias("_high"),
+    )
     within = (F.col("_low").isNull() | (F.col("_v") > F.col("_low"))) & (F.col("_high").isNull() | (F.col("_v") <= F.col("_high")))
-    found = null_safe_join(rows, bins, keys).where(within).groupBy(*keys, "_bin", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    near = null_safe_join(rows, bins, keys).where(within)
+    found = near.groupBy(*keys, "_bin", "_v").agg(F.count(F.lit(1)).alias("_n"), F.any_value("_asked").alias("_asked"))
     earlier = W.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
     placed = found.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    picked = null_safe_join(placed, asked.select(*keys, F.col("_r.bin").alias("_bin"), "_r"), [*keys, "_bin"])
-    here = (F.col("_before") <= F.col("_r.rank")) & (F.col("_r.rank") < F.col("_before") + F.col("_n"))
-    parts = [F.sum(F.when(here & (F.col("_r.name") == name), F.col("_v") * F.col("_r.weight"))).alias(name) for name in wanted]
-    return picked.groupBy(*keys).agg(*parts)
+
+    def part(name: str) -> Column:
+        here = F.filter("_asked", lambda r: (r["name"] == name) & (r["rank"] >= F.col("_before")) & (r["rank"] < F.col("_before") + F.col("_n")))
+        return F.sum(F.when(F.size(here) > 0, F.col("_v") * F.aggregate(here, F.lit(0.0), lambda a, r: a + r["weight"]))).alias(name)
+
+    return placed.groupBy(*keys).agg(*[part(name) for name in wanted])
 
 
 def newest(df: DataFrame, keys: list[str], ts: str, tie: str, n: int, slice_seconds: int = 60) -> DataFrame:
