@@ -13,50 +13,61 @@ def _q(items) -> str:
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
 
 
-# The twins' own words and patterns, written down apart from those of the operators.
+# Fixed values of the twins: statement words, patterns, and rules as (rule set, name, level, pattern, blocked in production, dev and sandbox, words that excuse, description).
 _LEADING = "select|insert|update|delete|create|drop|alter|truncate|execute|exec|call"
 _OPERATIONS = "select|insert|update|delete|create|drop|alter|truncate"
-_KEYWORDS = "drop truncate delete exec execute xp_cmdshell sp_configure openrowset opendatasource bulk backup restore shutdown waitfor".split()
-_OBJECTS = "sys information_schema master model msdb tempdb mysql performance_schema pg_catalog pg_toast".split()
-_REVIEW = "into set values modify cascade constraint index trigger procedure".split()
+_KEYWORDS = ("drop", "truncate", "delete", "exec", "execute", "xp_cmdshell", "sp_configure", "openrowset", "opendatasource", "bulk", "backup", "restore", "shutdown", "waitfor")
+_OBJECTS = ("sys", "information_schema", "master", "model", "msdb", "tempdb", "mysql", "performance_schema", "pg_catalog", "pg_toast")
+_REVIEW = ("into", "set", "values", "modify", "cascade", "constraint", "index", "trigger", "procedure")
 _CALLS = [
     ("find", "select"), ("findOne", "select"), ("aggregate", "select"), ("count", "select"), ("distinct", None), ("insertOne", "insert"),
     ("insertMany", "insert"), ("updateOne", "update"), ("updateMany", "update"), ("deleteOne", "delete"), ("deleteMany", "delete"),
     ("replaceOne", "update"), ("createIndex", "create"), ("dropIndex", "drop"), ("drop", "drop"), ("createCollection", "create"),
 ]
 _WRITES = [
-    r"(?i)^\s*(insert|update|delete|replace|merge)\s+", r"(?i)^\s*(truncate|drop|create|alter)\s+", r"(?i)^\s*(grant|revoke|deny)\s+",
-    r"(?i)^\s*(backup|restore)\s+", r"(?i)^\s*(exec|execute|call)\s+.*_(insert|update|delete|create|drop)",
-    r"(?i)(insert|update|delete|drop|create|remove)\s*[(]", r"(?i)[$](set|unset|push|pull|inc)", r"(?i)^\s*(shutdown|kill)\s+",
-]
+    r"(?i)^\s*(insert|update|delete|replace|merge)\s+",
+    r"(?i)^\s*(truncate|drop|create|alter)\s+",
+    r"(?i)^\s*(grant|revoke|deny)\s+",
+    r"(?i)^\s*(backup|restore)\s+",
+    r"(?i)^\s*(exec|execute|call)\s+.*_(insert|update|delete|create|drop)",
+    r"(?i)(insert|update|delete|drop|create|remove)\s*\(",
+    r"(?i)\$(set|unset|push|pull|inc)",
+    r"(?i)^\s*(shutdown|kill)\s+",
+]
 _BODIES = [
-    r"INSERT\s+INTO", r"(?s)UPDATE\s+.*\s+SET", r"DELETE\s+FROM", r"DROP\s+TABLE", r"CREATE\s+TABLE", r"ALTER\s+TABLE", r"EXEC\s*[(]", r"UNION\s+SELECT",
-]
-# rule set, name, level, pattern, blocked in production, dev and sandbox, words that excuse, description
+    r"INSERT\s+INTO",
+    r"(?s)UPDATE\s+.*\s+SET",
+    r"DELETE\s+FROM",
+    r"DROP\s+TABLE",
+    r"CREATE\s+TABLE",
+    r"ALTER\s+TABLE",
+    r"EXEC\s*\(",
+    r"UNION\s+SELECT",
+]
 _RULES = [
-    ("builtin", "drop_or_truncate", "critical", r"\b(drop|truncate)\s+(table|database|schema)", "ppp", "", "DROP/TRUNCATE operations are destructive"),
-    ("builtin", "command_shell", "critical", r"\bxp_cmdshell\b", "ppp", "", "Command execution via xp_cmdshell"),
-    ("builtin", "bulk_access", "dangerous", r"\b(bulk\s+insert|openrowset|opendatasource)\b", "pp-", "", "Bulk data operations can affect performance"),
-    ("builtin", "unsafe_delete", "dangerous", r"\bdelete\s+from\s+\w+", "pp-", "where", "DELETE without WHERE clause"),
-    ("builtin", "unsafe_update", "dangerous", r"\bupdate\s+\w+\s+set\s+", "pp-", "where", "UPDATE without WHERE clause"),
-    ("builtin", "system_access", "moderate", r"\b(sys|information_schema|master|msdb)[.]", "p--", "", "System table/schema access"),
-    ("config", "block_drop_operations", "critical", r"\b(drop|truncate)\s+(table|database|schema|collection)", "ppp", "", "DROP/TRUNCATE operations are destructive"),
-    ("config", "block_system_commands", "critical", r"\b(xp_cmdshell|sp_configure|openrowset|opendatasource)\b", "ppp", "", "System command execution"),
-    ("config", "unsafe_deletes", "dangerous", r"\bdelete\s+from\s+\w+", "pp-", "where", "DELETE without WHERE clause"),
-    ("config", "unsafe_updates", "dangerous", r"\bupdate\s+\w+\s+set\s+", "pp-", "where", "UPDATE without WHERE clause"),
-    ("config", "system_table_access", "moderate", r"\b(sys|information_schema|master|msdb)[.]", "p--", "", "System table/schema access"),
-    ("config", "bulk_operations", "moderate", r"\b(bulk\s+insert|load\s+data)\b", "pp-", "", "Bulk data operations"),
-    ("deployed", "block_drop_operations", "critical", r"\b(drop|truncate)\s+(table|database|schema|collection)\b", "ppp", "", "DROP/TRUNCATE operations are destructive and irreversible"),
-    ("deployed", "block_system_commands", "critical", r"\b(xp_cmdshell|sp_configure|openrowset|opendatasource|exec\s+xp_|execute\s+xp_)\b", "ppp", "", "System command execution via stored procedures"),
-    ("deployed", "block_bulk_operations", "critical", r"\b(bulk\s+insert|load\s+data|restore\s+database|backup\s+database)\b", "ppp", "", "Bulk operations can affect system performance"),
-    ("deployed", "unsafe_deletes", "dangerous", r"\bdelete\s+from\s+\w+", "pp-", "where", "DELETE statements without WHERE clause can remove all data"),
-    ("deployed", "unsafe_updates", "dangerous", r"\bupdate\s+\w+\s+set\s+", "pp-", "where", "UPDATE statements without WHERE clause affect all rows"),
-    ("deployed", "dynamic_sql_injection", "dangerous", r"\b(exec|execute)\s*[(]\s*@|\bexec\s+sp_executesql\b", "pp-", "", "Dynamic SQL execution can be vulnerable to injection"),
-    ("deployed", "system_table_access", "moderate", r"\b(sys|information_schema|master|model|msdb|tempdb)[.]\b", "p--", "", "Access to system tables and schemas"),
-    ("deployed", "admin_functions", "moderate", r"\b(db_owner|db_securityadmin|db_ddladmin|sysadmin)\b", "p--", "", "Administrative database functions"),
-    ("deployed", "large_table_scans", "moderate", r"\bselect\s+[*]\s+from\s+\w+", "p--", "where limit top", "SELECT * without WHERE/LIMIT can cause performance issues"),
-    ("deployed", "mongodb_unsafe_operations", "dangerous", r"[.](drop|dropDatabase|dropIndex)\s*[(]", "pp-", "", "MongoDB drop operations"),
-    ("deployed", "mongodb_bulk_write", "moderate", r"[.](bulkWrite|insertMany|deleteMany)\s*[(]", "p--", "", "MongoDB bulk operations can affect performance"),
+    ("builtin", "drop_or_truncate", "critical", r"\b(drop|truncate)\s+(table|database|schema)", (True, True, True), (), "DROP/TRUNCATE operations are destructive"),
+    ("builtin", "command_shell", "critical", r"\bxp_cmdshell\b", (True, True, True), (), "Command execution via xp_cmdshell"),
+    ("builtin", "bulk_access", "dangerous", r"\b(bulk\s+insert|openrowset|opendatasource)\b", (True, True, False), (), "Bulk data operations can affect performance"),
+    ("builtin", "unsafe_delete", "dangerous", r"\bdelete\s+from\s+\w+", (True, True, False), ("where",), "DELETE without WHERE clause"),
+    ("builtin", "unsafe_update", "dangerous", r"\bupdate\s+\w+\s+set\s+", (True, True, False), ("where",), "UPDATE without WHERE clause"),
+    ("builtin", "system_access", "moderate", r"\b(sys|information_schema|master|msdb)\.", (True, False, False), (), "System table/schema access"),
+    ("config", "block_drop_operations", "critical", r"\b(drop|truncate)\s+(table|database|schema|collection)", (True, True, True), (), "DROP/TRUNCATE operations are destructive"),
+    ("config", "block_system_commands", "critical", r"\b(xp_cmdshell|sp_configure|openrowset|opendatasource)\b", (True, True, True), (), "System command execution"),
+    ("config", "unsafe_deletes", "dangerous", r"\bdelete\s+from\s+\w+", (True, True, False), ("where",), "DELETE without WHERE clause"),
+    ("config", "unsafe_updates", "dangerous", r"\bupdate\s+\w+\s+set\s+", (True, True, False), ("where",), "UPDATE without WHERE clause"),
+    ("config", "system_table_access", "moderate", r"\b(sys|information_schema|master|msdb)\.", (True, False, False), (), "System table/schema access"),
+    ("config", "bulk_operations", "moderate", r"\b(bulk\s+insert|load\s+data)\b", (True, True, False), (), "Bulk data operations"),
+    ("deployed", "block_drop_operations", "critical", r"\b(drop|truncate)\s+(table|database|schema|collection)\b", (True, True, True), (), "DROP/TRUNCATE operations are destructive and irreversible"),
+    ("deployed", "block_system_commands", "critical", r"\b(xp_cmdshell|sp_configure|openrowset|opendatasource|exec\s+xp_|execute\s+xp_)\b", (True, True, True), (), "System command execution via stored procedures"),
+    ("deployed", "block_bulk_operations", "critical", r"\b(bulk\s+insert|load\s+data|restore\s+database|backup\s+database)\b", (True, True, True), (), "Bulk operations can affect system performance"),
+    ("deployed", "unsafe_deletes", "dangerous", r"\bdelete\s+from\s+\w+", (True, True, False), ("where",), "DELETE statements without WHERE clause can remove all data"),
+    ("deployed", "unsafe_updates", "dangerous", r"\bupdate\s+\w+\s+set\s+", (True, True, False), ("where",), "UPDATE statements without WHERE clause affect all rows"),
+    ("deployed", "dynamic_sql_injection", "dangerous", r"\b(exec|execute)\s*\(\s*@|\bexec\s+sp_executesql\b", (True, True, False), (), "Dynamic SQL execution can be vulnerable to injection"),
+    ("deployed", "system_table_access", "moderate", r"\b(sys|information_schema|master|model|msdb|tempdb)\.\b", (True, False, False), (), "Access to system tables and schemas"),
+    ("deployed", "admin_functions", "moderate", r"\b(db_owner|db_securityadmin|db_ddladmin|sysadmin)\b", (True, False, False), (), "Administrative database functions"),
+    ("deployed", "large_table_scans", "moderate", r"\bselect\s+\*\s+from\s+\w+", (True, False, False), ("where", "limit", "top"), "SELECT * without WHERE/LIMIT can cause performance issues"),
+    ("deployed", "mongodb_unsafe_operations", "dangerous", r"\.(drop|dropDatabase|dropIndex)\s*\(", (True, True, False), (), "MongoDB drop operations"),
+    ("deployed", "mongodb_bulk_write", "moderate", r"\.(bulkWrite|insertMany|deleteMany)\s*\(", (True, False, False), (), "MongoDB bulk operations can affect performance"),
 ]
 
 _NORM = (
@@ -170,8 +181,8 @@ def _rule_rows(wanted: str, strict: bool = False) -> str:
     for rules, name, level, pattern, blocked, excuses, says in _RULES:
         if rules != wanted:
             continue
-        cond = f"regexp_matches(norm, '(?i){pattern}')" + "".join(f" and not contains(lower(norm), '{w}')" for w in excuses.split() if strict)
-        flags = ", ".join(f"{b == 'p'} as {c}" for b, c in zip(blocked, "pds", strict=True))
+        cond = f"regexp_matches(norm, '(?i){pattern}')" + "".join(f" and not contains(lower(norm), '{w}')" for w in excuses if strict)
+        flags = ", ".join(f"{b} as {c}" for b, c in zip(blocked, "pds", strict=True))
         parts.append(f"select event_id, '{rules}' as rule_set, '{name}' as rule_name, '{level}' as risk_level, '{says}' as description, {flags}, ops from a where {cond}")
     return " union all ".join(parts)
 
