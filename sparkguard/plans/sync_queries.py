@@ -203,5 +203,5 @@ def sync_stream(t: Inputs):
     first.write.parquet(source)
     second.write.mode("append").parquet(source)
     stream = t.spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    jobs.sync_to_changes(stream, path, t.scratch("sync-checkpoint")).awaitTermination()
-    return jobs.current(t.spark.read.parquet(path).drop("batch"), ["c_custkey"], ["version"])
+    jobs.sync_to_changes(stream, path, t.scratch("sync-checkpoint"), ["c_custkey"], ["version"]).awaitTermination()
+    return jobs.current(jobs.changes(t.spark, path, first.schema), ["c_custkey"], ["version"])

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,11 +96,73 @@ def audit_to_sinks(log: DataFrame, blocked_path: str, allowed_path: str, checkpo
     return log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def sync_to_changes(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends every micro-batch as its own part of a change table; ``current`` reads the state."""
+# Parts of a tier that are merged into one of the next, and what a manifest says of each live part.
+FAN = 8
+MANIFEST = "batch long, tier int, slot int"
+
+
+def _manifest(spark: SparkSession, path: str, newest: int = 1) -> dict[int, set[tuple[int, int]]]:
+    """The live parts by the batch that made them so, of the ``newest`` manifests."""
+    try:
+        rows = spark.read.schema(MANIFEST).parquet(f"{path}/manifest/*").collect()  # a row per part, few per tier
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        rows = []
+    last = sorted({r["batch"] for r in rows})[-newest:]
+    return {n: {(r["tier"], r["slot"]) for r in rows if r["batch"] == n} for n in last}
+
+
+def _part(path: str, part: tuple[int, int]) -> str:
+    return f"{path}/parts/tier={part[0]}/slot={part[1]}"
+
+
+def changes(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All rows of a change table that are not known to be replaced; ``current`` gives the state."""
+    live = sorted(set().union(*_manifest(spark, path).values()))
+    reader = spark.read.schema(schema)
+    return reader.parquet(*[_part(path, p) for p in live]) if live else spark.createDataFrame([], schema)
+
+
+def merge_into_changes(batch: DataFrame, batch_id: int, path: str, keys: list[str], order: list[str]) -> None:
+    """A batch becomes a part; FAN parts of a tier are merged into one of the next, which holds the newest row per key.
+
+    So with n batches there are fewer than FAN parts in each of about log(n) tiers. Parts are written to slots that neither of the last two manifests
+    names, and count from the moment their manifest is there, which is one file: whatever breaks off before leaves the state as it was, and the repeated
+    batch writes the same again. A batch that the manifest has already is not taken twice.
+    """
+    spark = batch.sparkSession
+    known = _manifest(spark, path, 2)
+    last = max(known, default=-1)
+    if batch_id <= last:
+        return
+    taken = set().union(*known.values())
+    live = set(known.get(last, ()))
+
+    def free(tier: int) -> tuple[int, int]:
+        part = next((tier, k) for k in range(len(taken) + 1) if (tier, k) not in taken)
+        taken.add(part)
+        return part
+
+    part = free(0)
+    batch.write.mode("overwrite").parquet(_part(path, part))
+    live.add(part)
+    tier = 0
+    while len(full := sorted(p for p in live if p[0] == tier)) >= FAN:
+        part = free(tier + 1)
+        rows = spark.read.schema(batch.schema).parquet(*[_part(path, p) for p in full])
+        current(rows, keys, order).select(*batch.columns).write.mode("overwrite").parquet(_part(path, part))
+        live = (live - set(full)) | {part}
+        tier += 1
+    listed = spark.createDataFrame([(batch_id, *p) for p in sorted(live)], MANIFEST)
+    listed.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/slot={batch_id % 2}")
+
+
+def sync_to_changes(rows: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
+    """Every micro-batch as a part of a change table that merges itself; ``changes`` and ``current`` read it."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        merge_into_changes(batch, batch_id, path, keys, order)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -111,11 +174,6 @@ def current(changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return changes.groupBy(*keys).agg(newest.alias("_v")).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
 
 
-def compact(spark: SparkSession, path: str, keys: list[str], order: list[str], into: str) -> None:
-    """The state of a change table as the first part of a new one, which later batches may continue."""
-    current(spark.read.parquet(path).drop("batch"), keys, order).write.parquet(f"{into}/batch=-1")
-
-
 ALERT_EVENTS = "alert_id string, event string, at timestamp, value double"
 ALERT_STATE = "firing boolean, points long, breaches long, value double, leaving array<bigint>, left_points array<bigint>, left_breaches array<bigint>"
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from conftest import SF
@@ -89,15 +90,57 @@ def test_a_repeated_batch_arrives_once(spark, inputs, folder):
     """The same source and checkpoint again add nothing, and the state holds the newest rows."""
     rows = inputs.table("customer").select("c_custkey", "c_name", F.lit(1).alias("version"))
     rows.write.parquet(folder("source"))
+    keys, order = ["c_custkey"], ["version"]
     for _ in range(2):
         stream = spark.readStream.schema(rows.schema).parquet(folder("source"))
-        jobs.sync_to_changes(stream, folder("changes"), folder("cp")).awaitTermination()
-    changes = spark.read.parquet(folder("changes")).drop("batch")
-    assert changes.count() == rows.count()
+        jobs.sync_to_changes(stream, folder("changes"), folder("cp"), keys, order).awaitTermination()
+    assert jobs.changes(spark, folder("changes"), rows.schema).count() == rows.count()
     newer = rows.withColumn("c_name", F.lit("new")).withColumn("version", F.lit(2)).limit(10)
-    state = jobs.current(changes.unionByName(newer), ["c_custkey"], ["version"])
+    jobs.merge_into_changes(newer, 7, folder("changes"), keys, order)
+    state = jobs.current(jobs.changes(spark, folder("changes"), rows.schema), keys, order)
     assert state.count() == rows.count() and state.where("c_name = 'new'").count() == 10
-    jobs.compact(spark, folder("changes"), ["c_custkey"], ["version"], folder("compacted"))
-    newer.write.parquet(folder("compacted") + "/batch=0")
-    compacted = jobs.current(spark.read.parquet(folder("compacted")).drop("batch"), ["c_custkey"], ["version"])
-    assert sorted(map(tuple, compacted.collect())) == sorted(map(tuple, state.select(*compacted.columns).collect()))
+    assert jobs.changes(spark, folder("nowhere"), rows.schema).count() == 0
+
+
+def test_fifty_batches_stay_few_files(spark, folder, monkeypatch):
+    """The parts of a change table are merged in tiers, and its folder holds a bounded number of files."""
+    monkeypatch.setattr(jobs, "FAN", 3)
+    keys, order, state = ["k"], ["v"], {}
+    schema = spark.createDataFrame([(1, 1)], "k int, v int").schema
+    for n in range(50):
+        batch = spark.createDataFrame([((n * 7 + i) % 23, n) for i in range(5)], schema).coalesce(1)
+        state |= {r["k"]: r["v"] for r in batch.collect()}
+        jobs.merge_into_changes(batch, n, folder("t"), keys, order)
+        jobs.merge_into_changes(batch, n, folder("t"), keys, order)  # repeated
+    rows = jobs.changes(spark, folder("t"), schema)
+    assert {r["k"]: r["v"] for r in jobs.current(rows, keys, order).collect()} == state
+    (live,) = jobs._manifest(spark, folder("t")).values()
+    assert len(live) <= 2 * 4 and len(list(Path(folder("t")).rglob("*.parquet"))) < 40
+
+
+def test_a_crash_between_merge_and_manifest(spark, folder, monkeypatch):
+    """A merge that never got its manifest changes nothing, and the repeated batch completes it."""
+    monkeypatch.setattr(jobs, "FAN", 2)
+    keys, order = ["k"], ["v"]
+    schema = spark.createDataFrame([(1, 1)], "k int, v int").schema
+    read = lambda: sorted(map(tuple, jobs.current(jobs.changes(spark, folder("t"), schema), keys, order).collect()))
+    for n in range(7):
+        before = read()
+        batch = spark.createDataFrame([(i, n) for i in range(n % 3, 4)], schema)
+        with monkeypatch.context() as broken:
+            broken.setattr(jobs, "MANIFEST", "no schema")
+            with pytest.raises(Exception, match="(?i)schema|parse|syntax"):
+                jobs.merge_into_changes(batch, n, folder("t"), keys, order)
+        assert read() == before
+        crashing = type(spark).createDataFrame
+        with monkeypatch.context() as broken:  # all parts are written, the manifest is not
+
+            def crash(*_, **__):
+                raise RuntimeError("lost")
+
+            broken.setattr(type(spark), "createDataFrame", crash)
+            with pytest.raises(RuntimeError, match="lost"):
+                jobs.merge_into_changes(batch, n, folder("t"), keys, order)
+        assert type(spark).createDataFrame is crashing and read() == before
+        jobs.merge_into_changes(batch, n, folder("t"), keys, order)
+        assert dict(read()) == dict(before) | {i: n for i in range(n % 3, 4)}
