@@ -3,7 +3,7 @@
 Every word belongs to a class. A text's probability is the product, token by token, of the step from the class before to the word's
 class and of the word within its class. Classes start from the ends of words and are improved by exchange: each round looks at every word of the
 training texts, and all words move at once, as their steps were counted before the round, to the class that makes their neighbours' classes likeliest,
-if that gains STAY in log likelihood. Held-out perplexity at sf0.1 after one, two and three rounds: 8,102, 6,894, 6,870; log10 likelihood of the training texts:
+if that gains STAY in log likelihood. Held-out perplexity at sf0.1 after one, two and three rounds: 8,102, 6,894, 6,871; log10 likelihood of the training texts:
 -13.73, -13.31, -13.19 million. ROUNDS are two.
 
 Texts become packs of bounded size: numbers of tokens, and the sorted hashes of the pack's distinct words. A word lives in the range of
