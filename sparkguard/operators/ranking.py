@@ -10,6 +10,8 @@ an executor is lost.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,8 +42,12 @@ def positions(df: DataFrame, keys: list[str], order: list[str], weight: Column |
     return out.select(*df.columns, (F.col("_offset") + F.col("_local")).alias("before"), "total")
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
-    """Exact percentiles with linear interpolation, one row per key, by narrowing; nothing is sorted as a whole and no job runs before the query does.
+def percentiles(
+    df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], accuracy: int = ACCURACY, discrete: bool = False
+) -> DataFrame:
+    """Exact percentiles, one row per key, by narrowing; nothing is sorted as a whole and no job runs before the query does.
+
+    They interpolate linearly; if discrete, they are the value whose rank, from 1, is the share of the rows rounded up.
 
     A mergeable sketch per key gives borders close to the wanted ranks on either side. One scan counts what lies up to each border, so it is
     known exactly between which borders a rank falls, whatever the sketch's error. Another scan counts the distinct values between these
@@ -62,6 +68,10 @@ def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, fl
 
     ranks = []
     for name, q in wanted.items():
+        if discrete:
+            upper = F.ceil(F.col("_total") * F.lit(Decimal(str(q)))).cast("long")  # as a double, 0.07 of 100 rows would be more than 7
+            ranks.append(placed_rank(F.greatest(upper - 1, F.lit(0)), F.lit(1.0), name))
+            continue
         at = (F.col("_total") - 1) * F.lit(q)
         low = F.floor(at)
         share = at - low

@@ -71,7 +71,7 @@ def metric_stats(t: Inputs):
     fx="metrics",
 )
 def metric_stats_approx(t: Inputs):
-    """Series with fewer points than the sketch's accuracy get the value of exactly that rank."""
+    """Series get the value of exactly that rank, also those with more points than the sketch's accuracy."""
     return rounded(M.metric_stats_approx(points(t), AS_OF, 5 * DAY_MINUTES * 60), "sum", "avg", "stddev")
 
 

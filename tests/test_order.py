@@ -60,6 +60,24 @@ def test_percentiles_do_not_depend_on_the_sketch(spark, accuracy):
             assert got[key][name] == pytest.approx(want, rel=1e-12), (key, name)
 
 
+@pytest.mark.parametrize("accuracy", [4, 10_000])
+def test_discrete_percentiles_are_values_of_their_rank(spark, accuracy):
+    rows = [("long", float(k)) for k in range(12_345)] + [("hundred", float(k)) for k in range(1, 101)] + [("one", 2.5), ("gone", None)]
+    df = spark.createDataFrame(rows, "key string, value double").repartition(5)
+    wanted = {"p0": 0.0, "p7": 0.07, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    got = {r["key"]: tuple(r)[1:] for r in ranking.percentiles(df, ["key"], "value", wanted, accuracy, discrete=True).collect()}
+    assert got == {"long": (0.0, 864.0, 6172.0, 12_221.0, 12_344.0), "hundred": (1.0, 7.0, 50.0, 99.0, 100.0), "one": (2.5,) * 5}
+
+
+def test_approx_stats_of_long_series_have_the_exact_rank(spark):
+    """A sketch alone is off by ranks from half its accuracy's number of points on. A series without any value keeps its row."""
+    names = F.when(F.col("id") < 7_000, "a").when(F.col("id") < 27_000, "b").otherwise("empty")
+    value = F.when(F.col("id") < 7_000, (F.col("id") * 7_919) % 7_000).when(F.col("id") < 27_000, (F.col("id") * 7_919) % 20_000)
+    df = spark.range(0, 27_001, 1, 6).select(names.alias("series_key"), metrics.at(NOON).alias("ts"), value.cast("double").alias("value"))
+    got = {r["series_key"]: (r["count"], r["p50"], r["p95"], r["p99"]) for r in metrics.metric_stats_approx(df, NOON).collect()}
+    assert got == {"a": (7_000, 3_499.0, 6_649.0, 6_929.0), "b": (20_000, 9_999.0, 18_999.0, 19_799.0), "empty": (0, None, None, None)}
+
+
 def test_percentiles_run_no_job_and_sort_nothing_whole(spark, series):
     """No checkpoint and no range partitioning in the plan; a query that is only built reads nothing."""
     tracker = spark.sparkContext.statusTracker()
