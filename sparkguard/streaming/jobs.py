@@ -7,8 +7,8 @@ Late rows: ten minutes of watermark, later ones are dropped and counted by Spark
 from __future__ import annotations
 
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -176,6 +176,7 @@ def current(changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 ALERT_EVENTS = "alert_id string, event string, at timestamp, value double"
 ALERT_STATE = "firing boolean, points long, breaches long, value double, leaving array<bigint>, left_points array<bigint>, left_breaches array<bigint>"
+ENTERING = {"slot": "int64", "until": "int64", "points": "int64", "breaches": "int64", "current_value": "float64"}
 
 
 class Transitions(StatefulProcessor):
@@ -195,45 +196,49 @@ class Transitions(StatefulProcessor):
         self.held = handle.getValueState("alert", ALERT_STATE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        entering = pd.concat(list(rows)).sort_values(["slot", "until"])
-        by_slot = {int(slot): some for slot, some in entering.groupby("slot")}
-        yield from self._evaluated(key, by_slot, max(by_slot))
+        parts = [[some[c].to_numpy(dtype) for c, dtype in ENTERING.items()] for some in rows]
+        entering = [np.concatenate(column) for column in zip(*parts, strict=True)]
+        yield from self._evaluated(key, entering, int(entering[0].max()))
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield from self._evaluated(key, {}, max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) // (1000 * self.step))
+        yield from self._evaluated(key, [np.array([], dtype) for dtype in ENTERING.values()], max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) // (1000 * self.step))
 
     def close(self) -> None:
         pass
 
-    def _evaluated(self, key: tuple, by_slot: dict[int, pd.DataFrame], last: int) -> Iterator[pd.DataFrame]:
-        """Goes through the grid times up to ``last`` at which points enter or leave."""
+    def _evaluated(self, key: tuple, entering: list[np.ndarray], last: int) -> Iterator[pd.DataFrame]:
+        """Goes through the grid times up to ``last`` at which points enter or leave: running sums over the changes, and no step of Python per grid time."""
         firing, points, breaches, value, *lists = self.held.get() if self.held.exists() else (False, 0, 0, None, [], [], [])
-        leaving = {int(slot): (int(n), int(b)) for slot, n, b in zip(*lists, strict=True)}
-        soon, events = list({*leaving, *by_slot}), []
-        heapify(soon)
-        while soon and soon[0] <= last:
-            slot = heappop(soon)
-            n, b = leaving.pop(slot, (0, 0))
-            points, breaches = points - n, breaches - b
-            for c in by_slot[slot].itertuples() if slot in by_slot else ():
-                if c.until not in leaving and c.until not in by_slot:
-                    heappush(soon, int(c.until))
-                n, b = leaving.get(c.until, (0, 0))
-                leaving[int(c.until)] = n + int(c.points), b + int(c.breaches)
-                points, breaches, value = points + int(c.points), breaches + int(c.breaches), c.current_value
-            now = breaches >= self.datapoints[key[0]]
-            if points > 0 and now != firing:
-                firing = now
-                events.append((key[0], "firing" if firing else "resolved", pd.Timestamp(slot * self.step, unit="s"), value))
-        left = sorted(leaving)
-        lists = [left, [leaving[x][0] for x in left], [leaving[x][1] for x in left]]
-        self.held.update((bool(firing), points, breaches, None if pd.isna(value) else float(value), *lists))
+        in_order = np.lexsort((entering[1], entering[0]))
+        slot, until, n, b, current = (column[in_order] for column in entering)
+        left, left_n, left_b = (np.array(x, dtype="int64") for x in lists)
+        slots, (more, more_b) = _summed(np.concatenate([slot, until, left]), np.concatenate([n, -n, -left_n]), np.concatenate([b, -b, -left_b]))
+        due = slots <= last
+        now, points_now, breaches_now = slots[due], points + np.cumsum(more[due]), breaches + np.cumsum(more_b[due])
+        latest = np.concatenate([[np.nan if value is None else value], current])[np.searchsorted(slot, now, side="right")]
+        if len(now):
+            points, breaches, value = int(points_now[-1]), int(breaches_now[-1]), float(latest[-1])
+        seen = points_now > 0
+        states = np.concatenate([[firing], breaches_now[seen] >= self.datapoints[key[0]]]).astype(bool)
+        changed = states[1:] != states[:-1]
+        self.held.update(
+            (bool(states[-1]), points, breaches, None if pd.isna(value) else value, slots[~due].tolist(), (-more[~due]).tolist(), (-more_b[~due]).tolist())
+        )
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if left:
-            self.handle.registerTimer(left[0] * self.step * 1000)
-        if events:
-            yield pd.DataFrame(events, columns=["alert_id", "event", "at", "value"])
+        if not due.all():
+            self.handle.registerTimer(int(slots[~due][0]) * self.step * 1000)
+        if changed.any():
+            events = np.where(states[1:][changed], "firing", "resolved")
+            at = pd.to_datetime(now[seen][changed] * self.step, unit="s")
+            yield pd.DataFrame({"alert_id": key[0], "event": events, "at": at, "value": latest[seen][changed]})
+
+
+def _summed(slots: np.ndarray, *changes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct slots in order, with the sum of each kind of change."""
+    order = np.argsort(slots, kind="stable")
+    distinct, starts = np.unique(slots[order], return_index=True)
+    return distinct, [np.add.reduceat(c[order], starts) if len(starts) else c for c in changes]
 
 
 def alert_changes(points: DataFrame, alerts: tuple[A.Alert, ...], step: int = A.EVALUATION_SECONDS, id_column: str = "point_id") -> DataFrame:

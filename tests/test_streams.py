@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+import time
 from pathlib import Path
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -74,6 +78,78 @@ def test_a_late_point_neither_enters_nor_leaves(spark, folder):
     assert got == [0.0, 7200.0, 7230.0, 90000.0]
 
 
+class Held:
+    """A state handle of one key in memory."""
+
+    def __init__(self):
+        self.value, self.timers = None, set()
+
+    def getValueState(self, *_):  # noqa: N802
+        return SimpleNamespace(exists=lambda: self.value is not None, get=lambda: self.value, update=lambda v: setattr(self, "value", v))
+
+    def listTimers(self):  # noqa: N802
+        return sorted(self.timers)
+
+    def deleteTimer(self, t):  # noqa: N802
+        self.timers.discard(t)
+
+    def registerTimer(self, t):  # noqa: N802
+        self.timers.add(t)
+
+
+def transitions(batches, step, datapoints):
+    """Events of batches of changes, each of which may come in parts; timers up to the next batch expire before it."""
+    held, got = Held(), []
+    alert = jobs.Transitions((A.Alert("a", "A", "m", 5, "high", 5, datapoints),), step)
+    alert.init(held)
+    for rows, until in batches:
+        if rows:
+            frame = pd.DataFrame(rows, columns=["slot", "until", "points", "breaches", "current_value"])
+            parts = (frame.iloc[i : i + 10_000] for i in range(0, len(frame), 10_000))
+            got += alert.handleInputRows(("a",), parts, None)
+        while held.timers and min(held.timers) <= until * step * 1000:
+            times = SimpleNamespace(getCurrentWatermarkInMs=lambda u=until: u * step * 1000)
+            got += alert.handleExpiredTimer(("a",), times, SimpleNamespace(getExpiryTimeInMs=lambda: min(held.timers)))
+    return [tuple(r) for some in got for r in some.itertuples(index=False)]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_transitions_are_those_of_every_grid_time(seed):
+    """Counts of the points that each grid time sees, one after the other, give the same events; whatever the batches are."""
+    rng, step, datapoints = random.Random(seed), 30, 1 + seed % 3
+    rows, slot = [], 100
+    while slot < 1500:
+        for stay in sorted(rng.sample((3, 4, 5, 40), rng.choice((1, 1, 2)))):
+            n = rng.randint(1, 3)
+            rows.append((slot, slot + stay, n, rng.randint(0, n) if rng.random() < 0.4 else 0, rng.choice((1.5, 9.0, float("nan")))))
+        slot += rng.choice((1, 1, 2, 6, 60))
+    want, firing, value = [], False, None
+    for at in range(100, 1600):
+        seen = [r for r in rows if r[0] <= at < r[1]]
+        value = next((r[4] for r in reversed(rows) if r[0] == at), value)
+        if seen and (sum(r[3] for r in seen) >= datapoints) != firing:
+            firing = not firing
+            want.append(("a", "firing" if firing else "resolved", pd.Timestamp(at * step, unit="s"), value))
+    for cuts in ([2000], [400, 900, 2000], list(range(110, 2000, 10))):
+        batches, start = [], 0
+        for cut in cuts:
+            some = [r for r in rows if start <= r[0] <= cut]
+            rng.shuffle(some)
+            batches.append((some, cut))
+            start = cut + 1
+        pd.testing.assert_frame_equal(pd.DataFrame(transitions(batches, step, datapoints)), pd.DataFrame(want))
+    assert len(want) > 4
+
+
+def test_a_long_backfill_takes_no_step_of_python_per_grid_time():
+    """A batch of 200,000 grid times of one alert, a millisecond each before."""
+    rows = [(k, k + 5, 1, int(k % 10 == 0), 1.0) for k in range(200_000)]
+    start = time.perf_counter()
+    got = transitions([(rows, 300_000)], 30, 1)
+    assert time.perf_counter() - start < 20
+    assert len(got) == 40_000 and got[1][1:3] == ("resolved", pd.Timestamp(150, unit="s"))
+
+
 def test_windows_over_micro_batches(spark, inputs, folder):
     p = points(inputs)
     in_parts(p, folder("points"), 6)
